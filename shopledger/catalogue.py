@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import quality
 from .functions.money import rounded
+from .metrics import metric
+from .operators.merge import upsert
+from .operators.ranking import random_rows, tiles
+from .operators.skew import spread_join
+from .oracle.extras import EXTRA_FINALS
+from .oracle.metrics import METRIC_FINALS
 from .oracle.models import FINALS as MODEL_FINALS
-from .oracle.models import model_statements
+from .oracle import statement
+from .plans import core, data_science
 from .plans.models import RetailModels, in_report_order
-from .session import tune
+from .plans.staging import stg_orders
+from .session import fresh_path, tune
+from .sources.raw import load_csv
+from .sources.sinks import append_rows, with_next_keys, write_clustered, write_table
 from .sources.tables import AS_OF, RetailTables
 
+Query = Callable[[SparkSession, str], DataFrame]
+
 # Shown with four places: the last bits of a standard deviation, and of a mean of means, depend on the
 # order of additions.
 SHOWN_ROUNDED = {"std_order_value", "avg_selling_price_eur"}
@@ -39,16 +53,245 @@ def models(spark: SparkSession, folder: str) -> RetailModels:
     return RetailModels(RetailTables(tune(spark), folder), AS_OF)
 
 
-def _model_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return comparable(in_report_order(name, getattr(models(spark, folder), name)))
+EXTRAS: dict[str, Callable[[RetailModels], DataFrame]] = {}
+
+
+def extra(fn: Callable[[RetailModels], DataFrame]):
+    EXTRAS[fn.__name__] = fn
+    return fn
+
+
+# ------------------------------------------------------------------ sources and sinks
+@extra
+def a01_typed_csv_load(m):
+    """Orders written as CSV, loaded with the declared schema, staged."""
+    spark = m.raw.spark
+    path = fresh_path(spark, "orders-csv")
+    m.raw.raw_orders.write.option("header", True).csv(path)
+    return stg_orders(load_csv(spark, "raw_orders", path))
+
+
+@extra
+def a04_full_refresh(m):
+    """Order items stored as a table and read back."""
+    return write_table(m.fct_order_items, fresh_path(m.raw.spark, "fct_order_items"))
+
+
+@extra
+def a06_merge_orders(m):
+    """Fresh orders merged into an older copy that lacks some orders and has old states for the rest."""
+    number = F.col("order_id").cast("bigint")
+    columns = ["order_id", "customer_id", "order_date", "order_status", "net_revenue_eur"]
+    fact = m.order_amounts.select(*columns)
+    older = fact.where(number % 3 != 0).withColumn("order_status", F.lit("processing"))
+    return upsert(older, fact.where(number % 3 != 1), "order_id")
+
+
+@extra
+def a07_merge_new_columns(m):
+    """A merge whose source brings two columns that the target does not have."""
+    number = F.col("order_id").cast("bigint")
+    fact = m.order_amounts
+    older = fact.where(number % 3 != 0).select("order_id", "net_revenue_eur")
+    newer = fact.where(number % 3 != 1).select("order_id", "net_revenue_eur", "channel", "item_count")
+    return upsert(older, newer, "order_id")
+
+
+@extra
+def a08_clustered_table(m):
+    """The order block laid out by date and customer, stored and read back."""
+    path = fresh_path(m.raw.spark, "int_orders_enriched")
+    return write_clustered(m.int_orders_enriched, path, "order_date", "customer_id")
+
+
+def _resubmitted(m, local_rows: int) -> DataFrame:
+    cancelled = m.stg_orders.where(F.col("order_status") == "cancelled")
+    batch = cancelled.select(
+        F.col("order_id").alias("was"), "customer_id", F.lit(str(m.as_of)).cast("date").alias("order_date")
+    )
+    return with_next_keys(batch, m.stg_orders, "order_id", ["was"], "ORD_%06d", 10600, local_rows)
+
+
+@extra
+def a09_append_batch(m):
+    """Cancelled orders submitted again under new keys, appended to the stored orders."""
+    path = fresh_path(m.raw.spark, "raw_orders")
+    columns = ["order_id", "customer_id", "order_date"]
+    write_table(m.stg_orders.select(*columns), path)
+    return append_rows(_resubmitted(m, 1_000_000).select(*columns), path)
+
+
+@extra
+def a13_next_keys(m):
+    """New keys continuing the highest stored number, numbered slice by slice."""
+    return _resubmitted(m, 0)
+
+
+# ------------------------------------------------------------------ joins, windows, ranks under skew
+@extra
+def c02_spread_left_join(m):
+    """Orders to customers with every customer above a small share split over several tasks."""
+    lookup = m.stg_customers.select("customer_id", "email", "loyalty_tier")
+    rows = m.stg_orders.select("order_id", "customer_id", "order_status")
+    return spread_join(rows, lookup, "customer_id", "order_id", "left", min_rows=2)
+
+
+@extra
+def c05_co_purchase_wide_baskets(m):
+    """Product affinity with baskets above eight lines counted by item classes instead of pairs."""
+    return data_science.product_affinity_features(m.order_lines, m.dim_products, wide=8)
+
+
+@extra
+def e04_sequence_of_heavy_customers(m):
+    """Order sequence with frequent customers cut by day."""
+    return data_science.order_sequence_features(m.order_amounts, min_rows=2)
+
+
+@extra
+def e08_ntile_by_slices(m):
+    """Price quartiles of the parts from range-partitioned slices."""
+    order = [F.col("unit_price").desc(), F.col("product_id").asc()]
+    parts = m.stg_products.select("product_id", "unit_price")
+    return tiles(tiles(parts, order, 4, "quartile", local_rows=0), order, 7, "seventh", local_rows=0)
+
+
+@extra
+def f03_random_sample(m):
+    """100 random customers: how many, how many distinct, how many known."""
+    customers = m.stg_customers.select("customer_id")
+    sample = random_rows(customers, 100, seed=7)
+    return sample.join(customers.withColumn("known", F.lit(1)), "customer_id", "left").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("customer_id").alias("customers"),
+        F.sum("known").alias("known"),
+    )
+
+
+# ------------------------------------------------------------------ data rules
+def _staged(m) -> dict[str, DataFrame]:
+    tables = {r.table for r in quality.RULES if r.layer == "staging"}
+    return {t: getattr(m, t) for t in sorted(tables)}
+
+
+def _raw(m) -> dict[str, DataFrame]:
+    tables = {r.table for r in quality.RULES if r.layer == "source"}
+    return {t: getattr(m.raw, t) for t in sorted(tables)}
+
+
+@extra
+def i01_unique(m):
+    return quality.check_all(_staged(m), "staging", ["unique"])
+
+
+@extra
+def i02_not_null(m):
+    return quality.check_all(_staged(m), "staging", ["not_null"])
+
+
+@extra
+def i03_accepted_values(m):
+    return quality.check_all(_staged(m), "staging", ["accepted_values"])
+
+
+@extra
+def i04_one_pass_core(m):
+    """All rules of the customer and order marts."""
+    return quality.check_all({"dim_customers": m.dim_customers, "fct_orders": m.fct_orders}, "core")
+
+
+@extra
+def i05_source_freshness(m):
+    return quality.freshness(_raw(m), dt.datetime(2001, 8, 2, 12))
+
+
+@extra
+def i06_contract_report(m):
+    marts = ["dim_customers", "dim_products", "fct_orders", "fct_order_items", "fct_payments"]
+    return quality.contract_report({n: getattr(m, n) for n in marts})
+
+
+@extra
+def i07_redacted_customers(m):
+    return quality.redact(quality.tag_personal(m.stg_customers, "stg_customers"), "stg_customers").drop("loaded_at")
+
+
+@extra
+def i08_unknown_products(m):
+    """Web-event product references without a catalogue row (an extra check)."""
+    return quality.orphans(m.stg_web_events, m.stg_products, "product_id")
+
+
+# ------------------------------------------------------------------ metrics
+def _metric(name, pick, **options):
+    """Query for a metric; ``pick`` chooses the frames, so that unused joins are not part of the plan."""
+
+    def run(m: RetailModels) -> DataFrame:
+        return metric(name, pick(m), **options)
 
     return run
 
 
-def registered_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: _model_query(key.split("_", 1)[1]) for key in MODEL_FINALS}
+def _customers(m):
+    return {"dim_customers": m.dim_customers}
+
+
+def _products(m):
+    return {"dim_products": m.dim_products}
+
+
+def _amounts(m):
+    return {"fct_orders": m.order_amounts}
+
+
+def _first(m):
+    return {"fct_orders": m.order_amounts_first}
+
+
+def _enriched(m):
+    return {"fct_orders": core.order_fact(m.int_orders_enriched)}
+
+
+def _full(m):
+    return {"fct_orders": m.fct_orders, "dim_customers": m.stg_customers}
+
+
+METRIC_QUERIES = {
+    "j01_total_customers": _metric("total_customers", _customers, group_by=["country", "loyalty_tier"]),
+    "j02_avg_ltv": _metric("avg_ltv", _customers, group_by=["acquisition_channel"], grain="quarter"),
+    "j03_total_products": _metric("total_products", _products, group_by=["category", "performance_tier"]),
+    "j04_avg_product_margin": _metric("avg_product_margin", _products, group_by=["category"], grain="month"),
+    "j05_total_revenue": _metric("total_revenue", _amounts, group_by=["channel"], grain="month"),
+    "j06_total_gross_revenue": _metric("total_gross_revenue", _amounts, grain="quarter"),
+    "j07_total_orders": _metric("total_orders", _amounts, group_by=["shipping_country"], grain="year"),
+    "j08_average_order_value": _metric("average_order_value", _amounts, group_by=["channel"], grain="month"),
+    "j09_total_discount_amount": _metric("total_discount_amount", _amounts, grain="week"),
+    "j10_new_customer_orders": _metric("new_customer_orders", _first, grain="month"),
+    "j11_returned_order_count": _metric("returned_order_count", _enriched, group_by=["channel", "order_status"]),
+    "j12_late_delivery_orders": _metric("late_delivery_orders", _full, group_by=["carrier"], grain="year"),
+    "j13_avg_days_to_ship": _metric("avg_days_to_ship", _full, group_by=["shipping_method"]),
+    "j14_discount_rate": _metric("discount_rate", _amounts, grain="month", where="order_status <> 'cancelled'"),
+    "j15_late_delivery_rate": _metric(
+        "late_delivery_rate", _full, group_by=["channel", "customer__loyalty_tier", "customer__country"]
+    ),
+    "j16_revenue_last_7_days": _metric("revenue_last_7_days", _amounts),
+    "j17_revenue_last_30_days": _metric("revenue_last_30_days", _amounts, group_by=["channel"], grain="month"),
+}
+
+
+def _model(key: str) -> Callable[[RetailModels], DataFrame]:
+    name = key.split("_", 1)[1]
+    return lambda m: in_report_order(name, getattr(m, name))
+
+
+def registered_queries() -> dict[str, Query]:
+    built = {key: _model(key) for key in MODEL_FINALS} | EXTRAS | METRIC_QUERIES
+
+    def over_folder(build) -> Query:
+        return lambda spark, folder: comparable(build(models(spark, folder)))
+
+    return {key: over_folder(build) for key, build in built.items()}
 
 
 def registered_statements() -> dict[str, str]:
-    return model_statements()
+    return {key: statement(final) for key, final in (MODEL_FINALS | EXTRA_FINALS | METRIC_FINALS).items()}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from . import statement
 from .blocks import LINE_ID, TODAY, avg_of, pct, pick, rate
 
 FINALS: dict[str, str] = {}
@@ -325,5 +324,3 @@ from f_items join s_products using (product_id) where keep group by customer_id,
 """
 
 
-def model_statements() -> dict[str, str]:
-    return {name: statement(final) for name, final in FINALS.items()}
