@@ -20,7 +20,7 @@ from .oracle.metrics import METRIC_FINALS
 from .oracle.models import FINALS as MODEL_FINALS
 from .oracle import statement
 from .plans import core, data_science
-from .plans.models import RetailModels, in_report_order
+from .plans.models import RetailModels, StagedTables, in_report_order
 from .plans.staging import stg_orders
 from .session import fresh_path, tune
 from .sources.raw import load_csv
@@ -49,8 +49,17 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+# Staged plans of the last session and folder. They hold no data; reusing them saves the analysis of the
+# same projections for every query.
+_plans: dict[tuple, StagedTables] = {}
+
+
 def models(spark: SparkSession, folder: str) -> RetailModels:
-    return RetailModels(RetailTables(tune(spark), folder), AS_OF)
+    key = (spark, folder)
+    if key not in _plans:
+        _plans.clear()
+        _plans[key] = StagedTables(RetailTables(tune(spark), folder))
+    return RetailModels(_plans[key], AS_OF)
 
 
 EXTRAS: dict[str, Callable[[RetailModels], DataFrame]] = {}
@@ -139,7 +148,7 @@ def c02_spread_left_join(m):
 @extra
 def c05_co_purchase_wide_baskets(m):
     """Product affinity with baskets above eight lines counted by item classes instead of pairs."""
-    return data_science.product_affinity_features(m.order_lines, m.dim_products, wide=8)
+    return data_science.product_affinity_features(m.order_lines, m.dim_products, wide=8, min_rows=10)
 
 
 @extra

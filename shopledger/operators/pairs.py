@@ -8,43 +8,58 @@ wide groups are counted between classes. Both parts are exact and are added up.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import HEAVY_ROWS, HEAVY_SHARE, heavy_keys, spread_join, with_parts
+from .skew import HEAVY_ROWS, HEAVY_SHARE, HeavyKeys, heavy_keys, spread_join, with_parts
 
 WIDE_GROUP = 256
 
 
-def _split(lines: DataFrame, group: str, item: str, wide: int, min_rows: int, share: float):
-    """(narrow groups as item arrays, rows of wide groups, heavy groups); one shuffle of the rows."""
-    rows = lines.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g is not null and i is not null")
-    heavy = heavy_keys(rows, "g", min_rows, share)
+def _split(rows: DataFrame, heavy: HeavyKeys, wide: int) -> tuple[DataFrame, DataFrame]:
+    """(narrow groups as sorted arrays, rows of wide groups) of rows (g, i); one shuffle of the rows."""
     dealt = with_parts(rows, heavy, "g").withColumn(
         "part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("i"), F.col("parts").cast("bigint"))).otherwise(0)
     )
     # A group that is not heavy has all its rows in part 0, so this is its exact row count.
     counted = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g", "part")))
-    narrow_rows = (F.col("parts") == 1) & (F.col("n") <= wide)
+    is_narrow = (F.col("parts") == 1) & (F.col("n") <= wide)
     narrow = (
-        counted.where(narrow_rows)
+        counted.where(is_narrow)
         .groupBy("g", "part")
-        .agg(F.collect_list("i").alias("lines"))
-        .select("lines", F.array_sort(F.array_distinct("lines")).alias("items"))
+        .agg(F.array_sort(F.collect_list("i")).alias("lines"))
+        .select("lines", F.array_distinct("lines").alias("items"))
+    )
+    return narrow, counted.where(~is_narrow).select("g", "i")
+
+
+def _tally(narrow: DataFrame) -> DataFrame:
+    """Narrow groups in one pass: (a, b, n) with n groups holding a < b, and (a, NULL, n, size).
+
+    The second kind has the number of rows of ``a`` and the summed group size over those rows.
+    """
+    line = narrow.select("lines", "items", F.size("items").cast("bigint").alias("size"), F.posexplode("lines").alias("at", "a"))
+    first_line = F.array_position("lines", F.col("a")) == F.col("at") + 1
+    later = F.slice("items", (F.array_position("items", F.col("a")) + 1).cast("int"), F.size("items"))
+    nothing = F.array(F.lit(None).cast(narrow.schema["items"].dataType.elementType))
+    emitted = line.select("a", "size", F.explode(F.when(first_line, F.concat(nothing, later)).otherwise(nothing)).alias("b"))
+    return emitted.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("b").isNull(), F.col("size"))).alias("size")
     )
-    return rows, narrow, counted.where(~narrow_rows).select("g", "i"), heavy
 
 
-def _pair_counts(narrow: DataFrame) -> DataFrame:
-    """(a, b, n) for a < b: number of narrow groups that hold both."""
-    firsts = narrow.select("items", F.posexplode("items").alias("at", "a"))
-    pairs = firsts.select("a", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+def _rank(n: Column, partner: Column) -> Column:
+    """Orders by count descending, then partner ascending."""
+    return F.struct((-n).alias("n"), partner.alias("p"))
 
 
-def _both_ways(pairs: DataFrame) -> DataFrame:
-    ends = F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("p")), F.struct(F.col("b").alias("i"), F.col("a").alias("p")))
-    return pairs.select(F.explode(ends).alias("e"), "n").select("e.i", "e.p", "n")
+def _both_ways() -> Column:
+    """Candidates of a pair (a, b, n) for both of its items."""
+    a, b, n = F.col("a"), F.col("b"), F.col("n")
+    return F.array(
+        F.struct(a.alias("i"), _rank(n, b).alias("best")),
+        F.struct(b.alias("i"), _rank(n, a).alias("best")),
+    )
 
 
 def _wide_classes(members: DataFrame):
@@ -68,11 +83,6 @@ def _wide_classes(members: DataFrame):
     return item_class, heads, shared
 
 
-def _rank(n, partner):
-    """Orders by count descending, then partner ascending."""
-    return F.struct((-n).alias("n"), partner.alias("p"))
-
-
 def top_partners(
     lines: DataFrame,
     group: str,
@@ -80,35 +90,40 @@ def top_partners(
     wide: int = WIDE_GROUP,
     min_rows: int = HEAVY_ROWS,
     share: float = HEAVY_SHARE,
+    all_lines: DataFrame | None = None,
 ) -> DataFrame:
     """Per item: ``partner`` seen in most of its groups, ``together`` = number of those groups.
 
     Ties go to the smallest partner. Also ``mean_group_size``: the mean, over the item's rows, of the
     number of distinct items in the row's group. Items that never share a group have NULL partner.
+
+    Group sizes are looked at first, to see whether wide groups exist at all. ``all_lines`` may name a
+    cheaper frame that contains all rows of ``lines`` for that look; more rows only widen the search.
     """
-    rows, narrow, wide_rows, heavy = _split(lines, group, item, wide, min_rows, share)
-    pairs = _pair_counts(narrow)
-    sizes = narrow.select(F.explode("lines").alias("i"), F.size("items").cast("bigint").alias("size"))
-    size_sums = sizes.groupBy("i").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    rows = lines.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g is not null and i is not null")
+    seen = (all_lines if all_lines is not None else lines).select(F.col(group).alias("g"))
+    sizes = seen.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    any_wide = not sizes.where((F.col("n") > wide) & F.col("g").isNotNull()).isEmpty()
+    heavy = heavy_keys(seen, "g", min_rows, share) if any_wide else HeavyKeys(seen.schema["g"].dataType, ())
 
-    any_wide = not rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > wide).isEmpty()
+    narrow, wide_rows = _split(rows, heavy, wide)
+    tally = _tally(narrow)
     if any_wide:
-        members = wide_rows.groupBy("g", "i").agg(F.count(F.lit(1)).alias("rows"))
-        widths = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-        sized = spread_join(members, widths, "g", "i", "inner", heavy=heavy)
-        size_sums = (
-            size_sums.unionByName(
-                sized.groupBy("i").agg(F.sum(F.col("size") * F.col("rows")).alias("size"), F.sum("rows").alias("rows"))
-            )
-            .groupBy("i")
-            .agg(F.sum("size").alias("size"), F.sum("rows").alias("rows"))
-        )
-        candidates = _candidates_with_wide(pairs, members)
+        totals = _with_wide_groups(tally, wide_rows, heavy)
     else:
-        candidates = _both_ways(pairs).select("i", _rank(F.col("n"), F.col("p")).alias("best"))
-
-    best = candidates.groupBy("i").agg(F.min("best").alias("best"))
-    return size_sums.join(best, "i", "left").select(
+        one = F.array(F.struct(F.col("a").alias("i"), F.lit(None).cast(_rank_type(tally)).alias("best")))
+        ends = tally.select(
+            F.explode(F.when(F.col("b").isNull(), one).otherwise(_both_ways())).alias("e"),
+            F.when(F.col("b").isNull(), F.col("n")).alias("rows"),
+            "size",
+        )
+        totals = ends.groupBy("e.i").agg(
+            F.min("e.best").alias("best"),
+            # A pair shows up under both items without rows and size; those are NULL here.
+            F.sum("rows").alias("rows"),
+            F.sum("size").alias("size"),
+        )
+    return totals.select(
         F.col("i").alias(item),
         F.col("best.p").alias("partner"),
         (-F.col("best.n")).alias("together"),
@@ -116,8 +131,25 @@ def top_partners(
     )
 
 
-def _candidates_with_wide(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(item, best) candidates whose best one is the exact top partner over all groups.
+def _rank_type(tally: DataFrame):
+    return tally.select(_rank(F.col("n"), F.col("b")).alias("r")).schema["r"].dataType
+
+
+def _with_wide_groups(tally: DataFrame, wide_rows: DataFrame, heavy: HeavyKeys) -> DataFrame:
+    """(i, best, rows, size) over narrow and wide groups together."""
+    members = wide_rows.groupBy("g", "i").agg(F.count(F.lit(1)).alias("rows"))
+    widths = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    in_wide = spread_join(members, widths, "g", "i", "inner", heavy=heavy).select(
+        "i", "rows", (F.col("size") * F.col("rows")).alias("size")
+    )
+    in_narrow = tally.where("b is null").select(F.col("a").alias("i"), F.col("n").alias("rows"), "size")
+    stats = in_narrow.unionByName(in_wide).groupBy("i").agg(F.sum("rows").alias("rows"), F.sum("size").alias("size"))
+    best = _candidates(tally.where("b is not null"), members).groupBy("i").agg(F.min("best").alias("best"))
+    return stats.join(best, "i", "left")
+
+
+def _candidates(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(i, best) candidates whose best one is the exact top partner over all groups.
 
     A partner met in a narrow group gets its full count. Any other partner only shares wide groups;
     among those the first item of the class with most shared groups is enough.
@@ -131,7 +163,7 @@ def _candidates_with_wide(pairs: DataFrame, members: DataFrame) -> DataFrame:
         .join(shared, ["c1", "c2"], "left")
         .select("a", "b", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
     )
-    met = _both_ways(totals).select("i", _rank(F.col("n"), F.col("p")).alias("best"))
+    met = totals.select(F.explode(_both_ways()).alias("e")).select("e.i", "e.best")
 
     heads_of = heads.select(F.col("c").alias("c2"), "first")
     others = (
@@ -143,12 +175,7 @@ def _candidates_with_wide(pairs: DataFrame, members: DataFrame) -> DataFrame:
     own = shared.where("c1 = c2").select(F.col("c1").alias("c"), F.col("m").alias("own"))
     per_class = heads.join(own, "c").join(others, "c", "left")
     mate = F.when(F.col("i") == F.col("first"), F.col("second")).otherwise(F.col("first"))
-    wide_only = item_class.join(per_class, "c").select(
-        "i",
-        F.explode(
-            F.array_compact(
-                F.array(F.when(mate.isNotNull(), _rank(F.col("own"), mate)), F.col("other"))
-            )
-        ).alias("best"),
+    found = F.array(F.when(mate.isNotNull(), _rank(F.col("own"), mate)), F.col("other"))
+    return met.unionByName(
+        item_class.join(per_class, "c").select("i", F.explode(F.array_compact(found)).alias("best"))
     )
-    return met.unionByName(wide_only)

@@ -30,18 +30,17 @@ def with_previous(
     """
     distinct = distinct or {}
     heavy = heavy_keys(df, key, min_rows, share)
+    if not heavy:
+        return _windowed(df, [key], day, tie, number, previous, distinct)
+
     cut = F.when(F.col("parts") > 1, F.coalesce(F.col(day), F.lit("9999-12-31").cast("date")))
     rows = with_parts(df, heavy, key).withColumn("_cut", cut).drop("parts")
     of_heavy = rows.where(F.col("_cut").isNotNull())
-
-    group = Window.partitionBy(key, "_cut")
-    local = group.orderBy(F.col(day).asc_nulls_last(), F.col(tie).asc_nulls_last())
-    numbered = rows.select(
-        "*",
-        F.row_number().over(local).cast("bigint").alias("_local"),
-        *[F.lag(c).over(local).alias(f"_prev_{out}") for out, c in previous.items()],
-        *[F.size(F.collect_set(c).over(group)).cast("bigint").alias(f"_n_{out}") for out, c in distinct.items()],
-    )
+    inside = {name: f"_in_{name}" for name in [*previous, *distinct]}
+    numbered = _windowed(
+        rows, [key, "_cut"], day, tie, "_local",
+        {inside[n]: c for n, c in previous.items()}, {inside[n]: c for n, c in distinct.items()},
+    )
 
     lagged = [F.col(c).alias(out) for out, c in previous.items()]
     last = F.max(F.struct(F.col(tie).isNull().alias("_nulls_last"), F.col(tie).alias("_tie"), *lagged))
@@ -58,11 +57,12 @@ def with_previous(
     ).drop("_key")
 
     for name, c in distinct.items():
-        # At most one row per heavy key.
-        whole = of_heavy.groupBy(key, c).agg(F.lit(1)).groupBy(F.col(key).alias("_key")).agg(F.count(c).alias("_whole"))
+        # One row per heavy key.
+        pairs = of_heavy.groupBy(F.col(key).alias("_key"), c).agg(F.lit(1))
+        whole = pairs.groupBy("_key").agg(F.count(c).alias("_whole"))
         out = (
             out.join(F.broadcast(whole), F.col(key).eqNullSafe(F.col("_key")), "left")
-            .withColumn(f"_n_{name}", F.coalesce("_whole", f"_n_{name}"))
+            .withColumn(inside[name], F.coalesce("_whole", inside[name]))
             .drop("_key", "_whole")
         )
 
@@ -70,9 +70,17 @@ def with_previous(
     return out.select(
         *df.columns,
         (F.col("_local") + F.coalesce("_before", F.lit(0))).alias(number),
-        *[
-            F.when(first_here, F.col(f"_carry.{name}")).otherwise(F.col(f"_prev_{name}")).alias(name)
-            for name in previous
-        ],
-        *[F.col(f"_n_{name}").alias(name) for name in distinct],
+        *[F.when(first_here, F.col(f"_carry.{n}")).otherwise(F.col(inside[n])).alias(n) for n in previous],
+        *[F.col(inside[n]).alias(n) for n in distinct],
+    )
+
+
+def _windowed(df, keys, day, tie, number, previous, distinct) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    ordered = group.orderBy(F.col(day).asc_nulls_last(), F.col(tie).asc_nulls_last())
+    return df.select(
+        "*",
+        F.row_number().over(ordered).cast("bigint").alias(number),
+        *[F.lag(c).over(ordered).alias(out) for out, c in previous.items()],
+        *[F.size(F.collect_set(c).over(group)).cast("bigint").alias(out) for out, c in distinct.items()],
     )

@@ -1,38 +1,60 @@
 """Joins and groups that stay balanced when one key holds a large share of the rows.
 
 ``heavy_keys`` finds such keys with a mergeable frequent-items sketch: one scan of the key column and
-no shuffle of the rows. It only steers how work is split. No result depends on it.
+no shuffle of the rows. It only steers how work is split; no result depends on it.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A key is heavy when it holds more than both limits. At most 1 / HEAVY_SHARE keys can exceed the
-# share, so the table of heavy keys has at most 1000 rows and is safe to broadcast at any data size.
+# share, so there are at most 1000 heavy keys at any data size.
 HEAVY_SHARE = 0.001
 HEAVY_ROWS = 1_000_000
 
 
-def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE) -> DataFrame:
-    """Heavy values of ``key`` (NULL included) as ``(key, parts)``; at most ``1 / share`` rows.
+@dataclass(frozen=True)
+class HeavyKeys:
+    """Heavy values of a key column (None included) and the number of parts each is split into."""
+
+    key_type: T.DataType
+    parts: tuple[tuple[object, int], ...]
+
+    def __bool__(self) -> bool:
+        return bool(self.parts)
+
+    def frame(self, df: DataFrame, name: str) -> DataFrame:
+        """(name, parts): at most ``1 / share`` rows."""
+        schema = T.StructType([T.StructField(name, self.key_type), T.StructField("parts", T.IntegerType())])
+        return df.sparkSession.createDataFrame(list(self.parts), schema)
+
+
+def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE) -> HeavyKeys:
+    """Heavy values of ``df[key]``; runs one job whose result has at most ``1 / share`` rows.
 
     ``parts`` is the number of pieces that brings one piece of the key below the limits.
     """
     most = int(1 / share)
     tally = df.agg(F.expr(f"approx_top_k(`{key}`, {most}, {10 * most})").alias("top"), F.count(F.lit(1)).alias("rows"))
-    limit = F.greatest(F.lit(min_rows), (F.col("rows") * share).cast("bigint"))
-    return (
+    limit = F.greatest(F.lit(min_rows), (F.col("rows") * share).cast("bigint"), F.lit(1))
+    found = (
         tally.select(F.explode("top").alias("t"), limit.alias("limit"))
         .where(F.col("t.count") > F.col("limit"))
-        .select(F.col("t.item").alias(key), F.ceil(F.col("t.count") / F.col("limit")).cast("int").alias("parts"))
+        .select(F.col("t.item"), F.ceil(F.col("t.count") / F.col("limit")).cast("int"))
     )
+    return HeavyKeys(df.schema[key].dataType, tuple(tuple(r) for r in found.collect()))
 
 
-def with_parts(df: DataFrame, heavy: DataFrame, key: str) -> DataFrame:
+def with_parts(df: DataFrame, heavy: HeavyKeys, key: str) -> DataFrame:
     """``df`` with ``parts`` of its key, 1 for every key that is not heavy."""
-    h = F.broadcast(heavy.withColumnRenamed(key, "_heavy"))
+    if not heavy:
+        return df.withColumn("parts", F.lit(1))
+    h = F.broadcast(heavy.frame(df, "_heavy"))
     return (
         df.join(h, F.col(key).eqNullSafe(F.col("_heavy")), "left")
         .withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -48,17 +70,19 @@ def spread_join(
     how: str = "left",
     min_rows: int = HEAVY_ROWS,
     share: float = HEAVY_SHARE,
-    heavy: DataFrame | None = None,
+    heavy: HeavyKeys | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``lookup`` (one row per key) with heavy keys split on both sides.
 
     Rows of a heavy key are dealt over its parts by a hash of ``spread_by`` (a near-unique column), and
     its single lookup row is repeated once per part: at most ``2 / share`` added rows in total. Other
-    keys travel unchanged. Heavy NULL keys are dealt out as well, though they match nothing. ``heavy``
-    passes heavy keys that are known already.
+    keys travel unchanged, and without heavy keys this is the plain join. Heavy NULL keys are dealt out
+    as well, though they match nothing. ``heavy`` passes heavy keys that are known already.
     """
     if heavy is None:
         heavy = heavy_keys(rows, key, min_rows, share)
+    if not heavy:
+        return rows.join(lookup, key, how)
     dealt = with_parts(rows, heavy, key).withColumn(
         "_part", F.pmod(F.xxhash64(spread_by), F.col("parts").cast("bigint")).cast("int")
     )

@@ -100,10 +100,14 @@ def order_sequence_features(orders: DataFrame, min_rows: int = HEAVY_ROWS) -> Da
 
 
 def product_affinity_features(
-    lines: DataFrame, products: DataFrame, wide: int = WIDE_GROUP, min_rows: int = HEAVY_ROWS
+    lines: DataFrame,
+    products: DataFrame,
+    wide: int = WIDE_GROUP,
+    min_rows: int = HEAVY_ROWS,
+    all_lines: DataFrame | None = None,
 ) -> DataFrame:
     """Per product the one bought together with it in most kept orders, and its mean basket size."""
-    partners = top_partners(_kept(lines), "order_id", "product_id", wide, min_rows)
+    partners = top_partners(_kept(lines), "order_id", "product_id", wide, min_rows, all_lines=all_lines)
     other = products.select(
         F.col("product_id").alias("partner"),
         F.col("product_name").alias("cross_sell_product_name"),

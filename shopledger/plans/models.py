@@ -1,6 +1,6 @@
 """All models wired together over one set of raw tables.
 
-``RetailModels(raw, as_of)`` exposes every model as a lazy attribute. Attributes that need only a part of
+``RetailModels(StagedTables(raw), as_of)`` exposes every model as a lazy attribute. Attributes that need only a part of
 a mart read the narrow building block instead of the full mart, so that one query does not compute
 joins whose columns it drops; the values are the same (tests compare both).
 """
@@ -17,25 +17,33 @@ from . import core, data_science, finance, intermediate, marketing
 from .staging import STAGING
 
 
-class RetailModels:
-    def __init__(self, raw, as_of: dt.date):
-        """``raw`` has one attribute per raw table (``raw_orders``, ...) holding a DataFrame."""
+class StagedTables:
+    """The staging models over one set of raw tables (``raw.raw_orders``, ...) as lazy attributes."""
+
+    def __init__(self, raw):
         self.raw = raw
-        self.as_of = as_of
 
-    def _staged(self, table: str) -> DataFrame:
-        return STAGING[table](getattr(self.raw, table))
+    def __getattr__(self, name: str) -> DataFrame:
+        table = "raw_" + name.removeprefix("stg_")
+        if not name.startswith("stg_") or table not in STAGING:
+            raise AttributeError(name)
+        staged = STAGING[table](getattr(self.raw, table))
+        setattr(self, name, staged)
+        return staged
 
-    stg_customers = cached_property(lambda self: self._staged("raw_customers"))
-    stg_products = cached_property(lambda self: self._staged("raw_products"))
-    stg_orders = cached_property(lambda self: self._staged("raw_orders"))
-    stg_order_items = cached_property(lambda self: self._staged("raw_order_items"))
-    stg_payments = cached_property(lambda self: self._staged("raw_payments"))
-    stg_shipments = cached_property(lambda self: self._staged("raw_shipments"))
-    stg_returns = cached_property(lambda self: self._staged("raw_returns"))
-    stg_campaigns = cached_property(lambda self: self._staged("raw_campaigns"))
-    stg_campaign_attributions = cached_property(lambda self: self._staged("raw_campaign_attributions"))
-    stg_web_events = cached_property(lambda self: self._staged("raw_web_events"))
+
+class RetailModels:
+    """All models over staged tables; ``stg_*`` attributes are those of ``staged``."""
+
+    def __init__(self, staged: StagedTables, as_of: dt.date):
+        self.staged = staged
+        self.raw = staged.raw
+        self.as_of = as_of
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("stg_"):
+            return getattr(self.staged, name)
+        raise AttributeError(name)
 
     # Narrow blocks.
     @cached_property
@@ -171,7 +179,9 @@ class RetailModels:
 
     @cached_property
     def product_affinity_features(self) -> DataFrame:
-        return data_science.product_affinity_features(self.order_lines, self.dim_products)
+        return data_science.product_affinity_features(
+            self.order_lines, self.dim_products, all_lines=self.stg_order_items
+        )
 
     @cached_property
     def churn_prediction_input(self) -> DataFrame:
