@@ -70,7 +70,7 @@ with l as (select *, {LINE_ID} line_id, l_discount::decimal(5,2) share,
                   {rate("l_extendedprice::decimal(18,2)", "l_quantity")}::decimal(10,2) unit_price from lineitem)
 select line_id order_item_id, l_orderkey::varchar order_id, l_partkey::varchar product_id,
        l_quantity::decimal(5,0) quantity, unit_price unit_price_at_order, (share * 100)::decimal(5,2) discount_pct,
-       round(l_quantity::decimal(5,0) * unit_price * (1 - share), 2)::decimal(18,2) line_revenue
+       round(l_quantity::decimal(5,0) * unit_price * (1 - share), 2)::decimal(18,2) line_revenue, l_shipdate loaded_at
 from l
 """
 
@@ -95,7 +95,7 @@ select 'SHP-' || {LINE_ID} shipment_id, l_orderkey::varchar order_id,
        (l_shipdate::date + 5)::date estimated_delivery_date,
        if(l_linestatus = 'O' and l_linenumber = 1, null, l_shipdate::date) shipped_at,
        if(l_linestatus = 'F', (l_shipdate::date + l_quantity::int % 12)::date, null) delivered_at,
-       if(l_linestatus = 'F', 'delivered', 'in_transit') shipment_status
+       if(l_linestatus = 'F', 'delivered', 'in_transit') shipment_status, l_shipdate loaded_at
 from lineitem
 """
 

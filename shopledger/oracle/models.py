@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .blocks import LINE_ID, TODAY, avg_of, pct, pick, rate
+from .blocks import TODAY, avg_of, pct, pick, rate
 
 FINALS: dict[str, str] = {}
 
@@ -17,18 +17,17 @@ select * replace (unit_price::double as unit_price, cost_price::double as cost_p
 FINALS["m03_stg_orders"] = """
 select * replace (discount_amount::double as discount_amount), order_date::timestamp loaded_at from s_orders
 """
-FINALS["m04_stg_order_items"] = f"""
-select s.* replace (quantity::double as quantity, unit_price_at_order::double as unit_price_at_order,
-                  discount_pct::double as discount_pct, line_revenue::double as line_revenue), ship loaded_at
-from s_items s join (select distinct {LINE_ID} order_item_id, l_shipdate ship, l_extendedprice, l_quantity from lineitem) using (order_item_id)
+FINALS["m04_stg_order_items"] = """
+select * replace (quantity::double as quantity, unit_price_at_order::double as unit_price_at_order,
+                  discount_pct::double as discount_pct, line_revenue::double as line_revenue)
+from s_items
 """
 FINALS["m05_stg_payments"] = """
 select p.* replace (amount::double as amount, amount_eur::double as amount_eur), o.order_date::timestamp loaded_at
 from s_payments p join s_orders o using (order_id)
 """
-FINALS["m06_stg_shipments"] = f"""
-select s.*, delivered_at::varchar delivered_at_raw, l_shipdate loaded_at
-from s_shipments s join lineitem on tracking_number = 'TRK-' || {LINE_ID}
+FINALS["m06_stg_shipments"] = """
+select *, delivered_at::varchar delivered_at_raw from s_shipments
 """
 FINALS["m07_stg_returns"] = """
 select * replace (refund_amount::double as refund_amount), (return_requested_at - 5)::timestamp loaded_at from s_returns
