@@ -1,0 +1,107 @@
+"""Expressions against hand-computed values."""
+
+import datetime as dt
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from shopledger.functions import conditions as C
+from shopledger.functions import dates as D
+from shopledger.functions import money as M
+
+
+def one(spark, **columns):
+    return spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).first().asDict()
+
+
+def test_calendar_differences_count_number_changes(spark):
+    got = one(
+        spark,
+        years=D.calendar_years_between(D.day("1990-12-31"), D.day("2020-01-01")),
+        months=D.calendar_months_between(D.day("2020-01-31"), D.day("2020-02-01")),
+        back=D.calendar_months_between(D.day("2020-03-01"), D.day("2019-12-01")),
+        days=D.days_between(D.day("2020-02-28"), D.day("2020-03-01")),
+    )
+    assert got == {"years": 30, "months": 1, "back": -3, "days": 2}
+
+
+def test_one_year_earlier_of_leap_day(spark):
+    got = one(spark, a=D.one_year_earlier(D.day("2024-02-29")), b=D.one_year_earlier(D.day("2023-03-01")))
+    assert got == {"a": dt.date(2023, 2, 28), "b": dt.date(2022, 3, 1)}
+
+
+def test_truncation_keeps_dates(spark):
+    sunday = D.day("2024-03-03")
+    got = one(spark, w=D.week_start(sunday), m=D.month_start(sunday), q=D.quarter_start(sunday), y=D.year_start(sunday))
+    assert got == {
+        "w": dt.date(2024, 2, 26), "m": dt.date(2024, 3, 1), "q": dt.date(2024, 1, 1), "y": dt.date(2024, 1, 1),
+    }
+
+
+def test_fiscal_calendar_and_season(spark):
+    expected = {
+        "2024-03-31": ("FQ4", 2023, "Spring"), "2024-04-01": ("FQ1", 2024, "Spring"),
+        "2024-07-15": ("FQ2", 2024, "Summer"), "2024-10-01": ("FQ3", 2024, "Autumn"),
+        "2024-12-31": ("FQ3", 2024, "Winter"), "2025-01-01": ("FQ4", 2024, "Winter"),
+    }
+    for text, want in expected.items():
+        t = D.day(text)
+        assert tuple(one(spark, q=D.fiscal_quarter(t), y=D.fiscal_year(t), s=D.season(t)).values()) == want
+
+
+def test_year_filter_is_a_range(spark):
+    as_of = dt.date(2024, 2, 29)
+    got = one(
+        spark,
+        now=D.in_year_of(D.day("2024-12-31"), as_of),
+        old=D.in_year_of(D.day("2023-01-01"), as_of, 1),
+        out=D.in_year_of(D.day("2022-12-31"), as_of, 1),
+    )
+    assert got == {"now": True, "old": True, "out": False}
+
+
+def test_rounding_is_half_up(spark):
+    got = one(
+        spark,
+        a=M.rounded(F.lit(1.005), 2),
+        b=M.rounded(F.lit(-2.345), 2),
+        pct=M.percent(F.lit(1), F.lit(3)),
+        none=M.percent(F.lit(1), F.lit(0)),
+        rate=M.ratio(F.lit(365.0), F.lit(7.0)),
+        up=M.growth(F.lit(Decimal("150.00")), F.lit(Decimal("100.00"))),
+    )
+    assert got == {"a": 1.01, "b": -2.35, "pct": 33.33, "none": None, "rate": 52.14, "up": 50.0}
+
+
+def test_line_revenue_is_exact(spark):
+    def revenue(q, p, pct):
+        return M.line_revenue(F.lit(Decimal(q)), F.lit(Decimal(p)), F.lit(Decimal(pct)))
+
+    got = one(spark, a=revenue("3", "19.99", "10.00"), b=revenue("1", "0.50", "99.00"), c=revenue("1", "0.10", "5.00"))
+    assert got == {"a": Decimal("53.97"), "b": Decimal("0.01"), "c": Decimal("0.10")}
+
+
+def test_currency_conversion(spark):
+    frame = spark.createDataFrame([("EUR",), ("gbp",), ("USD",), ("Chf",), ("SEK",), (None,)], "c string")
+    got = frame.select(M.to_eur(F.lit(Decimal("100.00")), F.col("c")).alias("v")).collect()
+    assert [str(r.v) for r in got] == ["100.00", "117.00", "92.00", "103.00", "100.00", "100.00"]
+
+
+def test_mean_ignores_nulls_and_handles_empty(spark):
+    frame = spark.createDataFrame([("a", Decimal("1.00")), ("a", Decimal("2.00")), ("a", None), ("b", None)], "k string, v decimal(10,2)")
+    got = {r.k: r.x for r in frame.groupBy("k").agg(M.mean(F.col("v")).alias("x")).collect()}
+    assert got == {"a": 1.5, "b": None}
+
+
+def test_conditions(spark):
+    frame = spark.createDataFrame([("",), ("x",), (None,), ("pending",)], "s string")
+    assert [r.v for r in frame.select(C.blank_to_null(F.col("s")).alias("v")).collect()] == [None, "x", None, "pending"]
+    assert frame.where(C.kept(F.col("s"))).count() == 2  # NULL and pending are dropped
+    got = frame.select(C.flag(F.col("s") == "x").alias("f"), C.code_of(F.col("s"), {"x": 7}, 0).alias("c")).collect()
+    assert [(r.f, r.c) for r in got] == [(False, 0), (True, 7), (False, 0), (False, 0)]
+
+
+def test_bands(spark):
+    frame = spark.createDataFrame([(30,), (31,), (181,), (None,)], "n int")
+    got = frame.select(C.band_up_to(F.col("n"), [(30, "a"), (180, "b")], "z").alias("u"), C.band_from(F.col("n"), [(100, "hi"), (31, "mid")], "lo").alias("d"))
+    assert [tuple(r) for r in got.collect()] == [("a", "lo"), ("b", "mid"), ("z", "hi"), ("z", "lo")]
