@@ -13,7 +13,7 @@ from ..functions.money import quotient, ratio, rounded
 from ..operators.pairs import WIDE_GROUP, top_partners
 from ..operators.ranking import most_frequent
 from ..operators.sequences import with_previous
-from ..operators.skew import HEAVY_ROWS
+from ..operators.skew import HEAVY_ROWS, lookup_join
 from .marketing import mean_gap_days
 
 # Fixed values.
@@ -113,9 +113,9 @@ def product_affinity_features(
         F.col("product_name").alias("cross_sell_product_name"),
         F.col("category").alias("cross_sell_category"),
     )
+    # One product may be the partner of very many others.
     return (
-        products.join(partners, "product_id", "left")
-        .join(other, "partner", "left")
+        lookup_join(products.join(partners, "product_id", "left"), other, "partner", "product_id")
         .select(
             "product_id",
             "product_name",
@@ -220,7 +220,8 @@ def recommendation_input(lines: DataFrame, products: DataFrame, as_of: dt.date)
             F.min("order_date").alias("first_purchased_date"),
         )
     )
-    return interactions.join(products.select("product_id", "product_name", "category"), "product_id").select(
+    catalogue = products.select("product_id", "product_name", "category")
+    return lookup_join(interactions, catalogue, "product_id", "customer_id", "inner").select(
         "customer_id",
         "product_id",
         "product_name",

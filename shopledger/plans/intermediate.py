@@ -15,6 +15,7 @@ from ..functions.conditions import flag, kept
 from ..functions.dates import day, days_between
 from ..functions.money import mean, money, percent, quotient, zero
 from ..operators.ranking import earliest, most_frequent
+from ..operators.skew import lookup_join
 
 
 def flag_first_orders(orders: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def order_totals(orders: DataFrame, items: DataFrame, *extra_item_columns) -> Da
 
 def int_orders_enriched(orders: DataFrame, items: DataFrame, products: DataFrame, returns: DataFrame) -> DataFrame:
     """One row per order: item totals, categories, net revenue, returned and first-order flags."""
-    with_category = items.join(products.select("product_id", "category"), "product_id", "left")
+    with_category = lookup_join(items, products.select("product_id", "category"), "product_id", "order_item_id")
     # At most one entry per category, combined before the shuffle.
     categories = F.concat_ws(", ", F.array_sort(F.collect_set("category"))).alias("product_categories")
     returned = returns.select("order_id").distinct().withColumn("has_returned", F.lit(True))
@@ -87,7 +88,7 @@ def int_orders_enriched(orders: DataFrame, items: DataFrame, products: DataFrame
 def favorite_categories(orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
     """Per customer the category with most items in kept orders, ties to the smallest name."""
     per_order = (
-        items.join(products.select("product_id", "category"), "product_id")
+        lookup_join(items, products.select("product_id", "category"), "product_id", "order_item_id", "inner")
         .groupBy("order_id", "category")
         .agg(F.count("order_item_id").alias("n"))
     )

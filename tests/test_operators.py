@@ -41,6 +41,19 @@ def test_spread_join_equals_plain_join(spark, how):
     assert rows(spread) == rows(plain)
 
 
+@pytest.mark.parametrize("limit", [0, 10_000])
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_lookup_join_small_and_large(spark, how, limit):
+    left = hot_rows(spark)
+    lookup = left.select("k").distinct().where("k <> 'k2'").withColumn("name", F.upper("k"))
+    got = skew.lookup_join(left, lookup, "k", "id", how, broadcast_rows=limit, min_rows=50)
+    assert rows(got, "id", "name") == rows(left.join(lookup, "k", how), "id", "name")
+
+
+def test_heavy_keys_of_no_rows(spark):
+    assert not skew.heavy_keys(spark.createDataFrame([], "k string"), "k", min_rows=1)
+
+
 def test_spread_join_deals_a_hot_key_over_tasks(spark):
     left = hot_rows(spark)
     heavy = skew.heavy_keys(left, "k", min_rows=50, share=0.01)
