@@ -29,8 +29,12 @@ def earliest(df: DataFrame, key: str, order: list[str], payload: list[str]) -> D
     parts = []
     for i, c in enumerate(order):
         parts += [F.col(c).isNull().alias(f"_n{i}"), F.col(c).alias(f"_o{i}")]
-    first = F.struct(*parts, *[F.col(c) for c in payload])
-    return df.groupBy(key).agg(F.min(first).alias("_first")).select(key, *[F.col(f"_first.{c}") for c in payload])
+    carried = [c for c in payload if c not in order]
+    first = F.struct(*parts, *[F.col(c) for c in carried])
+    held = {c: f"_o{i}" for i, c in enumerate(order)} | {c: c for c in carried}
+    return df.groupBy(key).agg(F.min(first).alias("_first")).select(
+        key, *[F.col(f"_first.{held[c]}").alias(c) for c in payload]
+    )
 
 
 def global_positions(df: DataFrame, order: list[Column], name: str, local_rows: int = LOCAL_ROWS) -> DataFrame:

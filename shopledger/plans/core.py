@@ -129,9 +129,9 @@ def fct_orders(
     paid = payment_rollup(payments).select(
         "order_id", "payment_method", "payment_status", "total_paid_eur", "is_refunded"
     )
-    shipped = primary_shipments(shipments, late_after_days).select(
-        "order_id", "carrier", "shipment_status", "shipped_at", "days_to_deliver", "is_late_delivery"
-    )
+    shipped = primary_shipments(
+        shipments, late_after_days, ["carrier", "shipment_status", "shipped_at", "delivered_at"]
+    ).drop("delivered_at")
     days_to_ship = D.days_between(F.col("order_date"), F.col("shipped_at"))
     joined = (
         order_fact(enriched)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.conditions import flag, kept
 from ..functions.dates import day, days_between
 from ..functions.money import mean, money, percent, quotient, zero
+from ..operators.labels import LabelList, known_labels
 from ..operators.ranking import earliest, most_frequent
 from ..operators.skew import lookup_join
 
@@ -56,12 +57,13 @@ def order_totals(orders: DataFrame, items: DataFrame, *extra_item_columns) -> Da
 
 def int_orders_enriched(orders: DataFrame, items: DataFrame, products: DataFrame, returns: DataFrame) -> DataFrame:
     """One row per order: item totals, categories, net revenue, returned and first-order flags."""
-    with_category = lookup_join(items, products.select("product_id", "category"), "product_id", "order_item_id")
-    # At most one entry per category, combined before the shuffle.
-    categories = F.concat_ws(", ", F.array_sort(F.collect_set("category"))).alias("product_categories")
+    categories = LabelList(known_labels(products, "category"))
+    coded = products.select("product_id", categories.encode(F.col("category")).alias("category"))
+    with_category = lookup_join(items, coded, "product_id", "order_item_id")
+    combined = categories.combine(F.col("category")).alias("categories")
     returned = returns.select("order_id").distinct().withColumn("has_returned", F.lit(True))
     return (
-        order_totals(flag_first_orders(orders), with_category, categories)
+        order_totals(flag_first_orders(orders), with_category, combined)
         .join(returned, "order_id", "left")
         .select(
             "order_id",
@@ -78,7 +80,7 @@ def int_orders_enriched(orders: DataFrame, items: DataFrame, products: DataFrame
             "gross_revenue",
             F.col("discount_amount").alias("discount_amount_hdr"),
             "net_revenue",
-            "product_categories",
+            categories.text(F.col("categories")).alias("product_categories"),
             flag(F.col("has_returned")).alias("has_returned"),
             "is_first_order",
         )
@@ -182,11 +184,16 @@ SHIPMENT_COLUMNS = [
 ]
 
 
-def primary_shipments(shipments: DataFrame, late_after_days: int = 7) -> DataFrame:
-    """The earliest shipment per order (unshipped ones last, ties by id) with its delivery time."""
+def primary_shipments(
+    shipments: DataFrame, late_after_days: int = 7, columns: list[str] = SHIPMENT_COLUMNS
+) -> DataFrame:
+    """The earliest shipment per order (unshipped ones last, ties by id) with its delivery time.
+
+    ``columns`` are the shipment columns to carry; they must include both dates.
+    """
     travel = days_between(F.col("shipped_at"), F.col("delivered_at"))
     return (
-        earliest(shipments, "order_id", ["shipped_at", "shipment_id"], SHIPMENT_COLUMNS)
+        earliest(shipments, "order_id", ["shipped_at", "shipment_id"], columns)
         .withColumn("days_to_deliver", travel)
         .withColumn("is_late_delivery", flag(F.col("days_to_deliver") > late_after_days))
     )

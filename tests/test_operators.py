@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import d, rows
-from shopledger.operators import merge, pairs, ranking, sequences, skew, trailing
+from shopledger.operators import labels, merge, pairs, ranking, sequences, skew, trailing
 from shopledger.sources import sinks
 
 
@@ -136,6 +136,17 @@ def test_most_frequent_breaks_ties_by_value(spark):
     assert rows(ranking.most_frequent(frame, "k", "v", "n", "top")) == [("a", "x"), ("b", "w")]
 
 
+@pytest.mark.parametrize("most", [1, 63])
+def test_label_list(spark, most):
+    frame = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "y"), ("a", None), ("b", None), ("c", "z")], "k string, v string")
+    known = labels.known_labels(frame, "v", most)
+    assert known == (["x", "y", "z"] if most == 63 else None)
+    listed = labels.LabelList(known)
+    got = frame.withColumn("c", listed.encode(F.col("v"))).groupBy("k").agg(listed.combine(F.col("c")).alias("s"))
+    joined = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "k string").join(got, "k", "left")
+    assert rows(joined.select("k", listed.text(F.col("s")).alias("t"))) == [("a", "x, y"), ("b", ""), ("c", "z"), ("d", None)]
+
+
 def test_earliest_puts_null_last(spark):
     frame = spark.createDataFrame(
         [("a", None, "s1", "p"), ("a", d("2024-02-01"), "s3", "q"), ("a", d("2024-02-01"), "s2", "r"), ("b", None, "s9", None)],
