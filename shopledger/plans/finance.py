@@ -261,7 +261,7 @@ def country_revenue_breakdown(orders: DataFrame, as_of: dt.date) -> DataFrame:
     now, before = D.in_year_of(date, as_of), D.in_year_of(date, as_of, 1)
     per_country = (
         _kept(orders)
-        .where(now | before)
+        .where((date >= D.day(dt.date(as_of.year - 1, 1, 1))) & (date <= D.day(dt.date(as_of.year, 12, 31))))
         .groupBy(F.col("shipping_country").alias("country"))
         .agg(
             F.count_if(now).alias("rows"),

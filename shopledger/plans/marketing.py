@@ -165,26 +165,22 @@ def channel_attribution(orders: DataFrame, customers: DataFrame, as_of: dt.date)
             F.sum("net").alias("acquired_net"),
         )
     )
+    # Half of an order's revenue goes to its own channel, half to the channel that won the customer. Both
+    # credit streams have one row per channel by now, so they are added instead of united and regrouped.
     half = F.lit("0.5").cast("decimal(2,1)")
-    credits = last.select("channel", (F.col("last_net") * half).alias("credit")).unionByName(
-        acquired.select("channel", (F.col("acquired_net") * half).alias("credit"))
-    )
-    linear = credits.groupBy("channel").agg(F.sum("credit").alias("linear_net"))
+    credit = F.coalesce(F.col("last_net") * half, F.lit(0)) + F.coalesce(F.col("acquired_net") * half, F.lit(0))
     # One row per channel, so the total over all of them is a window over a handful of rows.
     total = F.sum("last_net").over(Window.partitionBy())
-    return (
-        last.join(acquired.drop("acquired_net"), "channel", "left")
-        .join(linear, "channel", "left")
-        .select(
-            "channel",
-            F.coalesce("last_net", zero()).alias("last_touch_revenue_eur"),
-            F.col("last_orders").alias("last_touch_orders"),
-            F.coalesce("first_net", zero()).alias("first_touch_revenue_eur"),
-            F.coalesce("first_orders", F.lit(0)).alias("first_touch_orders"),
-            F.coalesce("linear_net", zero()).alias("linear_revenue_eur"),
-            percent(F.coalesce("last_net", zero()), total).alias("last_touch_pct_of_total"),
-            D.day(as_of).alias("calculated_at"),
-        )
+    return last.join(acquired, "channel", "left").select(
+        "channel",
+        F.coalesce("last_net", zero()).alias("last_touch_revenue_eur"),
+        F.col("last_orders").alias("last_touch_orders"),
+        F.coalesce("first_net", zero()).alias("first_touch_revenue_eur"),
+        F.coalesce("first_orders", F.lit(0)).alias("first_touch_orders"),
+        # Orders without a channel take part in no credit.
+        F.when(F.col("channel").isNotNull(), credit).otherwise(zero()).alias("linear_revenue_eur"),
+        percent(F.coalesce("last_net", zero()), total).alias("last_touch_pct_of_total"),
+        D.day(as_of).alias("calculated_at"),
     )
 
 

@@ -63,3 +63,13 @@ def test_invariants(stored):
     delivered = stored["fct_orders"].where("order_status = 'delivered'").agg(F.sum("net_revenue_eur")).first()[0]
     last_touch = consumers["channel_attribution"].agg(F.sum("last_touch_revenue_eur")).first()[0]
     assert last_touch == delivered
+
+
+def test_filters_and_columns_reach_the_stored_files(spark, stored):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = consumer_marts(stored, AS_OF)["country_revenue_breakdown"]._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(order_date" in plan and "LessThanOrEqual(order_date" in plan
+    scan = plan.split("ReadSchema:")[1]
+    assert "net_revenue_eur" in scan and "gross_revenue_eur" not in scan and "carrier" not in scan
+    report = consumer_marts(stored, AS_OF)["daily_flash_report"]._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(order_date" in report
