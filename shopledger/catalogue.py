@@ -153,7 +153,7 @@ def c05_co_purchase_wide_baskets(m):
 
 @extra
 def e04_sequence_of_heavy_customers(m):
-    """Order sequence with frequent customers cut by day."""
+    """Order sequence with frequent customers cut into slices."""
     return data_science.order_sequence_features(m.order_amounts, min_rows=2)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import pin
 from .skew import HEAVY_ROWS, HEAVY_SHARE, heavy_keys, with_parts
 
 
@@ -24,18 +25,27 @@ def with_previous(
     ``previous`` maps an output name to the column it lags, ``distinct`` an output name to the column
     whose distinct values are counted over the whole key. All of it takes one shuffle of the rows.
 
-    The sequence of a heavy key is cut at the day: each day is numbered on its own, and the number and
-    values carried in from earlier days come from a table with one row per heavy key and day (at most
-    1000 keys). The cut is order-preserving, so the result equals the plain window. A NULL day is last.
+    Rows of heavy keys are range-partitioned by (key, day, tie) into stored slices of similar size. Each
+    slice is numbered on its own, and the number and values carried in from earlier slices come from a
+    table with one row per heavy key and slice. Slices follow the order, so the result equals the plain
+    window, however the rows of a heavy key fall on its days. A NULL day is last.
     """
     distinct = distinct or {}
     heavy = heavy_keys(df, key, min_rows, share)
     if not heavy:
         return _windowed(df, [key], day, tie, number, previous, distinct)
 
-    cut = F.when(F.col("parts") > 1, F.coalesce(F.col(day), F.lit("9999-12-31").cast("date")))
-    rows = with_parts(df, heavy, key).withColumn("_cut", cut).drop("parts")
-    of_heavy = rows.where(F.col("_cut").isNotNull())
+    parts = with_parts(df, heavy, key)
+    order = [F.col(c).asc_nulls_last() for c in (key, day, tie)]
+    of_heavy = pin(
+        parts.where("parts > 1")
+        .drop("parts")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_cut", F.spark_partition_id())
+    )
+    others = parts.where("parts = 1").drop("parts").withColumn("_cut", F.lit(None).cast("int"))
+    rows = others.unionByName(of_heavy)
     inside = {name: f"_in_{name}" for name in [*previous, *distinct]}
     numbered = _windowed(
         rows, [key, "_cut"], day, tie, "_local",
@@ -43,17 +53,18 @@ def with_previous(
     )
 
     lagged = [F.col(c).alias(out) for out, c in previous.items()]
-    last = F.max(F.struct(F.col(tie).isNull().alias("_nulls_last"), F.col(tie).alias("_tie"), *lagged))
-    days = of_heavy.groupBy(key, "_cut").agg(F.count(F.lit(1)).alias("_rows"), last.alias("_last"))
-    by_day = Window.partitionBy(key).orderBy("_cut")
-    carried = days.select(
+    place = [e for i, c in enumerate((day, tie)) for e in (F.col(c).isNull().alias(f"_n{i}"), F.col(c).alias(f"_o{i}"))]
+    last = F.max(F.struct(*place, *lagged))
+    slices = of_heavy.groupBy(key, "_cut").agg(F.count(F.lit(1)).alias("_rows"), last.alias("_last"))
+    by_slice = Window.partitionBy(key).orderBy("_cut")
+    carried = slices.select(
         F.col(key).alias("_key"),
-        F.col("_cut").alias("_day"),
-        F.sum("_rows").over(by_day.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.lag("_last").over(by_day).alias("_carry"),
+        F.col("_cut").alias("_slice"),
+        F.sum("_rows").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.lag("_last").over(by_slice).alias("_carry"),
     )
     out = numbered.join(
-        carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_cut") == F.col("_day")), "left"
+        carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_cut") == F.col("_slice")), "left"
     ).drop("_key")
 
     for name, c in distinct.items():

@@ -62,8 +62,11 @@ def test_spread_join_deals_a_hot_key_over_tasks(spark):
     assert len(sizes) >= 15 and max(sizes) < 150
 
 
-def test_with_previous_cut_equals_plain_window(spark):
+@pytest.mark.parametrize("one_day", [False, True])
+def test_with_previous_in_slices_equals_plain_window(spark, one_day):
     frame = hot_rows(spark).withColumn("day", F.when(F.col("v") != 5, F.col("day")))  # some NULL days
+    if one_day:  # all rows of the heavy keys on a single day
+        frame = frame.withColumn("day", F.lit("2024-01-01").cast("date"))
     args = dict(key="k", day="day", tie="id", number="n", previous={"pv": "v", "pd": "day"}, distinct={"dv": "v"})
     cut = sequences.with_previous(frame, **args, min_rows=50, share=0.01)
     w = Window.partitionBy("k").orderBy(F.col("day").asc_nulls_last(), "id")
