@@ -91,8 +91,6 @@ def season(d: Column) -> Column:
     return F.element_at(names, turn + 1)
 
 
-
-
 def in_year_of(d: Column, as_of: dt.date, years_back: int = 0) -> Column:
     """``d`` lies in the calendar year of ``as_of``; written as a range so that files are pruned."""
     year = as_of.year - years_back

@@ -26,8 +26,9 @@ def require_unique(df: DataFrame, key: str) -> DataFrame:
 def upsert(target: DataFrame, source: DataFrame, key: str, check: bool = True) -> DataFrame:
     """Target with source rows replacing those of equal key and new ones added.
 
-    New source columns are appended (NULL for untouched target rows); no target column is dropped. The
-    result must go to another path than the one ``target`` reads.
+    New source columns are appended (NULL for untouched target rows); no target column is dropped. Only the
+    keys of the source take part in the anti join; a small batch is broadcast by its size, so the target is
+    then not shuffled. The result must go to another path than the one ``target`` reads.
     """
     if check:
         require_unique(source, key)

@@ -119,9 +119,9 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``rows`` to a narrow dimension with one row per key.
 
-    Up to ``broadcast_rows`` rows (counted, at most one more than that) the dimension is broadcast and
-    ``rows`` stay where they are. Beyond it the join shuffles, with heavy keys spread.
+    Up to ``broadcast_rows`` rows (counted first) the dimension is broadcast and ``rows`` stay where they
+    are. Beyond it the join shuffles, with heavy keys spread.
     """
-    if lookup.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if lookup.count() <= broadcast_rows:
         return rows.join(F.broadcast(lookup), key, how)
     return spread_join(rows, lookup, key, spread_by, how, min_rows)
