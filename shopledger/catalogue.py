@@ -113,7 +113,7 @@ def a08_clustered_table(m):
     return write_clustered(m.int_orders_enriched, path, "order_date", "customer_id")
 
 
-def _resubmitted(m, local_rows: int) -> DataFrame:
+def _resubmitted(m, local_rows: int | None) -> DataFrame:
     cancelled = m.stg_orders.where(F.col("order_status") == "cancelled")
     batch = cancelled.select(
         F.col("order_id").alias("was"), "customer_id", F.lit(str(m.as_of)).cast("date").alias("order_date")
@@ -127,7 +127,7 @@ def a09_append_batch(m):
     path = fresh_path(m.raw.spark, "raw_orders")
     columns = ["order_id", "customer_id", "order_date"]
     write_table(m.stg_orders.select(*columns), path)
-    return append_rows(_resubmitted(m, 1_000_000).select(*columns), path)
+    return append_rows(_resubmitted(m, None).select(*columns), path)
 
 
 @extra

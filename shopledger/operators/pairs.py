@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import HEAVY_ROWS, HEAVY_SHARE, HeavyKeys, heavy_keys, spread_join, with_parts
-
-WIDE_GROUP = 256
+from ..session import limit
+from .skew import HEAVY_SHARE, HeavyKeys, heavy_keys, spread_join, with_parts
 
 
 def _split(rows: DataFrame, heavy: HeavyKeys, wide: int) -> tuple[DataFrame, DataFrame]:
@@ -87,8 +86,8 @@ def top_partners(
     lines: DataFrame,
     group: str,
     item: str,
-    wide: int = WIDE_GROUP,
-    min_rows: int = HEAVY_ROWS,
+    wide: int | None = None,
+    min_rows: int | None = None,
     share: float = HEAVY_SHARE,
     all_lines: DataFrame | None = None,
 ) -> DataFrame:
@@ -100,6 +99,7 @@ def top_partners(
     Group sizes are looked at first, to see whether wide groups exist at all. ``all_lines`` may name a
     cheaper frame that contains all rows of ``lines`` for that look; more rows only widen the search.
     """
+    wide = limit(lines, "wideGroup", wide)
     rows = lines.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g is not null and i is not null")
     seen = (all_lines if all_lines is not None else lines).select(F.col(group).alias("g"))
     sizes = seen.groupBy("g").agg(F.count(F.lit(1)).alias("n"))

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import pin
-
-# Largest table one task may order by itself.
-LOCAL_ROWS = 1_000_000
+from ..session import limit, pin
 
 
 def most_frequent(counts: DataFrame, key: str, value: str, n: str, name: str) -> DataFrame:
@@ -37,15 +34,15 @@ def earliest(df: DataFrame, key: str, order: list[str], payload: list[str]) -> D
     )
 
 
-def global_positions(df: DataFrame, order: list[Column], name: str, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def global_positions(df: DataFrame, order: list[Column], name: str, local_rows: int | None = None) -> DataFrame:
     """``df`` with the 1-based position of every row in the total order ``order``.
 
-    Up to ``local_rows`` rows (counted first) are numbered by one window. Beyond that the rows are
+    Up to ``localRows`` rows (counted first) are numbered by one window. Beyond that the rows are
     range-partitioned and sorted, so every task holds one slice; the slices are stored, their sizes
     give each slice its offset, and a row's position is offset plus index. ``order`` must be unique,
     which also lets a run of equal leading values be cut between slices.
     """
-    if df.count() <= local_rows:
+    if df.count() <= limit(df, "localRows", local_rows):
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     index_bits = 33  # monotonically_increasing_id is (partition << 33) + index in partition
     slices = pin(
@@ -64,7 +61,7 @@ def global_positions(df: DataFrame, order: list[Column], name: str, local_rows:
     )
 
 
-def tiles(df: DataFrame, order: list[Column], buckets: int, name: str, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def tiles(df: DataFrame, order: list[Column], buckets: int, name: str, local_rows: int | None = None) -> DataFrame:
     """``ntile(buckets)`` over the whole table in the total order ``order``."""
     placed = global_positions(df, order, "_pos", local_rows)
     total = df.agg(F.count(F.lit(1))).scalar()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import pin
-from .skew import HEAVY_ROWS, HEAVY_SHARE, heavy_keys, with_parts
+from .skew import HEAVY_SHARE, heavy_keys, with_parts
 
 
 def with_previous(
@@ -17,7 +17,7 @@ def with_previous(
     number: str,
     previous: dict[str, str],
     distinct: dict[str, str] | None = None,
-    min_rows: int = HEAVY_ROWS,
+    min_rows: int | None = None,
     share: float = HEAVY_SHARE,
 ) -> DataFrame:
     """Number the rows of each key by (day, tie) and add values of the row before.

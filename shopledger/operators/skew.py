@@ -12,18 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A key is heavy when it holds more than both limits. At most 1 / HEAVY_SHARE keys can exceed the
-# share, so there are at most 1000 heavy keys at any data size.
+from ..session import limit
+
+# A key is heavy when it holds more than this share and more than ``heavyRows`` rows. At most
+# 1 / HEAVY_SHARE keys can exceed the share, so there are at most 1000 heavy keys at any data size.
 HEAVY_SHARE = 0.001
-HEAVY_ROWS = 1_000_000
 
 # Tasks that merge the sketches of the scan tasks before the last merge, so that even several hundred
 # thousand scan tasks leave a few hundred sketches for it.
 SKETCH_MERGERS = 256
 
-# Largest lookup table that is broadcast: counted first, never assumed.
-BROADCAST_ROWS = 200_000
-
 
 @dataclass(frozen=True)
 class HeavyKeys:
@@ -41,7 +39,7 @@ class HeavyKeys:
         return df.sparkSession.createDataFrame(list(self.parts), schema)
 
 
-def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE) -> HeavyKeys:
+def heavy_keys(df: DataFrame, key: str, min_rows: int | None = None, share: float = HEAVY_SHARE) -> HeavyKeys:
     """Heavy values of ``df[key]``; runs one job whose result has at most ``1 / share`` rows.
 
     ``parts`` is the number of pieces that brings one piece of the key below the limits.
@@ -57,9 +55,9 @@ def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS, share: float
     tally = sketches.groupBy(F.lit(0).alias("_all")).agg(
         F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"), F.sum("rows").alias("rows")
     )
-    limit = F.greatest(F.lit(min_rows), (F.col("rows") * share).cast("bigint"), F.lit(1))
+    most_rows = F.greatest(F.lit(limit(df, "heavyRows", min_rows)), (F.col("rows") * share).cast("bigint"), F.lit(1))
     found = (
-        tally.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {most})")).alias("t"), limit.alias("limit"))
+        tally.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {most})")).alias("t"), most_rows.alias("limit"))
         .where(F.col("t.count") > F.col("limit"))
         .select(F.col("t.item"), F.ceil(F.col("t.count") / F.col("limit")).cast("int"))
     )
@@ -84,7 +82,7 @@ def spread_join(
     key: str,
     spread_by: str,
     how: str = "left",
-    min_rows: int = HEAVY_ROWS,
+    min_rows: int | None = None,
     share: float = HEAVY_SHARE,
     heavy: HeavyKeys | None = None,
 ) -> DataFrame:
@@ -114,14 +112,14 @@ def lookup_join(
     key: str,
     spread_by: str,
     how: str = "left",
-    broadcast_rows: int = BROADCAST_ROWS,
-    min_rows: int = HEAVY_ROWS,
+    broadcast_rows: int | None = None,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Join ``rows`` to a narrow dimension with one row per key.
 
-    Up to ``broadcast_rows`` rows (counted first) the dimension is broadcast and ``rows`` stay where they
+    Up to ``broadcastRows`` rows (counted first) the dimension is broadcast and ``rows`` stay where they
     are. Beyond it the join shuffles, with heavy keys spread.
     """
-    if lookup.count() <= broadcast_rows:
+    if lookup.count() <= limit(lookup, "broadcastRows", broadcast_rows):
         return rows.join(F.broadcast(lookup), key, how)
     return spread_join(rows, lookup, key, spread_by, how, min_rows)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions.conditions import code_of, first_match, flag
 from ..functions.money import rounded, zero
-from ..operators.ranking import LOCAL_ROWS, tiles
+from ..operators.ranking import tiles
 from ..operators.skew import spread_join
 from ..schemas import contract
 from .intermediate import payment_rollup, primary_shipments
@@ -51,7 +51,7 @@ def dim_customers(customers: DataFrame, summary: DataFrame, as_of: dt.date) -> D
     )
 
 
-def dim_products(products: DataFrame, performance: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def dim_products(products: DataFrame, performance: DataFrame, local_rows: int | None = None) -> DataFrame:
     """Catalogue plus sales, with a tier by revenue quartile (ties by product id)."""
     joined = (
         products.join(performance, "product_id", "left")

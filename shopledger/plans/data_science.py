@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions.conditions import band_from, code_of, first_match, flag, kept
 from ..functions.money import quotient, ratio, rounded
-from ..operators.pairs import WIDE_GROUP, top_partners
+from ..operators.pairs import top_partners
 from ..operators.ranking import most_frequent
 from ..operators.sequences import with_previous
-from ..operators.skew import HEAVY_ROWS, lookup_join
+from ..operators.skew import lookup_join
 from .marketing import mean_gap_days
 
 # Fixed values.
@@ -63,7 +63,7 @@ def customer_features(customers: DataFrame, orders: DataFrame, as_of: dt.date) -
     )
 
 
-def order_sequence_features(orders: DataFrame, min_rows: int = HEAVY_ROWS) -> DataFrame:
+def order_sequence_features(orders: DataFrame, min_rows: int | None = None) -> DataFrame:
     """Order number, gap, value trend and channel consistency along each customer's kept orders."""
     sequence = with_previous(
         _kept(orders).select("customer_id", "order_id", "order_date", "net_revenue_eur", "channel"),
@@ -102,8 +102,8 @@ def order_sequence_features(orders: DataFrame, min_rows: int = HEAVY_ROWS) -> Da
 def product_affinity_features(
     lines: DataFrame,
     products: DataFrame,
-    wide: int = WIDE_GROUP,
-    min_rows: int = HEAVY_ROWS,
+    wide: int | None = None,
+    min_rows: int | None = None,
     all_lines: DataFrame | None = None,
 ) -> DataFrame:
     """Per product the one bought together with it in most kept orders, and its mean basket size."""

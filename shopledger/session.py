@@ -18,6 +18,23 @@ RUNTIME_CONF = {
 }
 
 
+# Sizes above which the operators split work; ``spark.shopledger.<name>`` of the session overrides them.
+# They steer plans only, never results.
+LIMITS = {
+    "heavyRows": 1_000_000,  # rows of one key that a task may hold
+    "localRows": 1_000_000,  # rows that one task may order by itself
+    "broadcastRows": 200_000,  # rows of a dimension that is broadcast after counting it
+    "wideGroup": 256,  # rows of a group that still emits item pairs
+}
+
+
+def limit(df, name: str, given: int | None = None) -> int:
+    """``given``, else the session's setting, else the default."""
+    if given is not None:
+        return given
+    return int(df.sparkSession.conf.get(f"spark.shopledger.{name}", str(LIMITS[name])))
+
+
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)

@@ -45,7 +45,7 @@ def with_next_keys(
     order_by: list[str],
     template: str,
     default: int = 0,
-    local_rows: int = 1_000_000,
+    local_rows: int | None = None,
 ) -> DataFrame:
     """``batch`` with a new column ``key`` that continues the numbering of ``table[key]``.
 
