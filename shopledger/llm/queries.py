@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash
+from . import bpe, language, packing, personal, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -47,6 +47,36 @@ def op2_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")))
 
 
+def op5_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    held = language.held_out(F.col("doc_id"), 4, 2)
+    docs = _documents(spark, folder)
+    labels = _table(spark, folder, "labels").select("doc_id", "quality").where(~held)
+    rows = quality.with_quality(docs, quality.fit(docs, labels), threshold=0.7)
+    return rows.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    held = language.held_out(F.col("doc_id"), 4, 2)
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~held))
+    rows = language.with_language(docs.drop("lang"), model)
+    return rows.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def _listed(spans: Column) -> Column:
+    """kind:start:end of each span, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    rows = personal.with_personal_data(docs, personal.fit(docs))
+    base = F.filter("personal", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in personal.KINDS]
+    return rows.select("doc_id", *counts, _sha256(_listed(base)).alias("base_sha256"), _listed(F.col("personal")).alias("spans"))
+
+
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     placed = packing.pack_documents(_documents(spark, folder), _vocabulary(spark), CAPACITY)
     return placed.withColumn("length", F.col("length").cast("long"))
@@ -57,6 +87,9 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_bpe_round_trip,
         op2_simhash_groups,
+        op5_quality_scores,
+        op6_language_id,
+        op7_personal_data,
         op10_best_fit_packing,
     )
 }
