@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, packing, personal, quality, simhash
+from . import bpe, language, packing, personal, quality, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -47,6 +47,11 @@ def op2_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")))
 
 
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = substrings.without_repeats(_documents(spark, folder))
+    return rows.select("doc_id", "n_words", "n_removed", _sha256(F.col("kept")).alias("kept_sha256"))
+
+
 def op5_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     held = language.held_out(F.col("doc_id"), 4, 2)
     docs = _documents(spark, folder)
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_bpe_round_trip,
         op2_simhash_groups,
+        op4_substring_dedup,
         op5_quality_scores,
         op6_language_id,
         op7_personal_data,
