@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, packing, personal, quality, simhash, substrings
+from . import bpe, language, lm, packing, personal, quality, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -82,6 +82,12 @@ def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", *counts, _sha256(_listed(base)).alias("base_sha256"), _listed(F.col("personal")).alias("spans"))
 
 
+def op8_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    held = language.held_out(F.col("doc_id"), 7, 2)
+    rows = lm.scored(_documents(spark, folder), train=~held)
+    return rows.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     placed = packing.pack_documents(_documents(spark, folder), _vocabulary(spark), CAPACITY)
     return placed.withColumn("length", F.col("length").cast("long"))
@@ -96,6 +102,7 @@ QUERIES: dict[str, Query] = {
         op5_quality_scores,
         op6_language_id,
         op7_personal_data,
+        op8_lm_scores,
         op10_best_fit_packing,
     )
 }
