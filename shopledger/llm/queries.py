@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lm, packing, personal, quality, simhash, substrings
+from . import bpe, language, lm, packing, personal, quality, simhash, substrings, weighted
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -47,6 +47,12 @@ def op2_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")))
 
 
+def op3_weighted_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    rows = weighted.fingerprints(_documents(spark, folder))
+    digest = _sha256(F.col("edited")).alias("edited_sha256")
+    return rows.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = substrings.without_repeats(_documents(spark, folder))
     return rows.select("doc_id", "n_words", "n_removed", _sha256(F.col("kept")).alias("kept_sha256"))
@@ -98,6 +104,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_bpe_round_trip,
         op2_simhash_groups,
+        op3_weighted_fingerprints,
         op4_substring_dedup,
         op5_quality_scores,
         op6_language_id,
