@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lm, packing, personal, quality, simhash, substrings, weighted
+from . import bpe, graph, language, lm, packing, personal, quality, simhash, substrings, weighted
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -94,6 +94,10 @@ def op8_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_embedding_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.linked(_table(spark, folder, "embeddings"))
+
+
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     placed = packing.pack_documents(_documents(spark, folder), _vocabulary(spark), CAPACITY)
     return placed.withColumn("length", F.col("length").cast("long"))
@@ -110,6 +114,7 @@ QUERIES: dict[str, Query] = {
         op6_language_id,
         op7_personal_data,
         op8_lm_scores,
+        op9_embedding_neighbours,
         op10_best_fit_packing,
     )
 }
