@@ -80,7 +80,8 @@ def _sampled(texts: DataFrame, samples: int) -> DataFrame:
         F.array(F.struct(F.lit(0).alias("use"), F.col("n").alias("w")), F.struct(F.lit(1).alias("use"), F.col("m").alias("w")))
     )
     weighted = counts.select("_slice", "_pos", "term", F.explode(uses).alias("u")).where("u.w > 0")
-    weighted = weighted.select("_slice", "_pos", "u.use", "term", F.ln("u.w").alias("lw"))
+    log_weight = F.when(F.col("term").isNotNull(), F.ln("u.w"))
+    weighted = weighted.select("_slice", "_pos", "u.use", "term", log_weight.alias("lw"))
     least = weighted.groupBy("_slice", "_pos", "use").agg(*(F.min(_log_a(k, F.col("term"), F.col("lw"))).alias(f"s{k}") for k in range(samples)))
 
     def of(use: int) -> list[Column]:
