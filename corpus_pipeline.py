@@ -31,9 +31,9 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language; without letters, or long and of no one language, they go."""
     found = language.predicted(language.fit(docs.select("text", "lang")), F.col("text"))
-    rows = docs.withColumn("_language", found)
-    mixed = F.col("_language.ambiguous") & (F.col("_language.score") < AMBIGUOUS_SCORE) & (F.char_length("text") >= AMBIGUOUS_CHARS)
-    return rows.where((F.col("_language.lang_pred") != language.UNKNOWN) & ~mixed).select(*docs.columns)
+    rows = docs.withColumn("__language", found)
+    mixed = F.col("__language.ambiguous") & (F.col("__language.score") < AMBIGUOUS_SCORE) & (F.char_length("text") >= AMBIGUOUS_CHARS)
+    return rows.where((F.col("__language.lang_pred") != language.UNKNOWN) & ~mixed).select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
