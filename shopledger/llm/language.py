@@ -164,5 +164,5 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") ->
     Empty texts, and texts without letters, are ``und``. Repeated rows get equal results. A model of no
     language says ``und`` throughout. One pass without a shuffle.
     """
-    rows = docs.withColumn("_language", predicted(model, F.col(text)))
-    return rows.withColumns({c: F.col(f"_language.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop("_language")
+    rows = docs.withColumn("__language", predicted(model, F.col(text)))
+    return rows.withColumns({c: F.col(f"__language.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop("__language")

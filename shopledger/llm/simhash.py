@@ -157,9 +157,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 2, key: str
 def keep_first(docs: DataFrame, size: int = 3, max_bits: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest key (of repeated keys, the smallest row)."""
     groups = near_duplicates(docs, size, max_bits, key, text)
-    kept = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-    rows = docs.join(kept, F.col(key).eqNullSafe(F.col("_key")))
+    kept = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+    rows = docs.join(kept, F.col(key).eqNullSafe(F.col("__key")))
     # Only rows of repeated keys need an order.
-    order = Window.partitionBy("_key").orderBy(*(F.col(c).asc_nulls_last() for c in docs.columns))
-    again = rows.where("_n > 1").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
-    return rows.where("_n = 1").select(*docs.columns).unionAll(again.select(*docs.columns))
+    order = Window.partitionBy("__key").orderBy(*(F.col(c).asc_nulls_last() for c in docs.columns))
+    again = rows.where("__n > 1").withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
+    return rows.where("__n = 1").select(*docs.columns).unionAll(again.select(*docs.columns))

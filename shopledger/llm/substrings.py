@@ -89,8 +89,11 @@ def _repeated_words(own: Suffixes, keys: list, distinct: np.ndarray, inverse: np
     return np.cumsum(marks[:-1]) > 0
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_removed`` and ``kept``: the words left, joined by one space.
+ADDED = ("n_words", "n_removed", "kept")
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """``docs`` with ``n_words``, ``n_removed`` and ``kept`` (the words left, joined by one space), or as ``added`` names them.
 
     A word goes if a run of ``window`` words that covers it also begins in a document of a smaller key; runs
     are judged on the input. Null texts have no words. Null keys count as larger than all others; rows of one
@@ -99,8 +102,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     _, size = text_size(docs, text)
     slices = parts_for(docs, size)
     groups = max(parts_for(docs, size, 1 << 62), -(-size // (6 * GROUP_CODES)))
-    rows = docs.drop("n_words", "n_removed", "kept", "_slice")
-    dealt = rows.withColumn("_slice", slice_of(F.col(key), cut_points(docs, key, slices)).cast("int")).repartition("_slice")
+    rows = docs.drop(*added, "__slice")
+    dealt = rows.withColumn("__slice", slice_of(F.col(key), cut_points(docs, key, slices)).cast("int")).repartition("__slice")
 
     def ask(number: tuple, table: pa.Table) -> pa.Table:
         codes = np.unique(Suffixes(as_bytes(table.column(text).combine_chunks()), window).codes)
@@ -131,8 +134,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             }
         )
 
-    added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
-    kept_schema = T.StructType([*rows.schema.fields, *added])
+    kinds = (T.LongType(), T.LongType(), T.StringType())
+    kept_schema = T.StructType([*rows.schema.fields, *map(T.StructField, added, kinds)])
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         left = _in_key_order(left, key)
@@ -151,17 +154,19 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             removed.append(int(out.sum()))
             kept.append(b" ".join([w for w, g in zip(tokens, out, strict=True) if not g] if removed[-1] else tokens))
             at += n
-        table = left.drop_columns(["_slice"])
-        table = table.append_column("n_words", pa.array(own.counts)).append_column("n_removed", pa.array(removed, pa.int64()))
-        return table.append_column("kept", pa.array(kept, pa.binary()).cast(pa.string()))
+        table = left.drop_columns(["__slice"])
+        new = (pa.array(own.counts), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()))
+        for name, array in zip(added, new, strict=True):
+            table = table.append_column(name, array)
+        return table
 
-    asked = dealt.groupBy("_slice").applyInArrow(ask, "group int, slice int, codes binary")
+    asked = dealt.groupBy("__slice").applyInArrow(ask, "group int, slice int, codes binary")
     answers = asked.groupBy("group").applyInArrow(answer, "slice int, group int, seen binary")
-    return dealt.groupBy("_slice").cogroup(answers.groupBy("slice")).applyInArrow(remove, kept_schema)
+    return dealt.groupBy("__slice").cogroup(answers.groupBy("slice")).applyInArrow(remove, kept_schema)
 
 
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``; a text that loses nothing stays as it is."""
-    rows = without_repeats(docs, key, text, window)
-    changed = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text))
+    rows = without_repeats(docs, key, text, window, ("__words", "__removed", "__kept"))
+    changed = F.when(F.col("__removed") > 0, F.col("__kept")).otherwise(F.col(text))
     return rows.withColumn(text, changed).select(*docs.columns)
