@@ -24,13 +24,23 @@ def require_unique(df: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str, check: bool = True) -> DataFrame:
-    """Target with source rows replacing those of equal key and new ones added.
+    """Target with the source's columns set in rows of equal key, and new rows added.
 
-    New source columns are appended (NULL for untouched target rows); no target column is dropped. Only the
-    keys of the source take part in the anti join; a small batch is broadcast by its size, so the target is
-    then not shuffled. The result must go to another path than the one ``target`` reads.
+    An update sets the columns that the source has and leaves the others as the target has them; columns that
+    only the source has are appended (NULL for untouched rows), and columns that only the target has are NULL in new
+    rows. ``source`` is read up to three times and should be a stored table. A small batch is broadcast by
+    its size, so the target is then not shuffled. The result must go to another path than the one ``target`` reads.
     """
     if check:
         require_unique(source, key)
-    untouched = target.join(source.select(key), key, "left_anti")
-    return untouched.unionByName(source, allowMissingColumns=True)
+    ours, theirs = target.columns, source.columns
+    marked = source.select(F.col(key).alias("__key"), F.struct(*theirs).alias("__new"))
+    matched = target.join(marked, F.col(key) == F.col("__key"), "left")
+    hit = F.col("__key").isNotNull()
+    # A null field of a matching row is an update to NULL, hence the test on the key and no coalesce.
+    updated = matched.select(
+        *[F.when(hit, F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in theirs and c != key else F.col(c) for c in ours],
+        *[F.col(f"__new.{c}").alias(c) for c in theirs if c not in ours],
+    )
+    added = source.join(target.select(F.col(key).alias("__key")), F.col(key) == F.col("__key"), "left_anti")
+    return updated.unionByName(added, allowMissingColumns=True)

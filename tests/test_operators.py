@@ -1,5 +1,6 @@
 """Operators against brute force; skew paths are forced with a low row limit."""
 
+import datetime as dt
 import random
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -28,7 +29,7 @@ def hot_rows(spark, n=3000):
 def test_heavy_keys_are_bounded_and_include_null(spark):
     heavy = dict(skew.heavy_keys(hot_rows(spark), "k", min_rows=100, share=0.1).parts)
     assert set(heavy) == {"hot", None}
-    assert heavy["hot"] == 4  # 1000 rows at no more than 300 per part
+    assert heavy["hot"] == 10  # 1000 rows at no more than 100 per part
     assert not skew.heavy_keys(hot_rows(spark), "k")
 
 
@@ -41,13 +42,9 @@ def test_spread_join_equals_plain_join(spark, how):
     assert rows(spread) == rows(plain)
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_lookup_join_small_and_large(spark, how, limit):
-    left = hot_rows(spark)
-    lookup = left.select("k").distinct().where("k <> 'k2'").withColumn("name", F.upper("k"))
-    got = skew.lookup_join(left, lookup, "k", "id", how, broadcast_rows=limit, min_rows=50)
-    assert rows(got, "id", "name") == rows(left.join(lookup, "k", how), "id", "name")
+def test_a_key_below_a_small_share_is_split_once_it_exceeds_the_limit(spark):
+    frame = spark.range(20_000).select(F.when(F.col("id") < 15, F.lit("warm")).otherwise(F.col("id").cast("string")).alias("k"))
+    assert dict(skew.heavy_keys(frame, "k", min_rows=10).parts) == {"warm": 2}
 
 
 def test_heavy_keys_of_no_rows(spark):
@@ -62,13 +59,14 @@ def test_spread_join_deals_a_hot_key_over_tasks(spark):
     assert len(sizes) >= 15 and max(sizes) < 150
 
 
+@pytest.mark.parametrize("slices", [1, 3, 40])
 @pytest.mark.parametrize("one_day", [False, True])
-def test_with_previous_in_slices_equals_plain_window(spark, one_day):
+def test_with_previous_in_slices_equals_plain_window(spark, one_day, slices):
     frame = hot_rows(spark).withColumn("day", F.when(F.col("v") != 5, F.col("day")))  # some NULL days
     if one_day:  # all rows of the heavy keys on a single day
         frame = frame.withColumn("day", F.lit("2024-01-01").cast("date"))
     args = dict(key="k", day="day", tie="id", number="n", previous={"pv": "v", "pd": "day"}, distinct={"dv": "v"})
-    cut = sequences.with_previous(frame, **args, min_rows=50, share=0.01)
+    cut = sequences.with_previous(frame, **args, slices=slices)
     w = Window.partitionBy("k").orderBy(F.col("day").asc_nulls_last(), "id")
     plain = frame.select(
         "*", F.row_number().over(w).cast("bigint").alias("n"), F.lag("v").over(w).alias("pv"), F.lag("day").over(w).alias("pd"),
@@ -79,8 +77,8 @@ def test_with_previous_in_slices_equals_plain_window(spark, one_day):
 
 def test_with_previous_keeps_null_values_of_the_row_before(spark):
     frame = spark.createDataFrame([("a", d("2024-01-01"), "1", None), ("a", d("2024-01-02"), "2", 5), ("a", d("2024-01-02"), "3", 6)], "k string, day date, id string, v int")
-    for limit in (1, 1000):
-        got = sequences.with_previous(frame, "k", "day", "id", "n", {"p": "v"}, min_rows=limit, share=0.01)
+    for slices in (1, 3):
+        got = sequences.with_previous(frame, "k", "day", "id", "n", {"p": "v"}, slices=slices)
         assert rows(got, "id", "n", "p") == [("1", 1, None), ("2", 2, None), ("3", 3, 5)]
 
 
@@ -187,7 +185,19 @@ def test_upsert_grows_the_schema_and_drops_nothing(spark):
     source = spark.createDataFrame([(2, 9)], "id int, extra int")
     got = merge.upsert(target, source, "id")
     assert got.columns == ["id", "gone", "extra"]
-    assert rows(got) == [(1, "a", None), (2, None, 9)]
+    assert rows(got) == [(1, "a", None), (2, "b", 9)]
+
+
+def test_upsert_sets_a_value_to_null_and_adds_rows_without_a_key(spark):
+    target = spark.createDataFrame([(1, "a", "x"), (None, "n", "y")], "id int, v string, kept string")
+    source = spark.createDataFrame([(1, None, 5), (None, "m", 6), (3, "c", 7)], "id int, v string, new int")
+    got = merge.upsert(target, source, "id")
+    assert rows(got) == rows(
+        spark.createDataFrame(
+            [(1, None, "x", 5), (None, "n", "y", None), (None, "m", None, 6), (3, "c", None, 7)],
+            "id int, v string, kept string, new int",
+        )
+    )
 
 
 def test_upsert_rejects_repeated_keys(spark):
@@ -213,6 +223,8 @@ def test_random_rows(spark):
 def test_next_keys_continue_the_numbering(spark):
     table = spark.createDataFrame([("ORD_10007",), ("ORD_9",), ("bad",), (None,), ("X" + "9" * 40,)], "order_id string")
     assert sinks.highest_number(table, "order_id", 5).first()[0] == 10007
+    long = spark.createDataFrame([("ORD_5",), ("ORD_" + "9" * 20,)], "order_id string")
+    assert sinks.highest_number(long, "order_id", 5).first()[0] == 10**20 - 1
     assert sinks.highest_number(table.where("order_id = 'bad'"), "order_id", 5).first()[0] == 5
     batch = spark.createDataFrame([("b",), ("a",)], "n string")
     for local in (0, 100):
@@ -224,5 +236,10 @@ def test_sinks(spark, tmp_path):
     frame = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 7).alias("g"))
     stored = sinks.write_clustered(frame, str(tmp_path / "t"), "g", "k")
     assert stored.count() == 100
-    grown = sinks.append_rows(frame.limit(5), str(tmp_path / "t"))
-    assert grown.count() == 105
+    at = dt.datetime(2024, 5, 1, 6)
+    stamped = sinks.write_table(frame.withColumn("_loaded_at", F.lit(at)), str(tmp_path / "s"))
+    grown = sinks.append_rows(frame.limit(5), str(tmp_path / "s"), dt.datetime(2024, 5, 2, 6))
+    assert stamped.count() == 100
+    assert {r[0]: r[1] for r in grown.groupBy("_loaded_at").count().collect()} == {at: 100, dt.datetime(2024, 5, 2, 6): 5}
+    now = sinks.append_rows(frame.limit(3), str(tmp_path / "s")).agg(F.max("_loaded_at")).first()[0]
+    assert now > dt.datetime(2024, 5, 2, 6)
