@@ -81,17 +81,17 @@ with attempts as (
 paid as (select *, o_totalprice::decimal(10,2) cash, {pick(["EUR", "gbp", "USD", "CHF", "JPY"], "o_orderkey")} coin from attempts)
 select 'PAY-' || o_orderkey || if(failed, '-F', '') payment_id, o_orderkey::varchar order_id,
        (o_orderdate::date + (o_orderkey % 7)::int - failed::int)::date payment_date,
-       {pick(["credit_card", "paypal", "bank_transfer", "store_credit"], "o_orderkey")} payment_method,
+       {pick(["card", "wallet", "giro", "voucher"], "o_orderkey")} payment_method,
        cash amount, coin currency,
        round(cash * coalesce(map {{'EUR': 1.00, 'GBP': 1.17, 'USD': 0.92, 'CHF': 1.03}}[upper(coin)], 1.00), 2)::decimal(18,2) amount_eur,
        if(failed, 'failed', coalesce(map {{'F': 'completed', 'O': 'pending'}}[o_orderstatus], 'refunded')) payment_status,
-       {pick(["stripe", "paypal", "manual", "manual"], "o_orderkey")} gateway
+       {pick(["north_pay", "quick_pay", "desk", "counter"], "o_orderkey")} gateway
 from paid
 """
 
 BLOCKS["s_shipments"] = f"""
 select 'SHP-' || {LINE_ID} shipment_id, l_orderkey::varchar order_id,
-       {pick(["Colissimo", "DHL", "Chronopost", "DPD", "UPS"], "l_suppkey")} carrier, 'TRK-' || {LINE_ID} tracking_number,
+       {pick(["Northline", "Swiftbox", "Parcelia", "Roadhawk", "Blueways"], "l_suppkey")} carrier, 'TRK-' || {LINE_ID} tracking_number,
        (l_shipdate::date + 5)::date estimated_delivery_date,
        if(l_linestatus = 'O' and l_linenumber = 1, null, l_shipdate::date) shipped_at,
        if(l_linestatus = 'F', (l_shipdate::date + l_quantity::int % 12)::date, null) delivered_at,
@@ -101,7 +101,7 @@ from lineitem
 
 BLOCKS["s_returns"] = f"""
 select 'RET-' || {LINE_ID} return_id, l_orderkey::varchar order_id, if(l_linenumber = 5, null, {LINE_ID}) order_item_id,
-       {pick(["wrong_size", "changed_mind", "not_as_described", "damaged", "gift_return", "quality_issue"], "l_suppkey")} return_reason,
+       {pick(["too_small", "second_thoughts", "other_than_shown", "broken", "received_twice", "poor_finish"], "l_suppkey")} return_reason,
        (l_shipdate::date + 5)::date return_requested_at, (l_shipdate::date + 12)::date return_received_at,
        l_extendedprice::decimal(10,2) refund_amount,
        {pick(["pending", "approved", "completed", "rejected"], "l_linenumber")} refund_status

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.conditions import blank_to_null
 from ..functions.dates import days_between
@@ -17,9 +18,18 @@ def _as(name: str, to: str = "string") -> Column:
     return F.col(name).cast(to).alias(name)
 
 
-def _date(name: str) -> Column:
-    """Date column; blank or malformed text becomes NULL."""
-    return F.col(name).try_cast("date").alias(name)
+def _as_date(raw: DataFrame, name: str) -> Column:
+    """Date of a column: blank text is NULL, any other text that is no date fails the query."""
+    if isinstance(raw.schema[name].dataType, T.DateType):
+        return F.col(name)
+    text = blank_to_null(F.trim(F.col(name).cast("string")))
+    date = text.try_cast("date")
+    wrong = F.raise_error(F.concat(F.lit(f"malformed date in {name}: "), text))
+    return F.when(text.isNotNull() & date.isNull(), wrong).otherwise(date)
+
+
+def _date(raw: DataFrame, name: str) -> Column:
+    return _as_date(raw, name).alias(name)
 
 
 def _loaded_at() -> Column:
@@ -33,11 +43,11 @@ def stg_customers(raw: DataFrame) -> DataFrame:
         _as("last_name"),
         F.trim(F.lower(F.col("email").cast("string"))).alias("email"),
         _as("phone"),
-        _date("birth_date"),
+        _date(raw, "birth_date"),
         _as("gender"),
         _as("city"),
         _as("country"),
-        _date("signup_date"),
+        _date(raw, "signup_date"),
         _as("loyalty_tier"),
         _as("acquisition_channel"),
         _loaded_at(),
@@ -61,7 +71,7 @@ def stg_products(raw: DataFrame) -> DataFrame:
         _as("sku_code"),
         _as("collection"),
         _as("is_active", "boolean"),
-        _date("launched_at"),
+        _date(raw, "launched_at"),
         _loaded_at(),
     )
 
@@ -71,7 +81,7 @@ def stg_orders(raw: DataFrame) -> DataFrame:
     return raw.select(
         _as("order_id"),
         _as("customer_id"),
-        _date("order_date"),
+        _date(raw, "order_date"),
         _as("order_status"),
         _as("channel"),
         _as("shipping_city"),
@@ -104,7 +114,7 @@ def stg_payments(raw: DataFrame) -> DataFrame:
     return raw.select(
         _as("payment_id"),
         _as("order_id"),
-        _date("payment_date"),
+        _date(raw, "payment_date"),
         _as("payment_method"),
         amount.alias("amount"),
         currency.alias("currency"),
@@ -122,10 +132,10 @@ def stg_shipments(raw: DataFrame) -> DataFrame:
         _as("order_id"),
         _as("carrier"),
         _as("tracking_number"),
-        _date("estimated_delivery_date"),
-        _date("shipped_at"),
+        _date(raw, "estimated_delivery_date"),
+        _date(raw, "shipped_at"),
         delivered.alias("delivered_at_raw"),
-        delivered.try_cast("date").alias("delivered_at"),
+        _as_date(raw, "delivered_at").alias("delivered_at"),
         _as("shipment_status"),
         _loaded_at(),
     )
@@ -137,8 +147,8 @@ def stg_returns(raw: DataFrame) -> DataFrame:
         _as("order_id"),
         blank_to_null(F.col("order_item_id").cast("string")).alias("order_item_id"),
         _as("return_reason"),
-        _date("return_requested_at"),
-        _date("return_received_at"),
+        _date(raw, "return_requested_at"),
+        _date(raw, "return_received_at"),
         _as("refund_amount", "decimal(10,2)"),
         _as("refund_status"),
         _loaded_at(),
@@ -146,7 +156,7 @@ def stg_returns(raw: DataFrame) -> DataFrame:
 
 
 def stg_campaigns(raw: DataFrame) -> DataFrame:
-    start, end = F.col("start_date").try_cast("date"), F.col("end_date").try_cast("date")
+    start, end = _as_date(raw, "start_date"), _as_date(raw, "end_date")
     return raw.select(
         _as("campaign_id"),
         _as("campaign_name"),

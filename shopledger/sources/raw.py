@@ -7,17 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ..schemas import raw_schema
 
 
+# The same for files at rest and arriving files: a header, blank is NULL, and no value that does not fit its type.
+CSV_OPTIONS = {"header": "true", "mode": "FAILFAST", "enforceSchema": "false", "nullValue": "", "emptyValue": ""}
+
+
 def load_csv(spark: SparkSession, table: str, path: str) -> DataFrame:
     """Raw table from CSV files with a header row; a value that does not fit its type fails the read."""
-    return (
-        spark.read.schema(raw_schema(table))
-        .option("header", True)
-        .option("mode", "FAILFAST")
-        .option("enforceSchema", False)
-        .option("nullValue", "")
-        .option("emptyValue", "")
-        .csv(path)
-    )
+    return spark.read.schema(raw_schema(table)).options(**CSV_OPTIONS).csv(path)
 
 
 def load_parquet(spark: SparkSession, table: str, path: str) -> DataFrame:
@@ -25,5 +21,5 @@ def load_parquet(spark: SparkSession, table: str, path: str) -> DataFrame:
 
 
 def stream_csv(spark: SparkSession, table: str, path: str) -> DataFrame:
-    """Raw table as a stream of arriving CSV files."""
-    return spark.readStream.schema(raw_schema(table)).option("header", True).csv(path)
+    """Raw table as a stream of arriving CSV files; a value that does not fit its type fails the stream."""
+    return spark.readStream.schema(raw_schema(table)).options(**CSV_OPTIONS).csv(path)

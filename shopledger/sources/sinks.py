@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import global_positions
@@ -23,19 +26,33 @@ def write_clustered(df: DataFrame, path: str, *columns: str) -> DataFrame:
     return write_table(clustered(df, *columns), path)
 
 
-def append_rows(df: DataFrame, path: str) -> DataFrame:
-    """Append one batch to a stored table; returns the grown table."""
-    df.write.mode("append").parquet(path)
+def append_rows(df: DataFrame, path: str, loaded_at: dt.datetime | None = None) -> DataFrame:
+    """Append one batch to a stored table; returns the grown table.
+
+    Every row of the batch is stamped with the load time ``_loaded_at``: the given one, else the time at which the
+    query starts, one for the whole batch.
+    """
+    stamp = F.current_timestamp() if loaded_at is None else F.lit(loaded_at)
+    df.withColumn("_loaded_at", stamp.cast("timestamp")).write.mode("append").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
 def highest_number(table: DataFrame, key: str, default: int) -> DataFrame:
-    """One row ``last_number``: the largest number in the digits of ``key``, or ``default``.
+    """One row ``last_number``, decimal(38,0): the largest number in the digits of ``key``, or ``default``.
 
-    Keys whose digits do not fit a 64-bit integer are ignored.
+    A key without digits, or with more digits than a 38-digit integer, has no number.
     """
-    digits = F.regexp_replace(F.col(key), "[^0-9]", "")
-    return table.agg(F.coalesce(F.max(digits.try_cast("bigint")), F.lit(default)).alias("last_number"))
+    number = F.regexp_replace(F.col(key), "[^0-9]", "").try_cast("decimal(38,0)")
+    return table.agg(F.coalesce(F.max(number), F.lit(default).cast("decimal(38,0)")).alias("last_number"))
+
+
+def numbered(template: str, number: Column) -> Column:
+    """Text of a whole number by a printf pattern with one ``%d`` or ``%0<width>d``, for any number of digits."""
+    before, width, after = re.fullmatch(r"(.*?)%(?:0(\d+))?d(.*)", template).groups()
+    digits = number.cast("string")
+    if width:
+        digits = F.when(F.length(digits) < int(width), F.lpad(digits, int(width), "0")).otherwise(digits)
+    return F.concat(F.lit(before), digits, F.lit(after))
 
 
 def with_next_keys(
@@ -53,5 +70,5 @@ def with_next_keys(
     which must be unique in the batch.
     """
     last = highest_number(table, key, default).scalar()
-    numbered = global_positions(batch, [F.col(c).asc_nulls_last() for c in order_by], "_n", local_rows)
-    return numbered.withColumn(key, F.format_string(template, F.col("_n") + last)).drop("_n")
+    placed = global_positions(batch, [F.col(c).asc_nulls_last() for c in order_by], "_n", local_rows)
+    return placed.withColumn(key, numbered(template, F.col("_n").cast("decimal(38,0)") + last)).drop("_n")

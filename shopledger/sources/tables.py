@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.conditions import code_of
+from ..schemas import DOMAINS
 
 # Last order date of the generated tables; the "today" of every registered query.
 AS_OF = dt.date(2001, 8, 1)
@@ -25,13 +26,13 @@ CHANNEL_OF_SEGMENT = {
     "HOUSEHOLD": "5-LOW",
     "MACHINERY": "wholesale",
 }
-MATERIALS = ["Full Grain Leather", "Genuine Leather", "Suede", "Canvas", "Patent Leather"]
-METHODS = ["credit_card", "paypal", "bank_transfer", "store_credit"]
-GATEWAYS = ["stripe", "paypal", "manual", "manual"]
+MATERIALS = DOMAINS["material"]
+METHODS = ["card", "wallet", "giro", "voucher"]
+GATEWAYS = ["north_pay", "quick_pay", "desk", "counter"]
 CURRENCIES = ["EUR", "gbp", "USD", "CHF", "JPY"]
-CARRIERS = ["Colissimo", "DHL", "Chronopost", "DPD", "UPS"]
-REASONS = ["wrong_size", "changed_mind", "not_as_described", "damaged", "gift_return", "quality_issue"]
-REFUND_STATES = ["pending", "approved", "completed", "rejected"]
+CARRIERS = ["Northline", "Swiftbox", "Parcelia", "Roadhawk", "Blueways"]
+REASONS = ["too_small", "second_thoughts", "other_than_shown", "broken", "received_twice", "poor_finish"]
+REFUND_STATES = DOMAINS["refund_status"]
 EVENT_OF_TYPE = {
     "click": "add_to_cart",
     "view": "page_view",
