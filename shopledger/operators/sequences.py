@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import pin
-from .skew import HEAVY_SHARE, heavy_keys, with_parts
+from ..session import fresh_path
 
 
 def with_previous(
@@ -17,60 +16,52 @@ def with_previous(
     number: str,
     previous: dict[str, str],
     distinct: dict[str, str] | None = None,
-    min_rows: int | None = None,
-    share: float = HEAVY_SHARE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Number the rows of each key by (day, tie) and add values of the row before.
 
     ``previous`` maps an output name to the column it lags, ``distinct`` an output name to the column
-    whose distinct values are counted over the whole key. All of it takes one shuffle of the rows.
+    whose distinct values are counted over the whole key.
 
-    Rows of heavy keys are range-partitioned by (key, day, tie) into stored slices of similar size. Each
-    slice is numbered on its own, and the number and values carried in from earlier slices come from a
-    table with one row per heavy key and slice. Slices follow the order, so the result equals the plain
-    window, however the rows of a heavy key fall on its days. A NULL day is last.
+    All rows are range-partitioned by (key, day, tie) into stored ``slices`` of similar size (the number of shuffle
+    partitions by default), however they fall on keys and days. Each slice is numbered on its own. Only a
+    slice's first and last key can go on in another slice; for these, a table with one row per key and slice
+    brings the number and values over the cut. Slices follow the order, so the result equals the plain
+    window. A NULL day is last.
     """
     distinct = distinct or {}
-    heavy = heavy_keys(df, key, min_rows, share)
-    if not heavy:
-        return _windowed(df, [key], day, tie, number, previous, distinct)
-
-    parts = with_parts(df, heavy, key)
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c).asc_nulls_last() for c in (key, day, tie)]
-    of_heavy = pin(
-        parts.where("parts > 1")
-        .drop("parts")
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_cut", F.spark_partition_id())
-    )
-    others = parts.where("parts = 1").drop("parts").withColumn("_cut", F.lit(None).cast("int"))
-    rows = others.unionByName(of_heavy)
+    # Stored, since the bounds of a range exchange are drawn anew wherever it is computed again.
+    path = fresh_path(df.sparkSession, "slices")
+    df.repartitionByRange(n, *order).withColumn("_cut", F.spark_partition_id()).write.parquet(path)
+    sliced = df.sparkSession.read.parquet(path)
     inside = {name: f"_in_{name}" for name in [*previous, *distinct]}
     numbered = _windowed(
-        rows, [key, "_cut"], day, tie, "_local",
+        sliced, [key, "_cut"], day, tie, "_local",
         {inside[n]: c for n, c in previous.items()}, {inside[n]: c for n, c in distinct.items()},
     )
 
-    lagged = [F.col(c).alias(out) for out, c in previous.items()]
+    # Two keys per slice at most: whatever the data, these tables have a few rows for each slice.
     place = [e for i, c in enumerate((day, tie)) for e in (F.col(c).isNull().alias(f"_n{i}"), F.col(c).alias(f"_o{i}"))]
-    last = F.max(F.struct(*place, *lagged))
-    slices = of_heavy.groupBy(key, "_cut").agg(F.count(F.lit(1)).alias("_rows"), last.alias("_last"))
-    by_slice = Window.partitionBy(key).orderBy("_cut")
-    carried = slices.select(
-        F.col(key).alias("_key"),
+    ends = sliced.groupBy("_cut").agg(*_ends(key)).select(F.explode(F.array("_first", "_end")).alias("_k"))
+    cut_keys = ends.groupBy("_k").agg(F.count(F.lit(1)).alias("_ends")).where("_ends > 1").select(F.col("_k.v").alias("_key"))
+    over_cuts = sliced.join(F.broadcast(cut_keys), F.col(key).eqNullSafe(F.col("_key")))
+    lagged = [F.col(c).alias(out) for out, c in previous.items()]
+    pieces = over_cuts.groupBy("_key", "_cut").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.struct(*place, *lagged)).alias("_last"))
+    by_slice = Window.partitionBy("_key").orderBy("_cut")
+    carried = pieces.select(
+        "_key",
         F.col("_cut").alias("_slice"),
         F.sum("_rows").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
         F.lag("_last").over(by_slice).alias("_carry"),
     )
     out = numbered.join(
-        carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_cut") == F.col("_slice")), "left"
+        F.broadcast(carried), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_cut") == F.col("_slice")), "left"
     ).drop("_key")
 
     for name, c in distinct.items():
-        # One row per heavy key.
-        pairs = of_heavy.groupBy(F.col(key).alias("_key"), c).agg(F.lit(1))
-        whole = pairs.groupBy("_key").agg(F.count(c).alias("_whole"))
+        whole = over_cuts.groupBy("_key", c).agg(F.lit(1)).groupBy("_key").agg(F.count(c).alias("_whole"))
         out = (
             out.join(F.broadcast(whole), F.col(key).eqNullSafe(F.col("_key")), "left")
             .withColumn(inside[name], F.coalesce("_whole", inside[name]))
@@ -86,6 +77,12 @@ def with_previous(
     )
 
 
+def _ends(key: str) -> list:
+    """First and last key of a slice, NULL as the last of all."""
+    placed = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("v"))
+    return [F.min(placed).alias("_first"), F.max(placed).alias("_end")]
+
+
 def _windowed(df, keys, day, tie, number, previous, distinct) -> DataFrame:
     group = Window.partitionBy(*keys)
     ordered = group.orderBy(F.col(day).asc_nulls_last(), F.col(tie).asc_nulls_last())

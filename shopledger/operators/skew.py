@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from ..session import limit
 
-# A key is heavy when it holds more than this share and more than ``heavyRows`` rows. At most
-# 1 / HEAVY_SHARE keys can exceed the share, so there are at most 1000 heavy keys at any data size.
+# A key is heavy when it holds more than ``heavyRows`` rows, however many rows there are in all. The sketch
+# tracks ten times 1 / HEAVY_SHARE keys and returns the 1 / HEAVY_SHARE most frequent ones at most.
 HEAVY_SHARE = 0.001
 
 # Tasks that merge the sketches of the scan tasks before the last merge, so that even several hundred
@@ -49,13 +49,13 @@ def heavy_keys(df: DataFrame, key: str, min_rows: int | None = None, share: floa
     sketches = (
         df.select(key, (F.spark_partition_id() % SKETCH_MERGERS).alias("_merger"))
         .groupBy("_merger")
-        .agg(F.expr(f"approx_top_k_accumulate(`{key}`, {tracked})").alias("sketch"), F.count(F.lit(1)).alias("rows"))
+        .agg(F.expr(f"approx_top_k_accumulate(`{key}`, {tracked})").alias("sketch"))
     )
     # Grouped by a constant: without rows there is no sketch to combine.
     tally = sketches.groupBy(F.lit(0).alias("_all")).agg(
-        F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"), F.sum("rows").alias("rows")
+        F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch")
     )
-    most_rows = F.greatest(F.lit(limit(df, "heavyRows", min_rows)), (F.col("rows") * share).cast("bigint"), F.lit(1))
+    most_rows = F.lit(max(1, limit(df, "heavyRows", min_rows))).cast("bigint")
     found = (
         tally.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {most})")).alias("t"), most_rows.alias("limit"))
         .where(F.col("t.count") > F.col("limit"))
@@ -105,21 +105,3 @@ def spread_join(
     )
     return dealt.drop("parts").join(repeated.drop("parts"), [key, "_part"], how).drop("_part")
 
-
-def lookup_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    spread_by: str,
-    how: str = "left",
-    broadcast_rows: int | None = None,
-    min_rows: int | None = None,
-) -> DataFrame:
-    """Join ``rows`` to a narrow dimension with one row per key.
-
-    Up to ``broadcastRows`` rows (counted first) the dimension is broadcast and ``rows`` stay where they
-    are. Beyond it the join shuffles, with heavy keys spread.
-    """
-    if lookup.count() <= limit(lookup, "broadcastRows", broadcast_rows):
-        return rows.join(F.broadcast(lookup), key, how)
-    return spread_join(rows, lookup, key, spread_by, how, min_rows)

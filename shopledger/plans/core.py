@@ -11,7 +11,6 @@ from ..functions import dates as D
 from ..functions.conditions import code_of, first_match, flag
 from ..functions.money import rounded, zero
 from ..operators.ranking import tiles
-from ..operators.skew import spread_join
 from ..schemas import contract
 from .intermediate import payment_rollup, primary_shipments
 
@@ -150,7 +149,7 @@ def order_lines(items: DataFrame, orders: DataFrame) -> DataFrame:
     """Items with their order's customer, date and status; items of unknown orders are dropped."""
     owners = orders.select("order_id", "customer_id", "order_date", "order_status")
     return (
-        spread_join(items, owners, "order_id", "order_item_id", "inner")
+        items.join(owners, "order_id")
         .withColumnRenamed("unit_price_at_order", "unit_price_eur")
         .withColumnRenamed("line_revenue", "line_revenue_eur")
         .withColumn("quantity", F.col("quantity").cast("bigint"))
@@ -174,7 +173,7 @@ def fct_order_items(items: DataFrame, orders: DataFrame, returns: DataFrame) ->
 def fct_payments(payments: DataFrame, orders: DataFrame) -> DataFrame:
     owners = orders.select("order_id", "customer_id", "order_date")
     joined = (
-        spread_join(payments, owners, "order_id", "payment_id", "left")
+        payments.join(owners, "order_id", "left")
         .withColumnRenamed("amount", "amount_original")
         .withColumn("is_refunded", flag(F.col("payment_status") == "refunded"))
         .withColumn("days_to_payment", D.days_between(F.col("order_date"), F.col("payment_date")))

@@ -13,7 +13,6 @@ from ..functions.money import quotient, ratio, rounded
 from ..operators.pairs import top_partners
 from ..operators.ranking import most_frequent
 from ..operators.sequences import with_previous
-from ..operators.skew import lookup_join
 from .marketing import mean_gap_days
 
 # Fixed values.
@@ -63,7 +62,7 @@ def customer_features(customers: DataFrame, orders: DataFrame, as_of: dt.date) -
     )
 
 
-def order_sequence_features(orders: DataFrame, min_rows: int | None = None) -> DataFrame:
+def order_sequence_features(orders: DataFrame, slices: int | None = None) -> DataFrame:
     """Order number, gap, value trend and channel consistency along each customer's kept orders."""
     sequence = with_previous(
         _kept(orders).select("customer_id", "order_id", "order_date", "net_revenue_eur", "channel"),
@@ -73,7 +72,7 @@ def order_sequence_features(orders: DataFrame, min_rows: int | None = None) -> D
         number="order_number",
         previous={"_day": "order_date", "_net": "net_revenue_eur"},
         distinct={"_channels": "channel"},
-        min_rows=min_rows,
+        slices=slices,
     )
     net, before = F.col("net_revenue_eur"), F.col("_net")
     # Orders without a customer form a sequence but have no customer to count channels for.
@@ -115,7 +114,8 @@ def product_affinity_features(
     )
     # One product may be the partner of very many others.
     return (
-        lookup_join(products.join(partners, "product_id", "left"), other, "partner", "product_id")
+        products.join(partners, "product_id", "left")
+        .join(other, "partner", "left")
         .select(
             "product_id",
             "product_name",
@@ -221,7 +221,7 @@ def recommendation_input(lines: DataFrame, products: DataFrame, as_of: dt.date)
         )
     )
     catalogue = products.select("product_id", "product_name", "category")
-    return lookup_join(interactions, catalogue, "product_id", "customer_id", "inner").select(
+    return interactions.join(catalogue, "product_id").select(
         "customer_id",
         "product_id",
         "product_name",

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions.conditions import kept
 from ..functions.money import growth, mean, money, percent, quotient, zero
-from ..operators.skew import spread_join
 from ..operators.trailing import running_sum
 
 
@@ -66,7 +65,7 @@ def fct_refunds(payments: DataFrame, orders: DataFrame) -> DataFrame:
     )
     owners = orders.select("order_id", "channel", "shipping_country", "order_status")
     return (
-        spread_join(refunds, owners, "order_id", "payment_id", "left")
+        refunds.join(owners, "order_id", "left")
         .withColumn("paid_month", D.month_start(F.col("payment_date")))
         .withColumn("ordered_month", D.month_start(F.col("order_date")))
         .join(F.broadcast(per_month), "paid_month", "left")

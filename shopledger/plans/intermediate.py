@@ -16,7 +16,6 @@ from ..functions.dates import day, days_between
 from ..functions.money import mean, money, percent, quotient, zero
 from ..operators.labels import LabelList, known_labels
 from ..operators.ranking import earliest, most_frequent
-from ..operators.skew import lookup_join
 
 
 def flag_first_orders(orders: DataFrame) -> DataFrame:
@@ -59,7 +58,7 @@ def int_orders_enriched(orders: DataFrame, items: DataFrame, products: DataFrame
     """One row per order: item totals, categories, net revenue, returned and first-order flags."""
     categories = LabelList(known_labels(products, "category"))
     coded = products.select("product_id", categories.encode(F.col("category")).alias("category"))
-    with_category = lookup_join(items, coded, "product_id", "order_item_id")
+    with_category = items.join(coded, "product_id", "left")
     combined = categories.combine(F.col("category")).alias("categories")
     returned = returns.select("order_id").distinct().withColumn("has_returned", F.lit(True))
     return (
@@ -90,7 +89,7 @@ def int_orders_enriched(orders: DataFrame, items: DataFrame, products: DataFrame
 def favorite_categories(orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
     """Per customer the category with most items in kept orders, ties to the smallest name."""
     per_order = (
-        lookup_join(items, products.select("product_id", "category"), "product_id", "order_item_id", "inner")
+        items.join(products.select("product_id", "category"), "product_id")
         .groupBy("order_id", "category")
         .agg(F.count("order_item_id").alias("n"))
     )

@@ -23,7 +23,6 @@ RUNTIME_CONF = {
 LIMITS = {
     "heavyRows": 1_000_000,  # rows of one key that a task may hold
     "localRows": 1_000_000,  # rows that one task may order by itself
-    "broadcastRows": 200_000,  # rows of a dimension that is broadcast after counting it
     "wideGroup": 256,  # rows of a group that still emits item pairs
 }
 
