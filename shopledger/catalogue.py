@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,8 @@ from .oracle.models import FINALS as MODEL_FINALS
 from .oracle import statement
 from .plans import core, data_science
 from .plans.models import RetailModels, StagedTables, in_report_order
-from .plans.staging import stg_orders
+from .plans.publish import consumer_marts, publish_core
+from .plans.staging import stg_order_items, stg_orders, stg_payments
 from .session import fresh_path, tune
 from .sources.raw import load_csv
 from .sources.sinks import append_rows, with_next_keys, write_clustered, write_table
@@ -88,22 +89,30 @@ def a04_full_refresh(m):
 
 @extra
 def a06_merge_orders(m):
-    """Fresh orders merged into an older copy that lacks some orders and has old states for the rest."""
+    """Fresh orders merged into a stored older copy: some orders are missing there, the rest have old states.
+
+    The batch lacks the revenue, which matched orders keep, and brings the channel.
+    """
     number = F.col("order_id").cast("bigint")
-    columns = ["order_id", "customer_id", "order_date", "order_status", "net_revenue_eur"]
-    fact = m.order_amounts.select(*columns)
-    older = fact.where(number % 3 != 0).withColumn("order_status", F.lit("processing"))
-    return upsert(older, fact.where(number % 3 != 1), "order_id")
+    columns = ["order_id", "customer_id", "order_date", "order_status"]
+    older = m.order_amounts.where(number % 3 != 0).select(*columns, "net_revenue_eur")
+    older = older.withColumn("order_status", F.lit("processing"))
+    return _merged(m, older, m.order_amounts.where(number % 3 != 1).select(*columns, "channel"))
+
+
+def _merged(m, older: DataFrame, newer: DataFrame) -> DataFrame:
+    """Both sides stored, then merged from the stored tables."""
+    target = write_table(older, fresh_path(m.raw.spark, "merge-target"))
+    return upsert(target, write_table(newer, fresh_path(m.raw.spark, "merge-source")), "order_id")
 
 
 @extra
 def a07_merge_new_columns(m):
-    """A merge whose source brings two columns that the target does not have."""
+    """A merge whose source brings two columns that the stored target does not have and lacks one that it has."""
     number = F.col("order_id").cast("bigint")
     fact = m.order_amounts
-    older = fact.where(number % 3 != 0).select("order_id", "net_revenue_eur")
-    newer = fact.where(number % 3 != 1).select("order_id", "net_revenue_eur", "channel", "item_count")
-    return upsert(older, newer, "order_id")
+    older = fact.where(number % 3 != 0).select("order_id", "net_revenue_eur", "order_date")
+    return _merged(m, older, fact.where(number % 3 != 1).select("order_id", "net_revenue_eur", "channel", "item_count"))
 
 
 @extra
@@ -113,27 +122,51 @@ def a08_clustered_table(m):
     return write_clustered(m.int_orders_enriched, path, "order_date", "customer_id")
 
 
-def _resubmitted(m, local_rows: int | None) -> DataFrame:
-    cancelled = m.stg_orders.where(F.col("order_status") == "cancelled")
-    batch = cancelled.select(
-        F.col("order_id").alias("was"), "customer_id", F.lit(str(m.as_of)).cast("date").alias("order_date")
-    )
-    return with_next_keys(batch, m.stg_orders, "order_id", ["was"], "ORD_%06d", 10600, local_rows)
+LOADED = dt.datetime(2001, 8, 1, 6)
+
+
+def _appended(m, table: str, key: str, template: str, default: int, **changed) -> DataFrame:
+    """Every row of a raw table submitted again under new keys, and appended to the stored table."""
+    raw = getattr(m.raw, table)
+    path = fresh_path(m.raw.spark, table)
+    stored = write_table(raw.withColumn("_loaded_at", F.col("_loaded_at").cast("timestamp")), path)
+    batch = raw.drop("_loaded_at").withColumnRenamed(key, "was").withColumns(changed)
+    batch = with_next_keys(batch, stored, key, ["was"], template, default).drop("was")
+    grown = append_rows(batch.select(*[c for c in raw.columns if c != "_loaded_at"]), path, LOADED)
+    return grown.withColumn("_loaded_at", F.col("_loaded_at").cast("timestamp_ntz"))
+
+
+def _today(m) -> Column:
+    return F.lit(str(m.as_of)).cast("date")
 
 
 @extra
 def a09_append_batch(m):
-    """Cancelled orders submitted again under new keys, appended to the stored orders."""
-    path = fresh_path(m.raw.spark, "raw_orders")
-    columns = ["order_id", "customer_id", "order_date"]
-    write_table(m.stg_orders.select(*columns), path)
-    return append_rows(_resubmitted(m, None).select(*columns), path)
+    """All orders of a day again, under keys that go on from the highest stored one."""
+    return _marked(stg_orders(_appended(m, "raw_orders", "order_id", "ORD_%d", 10600, order_date=_today(m))))
+
+
+@extra
+def a09_append_items(m):
+    return _marked(stg_order_items(_appended(m, "raw_order_items", "order_item_id", "ITEM_%06d", 900)))
+
+
+@extra
+def a09_append_payments(m):
+    return _marked(stg_payments(_appended(m, "raw_payments", "payment_id", "PAY_%06d", 600, payment_date=_today(m))))
+
+
+def _marked(staged: DataFrame) -> DataFrame:
+    """``is_new`` in place of the load time: whether a row has that of the batch."""
+    return staged.withColumn("is_new", F.col("loaded_at") == F.lit(str(LOADED)).cast("timestamp_ntz")).drop("loaded_at")
 
 
 @extra
 def a13_next_keys(m):
-    """New keys continuing the highest stored number, numbered slice by slice."""
-    return _resubmitted(m, 0)
+    """New keys continuing a stored number of 20 digits, numbered slice by slice."""
+    was = m.stg_orders.select(F.col("order_id").alias("was"), "customer_id")
+    stored = m.stg_orders.select(F.concat(F.lit("ORD_9"), F.lpad("order_id", 19, "0")).alias("order_id"))
+    return with_next_keys(was, stored, "order_id", ["was"], "ORD_%06d", 10600, local_rows=0)
 
 
 # ------------------------------------------------------------------ joins, windows, ranks under skew
@@ -153,8 +186,8 @@ def c05_co_purchase_wide_baskets(m):
 
 @extra
 def e04_sequence_of_heavy_customers(m):
-    """Order sequence with frequent customers cut into slices."""
-    return data_science.order_sequence_features(m.order_amounts, min_rows=2)
+    """Order sequence cut into many slices, so that customers go on from one to the next."""
+    return data_science.order_sequence_features(m.order_amounts, slices=37)
 
 
 @extra
@@ -167,13 +200,19 @@ def e08_ntile_by_slices(m):
 
 @extra
 def f03_random_sample(m):
-    """100 random customers: how many, how many distinct, how many known."""
+    """100 random customers: how many, how many distinct, how many known, and whether another seed gives others."""
     customers = m.stg_customers.select("customer_id")
     sample = random_rows(customers, 100, seed=7)
-    return sample.join(customers.withColumn("known", F.lit(1)), "customer_id", "left").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("customer_id").alias("customers"),
-        F.sum("known").alias("known"),
+    other = random_rows(customers, 100, seed=8).withColumn("again", F.lit(1))
+    return (
+        sample.join(customers.withColumn("known", F.lit(1)), "customer_id", "left")
+        .join(other, "customer_id", "left")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count_distinct("customer_id").alias("customers"),
+            F.sum("known").alias("known"),
+            (F.count("again") < F.count(F.lit(1))).alias("differs"),
+        )
     )
 
 
@@ -209,6 +248,20 @@ def i04_one_pass_core(m):
     return quality.check_all({"dim_customers": m.dim_customers, "fct_orders": m.fct_orders}, "core")
 
 
+def _layer(name: str):
+    """All rules of a layer over its inline marts."""
+
+    def run(m: RetailModels) -> DataFrame:
+        tables = sorted({r.table for r in quality.RULES if r.layer == name})
+        return quality.check_all({t: getattr(m, t) for t in tables}, name)
+
+    return run
+
+
+for _name in ("core", "finance", "marketing", "features", "prep"):
+    EXTRAS[f"i04_rules_{_name}"] = _layer(_name)
+
+
 @extra
 def i05_source_freshness(m):
     return quality.freshness(_raw(m), dt.datetime(2001, 8, 2, 12))
@@ -216,8 +269,12 @@ def i05_source_freshness(m):
 
 @extra
 def i06_contract_report(m):
-    marts = ["dim_customers", "dim_products", "fct_orders", "fct_order_items", "fct_payments"]
-    return quality.contract_report({n: getattr(m, n) for n in marts})
+    """All six contracts, and one of a mart that lacks a column, has one too many and one of another type."""
+    marts = ["dim_customers", "dim_products", "dim_date", "fct_orders", "fct_order_items", "fct_payments"]
+    report = quality.contract_report({n: getattr(m, n) for n in marts})
+    altered = m.fct_payments.drop("gateway").withColumn("added", F.lit(1)).withColumn("currency", F.lit(0))
+    broken = quality.contract_report({"fct_payments": altered})
+    return report.unionByName(broken.withColumn("mart", F.lit("altered fct_payments")))
 
 
 @extra
@@ -227,8 +284,8 @@ def i07_redacted_customers(m):
 
 @extra
 def i08_unknown_products(m):
-    """Web-event product references without a catalogue row (an extra check)."""
-    return quality.orphans(m.stg_web_events, m.stg_products, "product_id")
+    """Product references of order items without a row in a catalogue of the dearer products (an extra check)."""
+    return quality.orphans(m.stg_order_items, m.stg_products.where("unit_price >= 1000"), "product_id")
 
 
 # ------------------------------------------------------------------ metrics
@@ -293,8 +350,34 @@ def _model(key: str) -> Callable[[RetailModels], DataFrame]:
     return lambda m: in_report_order(name, getattr(m, name))
 
 
+# Stored core marts of the last session and folder, and the consumers over them.
+_stored: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def _over_stored(key: str) -> Callable[[RetailModels], DataFrame]:
+    """A consumer mart that reads the published core marts, which are written once for a session and folder."""
+    name = key.split("_", 1)[1]
+
+    def run(m: RetailModels) -> DataFrame:
+        place = (m.raw.spark, m.raw.folder)
+        if place not in _stored:
+            _stored.clear()
+            _stored[place] = consumer_marts(publish_core(m.raw, fresh_path(m.raw.spark, "marts"), AS_OF), AS_OF)
+        return in_report_order(name, _stored[place][name])
+
+    return run
+
+
+CONSUMERS = [k for k in MODEL_FINALS if 22 <= int(k[1:3]) <= 38]
+
+
+def stored_key(key: str) -> str:
+    return f"a11_{key}"
+
+
 def registered_queries() -> dict[str, Query]:
     built = {key: _model(key) for key in MODEL_FINALS} | EXTRAS | METRIC_QUERIES
+    built |= {stored_key(key): _over_stored(key) for key in CONSUMERS}
 
     def over_folder(build) -> Query:
         return lambda spark, folder: comparable(build(models(spark, folder)))
@@ -303,4 +386,5 @@ def registered_queries() -> dict[str, Query]:
 
 
 def registered_statements() -> dict[str, str]:
-    return {key: statement(final) for key, final in (MODEL_FINALS | EXTRA_FINALS | METRIC_FINALS).items()}
+    finals = MODEL_FINALS | EXTRA_FINALS | METRIC_FINALS
+    return {key: statement(final) for key, final in (finals | {stored_key(k): MODEL_FINALS[k] for k in CONSUMERS}).items()}

@@ -21,6 +21,9 @@ STAGED = {
     "dim_customers": "select * from d_customers",
     "fct_orders": "select * from f_orders",
 }
+# Every other mart is the statement of its model.
+MODEL_SQL = {key.split("_", 1)[1]: sql for key, sql in FINALS.items()}
+RULE_LAYERS = ("core", "finance", "marketing", "features", "prep")
 
 
 def rule_query(tables: list[str], layer: str, kinds: list[str]) -> str:
@@ -28,7 +31,7 @@ def rule_query(tables: list[str], layer: str, kinds: list[str]) -> str:
     for r in RULES:
         if r.layer != layer or r.table not in tables or r.kind not in kinds:
             continue
-        src = f"({STAGED[r.table]})"
+        src = f"({STAGED.get(r.table) or MODEL_SQL[r.table]})"
         if r.kind == "unique":
             body = f"(select count(*) from (select 1 from {src} where {r.column} is not null group by {r.column} having count(*) > 1))"
         elif r.kind == "not_null":
@@ -59,28 +62,39 @@ LOADS = {
 }
 _loads = " union all ".join(f"select '{t}' source_name, ({q}) last_loaded_at" for t, q in LOADS.items())
 
+
+
+def appended(model: str, key: str, prefix: str, width: int, changed: str = "") -> str:
+    """Staged rows of a table, and all of them again under keys that go on from the highest number."""
+    source = f"(select * exclude (loaded_at) from ({FINALS[model]}))"
+    last = f"(select max(regexp_replace({key}, '[^0-9]', '', 'g')::hugeint) from {source})"
+    digits = f"({last} + row_number() over (order by {key}))::varchar"
+    number = f"if(length({digits}) < {width}, lpad({digits}, {width}, '0'), {digits})" if width else digits
+    return f"""
+select *, false is_new from {source}
+union all
+select * replace ('{prefix}' || {number} as {key}{', ' + changed if changed else ''}), true from {source}"""
+
+
 EXTRA_FINALS = {
     "a01_typed_csv_load": FINALS["m03_stg_orders"],
     "a04_full_refresh": FINALS["m20_fct_order_items"],
     "a06_merge_orders": """
 select order_id, customer_id, order_date, if(order_id::bigint % 3 = 1, 'processing', order_status) order_status,
-       net::double net_revenue_eur
+       if(order_id::bigint % 3 = 0, null, net::double) net_revenue_eur, if(order_id::bigint % 3 = 1, null, channel) channel
 from b_orders""",
     "a07_merge_new_columns": """
-select order_id, net::double net_revenue_eur, if(order_id::bigint % 3 = 1, null, channel) channel,
-       if(order_id::bigint % 3 = 1, null, item_count) item_count
+select order_id, net::double net_revenue_eur, if(order_id::bigint % 3 = 0, null, order_date) order_date,
+       if(order_id::bigint % 3 = 1, null, channel) channel, if(order_id::bigint % 3 = 1, null, item_count) item_count
 from b_orders""",
     "a08_clustered_table": FINALS["m11_int_orders_enriched"],
-    "a09_append_batch": """
-select order_id, customer_id, order_date from s_orders
-union all
-select 'ORD_' || lpad(((select max(o_orderkey) from orders) + row_number() over (order by order_id))::varchar, 6, '0'),
-       customer_id, date '2001-08-01'
-from s_orders where order_status = 'cancelled'""",
+    "a09_append_batch": appended("m03_stg_orders", "order_id", "ORD_", 0, "date '2001-08-01' as order_date"),
+    "a09_append_items": appended("m04_stg_order_items", "order_item_id", "ITEM_", 6),
+    "a09_append_payments": appended("m05_stg_payments", "payment_id", "PAY_", 6, "date '2001-08-01' as payment_date"),
     "a13_next_keys": """
-select order_id was, customer_id, date '2001-08-01' order_date,
-       'ORD_' || lpad(((select max(o_orderkey) from orders) + row_number() over (order by order_id))::varchar, 6, '0') order_id
-from s_orders where order_status = 'cancelled'""",
+select order_id was, customer_id,
+       'ORD_' || (90000000000000000000::hugeint + (select max(o_orderkey) from orders) + row_number() over (order by order_id))::varchar order_id
+from s_orders""",
     "c02_spread_left_join": """
 select order_id, customer_id, order_status, email, loyalty_tier
 from s_orders left join s_customers using (customer_id)""",
@@ -90,7 +104,7 @@ from s_orders left join s_customers using (customer_id)""",
 select product_id, unit_price::double unit_price, ntile(4) over o quartile, ntile(7) over o seventh
 from s_products window o as (order by unit_price desc, product_id)""",
     "f03_random_sample": """
-select least(100, count(*)) as "rows", least(100, count(*)) customers, least(100, count(*)) known from customer""",
+select least(100, count(*)) as "rows", least(100, count(*)) customers, least(100, count(*)) known, true differs from customer""",
     "i01_unique": rule_query(_staging_tables, "staging", ["unique"]),
     "i02_not_null": rule_query(_staging_tables, "staging", ["not_null"]),
     "i03_accepted_values": rule_query(_staging_tables, "staging", ["accepted_values"]),
@@ -107,12 +121,19 @@ select m mart, 0 missing, 0 extra, 0 mistyped, n row_count
 from (select 'dim_customers' m, count(*) n from customer union all select 'dim_products', count(*) from part
       union all select 'fct_orders', count(*) from orders
       union all select 'fct_order_items', count(*) from lineitem where l_orderkey in (select o_orderkey from orders)
-      union all select 'fct_payments', count(*) + count(*) filter (where o_orderkey % 10 = 0) from orders)""",
+      union all select 'fct_payments', count(*) + count(*) filter (where o_orderkey % 10 = 0) from orders
+      union all select 'dim_date', count(*) from (""" + FINALS["m13_dim_date"] + """))
+union all
+select 'altered fct_payments', 1, 1, 1, count(*) + count(*) filter (where o_orderkey % 10 = 0) from orders""",
     "i07_redacted_customers": """
 select customer_id, sha256(first_name) first_name, sha256(last_name) last_name, sha256(email) email, sha256(phone) phone,
        gender, city, country, signup_date, loyalty_tier, acquisition_channel
 from s_customers""",
     "i08_unknown_products": """
-select (event_id % 1000)::varchar product_id, count(*) as "rows" from events
-where event_type not in ('view', 'error') and event_id % 1000 not in (select p_partkey from part) group by 1""",
+select product_id, count(*) as "rows" from s_items
+where product_id not in (select product_id from s_products where unit_price >= 1000) group by 1""",
+}
+EXTRA_FINALS |= {
+    f"i04_rules_{layer}": rule_query(sorted({r.table for r in RULES if r.layer == layer}), layer, ["unique", "not_null", "accepted_values"])
+    for layer in RULE_LAYERS
 }

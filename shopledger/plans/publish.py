@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 
 from ..operators.merge import upsert
-from ..quality import enforce_contract, tag_personal
+from ..quality import check_all, enforce_contract, tag_personal
 from ..sources.sinks import write_clustered, write_table
 from . import core, data_science, finance, intermediate, marketing
 from .staging import STAGING
@@ -23,7 +23,8 @@ def publish_core(
     """Write the order block and the core marts under ``root``; returns the stored tables.
 
     With ``previous_orders`` (an earlier stored fct_orders under another root) the orders are upserted
-    into it by order id; new columns are appended.
+    into it by order id; columns that only one side has are kept. Raises when a key that consumers count repeats: they
+    count rows where that equals counting distinct orders, customers or products.
     """
     stg = {name: STAGING[name](getattr(raw, name)) for name in STAGING}
     customers, products = stg["raw_customers"], stg["raw_products"]
@@ -53,13 +54,26 @@ def publish_core(
     fact = enforce_contract(core.fct_orders(enriched, payments, shipments), "fct_orders")
     path = f"{root}/fct_orders"
     if previous_orders is not None:
-        fact = upsert(previous_orders, fact, "order_id")
+        fact = upsert(previous_orders, write_table(fact, f"{root}/fct_orders_batch"), "order_id")
     out["fct_orders"] = write_clustered(fact, path, "order_date", "customer_id")
     store("fct_order_items", core.fct_order_items(items, orders, returns), "order_date", "product_id")
     store("fct_payments", core.fct_payments(payments, orders), "payment_date", "order_id")
+    require_unique_keys(out)
     return out
 
 
+class RepeatedKeys(ValueError):
+    pass
+
+
+def require_unique_keys(marts: dict[str, DataFrame]) -> None:
+    """Raise when an order, customer or product id has repeated values."""
+    counted = {t: marts[t] for t in ("fct_orders", "dim_customers", "dim_products")}
+    failed = check_all(counted, "core", ["unique"]).where("failures > 0").collect()
+    if failed:
+        raise RepeatedKeys(", ".join(f"{r['table_name']}.{r['column_name']}: {r['failures']}" for r in failed))
+
+
 def consumer_marts(stored: dict[str, DataFrame], as_of: dt.date) -> dict[str, DataFrame]:
     """All finance, marketing and data-science tables over the stored core marts (lazy)."""
     orders, lines, payments = stored["fct_orders"], stored["fct_order_items"], stored["fct_payments"]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL, rows
 from shopledger.catalogue import comparable, models
-from shopledger.plans.publish import consumer_marts, publish_core
+from shopledger.plans.publish import RepeatedKeys, consumer_marts, publish_core
 from shopledger.schemas import CONTRACT_DDL, contract
 from shopledger.sources.tables import AS_OF
 
@@ -45,6 +45,32 @@ def test_second_run_upserts_orders(stored, inline, spark, tmp_path):
     again = publish_core(inline.raw, str(tmp_path / "second"), AS_OF, previous_orders=older)["fct_orders"]
     assert again.columns[-1] == "legacy"  # no column is dropped
     assert rows(again.drop("legacy")) == rows(stored["fct_orders"])
+    assert again.where((number % 2 == 0) & (F.col("legacy") != "kept")).isEmpty()
+    assert again.where((number % 2 == 0) & F.col("legacy").isNull()).isEmpty()
+    assert again.where((number % 2 == 1) & F.col("legacy").isNotNull()).isEmpty()
+
+
+def test_repeated_order_ids_stop_the_publication(inline, tmp_path):
+    class Twice:
+        def __getattr__(self, name):
+            table = getattr(inline.raw, name)
+            return table.union(table.where("order_id = '1'")) if name == "raw_orders" else table
+
+    with pytest.raises(RepeatedKeys, match="fct_orders.order_id: 1"):
+        publish_core(Twice(), str(tmp_path / "twice"), AS_OF)
+
+
+def test_building_a_model_reads_no_fact(spark, inline):
+    """Jobs that run while plans are built read dimensions at most."""
+    tracker, group = spark.sparkContext.statusTracker(), "building"
+    spark.sparkContext.setJobGroup(group, "plans")
+    try:
+        fresh = models(spark, SMALL)
+        for name in ("fct_order_items", "fct_payments", "fct_refunds", "product_margin_analysis", "recommendation_input"):
+            getattr(fresh, name)
+        assert len(tracker.getJobIdsForGroup(group)) <= 4  # category labels
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_invariants(stored):
