@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import fresh_path
-from .bpe import Vocabulary
-from .text import as_bytes, in_slices
+from .bpe import STEP_BYTES, Vocabulary
+from .text import in_slices
 
 SLICE_ROWS = 200_000  # pieces that one task ranks, on average
 PIECE = "struct<piece:int,start:bigint,length:int,ids_crc32:bigint>"
@@ -34,9 +34,10 @@ def cut_pieces(vocabulary: Vocabulary, text: Column, capacity: int, separator: i
     def pieces(column: pa.Array) -> pa.Array:
         model, tail = vocabulary.model(), np.array([separator], "<u4").tobytes()
         ends, piece, start, length, crc = [0], [], [], [], []
-        for part in in_slices(column):
-            for ids in model.encode(as_bytes(part)):
-                ids += tail
+        for part in in_slices(column, STEP_BYTES):
+            flat, starts = model.encode(part)
+            for a, b in zip(starts, starts[1:], strict=False):
+                ids = flat[a:b].tobytes() + tail
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     piece.append(k)

@@ -32,10 +32,10 @@ def in_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
         at = end
 
 
-def by_slices(column: pa.Array, work: Callable[[pa.Array], pa.Array], kind: pa.DataType) -> pa.Array:
+def by_slices(column: pa.Array, work: Callable[[pa.Array], pa.Array], kind: pa.DataType, limit: int = SLICE_BYTES) -> pa.Array:
     """``work`` applied to the slices of a column, put together again."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    parts = [work(part).cast(kind) for part in in_slices(column)]
+    parts = [work(part).cast(kind) for part in in_slices(column, limit)]
     return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 

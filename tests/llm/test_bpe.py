@@ -37,14 +37,19 @@ def test_ids_equal_the_library_on_random_texts(model, library):
     assert ids_of(model, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_ids_survive_forgetting(model, library, monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT_WORDS", 1)
-    monkeypatch.setattr(bpe, "STEP_WORDS", 2)
-    texts = ["several words that come again", "again several", ""]
+def test_ids_in_small_steps_and_of_long_pieces(model, library, monkeypatch):
+    monkeypatch.setattr(bpe, "STEP_PIECES", 2)
+    texts = ["several words that come again", "again several", "", "a" * 200 + " " + "b" * 49, "x" * 48]
     for _ in range(2):
         assert ids_of(model, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_pairs_are_looked_up_again_after_the_table_was_full(model, library):
+    model._pairs = bpe._Table(4)
+    texts = ["enough different words to fill a table of sixteen places several times over"]
+    assert ids_of(model, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_odd_rows_and_clashing_columns(odd, vocabulary, library):
     rows = bpe.with_tokens(odd.withColumn("ids", F.lit("old")).withColumn("extra", F.col("doc_id")), vocabulary).collect()
     assert len(rows) == odd.count()
