@@ -4,10 +4,10 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 from shopledger.llm import personal
-from tests.llm.test_learned import plain_spans
-from tests.llm.test_packing import check_places
-from tests.llm.test_simhash import plain, smallest
-from tests.llm.test_substrings import brute
+from .test_learned import plain_spans
+from .test_packing import check_places
+from .test_simhash import plain, smallest
+from .test_substrings import brute
 
 
 def stage(name):
