@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import limit
+from ..session import fresh_path, limit
 from .skew import HEAVY_SHARE, HeavyKeys, heavy_keys, spread_join, with_parts
 
 
@@ -131,13 +131,21 @@ def top_partners(
     )
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _rank_type(tally: DataFrame):
     return tally.select(_rank(F.col("n"), F.col("b")).alias("r")).schema["r"].dataType
 
 
 def _with_wide_groups(tally: DataFrame, wide_rows: DataFrame, heavy: HeavyKeys) -> DataFrame:
     """(i, best, rows, size) over narrow and wide groups together."""
-    members = wide_rows.groupBy("g", "i").agg(F.count(F.lit(1)).alias("rows"))
+    # Each part is read several times below; stored, the lines are read once.
+    members = _stored(wide_rows.groupBy("g", "i").agg(F.count(F.lit(1)).alias("rows")), "members")
+    tally = _stored(tally, "tally")
     widths = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
     in_wide = spread_join(members, widths, "g", "i", "inner", heavy=heavy).select(
         "i", "rows", (F.col("size") * F.col("rows")).alias("size")
@@ -154,7 +162,7 @@ def _candidates(pairs: DataFrame, members: DataFrame) -> DataFrame:
     A partner met in a narrow group gets its full count. Any other partner only shares wide groups;
     among those the first item of the class with most shared groups is enough.
     """
-    item_class, heads, shared = _wide_classes(members)
+    item_class, heads, shared = map(_stored, _wide_classes(members), ("classes", "heads", "shared"))
     class_a = item_class.select(F.col("i").alias("a"), F.col("c").alias("c1"))
     class_b = item_class.select(F.col("i").alias("b"), F.col("c").alias("c2"))
     totals = (

@@ -11,8 +11,9 @@ sys.path.insert(0, str(ROOT / "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
 from compare import compare, connect  # noqa: E402
+from shopledger.catalogue import registered_queries, registered_statements  # noqa: E402
 
-QUERIES, STATEMENTS = entry.queries(), entry.oracle_sql()
+QUERIES, STATEMENTS = registered_queries(), registered_statements()
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +34,10 @@ def test_query(spark, con, name):
     assert not re.search(r"EvalPython|MapInPandas|MapInArrow|CartesianProduct|BroadcastNestedLoopJoin", plan), name
 
 
+def test_the_entry_has_them_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(STATEMENTS) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
