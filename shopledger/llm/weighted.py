@@ -15,6 +15,7 @@ weights and samples of a document never leave that partitioning.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from pyspark.sql.window import Window
 from .slices import cut_points, parts_for, slice_of, text_size
 
 SAMPLES = 32
+SLICE_BYTES = 4 << 20  # text whose terms one task counts at a time
 _WORDS = r"[\x20\x09-\x0D]+"
 
 
@@ -51,7 +53,7 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
     _, size = text_size(rows, "_text")
-    parts = parts_for(rows, size)
+    parts = parts_for(rows, size, SLICE_BYTES)
     placed = rows.withColumn("_slice", slice_of(F.col("_key"), cut_points(rows, "_key", parts)).cast("int"))
     # One row for each slice reaches the driver: its first key in the order (null if it has null keys).
     first = placed.groupBy("_slice").agg(F.max("_key").alias("top"), F.max(F.col("_key").isNull()).alias("null")).collect()
@@ -63,7 +65,9 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     real = placed.select("_slice", F.lit(True).alias("_real"), "_key", "_text")
     closed = real.unionByName(heads.select("_slice", F.lit(False).alias("_real"), F.lit(None).cast(kind).alias("_key"), "_text"))
     down = Window.partitionBy("_slice").orderBy(F.col("_real").desc(), F.col("_key").desc_nulls_first(), "_text")
-    return closed.select("_slice", "_real", "_key", "_text", F.row_number().over(down).alias("_pos"), F.lead("_text").over(down).alias("_next"))
+    # More partitions than slices, so that few partitions get several of them.
+    dealt = closed.repartition(3 * parts, "_slice")
+    return dealt.select("_slice", "_real", "_key", "_text", F.row_number().over(down).alias("_pos"), F.lead("_text").over(down).alias("_next"))
 
 
 def _sampled(texts: DataFrame, samples: int) -> DataFrame:
@@ -105,11 +109,12 @@ def as_text(signature: Column, samples: int = SAMPLES) -> Column:
     return F.when(signature[0].isNull(), empty).otherwise(F.lower(F.array_join(digits, "")))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES, edited_as: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """Fingerprints of each text and of its edited version, and how like they are.
 
     Edited: the last third (floor(n_chars / 3) code points) is replaced by as many first code points of the
-    next document by descending key (or all it has). Returns ``key``, ``n_chars``, ``edited`` (the text), ``fingerprint``,
+    next document by descending key (or all it has). Returns ``key``, ``n_chars``, ``edited`` (the text, or what
+    ``edited_as`` makes of it before rows are joined, such as a digest), ``fingerprint``,
     ``edited_fingerprint``, ``near_edited``, ``near_next`` (likeness of the signatures of text and edited
     text, of text and next text). Equal texts have equal fingerprints. A null text counts as empty; null keys
     are first in the order; rows of one key follow each other; a single document is its own next one; an empty table
@@ -130,5 +135,5 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
         likeness(F.col("own"), F.col("other"), samples).alias("near_edited"),
         likeness(F.col("own"), F.col("next"), samples).alias("near_next"),
     )
-    meta = edited.where("_real").select("_slice", "_pos", F.col("_key").alias(key), F.char_length("_text").cast("long").alias("n_chars"), F.col("_edited").alias("edited"))
+    meta = edited.where("_real").select("_slice", "_pos", F.col("_key").alias(key), F.char_length("_text").cast("long").alias("n_chars"), edited_as(F.col("_edited")).alias("edited"))
     return meta.join(near, ["_slice", "_pos"]).select(key, "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

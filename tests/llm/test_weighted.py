@@ -45,7 +45,7 @@ def test_one_document_and_none(docs):
 
 
 def test_neighbours_across_many_slices(docs, monkeypatch):
-    monkeypatch.setattr(weighted, "parts_for", lambda df, size: 7)
+    monkeypatch.setattr(weighted, "parts_for", lambda df, size, part=0: 7)
     rows = [(i * 3 % 101, f"text of number {i}") for i in range(101)]
     check(weighted.fingerprints(docs(rows)).collect(), rows)
 
