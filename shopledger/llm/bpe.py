@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .text import FACTOR, by_slices
 
 STEP_BYTES = 8 << 20  # text that is split and looked up at a time
-STEP_PIECES = 50_000  # distinct pieces that are encoded at a time
+STEP_PIECES = 20_000  # distinct pieces that are encoded at a time
 LONG = 48  # longer pieces are encoded one by one
 IDS = 1_000_000  # ids that one step of decoding takes
 END = "</w>"
@@ -82,12 +82,10 @@ class TrieBpe:
     """Encoder for one vocabulary file; keeps its trie and its words between batches, both bounded."""
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
-
+        self._file = file
         spec = json.loads(file)
         model, letters = spec["model"], _byte_letters()
         self._letters = letters
-        self.library = Tokenizer.from_str(file)
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
@@ -100,7 +98,7 @@ class TrieBpe:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             token = vocab[a + b]
             self.made[token], self.parts[token] = rank, (vocab[a], vocab[b])
-            self.joined[vocab[a], vocab[b]] = token
+            self.joined[vocab[a] << 32 | vocab[b]] = token
         self._pairs = _Table(20)
         whole = self._whole_tokens()
         self.inner: dict[bytes, int] = {}
@@ -136,7 +134,7 @@ class TrieBpe:
         while left >= 0:
             right, right_until = b, len(self.made)
             while right >= 0:
-                token = self.joined.get((left, right))
+                token = self.joined.get(left << 32 | right)
                 if token is not None:
                     rank = self.made[token]
                     # Of equal merges the leftmost comes first, hence the one-sided equality.
@@ -336,6 +334,13 @@ class TrieBpe:
         ends = np.cumsum(np.concatenate([[0], sizes[own]]))
         return _gathered(flat, np.cumsum(sizes) - sizes, sizes, own), ends[offsets]
 
+    @functools.cached_property
+    def library(self):
+        """The tokenizers library's own reading of the file, made when a text needs its normaliser."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self._file)
+
     @functools.cached_property
     def name_column(self) -> pa.Array:
         return pa.array(self.names, pa.string())

@@ -286,7 +286,7 @@ def _members(reps: DataFrame, model: dict, overlap: int, limit: float) -> DataFr
                     out[i] = own
         return pa.array(out, pa.list_(pa.int32()))
 
-    rows = reps.select("label", F.octet_length("unit").alias("wide"), "rep", "copies", "unit", F.posexplode(places("label", "unit")).alias("_at", "shard"))
+    rows = reps.select("label", F.octet_length("unit").alias("wide"), "rep", "copies", "unit", F.posexplode_outer(places("label", "unit")).alias("_at", "shard"))
     return rows.select("label", "wide", "shard", "rep", "copies", "unit", (F.col("_at") == 0).alias("home"))
 
 

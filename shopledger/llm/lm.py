@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .slices import group_bounds, packed_codes, packed_counts, parts_for, text_size, unpacked_codes, unpacked_counts
-from .text import Rolling, as_bytes, word_hashes, words
+from .text import appended, as_bytes, give_back, named, word_hashes, words
 
 ORDER = 2
 FOLDS = 8
@@ -50,10 +50,15 @@ class Grams:
             sizes.append(len(hashes) + 1)
             parts += [np.full(order - 1, _BEGIN, np.uint64), hashes, np.array([_END], np.uint64)]
         self.sizes = np.array(sizes, np.int64)
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        rolling = Rolling(np.concatenate(parts) if parts else np.zeros(0, np.uint64))
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.sizes)
+        hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         place = np.arange(len(self.doc)) + (self.doc + 1) * (order - 1)
-        self.codes = [rolling.codes(place - n, place + 1) for n in range(order)]
+        self.codes = []
+        for size in range(1, order + 1):
+            run = np.zeros(len(place), np.uint64)
+            for n in range(size - 1, -1, -1):
+                run = appended(run, hashes[place - n])
+            self.codes.append(named(run, size))
         self.first = np.cumsum(self.sizes) - self.sizes
 
     def distinct(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -161,6 +166,7 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
                     part = slice(cuts[g], cuts[g + 1])
                     for name, value in zip(out, (g, kind, packed_codes(codes[part]), packed_counts(counts[part])), strict=True):
                         out[name].append(value)
+        give_back()
         types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         arrays = [pa.array(v, t) for v, t in zip(out.values(), types, strict=True)]
         return pa.table([arrays[0], pa.array([own] * len(out["group"]), pa.int32()), *arrays[1:]], names=["group", "chunk", "kind", "codes", "counts"])

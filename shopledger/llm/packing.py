@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from ..session import fresh_path
 from .bpe import STEP_BYTES, Vocabulary
-from .text import in_slices
+from .text import give_back, in_slices
 
 SLICE_ROWS = 200_000  # pieces that one task ranks, on average
 PIECE = "struct<piece:int,start:bigint,length:int,ids_crc32:bigint>"
@@ -45,6 +45,7 @@ def cut_pieces(vocabulary: Vocabulary, text: Column, capacity: int, separator: i
                     length.append(len(own) // 4)
                     crc.append(zlib.crc32(own))
                 ends.append(len(piece))
+        give_back()
         fields = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())]
         rows = pa.StructArray.from_arrays(fields, names=["piece", "start", "length", "ids_crc32"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
@@ -55,7 +56,8 @@ def cut_pieces(vocabulary: Vocabulary, text: Column, capacity: int, separator: i
 def token_pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int, separator: int = 0, key: str = "doc_id") -> DataFrame:
     """One row per piece: ``key``, ``piece``, ``start``, ``length``, ``ids_crc32``; an empty text has the separator alone."""
     rows = docs.select(F.col(key), cut_pieces(vocabulary, F.col("text"), capacity, separator).alias("_p"))
-    return rows.select(key, F.explode("_p").alias("_p")).select(key, "_p.piece", "_p.start", "_p.length", "_p.ids_crc32")
+    # Every text has a piece; the plain explode would add a filter that encodes all texts a second time.
+    return rows.select(key, F.explode_outer("_p").alias("_p")).select(key, "_p.piece", "_p.start", "_p.length", "_p.ids_crc32")
 
 
 def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

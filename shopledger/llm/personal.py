@@ -330,7 +330,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> SpanModel:
 
     chosen = docs.select(F.col(key).alias("_key")).where("_key is not null").distinct().orderBy(F.xxhash64("_key"), "_key").limit(FIT_DOCS)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_t")).where("_t rlike '[0-9@]'").join(F.broadcast(chosen), "_key")
-    found = rows.select(F.explode(cut("_t")).alias("island")).distinct()
+    found = rows.select(F.explode_outer(cut("_t")).alias("island")).where("island is not null").distinct()
     taken = found.orderBy(F.xxhash64("island"), "island").limit(FIT_ISLANDS).collect()
     return learn([r["island"] for r in taken])
 

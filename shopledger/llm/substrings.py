@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .slices import cut_points, group_bounds, packed_codes, parts_for, slice_of, text_size, unpacked_codes
-from .text import Rolling, as_bytes, mixed, word_hashes, words
+from .text import appended, as_bytes, give_back, mixed, named, word_hashes, words
 
 WINDOW = 13
 PREFIX_BYTES = 16
@@ -48,24 +48,30 @@ class Suffixes:
             tokens = words(text)
             self.counts[i] = len(tokens)
             hashes.append(word_hashes(tokens))
-            sizes.append(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+            sizes.append(np.fromiter(map(len, tokens), np.int32, len(tokens)))
         self.ends = np.cumsum(self.counts)
         self.total = int(self.ends[-1]) if len(texts) else 0
-        starts = np.arange(self.total)
-        self.doc = np.repeat(np.arange(len(texts)), self.counts)
-        self.starts = starts[starts + window <= self.ends[self.doc]] if self.total else starts
-        self.window_doc = self.doc[self.starts]
+        runs = np.maximum(0, self.counts - window + 1)
+        self.window_doc = np.repeat(np.arange(len(texts), dtype=np.int32), runs)
+        # Window i of a document begins i words after the document.
+        place = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
+        self.starts = (np.repeat(self.ends - self.counts, runs) + place).astype(np.int32)
         if not len(self.starts):
             self.codes = np.zeros(0, np.uint64)
             return
-        rolling = Rolling(np.concatenate(hashes))
-        length = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        prefix_end = np.searchsorted(length, length[self.starts] + PREFIX_BYTES)
-        prefix_end = np.clip(prefix_end, self.starts + 1, self.starts + window)
-        deep = rolling.codes(self.starts, self.starts + window)
-        prefix = rolling.codes(self.starts, prefix_end)
+        words_of, size_of = np.concatenate(hashes), np.concatenate(sizes)
+        del place, hashes, sizes
+        run, length = np.zeros(len(self.starts), np.uint64), np.zeros(len(self.starts), np.int32)
+        prefix, open_prefix = np.zeros_like(run), np.ones(len(run), bool)
+        for n in range(window):
+            run = appended(run, words_of[self.starts + n])
+            length += size_of[self.starts + n]
+            closed = open_prefix & ((length >= PREFIX_BYTES) | (n == window - 1))
+            prefix[closed] = named(run[closed], n + 1)
+            open_prefix &= ~closed
         keep = np.uint64(64 - PREFIX_BITS)
-        self.codes = (prefix >> keep << keep) | (mixed(deep ^ prefix) >> np.uint64(PREFIX_BITS))
+        deep = mixed(named(run, window) ^ prefix) >> np.uint64(PREFIX_BITS)
+        self.codes = (prefix >> keep << keep) | deep
 
 
 def _in_key_order(table: pa.Table, key: str) -> pa.Table:
@@ -110,6 +116,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         cuts = group_bounds(codes, groups)
         there = [g for g in range(groups) if cuts[g] < cuts[g + 1]]
         lists = [packed_codes(codes[cuts[g] : cuts[g + 1]]) for g in there]
+        del codes
+        give_back()
         return pa.table(
             {"group": pa.array(there, pa.int32()), "slice": pa.array([number[0].as_py()] * len(there), pa.int32()), "codes": pa.array(lists, pa.binary())}
         )
@@ -124,6 +132,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         later = np.zeros(len(codes), bool)
         later[order[1:]] = in_order[1:] == in_order[:-1]
         parts = np.split(later, np.cumsum([len(x) for x in lists])[:-1])
+        del codes, order, in_order
+        give_back()
         seen = [np.packbits(p).tobytes() if p.any() else None for p in parts]
         kept = [i for i, s in enumerate(seen) if s is not None]
         return pa.table(
@@ -147,15 +157,18 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             a, b = cuts[g], cuts[g + 1]
             elsewhere[a:b] = np.unpackbits(np.frombuffer(seen, np.uint8), count=b - a)
         gone = _repeated_words(own, left.column(key).to_pylist(), distinct, inverse, elsewhere, window)
+        counts = own.counts
+        del own, distinct, inverse, elsewhere
         kept, removed, at = [], [], 0
-        for t, n in zip(texts, own.counts, strict=True):
+        for t, n in zip(texts, counts, strict=True):
             out = gone[at : at + n]
             tokens = words(t)
             removed.append(int(out.sum()))
             kept.append(b" ".join([w for w, g in zip(tokens, out, strict=True) if not g] if removed[-1] else tokens))
             at += n
         table = left.drop_columns(["__slice"])
-        new = (pa.array(own.counts), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()))
+        give_back()
+        new = (pa.array(counts), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()))
         for name, array in zip(added, new, strict=True):
             table = table.append_column(name, array)
         return table

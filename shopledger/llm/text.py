@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import SparkSession
 
-# Odd factor of the rolling hash over word hashes, and its inverse modulo 2^64.
+# Odd factor of the rolling hash over word hashes.
 FACTOR = 0x9E3779B97F4A7C17
-INVERSE = pow(FACTOR, -1, 1 << 64)
 SLICE_BYTES = 4 << 20  # text that one step of a Python worker unpacks
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers of this session find the package where the driver found it.
+
+    Workers see the environment of the JVM, which knows nothing of a path that the driver added later. Where the
+    package is installed, or the path does not exist, this changes nothing.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; a null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
@@ -36,6 +53,7 @@ def by_slices(column: pa.Array, work: Callable[[pa.Array], pa.Array], kind: pa.D
     """``work`` applied to the slices of a column, put together again."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     parts = [work(part).cast(kind) for part in in_slices(column, limit)]
+    give_back()
     return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
@@ -48,21 +66,6 @@ def word_hashes(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
 
 
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        for name, factor in (("_powers", FACTOR), ("_inverses", INVERSE)):
-            steps = np.full(size, factor, np.uint64)
-            steps[0] = 1
-            globals()[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers, _inverses
-
-
 def mixed(codes: np.ndarray) -> np.ndarray:
     """Spread 64-bit codes evenly (an invertible mix of shifts and odd factors)."""
     codes = codes ^ (codes >> np.uint64(33))
@@ -72,19 +75,24 @@ def mixed(codes: np.ndarray) -> np.ndarray:
     return codes ^ (codes >> np.uint64(33))
 
 
-class Rolling:
-    """Hashes of any word range of one text in constant time, from sums of hash * FACTOR^position."""
+def appended(codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Rolling hash of word runs after one more word each: run * FACTOR + word, modulo 2^64."""
+    return codes * np.uint64(FACTOR) + hashes
+
+
+def named(codes: np.ndarray, size: int) -> np.ndarray:
+    """Final code of runs of ``size`` words."""
+    return mixed(codes + np.uint64(size))
+
 
-    def __init__(self, hashes: np.ndarray):
-        self.n = len(hashes)
-        powers, self._inverse = _tables(self.n + 1)
-        self._sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(hashes * powers[: self.n], out=self._sums[1:])
+def give_back() -> None:
+    """Hand freed memory back to the system; workers are reused, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
-    def codes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """One code for the words from each start to each end (exclusive); equal words, equal code."""
-        return mixed((self._sums[ends] - self._sums[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
 
-    def windows(self, size: int) -> np.ndarray:
-        starts = np.arange(max(0, self.n - size + 1))
-        return self.codes(starts, starts + size)
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
