@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, graph, language, lm, packing, personal, quality, simhash, substrings, weighted
+from .text import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -15,7 +16,7 @@ CAPACITY = 2048
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return importable(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,9 +49,8 @@ def op2_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_weighted_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    rows = weighted.fingerprints(_documents(spark, folder))
-    digest = _sha256(F.col("edited")).alias("edited_sha256")
-    return rows.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    rows = weighted.fingerprints(_documents(spark, folder), edited_as=_sha256).withColumnRenamed("edited", "edited_sha256")
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,4 +118,30 @@ QUERIES: dict[str, Query] = {
         op10_best_fit_packing,
     )
 }
-STATEMENTS: dict[str, str] = {}
+
+# DuckDB SQL of the queries that need no learned model, tokeniser or hash that SQL lacks.
+STATEMENTS: dict[str, str] = {
+    "op4_substring_dedup": r"""
+with d as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+starts as (select doc_id, w, unnest(range(1, len(w) - 11)) i from d where len(w) >= 13),
+windows as (select doc_id, i, array_to_string(w[i : i + 12], ' ') words from starts),
+firsts as (select words, min(doc_id) first from windows group by words),
+gone as (
+  select doc_id, list(distinct j) places
+  from (select doc_id, unnest(range(i, i + 13)) j from windows join firsts using (words) where first < doc_id) group by doc_id)
+select d.doc_id, len(w)::bigint n_words, coalesce(len(places), 0)::bigint n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: not list_contains(coalesce(places, []), i)), ' ')) kept_sha256
+from d left join gone using (doc_id)""",
+    "op9_embedding_neighbours": """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.93),
+reached as (select vec_id, vec_id other from embeddings union select vec_id, b from reached join links on other = a)
+select vec_id, (select count(*) from links where a = vec_id) n_links, min(other) component_id, vec_id = min(other) kept
+from reached group by vec_id""",
+}
