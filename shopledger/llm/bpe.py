@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import FACTOR, by_slices
+from .text import FACTOR, by_slices, give_back
 
 STEP_BYTES = 8 << 20  # text that is split and looked up at a time
 STEP_PIECES = 20_000  # distinct pieces that are encoded at a time
@@ -401,18 +401,40 @@ class Vocabulary:
         return {"_file": self._file}
 
 
+def _ids(model: TrieBpe, column: pa.Array) -> pa.Array:
+    def work(part: pa.Array) -> pa.Array:
+        found, starts = model.encode(part)
+        return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(found.astype(np.int32)))
+
+    return by_slices(column, work, pa.list_(pa.int32()), STEP_BYTES)
+
+
+def _texts(model: TrieBpe, column: pa.Array) -> pa.Array:
+    names, out, at = model.name_column, [], 0
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + IDS, side="right")))
+        flat, sizes = column.slice(at, stop - at).flatten(), lengths[at:stop]
+        at = stop
+        values = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False)
+        known = (values >= 0) & (values < len(names))
+        taken = names.take(pa.array(np.where(known, values, 0)))
+        if not known.all() or taken.null_count:
+            keep = known & ~taken.is_null().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)[keep]
+            taken, sizes = taken.filter(pa.array(keep)), np.bincount(row, minlength=len(sizes))
+        bounds = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+        out.append(pc.binary_join(pa.ListArray.from_arrays(bounds, taken), " "))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+
 def encoded(vocabulary: Vocabulary, text: Column) -> Column:
     """Token ids of a text as array<int>; a null or an empty text has none."""
 
     @F.arrow_udf("array<int>")
     def ids(column: pa.Array) -> pa.Array:
-        model = vocabulary.model()
-
-        def work(part: pa.Array) -> pa.Array:
-            found, starts = model.encode(part)
-            return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(found.astype(np.int32)))
-
-        return by_slices(column, work, pa.list_(pa.int32()), STEP_BYTES)
+        return _ids(vocabulary.model(), column)
 
     return ids(text)
 
@@ -422,24 +444,7 @@ def decoded(vocabulary: Vocabulary, ids: Column) -> Column:
 
     @F.arrow_udf("string")
     def texts(column: pa.Array) -> pa.Array:
-        names = vocabulary.model().name_column
-        out, at = [], 0
-        lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(lengths)
-        while at < len(column):
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + IDS, side="right")))
-            flat, sizes = column.slice(at, stop - at).flatten(), lengths[at:stop]
-            at = stop
-            values = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False)
-            known = (values >= 0) & (values < len(names))
-            taken = names.take(pa.array(np.where(known, values, 0)))
-            if not known.all() or taken.null_count:
-                keep = known & ~taken.is_null().to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(sizes)), sizes)[keep]
-                taken, sizes = taken.filter(pa.array(keep)), np.bincount(row, minlength=len(sizes))
-            bounds = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
-            out.append(pc.binary_join(pa.ListArray.from_arrays(bounds, taken), " "))
-        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+        return _texts(vocabulary.model(), column)
 
     return texts(ids)
 
@@ -451,5 +456,15 @@ def with_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids
     A null text counts as empty and has no ids; repeated rows give equal results; other columns stay,
     columns named like the new ones are replaced.
     """
-    rows = docs.withColumn(ids, encoded(vocabulary, F.col(text)))
-    return rows.withColumn(back, decoded(vocabulary, F.col(ids)))
+
+    @F.arrow_udf("struct<ids:array<int>,texts:string>")
+    def both(column: pa.Array) -> pa.Array:
+        # Ids are decoded where they were made, so that they cross to Python and back once.
+        model = vocabulary.model()
+        found = _ids(model, column)
+        arrays = [found, _texts(model, found)]
+        give_back()
+        return pa.StructArray.from_arrays(arrays, names=["ids", "texts"])
+
+    rows = docs.withColumn("__tokens", both(F.col(text)))
+    return rows.withColumns({ids: F.col("__tokens.ids"), back: F.col("__tokens.texts")}).drop("__tokens")
