@@ -29,7 +29,7 @@ from ..session import fresh_path
 from .components import components
 
 LIMIT = 0.93
-SHARD_ROWS = 2500
+SHARD_ROWS = 600
 FIT_ROWS = 20_000  # vectors that centroids are fitted on, in all
 OVERLAP, DEGREE, BEAM, ALPHA = 3, 24, 32, 1.2
 RING = 0.05  # cosine below the limit down to which a search expands
