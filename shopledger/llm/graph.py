@@ -4,14 +4,18 @@ Vectors of one label and of cosine ``LIMIT`` or more are linked. Equal vectors a
 representative with a number of copies.
 
 * Clusters: centroids of a bounded sample split each label into shards. A vector is at home with its nearest
-  centroid and a visitor of a few others, those whose border with the home cluster is within the radius of a link.
+  centroid; it can only have links into clusters whose border with the home cluster is within the radius of a link.
+  Of these it is a visitor of the nearest few.
 * Build: on each shard, homes and visitors together, a flat graph grows by batches: a greedy beam search from
   the medoid finds candidates for each new vector, robust pruning keeps near ones in different directions
   (a candidate goes if a kept one is nearer to it, by a factor, than the vector itself), and back links are added.
 * Union: the adjacency lists that a vector got in different shards become one.
 * Search: each member of a shard searches from the medoid; once vectors within the limit turn up, the search
   expands over all of them and their neighbours until no new one is found. Every candidate is verified in double precision.
-  A pair counts in the home shard of either side, so no pair counts twice.
+  A pair counts for both sides where the one of the smaller home cluster is at home, and only there.
+* Rest: if the other side is no visitor of that cluster but its border is within the radius, the pair is compared exactly,
+  in blocks of ``BLOCK_ROWS`` vectors by as many. In many dimensions nearly all borders are, so the blocks are
+  then half of all pairs of a label: work that grows with the square of its vectors.
 * Audit: links of a sample of vectors are compared with brute force over all rows; below ``RECALL`` the search
   is repeated with wider overlap and beam.
 
@@ -34,6 +38,7 @@ FIT_ROWS = 20_000  # vectors that centroids are fitted on, in all
 OVERLAP, DEGREE, BEAM, ALPHA = 3, 24, 32, 1.2
 RING = 0.05  # cosine below the limit down to which a search expands
 BATCH = 512
+BLOCK_ROWS = 4096  # vectors on a side of an exact comparison
 AUDIT_ROWS, RECALL, TRIES = 256, 0.9, 3
 
 
@@ -75,19 +80,26 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def shards_of(x: np.ndarray, c: np.ndarray, overlap: int, limit: float) -> list[list[int]]:
-    """For each vector its home and the other clusters whose border with it is within the distance of a link."""
-    radius = np.sqrt(max(0.0, 2 - 2 * limit))
-    sims = x @ c.T
-    order = np.argsort(-sims, axis=1)[:, :overlap]
-    out = []
-    for i, near in enumerate(order):
-        home = near[0]
-        apart = np.maximum(np.linalg.norm(c[near] - c[home], axis=1), 1e-12)
-        # Distance to the plane between the two centroids, both of length 1.
-        border = (sims[i, home] - sims[i, near]) / apart
-        out.append([int(home), *(int(s) for s, b in zip(near[1:], border[1:], strict=True) if b <= radius)])
-    return out
+def shards_of(x: np.ndarray, c: np.ndarray, overlap: int, limit: float) -> tuple[list[list[int]], list[list[int]]]:
+    """For each vector the clusters whose border with its home is within the distance of a link.
+
+    First the home and those among the ``overlap`` nearest clusters; then the rest of them, so far as their number is
+    below the home's.
+    """
+    radius = np.sqrt(max(0.0, 2 - 2 * limit)) + 1e-9
+    joined, rest = [], []
+    for part in range(0, len(x), 1024):
+        sims = x[part : part + 1024] @ c.T
+        home = sims.argmax(1)
+        for i, h in enumerate(home):
+            apart = np.maximum(np.linalg.norm(c - c[h], axis=1), 1e-12)
+            # Distance to the plane between the two centroids, both of length 1.
+            within = (sims[i, h] - sims[i]) / apart <= radius
+            near = [s for s in np.argsort(-sims[i], kind="stable")[:overlap].tolist() if s != h and within[s]]
+            within[near] = False
+            joined.append([int(h), *near])
+            rest.append(np.nonzero(within[:h])[0].tolist())
+    return joined, rest
 
 
 def beam_search(x: np.ndarray, links: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,24 +282,115 @@ def _fit(reps: DataFrame) -> dict:
     return out
 
 
-def _members(reps: DataFrame, model: dict, overlap: int, limit: float) -> DataFrame:
-    """Rows (label, wide, shard, rep, copies, unit, home): homes and visitors of each shard."""
+def _placed(reps: DataFrame, model: dict, overlap: int, limit: float) -> DataFrame:
+    """``reps`` with ``wide``, ``home``, ``shards`` (home first) and ``blocks``, the groups of clusters to compare with exactly."""
+    group = max(1, BLOCK_ROWS // SHARD_ROWS)
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<shards:array<int>,blocks:array<int>>")
     def places(labels: pa.Array, units: pa.Array) -> pa.Array:
         keys = list(zip(labels.to_pylist(), units.to_pylist(), strict=True))
-        out: list[list[int]] = [[0]] * len(keys)
+        joined: list[list[int]] = [[0]] * len(keys)
+        blocks: list[list[int]] = [[]] * len(keys)
         groups: dict = {}
         for i, (label, unit) in enumerate(keys):
             groups.setdefault((label, len(unit)), []).append(i)
         for key, rows in groups.items():
             if key in model:
-                for i, own in zip(rows, shards_of(matrix([keys[i][1] for i in rows]), model[key], overlap, limit), strict=True):
-                    out[i] = own
-        return pa.array(out, pa.list_(pa.int32()))
+                for i, own, rest in zip(rows, *shards_of(matrix([keys[i][1] for i in rows]), model[key], overlap, limit), strict=True):
+                    joined[i], blocks[i] = own, sorted({s // group for s in rest})
+        kind = pa.list_(pa.int32())
+        return pa.StructArray.from_arrays([pa.array(joined, kind), pa.array(blocks, kind)], ["shards", "blocks"])
+
+    rows = reps.select("label", F.octet_length("unit").alias("wide"), "rep", "copies", "unit", places("label", "unit").alias("_at"))
+    return rows.select("label", "wide", "rep", "copies", "unit", F.col("_at.shards")[0].alias("home"), "_at.shards", "_at.blocks")
+
+
+def _members(placed: DataFrame) -> DataFrame:
+    """Rows (label, wide, shard, rep, copies, unit, home): those at home and visitors of each shard, with their home."""
+    return placed.select("label", "wide", F.explode("shards").alias("shard"), "rep", "copies", "unit", "home")
+
+
+def compared(x: np.ndarray, y: np.ndarray, limit: float, allowed) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Pairs of a row of x and one of y: links that connect what all of them connect (rows of y after those of x), and parts of the hits.
+
+    ``allowed`` (a slice of x) tells which pairs of those rows count, as a matrix.
+    """
+    links, parts = [np.zeros((0, 2), np.int64)], []
+    for at in range(0, len(x), BATCH):
+        part = slice(at, min(len(x), at + BATCH))
+        hit = (x[part] @ y.T >= limit) & allowed(part)
+        r, c = np.nonzero(hit)
+        parts.append((r + at, c))
+        # A row of y is linked with its first row of x, and the rows of x that share one with the first.
+        first = hit.argmax(0)
+        shared = np.zeros((len(hit), len(hit)), bool)
+        shared[r, first[c]] = True
+        met = np.unique(c)
+        links += [np.stack([first[met] + at, met + len(x)], 1), np.stack(np.nonzero(shared), 1) + at]
+    return np.concatenate(links), parts
+
+
+def _exact(left: DataFrame, right: DataFrame, limit: float) -> DataFrame:
+    """(rep, links, root) from an exact comparison of the rows (label, wide, block, part, rep, copies, unit, home, shards) of both sides.
+
+    Rows of one label, width, block and part meet. A pair counts if the left side's home is below the right one's
+    and the right one does not visit it.
+    """
+
+    def compare(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({n: pa.array([], pa.int64()) for n in ("rep", "links", "root")})
+        x, y = (matrix(t.column("unit").to_pylist()) for t in (a, b))
+        own, other = (t.column("home").to_numpy() for t in (a, b))
+        visits = b.column("shards").to_pylist()
+        table = np.full((len(visits), max(map(len, visits))), -1)
+        for i, shards in enumerate(visits):
+            table[i, : len(shards)] = shards
+
+        def allowed(part: slice) -> np.ndarray:
+            ok = own[part, None] < other[None, :]
+            for shards in table.T:
+                ok &= own[part, None] != shards[None, :]
+            return ok
+
+        links, parts = compared(x, y, limit, allowed)
+        return _counts(a, b, links, parts)
+
+    rows = left.groupBy("label", "wide", "block", "part", "row").cogroup(right.groupBy("label", "wide", "block", "part", "row"))
+    return rows.applyInArrow(compare, "rep bigint, links bigint, root bigint")
+
+
+def _counts(a: pa.Table, b: pa.Table, links: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """Number of rows linked and the smallest row reached, for the linked rows of two tables that were compared."""
+    copies, others = a.column("copies").to_numpy(), b.column("copies").to_numpy()
+    left, right = np.zeros(len(copies), np.int64), np.zeros(len(others), np.int64)
+    for r, c in parts:
+        np.add.at(left, r, others[c])
+        np.add.at(right, c, copies[r])
+    reps, count = np.concatenate([a.column("rep").to_numpy(), b.column("rep").to_numpy()]), np.concatenate([left, right])
+    root = roots(len(reps), links)
+    hit = count > 0
+    return pa.table({"rep": pa.array(reps[hit], pa.int64()), "links": pa.array(count[hit], pa.int64()), "root": pa.array(reps[root[hit]], pa.int64())})
+
+
+def _rest(placed: DataFrame, limit: float) -> DataFrame:
+    """(rep, links, root) of the pairs that no shard counts: homes of a group of clusters against those that may have links into it."""
+    keys = ["label", "wide", "block"]
+    homes = placed.withColumn("block", F.floor(F.col("home") / max(1, BLOCK_ROWS // SHARD_ROWS)).cast("int"))
+    guests = placed.withColumn("block", F.explode("blocks"))
+
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+
+    sizes = _stored(parts(homes, "rows").join(parts(guests, "parts"), keys), "blocks")
+    mark, columns = F.xxhash64("rep", F.lit(3)), [*keys, "part", "row", "rep", "copies", "unit", "home", "shards"]
+
+    def dealt(rows: DataFrame, own: str, n: str, other: str, m: str) -> DataFrame:
+        """Each row is in one of the parts of its own side and meets all parts of the other."""
+        every = F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+        return rows.join(sizes, keys).withColumn(own, F.pmod(mark, F.col(n)).cast("int")).withColumn(other, every).select(*columns).toDF(*columns)
 
-    rows = reps.select("label", F.octet_length("unit").alias("wide"), "rep", "copies", "unit", F.posexplode_outer(places("label", "unit")).alias("_at", "shard"))
-    return rows.select("label", "wide", "shard", "rep", "copies", "unit", (F.col("_at") == 0).alias("home"))
+    return _exact(dealt(homes, "row", "rows", "part", "parts"), dealt(guests, "part", "parts", "row", "rows"), limit)
 
 
 def _adjacency(members: DataFrame, degree: int, beam: int) -> DataFrame:
@@ -311,7 +414,7 @@ def _found(members: DataFrame, adjacency: DataFrame, limit: float, beam: int) ->
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by([("rep", "ascending")])
         reps, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
-        home = table.column("home").to_numpy()
+        home, shard = table.column("home").to_numpy(), table.column("shard").to_numpy()
         near = [x or [] for x in table.column("near").to_pylist()]
         links = np.full((len(reps), max(1, *map(len, near), 1)), -1, np.int32)
         for i, own in enumerate(near):
@@ -322,10 +425,11 @@ def _found(members: DataFrame, adjacency: DataFrame, limit: float, beam: int) ->
         x = matrix(table.column("unit").to_pylist())
         pairs = range_pairs(x, links, limit, beam)
         count = np.zeros(len(reps), np.int64)
+        # A pair counts, for both sides, in the smaller of their homes only.
+        own = np.minimum(home[pairs[:, 0]], home[pairs[:, 1]]) == shard[0]
         for a, b in ((0, 1), (1, 0)):
-            # A pair counts for one side in the shard where the other side is at home.
-            np.add.at(count, pairs[:, a], copies[pairs[:, b]] * home[pairs[:, b]])
-        root = reps[roots(len(reps), pairs)]
+            np.add.at(count, pairs[own, a], copies[pairs[own, b]])
+        root = reps[roots(len(reps), pairs[own])]
         return pa.table({"rep": pa.array(reps, pa.int64()), "links": pa.array(count, pa.int64()), "root": pa.array(root, pa.int64())})
 
     rows = members.join(adjacency, "rep", "left").select("label", "wide", "shard", "rep", "copies", "unit", "home", "near")
@@ -383,8 +487,10 @@ def linked(vectors: DataFrame, limit: float = LIMIT, key: str = "vec_id", embedd
     overlap, beam = OVERLAP, BEAM
     model = _fit(reps)
     for left in range(TRIES - 1, -1, -1):
-        members = _stored(_members(reps, model, overlap, limit), "members")
-        found = _stored(_found(members, _adjacency(members, DEGREE, beam), limit, beam), "found")
+        placed = _stored(_placed(reps, model, overlap, limit), "placed")
+        members = _members(placed)
+        found = _found(members, _adjacency(members, DEGREE, beam), limit, beam)
+        found = _stored(found.unionAll(_rest(placed, limit)), "found")
         counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
         if audit(reps, counted, limit) >= RECALL or not left:
             break

@@ -67,6 +67,27 @@ def test_many_shards(spark, monkeypatch):
     assert all(a[1] <= b[1] for a, b in zip(got, want, strict=True))  # none below the limit
 
 
+def test_a_family_of_many_shards_keeps_all_its_links(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SHARD_ROWS", 20)
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(graph, "TRIES", 1)
+    rng = np.random.default_rng(5)
+    rows = [(i, (np.eye(16)[0] + 0.2 * rng.normal(size=16) / 4).tolist(), 1) for i in range(500)]
+    got, want = found(graph.linked(frame(spark, rows))), brute(rows)
+    assert sum(g[1] for g in got) >= 0.99 * sum(w[1] for w in want)
+    assert all(g[1] <= w[1] and g[2] == w[2] for g, w in zip(got, want, strict=True))
+
+
+def test_a_pair_meets_in_a_shard_or_in_the_rest_and_once():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    joined, rest = graph.shards_of(x, graph.centroids(x, 20), 3, 0.93)
+    for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.93, 1)), strict=True):
+        low, high = sorted((i, j), key=lambda n: joined[n][0])
+        assert (joined[low][0] in joined[high]) + (joined[low][0] in rest[high]) == 1
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, None, 1), (1, [], 1), (2, [0.0, 0.0], 1), (3, [nan, 1.0], 1), (4, [inf, 1.0], 1), (5, [1.0, None], 1), (6, [1.0, 0.0], None)]
