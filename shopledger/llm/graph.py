@@ -16,8 +16,9 @@ representative with a number of copies.
 * Rest: if the other side is no visitor of that cluster but its border is within the radius, the pair is compared exactly,
   in blocks of ``BLOCK_ROWS`` vectors by as many. In many dimensions nearly all borders are, so the blocks are
   then half of all pairs of a label: work that grows with the square of its vectors.
-* Audit: links of a sample of vectors are compared with brute force over all rows; below ``RECALL`` the search
-  is repeated with wider overlap and beam.
+* Audit: links of a uniform sample of vectors are compared with brute force over all rows; below ``RECALL``, in all, for each
+  vector, or for small families or hot ones alone, the search is repeated with wider overlap and beam. Labels
+  that the last try has not shown to reach it are compared exactly, in blocks.
 
 Shards return for each vector its number of links and one root, not its pairs, so rows grow with the vectors only.
 """
@@ -39,7 +40,8 @@ OVERLAP, DEGREE, BEAM, ALPHA = 3, 24, 32, 1.2
 RING = 0.05  # cosine below the limit down to which a search expands
 BATCH = 512
 BLOCK_ROWS = 4096  # vectors on a side of an exact comparison
-AUDIT_ROWS, RECALL, TRIES = 256, 0.9, 3
+AUDIT_ROWS, RECALL, TRIES = 2048, 0.9, 3
+SMALL = 16  # links of a vector of a small family, below
 
 
 def unit_bytes(embedding: Column) -> Column:
@@ -330,11 +332,11 @@ def compared(x: np.ndarray, y: np.ndarray, limit: float, allowed) -> tuple[np.nd
     return np.concatenate(links), parts
 
 
-def _exact(left: DataFrame, right: DataFrame, limit: float) -> DataFrame:
+def _exact(left: DataFrame, right: DataFrame, limit: float, all_pairs: bool = False) -> DataFrame:
     """(rep, links, root) from an exact comparison of the rows (label, wide, block, part, rep, copies, unit, home, shards) of both sides.
 
-    Rows of one label, width, block and part meet. A pair counts if the left side's home is below the right one's
-    and the right one does not visit it.
+    Rows of one label, width, block, part and row meet. A pair counts if the left side's home is below the right one's
+    and the right one does not visit it; with ``all_pairs``, any pair of a row and a later part.
     """
 
     def compare(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
@@ -348,6 +350,8 @@ def _exact(left: DataFrame, right: DataFrame, limit: float) -> DataFrame:
             table[i, : len(shards)] = shards
 
         def allowed(part: slice) -> np.ndarray:
+            if all_pairs and key[3].as_py() != key[4].as_py():
+                return np.ones((part.stop - part.start, len(y)), bool)
             ok = own[part, None] < other[None, :]
             for shards in table.T:
                 ok &= own[part, None] != shards[None, :]
@@ -436,16 +440,14 @@ def _found(members: DataFrame, adjacency: DataFrame, limit: float, beam: int) ->
     return rows.groupBy("label", "wide", "shard").applyInArrow(search, "rep bigint, links bigint, root bigint")
 
 
-def audit(reps: DataFrame, counted: DataFrame, limit: float, rows: int = AUDIT_ROWS) -> float:
-    """Recall of links: those found for a sample of linked and unlinked vectors against brute force over all rows.
+def sampled(reps: DataFrame, counted: DataFrame, limit: float, rows: int = AUDIT_ROWS) -> list[tuple]:
+    """(label, width, links found, links by brute force over all rows) of a uniform sample of vectors that have links.
 
-    The sample (a fixed number of vectors, half of them with links where there are that many) goes to every
-    block of rows; each block returns one count for each.
+    The sample, a fixed number of vectors, goes to every block of rows; each block returns one count for each.
     """
-    known = reps.join(counted, "rep").select("rep", "label", "unit", "links")
     mark = F.xxhash64("rep", F.lit(2))
-    sample = known.where("links > 0").orderBy(mark, "rep").limit(rows // 2).collect() + known.orderBy(mark, "rep").limit(rows // 2).collect()
-    sample = list({r["rep"]: r for r in sample}.values())
+    drawn = reps.select("rep", "label", "unit").orderBy(mark, "rep").limit(rows)
+    sample = drawn.join(counted, "rep", "left").select("rep", "label", "unit", F.coalesce("links", F.lit(0)).alias("links")).collect()
     groups: dict = {}
     for r in sample:
         groups.setdefault((r["label"], len(r["unit"])), []).append(r)
@@ -468,8 +470,50 @@ def audit(reps: DataFrame, counted: DataFrame, limit: float, rows: int = AUDIT_R
             yield pa.RecordBatch.from_pydict({"rep": pa.array(list(found), pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
 
     true = {r["rep"]: r["n"] for r in reps.select("rep", "label", "copies", "unit").mapInArrow(count, "rep bigint, n bigint").groupBy("rep").agg(F.sum("n").alias("n")).collect()}
-    total = sum(true.get(r["rep"], 0) for r in sample)
-    return sum(min(r["links"], true.get(r["rep"], 0)) for r in sample) / total if total else 1.0
+    return [(r["label"], len(r["unit"]), min(r["links"], true[r["rep"]]), true[r["rep"]]) for r in sample if true.get(r["rep"])]
+
+
+def recall(sample: list[tuple]) -> float:
+    """The least of: links found of all links, the mean of that for each vector, and the mean for small families and for hot ones."""
+    kinds = [sample, [r for r in sample if r[3] < SMALL], [r for r in sample if r[3] >= SMALL]]
+    means = [sum(r[2] / r[3] for r in rows) / len(rows) for rows in kinds if rows]
+    return min([1.0, *means, *([sum(r[2] for r in sample) / sum(r[3] for r in sample)] if sample else [])])
+
+
+def audit(reps: DataFrame, counted: DataFrame, limit: float, rows: int = AUDIT_ROWS) -> float:
+    """Recall of links on a uniform sample; see ``sampled`` and ``recall``."""
+    return recall(sampled(reps, counted, limit, rows))
+
+
+def _searched_exactly(reps: DataFrame, limit: float) -> DataFrame:
+    """(rep, links, root) from all pairs of a label, in blocks."""
+    keys = ["label", "wide"]
+    rows = reps.withColumn("wide", F.octet_length("unit"))
+    sizes = _stored(rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts")), "blocks")
+    columns = [*keys, "block", "part", "row", "rep", "copies", "unit", "home", "shards"]
+    own = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(4)), F.col("parts")).cast("int")).withColumn("block", F.lit(0))
+
+    def dealt(side: str, other: str, upper: bool) -> DataFrame:
+        """Each row is on the left of the parts from its own on, and on the right of those up to its own."""
+        span = F.sequence(F.col("own"), F.col("parts") - 1) if upper else F.sequence(F.lit(0), F.col("own"))
+        # The place within a label stands for the home, so a pair of one block counts once, and nobody visits.
+        out = own.withColumn(side, F.col("own")).withColumn(other, F.explode(span))
+        return out.withColumn("home", F.col("rep")).withColumn("shards", F.array(F.lit(-1).cast("bigint"))).select(*columns).toDF(*columns)
+
+    return _exact(dealt("row", "part", True), dealt("part", "row", False), limit, all_pairs=True)
+
+
+def _with_exact(reps: DataFrame, found: DataFrame, sample: list[tuple], limit: float) -> DataFrame:
+    """``found`` with the labels whose own sample does not show the required recall searched exactly instead."""
+    groups: dict = {}
+    for r in sample:
+        groups.setdefault(r[:2], []).append(r)
+    shown = [k for k, rows in groups.items() if recall(rows) >= RECALL]
+    rows = reps.withColumn("wide", F.octet_length("unit"))
+    good = reps.sparkSession.createDataFrame(shown, rows.select("label", "wide").schema)
+    left = _stored(rows.join(good, ["label", "wide"], "left_anti").select(*reps.columns), "vectors")
+    none = left.select("rep", F.lit(0).cast("bigint").alias("links"), F.col("rep").alias("root"))
+    return found.join(left.select("rep"), "rep", "left_anti").unionAll(none).unionAll(_searched_exactly(left, limit))
 
 
 def linked(vectors: DataFrame, limit: float = LIMIT, key: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -492,7 +536,12 @@ def linked(vectors: DataFrame, limit: float = LIMIT, key: str = "vec_id", embedd
         found = _found(members, _adjacency(members, DEGREE, beam), limit, beam)
         found = _stored(found.unionAll(_rest(placed, limit)), "found")
         counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
-        if audit(reps, counted, limit) >= RECALL or not left:
+        sample = sampled(reps, counted, limit)
+        if recall(sample) >= RECALL:
+            break
+        if not left:
+            found = _stored(_with_exact(reps, found, sample, limit), "found")
+            counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
             break
         overlap, beam = 2 * overlap, 2 * beam
     joined = components(found.where("rep <> root").select("rep", "root").distinct(), "rep", "root")

@@ -128,6 +128,26 @@ def test_audit_sees_missing_links(spark):
     assert graph.audit(reps, reps.selectExpr("rep", "3L AS links"), 0.93) < 0.5
 
 
+def test_audit_sees_small_families_beside_a_hot_one(spark):
+    rows = clustered(np.random.default_rng(8), 1, 200, noise=0.05) + [(1000 + i, v, 0) for i, v, _ in clustered(np.random.default_rng(9), 20, 2, noise=0.05)]
+    rows = frame(spark, rows)
+    reps = rows.select(rows.label, graph.unit_bytes(rows.embedding).alias("unit"), rows.vec_id.alias("rep")).selectExpr("*", "1 AS copies")
+    assert graph.audit(reps, reps.selectExpr("rep", "if(rep < 1000, 199L, 1L) AS links"), 0.93) == 1.0
+    assert graph.audit(reps, reps.selectExpr("rep", "if(rep < 1000, 199L, 0L) AS links"), 0.93) < 0.5
+
+
+def test_labels_below_the_recall_are_searched_exactly(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TRIES", 1)
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 30)
+    rows = clustered(np.random.default_rng(7), 4, 50, noise=0.2)
+
+    def nothing(members, adjacency, limit, beam):
+        return members.selectExpr("rep", "0L AS links", "rep AS root")
+
+    monkeypatch.setattr(graph, "_found", nothing)
+    assert found(graph.linked(frame(spark, rows))) == brute(rows)
+
+
 def test_query(spark, small):
     rows = [(r["vec_id"], list(r["embedding"]), r["label"]) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
     assert found(op9_embedding_neighbours(spark, small)) == brute(rows)
