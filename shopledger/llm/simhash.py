@@ -26,7 +26,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import fresh_path
 from .components import components
@@ -131,6 +130,19 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     return _pair_links(light, max_bits).unionAll(_half_way_links(met.where(F.col("_n") > CROWD), max_bits))
 
 
+def _grouped(docs: DataFrame, size: int, max_bits: int, key: str, text: str, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (id, f, more) of the documents, and (f, low, root) for each distinct fingerprint, with its smallest key."""
+    spark = docs.sparkSession
+    path = fresh_path(spark, "fingerprints")
+    docs.select(F.col(key).alias("id"), fingerprint(F.col(text), size).alias("f"), *more).write.parquet(path)
+    rows = spark.read.parquet(path)
+    distinct = fresh_path(spark, "fingerprints")
+    rows.groupBy("f").agg(F.min("id").alias("low")).write.parquet(distinct)
+    prints = spark.read.parquet(distinct)
+    roots = components(links(prints, max_bits), "f", "g")
+    return rows, prints.join(roots, prints["f"] == roots["node"], "left").select("f", "low", F.coalesce("root", "f").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (``key``, ``fingerprint`` as bigint, ``component_id``), one for each row of ``docs``.
 
@@ -139,15 +151,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 2, key: str
     component; texts without words (empty or null too) have fingerprint 0. Repeated keys are kept row by row.
     Texts pass once; the fingerprints (a number each) are stored under the shared folder.
     """
-    spark = docs.sparkSession
-    path = fresh_path(spark, "fingerprints")
-    docs.select(F.col(key).alias("id"), fingerprint(F.col(text), size).alias("f")).write.parquet(path)
-    rows = spark.read.parquet(path)
-    distinct = fresh_path(spark, "fingerprints")
-    rows.groupBy("f").agg(F.min("id").alias("low")).write.parquet(distinct)
-    prints = spark.read.parquet(distinct)
-    roots = components(links(prints, max_bits), "f", "g")
-    grouped = prints.join(roots, prints["f"] == roots["node"], "left").select("f", "low", F.coalesce("root", "f").alias("root"))
+    rows, grouped = _grouped(docs, size, max_bits, key, text)
     # The smallest key of a component: combined before the shuffle, so a large component is no hot group.
     lowest = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     named = grouped.join(lowest, "root").select("f", "component_id")
@@ -155,11 +159,19 @@ def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 2, key: str
 
 
 def keep_first(docs: DataFrame, size: int = 3, max_bits: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest key (of repeated keys, the smallest row)."""
-    groups = near_duplicates(docs, size, max_bits, key, text)
-    kept = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
-    rows = docs.join(kept, F.col(key).eqNullSafe(F.col("__key")))
-    # Only rows of repeated keys need an order.
-    order = Window.partitionBy("__key").orderBy(*(F.col(c).asc_nulls_last() for c in docs.columns))
-    again = rows.where("__n > 1").withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
-    return rows.where("__n = 1").select(*docs.columns).unionAll(again.select(*docs.columns))
+    """``docs`` with one row of each component: that of the smallest key, null keys last (of repeated keys, that of the smallest digest).
+
+    Rows are told apart by a digest of 128 bits of all their columns, so keys may be null or repeated.
+    """
+    values = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    marks = F.xxhash64(*values).alias("__first"), F.xxhash64(F.lit(1), *values).alias("__second")
+    rows, grouped = _grouped(docs, size, max_bits, key, text, *marks)
+    # Minima are combined before each shuffle, so neither a fingerprint nor a component of very many rows is a hot group.
+    low = rows.groupBy("f").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__first", "__second")).alias("row"))
+    kept = grouped.join(low, "f").groupBy("root").agg(F.min("row").alias("row")).select("row.__first", "row.__second")
+    again = rows.groupBy("__first", "__second").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    kept = kept.join(again, ["__first", "__second"], "left")
+    found = docs.select("*", *marks).join(kept, ["__first", "__second"])
+    # Equal rows: any of them, chosen before the shuffle too.
+    one = found.where("__n > 1").groupBy("__first", "__second").agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return found.where("__n IS NULL").select(*docs.columns).unionAll(one.select("__row.*"))

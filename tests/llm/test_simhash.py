@@ -91,6 +91,14 @@ def test_one_row_of_each_component_stays(docs):
     assert simhash.keep_first(docs([])).count() == 0
 
 
+def test_rows_without_a_key_or_of_one_key_stay_by_component(docs):
+    fox, sea = "the quick brown fox jumps over the lazy dog and runs away", "waves roll in from the cold grey sea at night"
+    hen, owl = "a hen sits on nine eggs in the warm old barn", "one owl looks down at mice below its high tree"
+    rows = docs([(None, hen), (None, owl), (None, owl), (3, fox), (3, sea), (5, sea), (1, "something else entirely here"), (1, fox)])
+    kept = simhash.keep_first(rows).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("None", hen), ("None", owl), ("1", fox), ("3", sea), ("1", "something else entirely here")])
+
+
 def test_components_of_a_path_a_star_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (500, 501), (501, 500)]
     found = components.components(spark.createDataFrame(edges, "a int, b int"), "a", "b").collect()
