@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, graph, language, lm, packing, personal, quality, simhash, substrings, weighted
+from . import alignment, bpe, graph, language, lm, packing, personal, quality, ranked, simhash, substrings, tokenizers, tournament, weighted
 from .text import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,32 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return placed.withColumn("length", F.col("length").cast("long"))
 
 
+def _byte_tokens(spark: SparkSession) -> tokenizers.Tokenizer:
+    import public_tokenizers
+
+    return tokenizers.Tokenizer(spark, tokenizers.ByteTokens, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = tokenizers.Tokenizer(spark, tokenizers.PieceTokens, public_tokenizers.path("piece_bpe_32k.model"))
+
+    def digest(groups: Column, has_tokens: Column) -> Column:
+        return F.when(has_tokens, _sha256(groups)).otherwise("")
+
+    rows = alignment.aligned(_documents(spark, folder), _byte_tokens(spark), pieces, groups_as=digest)
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def op12_tournament_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return tournament.pack_documents(_documents(spark, folder), _byte_tokens(spark), CAPACITY, separator=1)
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(_documents(spark, folder), _table(spark, folder, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -116,6 +142,9 @@ QUERIES: dict[str, Query] = {
         op8_lm_scores,
         op9_embedding_neighbours,
         op10_best_fit_packing,
+        op11_tokenizer_alignment,
+        op12_tournament_packing,
+        op13_ranked_search,
     )
 }
 
@@ -144,4 +173,24 @@ links as (
 reached as (select vec_id, vec_id other from embeddings union select vec_id, b from reached join links on other = a)
 select vec_id, (select count(*) from links where a = vec_id) n_links, min(other) component_id, vec_id = min(other) kept
 from reached group by vec_id""",
+    "op13_ranked_search": r"""
+with words as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') t from documents),
+docs as (select doc_id, t, len(t) n from words where len(t) > 0),
+corpus as (select count(*) as n_docs, sum(n) as n_terms from docs),
+asked as (
+  select item_id, term, count(*) times
+  from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark)
+  group by item_id, term),
+counts as (select doc_id, n, term, count(*) tf from (select doc_id, n, unnest(t) term from docs) group by doc_id, n, term),
+weight as (
+  select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint w
+  from counts, corpus group by term, n_docs),
+scores as (
+  select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint score
+  from asked join weight using (term) join counts using (term), corpus group by item_id, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score
+from scores where score > 0 qualify rank <= 20""",
 }
