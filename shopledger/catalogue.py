@@ -22,9 +22,10 @@ from .oracle import statement
 from .plans import core, data_science
 from .plans.models import RetailModels, StagedTables, in_report_order
 from .plans.publish import consumer_marts, publish_core
-from .plans.staging import stg_order_items, stg_orders, stg_payments
+from .plans.staging import STAGING, stg_order_items, stg_orders, stg_payments
+from .schemas import RAW_DDL
 from .session import fresh_path, tune
-from .sources.raw import load_csv
+from .sources.raw import load_csv, write_csv
 from .sources.sinks import append_rows, with_next_keys, write_clustered, write_table
 from .sources.tables import AS_OF, RetailTables
 
@@ -77,10 +78,25 @@ def a01_typed_csv_load(m):
     """Orders written as CSV, loaded with the declared schema, staged."""
     spark = m.raw.spark
     path = fresh_path(spark, "orders-csv")
-    m.raw.raw_orders.write.option("header", True).csv(path)
+    write_csv(m.raw.raw_orders, path)
     return stg_orders(load_csv(spark, "raw_orders", path))
 
 
+def _through_csv(table: str):
+    """A raw table written as CSV files, loaded with its declared schema, staged."""
+
+    def run(m: RetailModels) -> DataFrame:
+        path = fresh_path(m.raw.spark, f"{table}-csv")
+        write_csv(getattr(m.raw, table), path)
+        return STAGING[table](load_csv(m.raw.spark, table, path))
+
+    return run
+
+
+for _table in RAW_DDL:
+    EXTRAS[f"a01_csv_{_table.removeprefix('raw_')}"] = _through_csv(_table)
+
+
 @extra
 def a04_full_refresh(m):
     """Order items stored as a table and read back."""
@@ -249,16 +265,17 @@ def i04_one_pass_core(m):
 
 
 def _layer(name: str):
-    """All rules of a layer over its inline marts."""
+    """All rules of a layer over its raw tables or inline marts."""
 
     def run(m: RetailModels) -> DataFrame:
         tables = sorted({r.table for r in quality.RULES if r.layer == name})
-        return quality.check_all({t: getattr(m, t) for t in tables}, name)
+        owner = m.raw if name in ("seed", "source") else m
+        return quality.check_all({t: getattr(owner, t) for t in tables}, name)
 
     return run
 
 
-for _name in ("core", "finance", "marketing", "features", "prep"):
+for _name in ("seed", "source", "core", "finance", "marketing", "features", "prep"):
     EXTRAS[f"i04_rules_{_name}"] = _layer(_name)
 
 

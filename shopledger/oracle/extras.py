@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..quality import RULES
-from ..schemas import DOMAINS
 from .models import FINALS
 
 # Registered name of a staging table -> SQL block or statement with its columns.
@@ -23,33 +21,92 @@ STAGED = {
 }
 # Every other mart is the statement of its model.
 MODEL_SQL = {key.split("_", 1)[1]: sql for key, sql in FINALS.items()}
-RULE_LAYERS = ("core", "finance", "marketing", "features", "prep")
 
+# The rules as these statements know them, layer by layer: columns that must be unique, filled, or in a list of values.
+UNIQUE = {
+    "seed": "raw_customers.customer_id raw_products.product_id raw_orders.order_id raw_order_items.order_item_id raw_payments.payment_id "
+    "raw_shipments.shipment_id raw_returns.return_id raw_campaigns.campaign_id raw_campaign_attributions.attribution_id raw_web_events.event_id",
+    "staging": "stg_customers.customer_id stg_customers.email stg_products.product_id stg_orders.order_id stg_order_items.order_item_id "
+    "stg_payments.payment_id stg_shipments.shipment_id stg_returns.return_id stg_campaigns.campaign_id "
+    "stg_campaign_attributions.attribution_id stg_web_events.event_id",
+    "core": "dim_customers.customer_id dim_products.product_id dim_date.date_day fct_orders.order_id fct_order_items.order_item_id fct_payments.payment_id",
+    "finance": "fct_refunds.payment_id monthly_revenue_summary.year_month daily_flash_report.date_day country_revenue_breakdown.country",
+    "marketing": "customer_segments.customer_id customer_ltv.customer_id channel_attribution.channel",
+    "features": "customer_features.customer_id product_affinity_features.product_id order_sequence_features.order_id",
+    "prep": "churn_prediction_input.customer_id customer_lifetime_value_features.customer_id",
+}
+FILLED = {
+    "seed": UNIQUE["seed"] + " raw_customers.email raw_orders.customer_id raw_order_items.order_id raw_order_items.product_id "
+    "raw_payments.order_id raw_shipments.order_id raw_returns.order_id",
+    "staging": "stg_customers.customer_id stg_customers.first_name stg_customers.last_name stg_customers.email stg_customers.signup_date "
+    "stg_products.product_id stg_products.product_name stg_products.unit_price stg_orders.order_id stg_orders.customer_id "
+    "stg_orders.order_date stg_order_items.order_item_id stg_order_items.order_id stg_order_items.product_id stg_payments.payment_id "
+    "stg_payments.order_id stg_shipments.shipment_id stg_shipments.order_id stg_returns.return_id stg_returns.order_id "
+    "stg_campaigns.campaign_id stg_campaign_attributions.attribution_id stg_web_events.event_id stg_web_events.session_id "
+    "stg_web_events.event_timestamp",
+    "core": "dim_customers.customer_id dim_customers.signup_date dim_products.product_id dim_products.product_name dim_date.date_day "
+    "fct_orders.order_id fct_orders.customer_id fct_orders.order_date fct_order_items.order_item_id fct_order_items.order_id "
+    "fct_order_items.product_id fct_order_items.customer_id fct_payments.payment_id fct_payments.order_id",
+    "finance": UNIQUE["finance"] + " fct_revenue.date_day product_margin_analysis.category",
+    "marketing": UNIQUE["marketing"] + " cohort_analysis.signup_cohort_month cohort_analysis.order_cohort_month",
+    "features": UNIQUE["features"] + " order_sequence_features.customer_id",
+    "prep": UNIQUE["prep"] + " recommendation_input.customer_id recommendation_input.product_id",
+}
+UNIQUE["source"], FILLED["source"] = UNIQUE["seed"], FILLED["seed"] + " raw_products.unit_price"
+_GENDERS = "('M', 'F', 'Other')"
+_TIERS = "('Bronze', 'Silver', 'Gold', 'Platinum')"
+_ACQUIRED = "('website', 'mobile_app', 'in_store', 'wholesale', 'referral')"
+_CATEGORIES = "('Bags', 'Wallets', 'Belts', 'Accessories', 'Shoes')"
+_ORDERED = "('pending', 'confirmed', 'processing', 'shipped', 'delivered', 'cancelled', 'returned')"
+_PAID = "('completed', 'failed', 'refunded', 'pending')"
+_COLLECTIONS = "('Haussmann', 'Rivoli', 'Marais', 'Vendome', 'Bastille', 'Classique')"
+LISTED = {
+    "source": {
+        "raw_customers.loyalty_tier": _TIERS, "raw_customers.acquisition_channel": _ACQUIRED, "raw_products.category": _CATEGORIES,
+        "raw_orders.order_status": _ORDERED, "raw_payments.payment_status": _PAID,
+    },
+    "staging": {
+        "stg_customers.gender": _GENDERS, "stg_customers.loyalty_tier": _TIERS, "stg_customers.acquisition_channel": _ACQUIRED,
+        "stg_products.category": _CATEGORIES, "stg_products.collection": _COLLECTIONS,
+        "stg_products.material": "('Full Grain Leather', 'Genuine Leather', 'Suede', 'Canvas', 'Patent Leather')",
+        "stg_orders.order_status": _ORDERED, "stg_payments.payment_status": _PAID,
+        "stg_shipments.shipment_status": "('delivered', 'in_transit', 'failed', 'returned_to_sender')",
+        "stg_returns.refund_status": "('pending', 'approved', 'completed', 'rejected')",
+        "stg_web_events.event_type": "('page_view', 'product_view', 'add_to_cart', 'remove_from_cart', 'checkout_start', 'checkout_complete', 'search')",
+        "stg_web_events.device_type": "('desktop', 'mobile', 'tablet')",
+    },
+    "core": {
+        "dim_customers.gender": _GENDERS, "dim_customers.loyalty_tier": _TIERS, "dim_customers.acquisition_channel": _ACQUIRED,
+        "dim_customers.customer_status": "('prospect', 'active', 'at_risk', 'churned')", "dim_products.category": _CATEGORIES,
+        "dim_products.collection": _COLLECTIONS, "dim_products.performance_tier": "('hero', 'core', 'niche', 'long_tail', 'unranked')",
+        "fct_orders.order_status": _ORDERED, "fct_payments.payment_status": _PAID,
+    },
+}
 
-def rule_query(tables: list[str], layer: str, kinds: list[str]) -> str:
+
+def rule_query(layer: str, kinds: tuple = ("unique", "not_null", "accepted_values"), tables: tuple = ()) -> str:
+    """Failures of each rule of a layer, by a count of its own."""
     parts = []
-    for r in RULES:
-        if r.layer != layer or r.table not in tables or r.kind not in kinds:
-            continue
-        src = f"({STAGED.get(r.table) or MODEL_SQL[r.table]})"
-        if r.kind == "unique":
-            body = f"(select count(*) from (select 1 from {src} where {r.column} is not null group by {r.column} having count(*) > 1))"
-        elif r.kind == "not_null":
-            body = f"(select count(*) from {src} where {r.column} is null)"
-        else:
-            values = ", ".join(f"'{v}'" for v in DOMAINS[r.column])
-            body = f"(select count(*) from {src} where {r.column} not in ({values}))"
-        parts.append(
-            f"select '{r.layer}' layer, '{r.table}' table_name, '{r.column}' column_name, '{r.kind}' rule, {body} failures"
-        )
-    return "\nunion all ".join(parts)
 
+    def add(place: str, kind: str, count) -> None:
+        table, column = place.split(".")
+        if kind in kinds and (not tables or table in tables):
+            name = table.replace("raw_", "stg_") if layer in ("seed", "source") else table
+            source = f"({STAGED.get(name) or MODEL_SQL[name]})"
+            parts.append(f"select '{layer}' layer, '{table}' table_name, '{column}' column_name, '{kind}' rule, ({count(column, source)}) failures")
+
+    for place in UNIQUE[layer].split():
+        add(place, "unique", lambda c, t: f"select count(*) from (select 1 from {t} where {c} is not null group by {c} having count(*) > 1)")
+    for place in FILLED[layer].split():
+        add(place, "not_null", lambda c, t: f"select count(*) from {t} where {c} is null")
+    for place, values in LISTED.get(layer, {}).items():
+        add(place, "accepted_values", lambda c, t, v=values: f"select count(*) from {t} where {c} not in {v}")
+    return "\nunion all ".join(parts)
 
-_staging_tables = sorted({r.table for r in RULES if r.layer == "staging"})
 
 # Latest load per raw table.
 LOADS = {
-    "raw_campaign_attributions": "select max(o_orderdate) from orders where o_orderstatus = 'F'",
+    "raw_campaign_attributions": "select max(o_orderdate) from orders",
     "raw_campaigns": "select max(date '1995-01-01' + (s_suppkey * 11 % 2000)::int)::timestamp from supplier",
     "raw_customers": "select max(date '1994-10-01' + (c_custkey % 900)::int)::timestamp from customer",
     "raw_order_items": "select max(l_shipdate) from lineitem",
@@ -105,12 +162,10 @@ select product_id, unit_price::double unit_price, ntile(4) over o quartile, ntil
 from s_products window o as (order by unit_price desc, product_id)""",
     "f03_random_sample": """
 select least(100, count(*)) as "rows", least(100, count(*)) customers, least(100, count(*)) known, true differs from customer""",
-    "i01_unique": rule_query(_staging_tables, "staging", ["unique"]),
-    "i02_not_null": rule_query(_staging_tables, "staging", ["not_null"]),
-    "i03_accepted_values": rule_query(_staging_tables, "staging", ["accepted_values"]),
-    "i04_one_pass_core": rule_query(
-        ["dim_customers", "fct_orders"], "core", ["unique", "not_null", "accepted_values"]
-    ),
+    "i01_unique": rule_query("staging", ("unique",)),
+    "i02_not_null": rule_query("staging", ("not_null",)),
+    "i03_accepted_values": rule_query("staging", ("accepted_values",)),
+    "i04_one_pass_core": rule_query("core", tables=("dim_customers", "fct_orders")),
     "i05_source_freshness": f"""
 select source_name, last_loaded_at, trunc(epoch(timestamp '2001-08-02 12:00:00' - last_loaded_at) / 3600)::bigint age_hours,
        case when last_loaded_at >= timestamp '2001-08-01 12:00:00' then 'pass'
@@ -133,7 +188,6 @@ from s_customers""",
 select product_id, count(*) as "rows" from s_items
 where product_id not in (select product_id from s_products where unit_price >= 1000) group by 1""",
 }
-EXTRA_FINALS |= {
-    f"i04_rules_{layer}": rule_query(sorted({r.table for r in RULES if r.layer == layer}), layer, ["unique", "not_null", "accepted_values"])
-    for layer in RULE_LAYERS
-}
+EXTRA_FINALS |= {f"i04_rules_{layer}": rule_query(layer) for layer in UNIQUE if layer != "staging"}
+# Every raw table through CSV files and the declared schema.
+EXTRA_FINALS |= {f"a01_csv_{key.split('_stg_')[1]}": FINALS[key] for key in FINALS if "_stg_" in key}

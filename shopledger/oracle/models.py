@@ -48,7 +48,7 @@ select 'ATT-' || o_orderkey attribution_id, o_custkey::varchar customer_id, 'CAM
        o_orderkey::varchar order_id, 'CAMP_' || (o_orderkey % 7) first_touch_campaign_id,
        'CAMP_' || (o_orderkey % 25) last_touch_campaign_id, o_totalprice::decimal(10,2)::double attributed_revenue_eur,
        {pick(["last_touch", "first_touch", "linear"], "o_orderkey")} attribution_model, o_orderdate loaded_at
-from orders where o_orderstatus = 'F'
+from orders
 """
 FINALS["m10_stg_web_events"] = f"""
 select event_id::varchar event_id, user_id || '-' || strftime(ts, '%Y%m%d') session_id,

@@ -16,6 +16,12 @@ def load_csv(spark: SparkSession, table: str, path: str) -> DataFrame:
     return spark.read.schema(raw_schema(table)).options(**CSV_OPTIONS).csv(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files that ``load_csv`` reads back as they were, times to the microsecond."""
+    fraction = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    df.write.options(header="true", timestampNTZFormat=fraction).csv(path)
+
+
 def load_parquet(spark: SparkSession, table: str, path: str) -> DataFrame:
     return spark.read.schema(raw_schema(table)).parquet(path)
 
