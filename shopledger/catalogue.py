@@ -25,6 +25,7 @@ from .plans.publish import consumer_marts, publish_core
 from .plans.staging import STAGING, stg_order_items, stg_orders, stg_payments
 from .schemas import RAW_DDL
 from .session import fresh_path, tune
+from .sources.monthly import upsert_months, write_months
 from .sources.raw import load_csv, write_csv
 from .sources.sinks import append_rows, with_next_keys, write_clustered, write_table
 from .sources.tables import AS_OF, RetailTables
@@ -116,6 +117,23 @@ def a06_merge_orders(m):
     return _merged(m, older, m.order_amounts.where(number % 3 != 1).select(*columns, "channel"))
 
 
+@extra
+def a06_merge_one_month(m):
+    """A batch of one month merged into orders stored by month: other months keep their files.
+
+    Some of its orders are not stored yet, every seventh moves to a later month; it lacks the revenue and brings the channel.
+    """
+    number, day = F.col("order_id").cast("bigint"), F.col("order_date")
+    columns = ["order_id", "customer_id", "order_date", "order_status"]
+    older = m.order_amounts.where(number % 3 != 0).select(*columns, "net_revenue_eur")
+    path = fresh_path(m.raw.spark, "orders-by-month")
+    write_months(older.withColumn("order_status", F.lit("processing")), path, "order_date")
+    batch = m.order_amounts.where(F.trunc("order_date", "MM") == "1998-03-01").select(*columns, "channel")
+    batch = batch.withColumn("order_date", F.when(number % 7 == 0, F.date_add(day, 40)).otherwise(day))
+    stored = write_table(batch, fresh_path(m.raw.spark, "batch-of-a-month"))
+    return upsert_months(m.raw.spark, path, stored, "order_id", "order_date")
+
+
 def _merged(m, older: DataFrame, newer: DataFrame) -> DataFrame:
     """Both sides stored, then merged from the stored tables."""
     target = write_table(older, fresh_path(m.raw.spark, "merge-target"))
