@@ -1,19 +1,28 @@
 """Most frequent partner of every item over groups (co-purchase), without all pairs of a huge group.
 
 Groups of at most ``wide`` rows are listed as arrays and emit their pairs: at most ``wide / 2`` pairs
-per input row, so that work is linear in the rows. Wider groups emit no item pairs. Items that occur
-in the same set of wide groups are interchangeable there, so they collapse into one class, and shared
-wide groups are counted between classes. Both parts are exact and are added up.
+per input row, so that work is linear in the rows. Wider groups emit no item pairs. Their items are dealt into blocks,
+and shared groups are counted tile by tile, a tile being a pair of blocks: a sparse matrix product, group by
+group, into a small dense table of counts. A tile holds all groups of its items, and of the narrow groups the counts
+of its pairs, so its counts are final and only the best partner of each of its items leaves it. A task sees the
+part of a group that lies in its two blocks. Both kinds of groups are exact.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import fresh_path, limit
 from .skew import HEAVY_SHARE, HeavyKeys, heavy_keys, spread_join, with_parts
 
+PAIRS = 2_000_000  # pairs of a tile that are counted at a time
+
 
 def _split(rows: DataFrame, heavy: HeavyKeys, wide: int) -> tuple[DataFrame, DataFrame]:
     """(narrow groups as sorted arrays, rows of wide groups) of rows (g, i); one shuffle of the rows."""
@@ -61,25 +70,94 @@ def _both_ways() -> Column:
     )
 
 
-def _wide_classes(members: DataFrame):
-    """Classes of items with the same wide groups.
-
-    Returns (item, class), (class, first item, second item) and (class, class, shared groups). The last
-    one joins classes on a shared wide group; with few wide groups there are few classes.
-    """
-    # Order-free signature of an item's set of groups: its size and two sums of 64-bit hashes. Nothing is
-    # collected, and equal signatures of different sets would take a collision of 128 hash bits.
-    hashes = [F.sum(F.xxhash64("g", F.lit(seed)).cast("decimal(38,0)")) for seed in (1, 2)]
-    signed = members.groupBy("i").agg(F.count(F.lit(1)).alias("m"), hashes[0].alias("h1"), hashes[1].alias("h2"))
-    item_class = signed.select("i", F.concat_ws("|", "m", "h1", "h2").alias("c"))
-    # row_number <= 2 is limited per task before the shuffle, so a large class stays spread out.
-    ranked = item_class.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("i"))).where("r <= 2")
-    heads = ranked.groupBy("c").agg(F.min("i").alias("first"), F.max(F.when(F.col("r") == 2, F.col("i"))).alias("second"))
-    # The first item of a class stands for its set of groups.
-    of_group = members.join(heads.select("c", F.col("first").alias("i")), "i").select("c", "g")
-    left, right = of_group.withColumnRenamed("c", "c1"), of_group.withColumnRenamed("c", "c2")
-    shared = left.join(right, "g").groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m"))
-    return item_class, heads, shared
+class _Side:
+    """Members of one block: group number and place of each, by group."""
+
+    def __init__(self, group: np.ndarray, lists: pa.ListArray, groups: int):
+        order = np.argsort(group, kind="stable")
+        lists = lists.take(pa.array(order))
+        many = pc.list_value_length(lists).to_numpy()
+        self.place = lists.flatten().to_numpy().astype(np.int64)
+        self.group = np.repeat(group[order], many)
+        self.sizes = np.bincount(self.group, minlength=groups)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+
+def _pair_chunks(rows: _Side, columns: _Side) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all (row item, column item) that share a group, PAIRS at a time."""
+    times = columns.sizes[rows.group]
+    ends = np.cumsum(times)
+    at = 0
+    while at < len(times):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        many = times[at:stop]
+        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        yield np.repeat(rows.place[at:stop], many), columns.place[np.repeat(columns.starts[rows.group[at:stop]], many) + inside]
+        at = stop
+
+
+BEST = "block int, place int, other_block int, other_place int, n bigint"
+
+
+def _best_in_tile(tile: tuple, members: pa.Table, narrow: pa.Table) -> pa.Table:
+    """The best partner of each item of block p in block q and, in another table row, the other way round."""
+    p, q = tile[0].as_py(), tile[1].as_py()
+    group = members.column("g").combine_chunks().dictionary_encode()
+    numbers, block = group.indices.to_numpy(), members.column("block").to_numpy()
+    lists = members.column("at").combine_chunks()
+    sides = [_Side(numbers[block == b], lists.filter(pa.array(block == b)), len(group.dictionary)) for b in (p, q)]
+    height, width = (int(s.place.max(initial=-1)) + 1 for s in sides)
+    counts = np.zeros(height * width, np.int64)
+    for row, column in _pair_chunks(*sides):
+        counts += np.bincount(row * width + column, minlength=len(counts))
+    counts = counts.reshape(height, width)
+    row, column, n = (narrow.column(c).to_numpy() for c in ("row", "column", "n"))
+    np.add.at(counts, (row, column), n)
+    if p == q:
+        np.add.at(counts, (column, row), n)
+        np.fill_diagonal(counts, 0)
+    out = [_best_rows(counts, p, q)] + ([_best_rows(counts.T, q, p)] if p != q else [])
+    return pa.concat_tables(out)
+
+
+def _best_rows(counts: np.ndarray, block: int, other: int) -> pa.Table:
+    # The first of equal counts; places within a block follow the order of the items.
+    place = counts.argmax(1) if counts.size else np.zeros(0, np.int64)
+    n = counts[np.arange(len(place)), place]
+    own = np.flatnonzero(n > 0)
+    columns = [np.full(len(own), block), own, np.full(len(own), other), place[own]]
+    return pa.table([*(pa.array(c, pa.int32()) for c in columns), pa.array(n[own])], names=[c.split()[0] for c in BEST.split(", ")])
+
+
+def _tile_candidates(pairs: DataFrame, members: DataFrame, tile_items: int, tile_rows: int) -> DataFrame:
+    """(i, best): for every item of a wide group its best partner in each block, counted over all groups."""
+    items = members.groupBy("i").agg(F.lit(1))
+    blocks = max(1, -(-items.count() // tile_items), -(-2 * members.count() // tile_rows))
+    block = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")
+    within = Window.partitionBy("block").orderBy("i")
+    items = _stored(items.select("i", block.alias("block")).withColumn("place", F.row_number().over(within) - 1), "items")
+    parts = members.join(items, "i").groupBy("g", "block").agg(F.collect_list("place").alias("at"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    tiles = parts.select("g", "block", "at", other).select(
+        F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "g", "block", "at"
+    )
+    one, two = (items.select(F.col("i").alias(n), F.col("block").alias(f"block_{n}"), F.col("place").alias(f"place_{n}")) for n in "ab")
+    ordered = F.col("block_a") <= F.col("block_b")
+    narrow = (
+        pairs.join(one, "a")
+        .join(two, "b")
+        .select(
+            F.least("block_a", "block_b").alias("tile_p"),
+            F.greatest("block_a", "block_b").alias("tile_q"),
+            F.when(ordered, F.col("place_a")).otherwise(F.col("place_b")).alias("row"),
+            F.when(ordered, F.col("place_b")).otherwise(F.col("place_a")).alias("column"),
+            "n",
+        )
+    )
+    best = tiles.groupBy("p", "q").cogroup(narrow.groupBy("tile_p", "tile_q")).applyInArrow(_best_in_tile, BEST)
+    partner = items.select(F.col("i").alias("partner"), F.col("block").alias("other_block"), F.col("place").alias("other_place"))
+    named = best.join(items, ["block", "place"]).join(partner, ["other_block", "other_place"])
+    return named.select("i", _rank(F.col("n"), F.col("partner")).alias("best"))
 
 
 def top_partners(
@@ -152,38 +230,10 @@ def _with_wide_groups(tally: DataFrame, wide_rows: DataFrame, heavy: HeavyKeys)
     )
     in_narrow = tally.where("b is null").select(F.col("a").alias("i"), F.col("n").alias("rows"), "size")
     stats = in_narrow.unionByName(in_wide).groupBy("i").agg(F.sum("rows").alias("rows"), F.sum("size").alias("size"))
-    best = _candidates(tally.where("b is not null"), members).groupBy("i").agg(F.min("best").alias("best"))
+    pairs = tally.where("b is not null")
+    # A pair's count in narrow groups alone is too small where it shares wide ones, and then loses to its tile's.
+    met = pairs.select(F.explode(_both_ways()).alias("e")).select("e.i", "e.best")
+    shared = _tile_candidates(pairs, members, limit(tally, "tileItems"), limit(tally, "tileRows"))
+    best = met.unionByName(shared).groupBy("i").agg(F.min("best").alias("best"))
     return stats.join(best, "i", "left")
 
-
-def _candidates(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(i, best) candidates whose best one is the exact top partner over all groups.
-
-    A partner met in a narrow group gets its full count. Any other partner only shares wide groups;
-    among those the first item of the class with most shared groups is enough.
-    """
-    item_class, heads, shared = map(_stored, _wide_classes(members), ("classes", "heads", "shared"))
-    class_a = item_class.select(F.col("i").alias("a"), F.col("c").alias("c1"))
-    class_b = item_class.select(F.col("i").alias("b"), F.col("c").alias("c2"))
-    totals = (
-        pairs.join(class_a, "a", "left")
-        .join(class_b, "b", "left")
-        .join(shared, ["c1", "c2"], "left")
-        .select("a", "b", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
-    )
-    met = totals.select(F.explode(_both_ways()).alias("e")).select("e.i", "e.best")
-
-    heads_of = heads.select(F.col("c").alias("c2"), "first")
-    others = (
-        shared.where("c1 <> c2")
-        .join(heads_of, "c2")
-        .groupBy(F.col("c1").alias("c"))
-        .agg(F.min(_rank(F.col("m"), F.col("first"))).alias("other"))
-    )
-    own = shared.where("c1 = c2").select(F.col("c1").alias("c"), F.col("m").alias("own"))
-    per_class = heads.join(own, "c").join(others, "c", "left")
-    mate = F.when(F.col("i") == F.col("first"), F.col("second")).otherwise(F.col("first"))
-    found = F.array(F.when(mate.isNotNull(), _rank(F.col("own"), mate)), F.col("other"))
-    return met.unionByName(
-        item_class.join(per_class, "c").select("i", F.explode(F.array_compact(found)).alias("best"))
-    )

@@ -118,6 +118,29 @@ def test_top_partners_equals_brute_force(spark, wide, seed):
     assert spark_partners(spark, lines, wide=wide, min_rows=10) == brute_partners(lines)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_wide_groups_by_small_tiles(spark, seed):
+    rng = random.Random(seed)
+    lines = [(f"g{int(rng.paretovariate(0.8)) % 40}", f"i{rng.randint(0, 60):02d}") for _ in range(900)]
+    spark.conf.set("spark.shopledger.tileItems", "7")
+    try:
+        assert spark_partners(spark, lines, wide=6, min_rows=50) == brute_partners(lines)
+    finally:
+        spark.conf.unset("spark.shopledger.tileItems")
+
+
+def test_thousands_of_different_wide_groups(spark, monkeypatch):
+    """No two items share a set of groups; tiles see a part of each group, and only best partners leave them."""
+    monkeypatch.setattr(pairs, "PAIRS", 1000)
+    rng = random.Random(9)
+    lines = sorted({(f"g{g}", f"i{int(400 * rng.random() ** 2):03d}") for g in range(2500) for _ in range(14)})
+    spark.conf.set("spark.shopledger.tileItems", "90")
+    try:
+        assert spark_partners(spark, lines, wide=8, min_rows=10**6) == brute_partners(lines)
+    finally:
+        spark.conf.unset("spark.shopledger.tileItems")
+
+
 def test_top_partners_of_one_huge_group_emits_no_pairs(spark):
     """One group holds most rows. Its 3000 items would give 4.5 million pairs."""
     lines = [("huge", f"i{n:04d}") for n in range(3000)] + [("a", "i0007"), ("a", "i0009"), ("b", "i0007"), ("b", "i0009")]
