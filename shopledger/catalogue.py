@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from . import quality
 from .functions.money import rounded
 from .metrics import metric
+from .operators.distinct import distinct_counts, distinct_state, key_numbers, merged_states
 from .operators.merge import upsert
 from .operators.ranking import random_rows, tiles
 from .operators.skew import spread_join
@@ -250,6 +252,52 @@ def f03_random_sample(m):
     )
 
 
+# ------------------------------------------------------------------ distinct counts from stored sets
+def _sets(m, rows: DataFrame, key: str, day: str, by: list[str]) -> DataFrame:
+    """The stored state of ``rows``."""
+    state = distinct_state(rows, key_numbers(rows, key), key, day, by)
+    return write_table(state, fresh_path(m.raw.spark, f"{key}-sets"))
+
+
+def _by_grains(state: DataFrame, by: list[str], name: str, grains=("day", "month", "year")) -> DataFrame:
+    """Counts of several grains, all from one state."""
+    counts = [distinct_counts(state, by, g, name).withColumn("grain", F.lit(g)) for g in grains]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@extra
+def j01_customers_by_grain(m):
+    by = ["country", "loyalty_tier"]
+    return _by_grains(_sets(m, m.dim_customers, "customer_id", "signup_date", by), by, "total_customers")
+
+
+@extra
+def j03_products_by_grain(m):
+    by = ["category", "performance_tier"]
+    return _by_grains(_sets(m, m.dim_products, "product_id", "launched_at", by), by, "total_products")
+
+
+@extra
+def j07_orders_by_grain(m):
+    by = ["shipping_country"]
+    return _by_grains(_sets(m, m.order_amounts, "order_id", "order_date", by), by, "total_orders")
+
+
+@extra
+def d03_active_customers(m):
+    """Customers with orders by channel and altogether, from the state of older orders and that of a later batch."""
+    spark, orders = m.raw.spark, m.stg_orders
+    older, later = orders.where("order_date < date '1999-01-01'"), orders.where("order_date >= date '1999-01-01'")
+    numbers = key_numbers(older, "customer_id")
+    state = write_table(distinct_state(older, numbers, "customer_id", "order_date", ["channel"]), fresh_path(spark, "older-sets"))
+    numbers = key_numbers(later, "customer_id", numbers)
+    state = merged_states(state, distinct_state(later, numbers, "customer_id", "order_date", ["channel"]))
+    state = write_table(state, fresh_path(spark, "merged-sets"))
+    grains = ("week", "month", "quarter", "year")
+    both = _by_grains(state, ["channel"], "customers", grains)
+    return both.unionByName(_by_grains(state, [], "customers", grains).withColumn("channel", F.lit("all")))
+
+
 # ------------------------------------------------------------------ data rules
 def _staged(m) -> dict[str, DataFrame]:
     tables = {r.table for r in quality.RULES if r.layer == "staging"}

@@ -193,6 +193,26 @@ from s_customers""",
 select product_id, count(*) as "rows" from s_items
 where product_id not in (select product_id from s_products where unit_price >= 1000) group by 1""",
 }
+
+
+def by_grains(source: str, key: str, day: str, by: str, name: str, grains=("day", "month", "year")) -> str:
+    """Distinct keys counted anew for each grain."""
+    parts = [
+        f"select {by + ', ' if by else ''}date_trunc('{g}', {day})::date period, count(distinct {key}) {name}, '{g}' grain from {source} group by all"
+        for g in grains
+    ]
+    return "\nunion all ".join(parts)
+
+
+_GRAINS = ("week", "month", "quarter", "year")
+EXTRA_FINALS |= {
+    "j01_customers_by_grain": by_grains("d_customers", "customer_id", "signup_date", "country, loyalty_tier", "total_customers"),
+    "j03_products_by_grain": by_grains("d_products", "product_id", "launched_at", "category, performance_tier", "total_products"),
+    "j07_orders_by_grain": by_grains("s_orders", "order_id", "order_date", "shipping_country", "total_orders"),
+    "d03_active_customers": by_grains("s_orders", "customer_id", "order_date", "channel", "customers", _GRAINS)
+    + "\nunion all by name\n"
+    + by_grains("s_orders", "customer_id", "order_date", "'all' channel", "customers", _GRAINS),
+}
 EXTRA_FINALS |= {f"i04_rules_{layer}": rule_query(layer) for layer in UNIQUE if layer != "staging"}
 # Every raw table through CSV files and the declared schema.
 EXTRA_FINALS |= {f"a01_csv_{key.split('_stg_')[1]}": FINALS[key] for key in FINALS if "_stg_" in key}
