@@ -23,10 +23,11 @@ from .oracle.models import FINALS as MODEL_FINALS
 from .oracle import statement
 from .plans import core, data_science
 from .plans.models import RetailModels, StagedTables, in_report_order
-from .plans.publish import consumer_marts, publish_core
+from .plans.publish import BUCKETED, consumer_marts, order_status_report, publish_by_order, publish_core
 from .plans.staging import STAGING, stg_order_items, stg_orders, stg_payments
 from .schemas import RAW_DDL
 from .session import fresh_path, tune
+from .sources.layout import write_along_curve
 from .sources.monthly import upsert_months, write_months
 from .sources.raw import load_csv, write_csv
 from .sources.sinks import append_rows, with_next_keys, write_clustered, write_table
@@ -158,6 +159,20 @@ def a08_clustered_table(m):
     return write_clustered(m.int_orders_enriched, path, "order_date", "customer_id")
 
 
+@extra
+def a08_along_curve(m):
+    """The order block laid out along a curve over date and customer, stored and read back."""
+    path = fresh_path(m.raw.spark, "int_orders_enriched-curve")
+    return write_along_curve(m.int_orders_enriched, path, "order_date", "customer_id")
+
+
+@extra
+def a11_orders_in_buckets(m):
+    """Order, item, payment and shipment facts stored in buckets, and joined without a shuffle."""
+    staged = {f"raw_{n}": getattr(m, f"stg_{n}") for n in BUCKETED}
+    return order_status_report(publish_by_order(staged, fresh_path(m.raw.spark, "buckets"), 8))
+
+
 LOADED = dt.datetime(2001, 8, 1, 6)
 
 

@@ -150,6 +150,11 @@ select order_id, net::double net_revenue_eur, if(order_id::bigint % 3 = 0, null,
        if(order_id::bigint % 3 = 1, null, channel) channel, if(order_id::bigint % 3 = 1, null, item_count) item_count
 from b_orders""",
     "a08_clustered_table": FINALS["m11_int_orders_enriched"],
+    "a08_along_curve": FINALS["m11_int_orders_enriched"],
+    "a11_orders_in_buckets": """
+select order_id, customer_id, order_date, order_status, item_count, gross::double gross_revenue, net::double net_revenue, p.payment_status,
+       p.total_paid_eur::double total_paid_eur, p.is_refunded, carrier, shipment_status, days_to_deliver, is_late_delivery
+from b_orders left join b_paid p using (order_id) left join b_shipped using (order_id)""",
     "a09_append_batch": appended("m03_stg_orders", "order_id", "ORD_", 0, "date '2001-08-01' as order_date"),
     "a09_append_items": appended("m04_stg_order_items", "order_item_id", "ITEM_", 6),
     "a09_append_payments": appended("m05_stg_payments", "payment_id", "PAY_", 6, "date '2001-08-01' as payment_date"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from ..operators.merge import upsert
 from ..quality import check_all, enforce_contract, tag_personal
+from ..sources.layout import write_bucketed
 from ..sources.sinks import write_clustered, write_table
 from . import core, data_science, finance, intermediate, marketing
 from .staging import STAGING
@@ -62,6 +63,30 @@ def publish_core(
     return out
 
 
+BUCKETED = ("orders", "order_items", "payments", "shipments")
+
+
+def publish_by_order(stg: dict[str, DataFrame], root: str, buckets: int) -> dict[str, DataFrame]:
+    """The staged order facts in buckets of the order id: they join and group by order without a shuffle."""
+    return {name: write_bucketed(stg[f"raw_{name}"], f"{root}/{name}", "order_id", buckets) for name in BUCKETED}
+
+
+def order_status_report(facts: dict[str, DataFrame]) -> DataFrame:
+    """Each order's amounts, payment and shipment state from facts that lie together by order.
+
+    Merge joins are asked for: a broadcast would bring back an exchange.
+    """
+    totals = intermediate.order_totals(facts["orders"].hint("merge"), facts["order_items"])
+    paid = intermediate.payment_rollup(facts["payments"]).select("order_id", "payment_status", "total_paid_eur", "is_refunded")
+    columns = ["carrier", "shipment_status", "shipped_at", "delivered_at"]
+    shipped = intermediate.primary_shipments(facts["shipments"], columns=columns).drop("shipped_at", "delivered_at")
+    joined = totals.join(paid.hint("merge"), "order_id", "left").join(shipped.hint("merge"), "order_id", "left")
+    return joined.select(
+        "order_id", "customer_id", "order_date", "order_status", "item_count", "gross_revenue", "net_revenue", "payment_status",
+        "total_paid_eur", "is_refunded", "carrier", "shipment_status", "days_to_deliver", "is_late_delivery",
+    )
+
+
 class RepeatedKeys(ValueError):
     pass
 
