@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import quality
-from .functions.money import rounded
 from .metrics import metric
 from .operators.distinct import distinct_counts, distinct_state, key_numbers, merged_states
 from .operators.merge import upsert
@@ -35,19 +34,12 @@ from .sources.tables import AS_OF, RetailTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Shown with four places: the last bits of a standard deviation, and of a mean of means, depend on the
-# order of additions.
-SHOWN_ROUNDED = {"std_order_value", "avg_selling_price_eur"}
-
-
 def comparable(df: DataFrame) -> DataFrame:
     """Decimals as doubles, integers as bigint."""
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
-        if f.name in SHOWN_ROUNDED:
-            c = rounded(c, 4)
-        elif isinstance(f.dataType, T.DecimalType):
+        if isinstance(f.dataType, T.DecimalType):
             c = c.cast("double")
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("bigint")
@@ -241,6 +233,16 @@ def e04_sequence_of_heavy_customers(m):
     return data_science.order_sequence_features(m.order_amounts, slices=37)
 
 
+@extra
+def e05_sequence_continued(m):
+    """Order sequence of three batches of orders, each numbered on from the stored ends of the one before."""
+    spark, root, day = m.raw.spark, fresh_path(m.raw.spark, "sequences"), F.col("order_date")
+    data_science.start_sequences(m.order_amounts.where(day < "1998-01-01"), root)
+    data_science.append_sequences(m.order_amounts.where((day >= "1998-01-01") & (day < "2000-06-15")), root, 1)
+    data_science.append_sequences(m.order_amounts.where(day >= "2000-06-15"), root, 2)
+    return data_science.stored_sequence_features(spark, root, 2)
+
+
 @extra
 def e08_ntile_by_slices(m):
     """Price quartiles of the parts from range-partitioned slices."""

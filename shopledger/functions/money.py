@@ -69,3 +69,31 @@ def to_eur(amount: Column, currency: Column, rates: dict[str, str] | None = None
         value = F.lit(Decimal(value))
         rate = F.when(code == name, value) if rate is None else rate.when(code == name, value)
     return money(F.round(amount * rate.otherwise(F.lit(Decimal("1.00"))), 2))
+
+
+def whole_cents(c: Column) -> Column:
+    """An amount with two decimals as a whole number of cents."""
+    return (c * 100).cast("decimal(18,0)")
+
+
+def sample_deviation(c: Column) -> Column:
+    """Sample standard deviation of amounts from exact moments; NULL for fewer than two values.
+
+    Count, sum and sum of squares of whole cents are wide decimals, which add up to the same in any order; only the last
+    quotient and root are doubles. The sum of squares times the count must stay below 10^38.
+    """
+    cents = whole_cents(c)
+    n, total, squares = F.count(c), F.sum(cents), F.sum(cents * cents)
+    wide = "decimal(38,0)"
+    spread = n.cast("decimal(19,0)") * squares - total.cast(wide) * total.cast(wide)
+    return F.sqrt(spread.cast("double") / F.nullif((n * (n - 1)).cast("double"), F.lit(0.0))) / 100
+
+
+def mean_units(total: Column, n: Column, places: int = 8) -> Column:
+    """total / n (a sum of amounts with two decimals and its count) in whole units of 10^-places, rounded half up.
+
+    Whole-number arithmetic throughout, so the result can be summed and compared exactly; NULL for n = 0.
+    """
+    scale = F.lit(2 * 10 ** (places - 2)).cast("decimal(18,0)")
+    twice = (total * 100).cast("decimal(38,0)") * scale + n
+    return F.call_function("div", twice.cast("decimal(38,0)"), F.nullif(2 * n, F.lit(0)).cast("decimal(20,0)"))

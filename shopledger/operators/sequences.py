@@ -92,3 +92,51 @@ def _windowed(df, keys, day, tie, number, previous, distinct) -> DataFrame:
         *[F.lag(c).over(ordered).alias(out) for out, c in previous.items()],
         *[F.size(F.collect_set(c).over(group)).cast("bigint").alias(out) for out, c in distinct.items()],
     )
+
+
+def sequence_ends(numbered: DataFrame, key: str, day: str, tie: str, number: str, previous: dict[str, str], distinct: dict[str, str]) -> DataFrame:
+    """One row per key: how its sequence ends, for a later batch to go on from.
+
+    The last number, day and tie, the values that the next row lags, and the sets of distinct values. Combined
+    before the shuffle; a key has as many set members as the column has values.
+    """
+    place = [F.col(number), F.col(day).alias("day"), F.col(tie).alias("tie"), *[F.col(c).alias(f"last_{out}") for out, c in previous.items()]]
+    return numbered.groupBy(key).agg(
+        F.max(F.struct(*place)).alias("end"), *[F.collect_set(c).alias(f"set_{out}") for out, c in distinct.items()]
+    )
+
+
+def continued(
+    ends: DataFrame, batch: DataFrame, key: str, day: str, tie: str, number: str, previous: dict[str, str], distinct: dict[str, str]
+) -> tuple[DataFrame, DataFrame]:
+    """(the batch's rows numbered on from ``ends``, the new ends); the history is not read.
+
+    The arguments are those of ``with_previous``, except that ``distinct`` goes into the ends alone: counts over a
+    whole key change with every batch, so a reader joins them (``distinct_sizes``). Rows of a batch must come after
+    the rows of their key that are there already, by (day, tie), a NULL day last; else ``ValueError``. ``ends`` and
+    ``batch`` should be stored tables.
+    """
+    here = with_previous(batch, key, day, tie, "_n", {f"_p_{n}": c for n, c in previous.items()})
+    met = here.join(ends.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    end_day, end_tie = F.col("end.day"), F.col("end.tie")
+    early = F.when(end_day.isNull(), F.col(day).isNotNull() | (F.col(tie) <= end_tie)).otherwise(
+        F.col(day).isNotNull() & ((F.col(day) < end_day) | ((F.col(day) == end_day) & (F.col(tie) <= end_tie)))
+    )
+    if not met.where(F.col("end").isNotNull() & early).isEmpty():
+        raise ValueError("a batch must come after the rows that are numbered already")
+    first_here = F.col("_n") == 1
+    rows = met.select(
+        *batch.columns,
+        (F.col("_n") + F.coalesce(F.col(f"end.{number}"), F.lit(0))).alias(number),
+        *[F.when(first_here, F.col(f"end.last_{n}")).otherwise(F.col(f"_p_{n}")).alias(n) for n in previous],
+    )
+    new = sequence_ends(rows, key, day, tie, number, previous, distinct)
+    both = ends.unionByName(new).groupBy(key).agg(
+        F.max("end").alias("end"), *[F.array_distinct(F.flatten(F.collect_list(f"set_{out}"))).alias(f"set_{out}") for out in distinct]
+    )
+    return rows, both
+
+
+def distinct_sizes(ends: DataFrame, key: str, distinct: dict[str, str]) -> DataFrame:
+    """Distinct values per key, from the sets of the ends."""
+    return ends.select(key, *[F.size(f"set_{out}").cast("bigint").alias(out) for out in distinct])

@@ -224,8 +224,10 @@ from s_payments p left join s_orders o using (order_id)
 """
 
 BLOCKS["x_features"] = f"""
-with wide as (
-  select customer_id, stddev_samp(net::double) spread, count(distinct channel) channels from b_orders where keep group by all),
+with cents as (select customer_id, channel, (net * 100)::hugeint c from b_orders where keep),
+wide as (
+  select customer_id, sqrt((count(c) * sum(c * c) - sum(c) * sum(c))::varchar::double / nullif(count(c) * (count(c) - 1), 0)) / 100 spread,
+         count(distinct channel) channels from cents group by all),
 fav as (
   select customer_id, channel from b_orders where keep group by customer_id, channel
   qualify row_number() over (partition by customer_id order by count(*) desc, channel) = 1)

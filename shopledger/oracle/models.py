@@ -168,17 +168,18 @@ from n
 FINALS["m25_product_margin_analysis"] = f"""
 with s as (
   select product_id, count(distinct order_id) total_orders, sum(quantity)::bigint units_sold, sum(line_revenue_eur) revenue,
-         sum(quantity * cost_price) spent, {avg_of("unit_price_eur")} asp
+         sum(quantity * cost_price) spent, {avg_of("unit_price_eur")} asp,
+         (sum((unit_price_eur * 100)::hugeint) * 2000000 + count(unit_price_eur)) // (2 * count(unit_price_eur)) asp_units
   from f_items join s_products using (product_id) where keep group by all),
 p as (
   select d.product_id, product_name, category, subcategory, collection, unit_price price, cost_price cost, margin_pct,
          coalesce(total_orders, 0) total_orders, coalesce(units_sold, 0) units_sold, coalesce(revenue, 0) revenue,
-         coalesce(spent, 0) spent, coalesce(asp, price) asp
+         coalesce(spent, 0) spent, coalesce(asp, price) asp, coalesce(asp_units, (price * 100000000)::hugeint) asp_units
   from s_products d left join s using (product_id))
 select product_id, product_name, category, subcategory, collection, price::double current_price, cost::double cost_price,
        margin_pct::double catalog_margin_pct, total_orders, units_sold, revenue::double total_revenue_eur, spent::double total_cost_eur,
        (revenue - spent)::double gross_margin_eur,
-       if(revenue > 0, {pct("revenue - spent", "revenue")}, margin_pct) realized_margin_pct, round(asp::decimal(28,8), 4)::double avg_selling_price_eur,
+       if(revenue > 0, {pct("revenue - spent", "revenue")}, margin_pct) realized_margin_pct, asp avg_selling_price_eur,
        'product' aggregation_level
 from p
 union all by name
@@ -186,7 +187,7 @@ select category, {avg_of("price")} current_price, {avg_of("cost")} cost_price, {
        sum(total_orders)::bigint total_orders, sum(units_sold)::bigint units_sold, sum(revenue)::double total_revenue_eur,
        sum(spent)::double total_cost_eur, sum(revenue - spent)::double gross_margin_eur,
        {pct("sum(revenue - spent)", "sum(revenue)")} realized_margin_pct,
-       round(({avg_of("asp::decimal(28,8)")})::decimal(28,8), 4)::double avg_selling_price_eur, 'category' aggregation_level
+       {avg_of("asp_units")} / 100000000 avg_selling_price_eur, 'category' aggregation_level
 from p group by category
 """
 FINALS["m26_daily_flash_report"] = f"""
@@ -266,7 +267,7 @@ from w
 FINALS["m33_customer_features"] = """
 select customer_id, snapshot_date, days_since_last_order recency_days, total_orders frequency_orders,
        lifetime_value_eur::double monetary_value, avg_order_value_eur avg_order_value,
-       round(std_order_value::decimal(28,8), 4)::double std_order_value, preferred_channel, distinct_channels_used,
+       std_order_value, preferred_channel, distinct_channels_used,
        favorite_category preferred_category, days_since_signup, loyalty_tier_encoded, has_returned_items, return_rate, active_flag,
        gender, country, acquisition_channel, customer_status, customer_tenure_days
 from x_features
@@ -297,7 +298,7 @@ from d_products p left join t using (product_id) left join d_products q on q.pro
 FINALS["m36_churn_prediction_input"] = """
 select customer_id, snapshot_date, days_since_last_order is null or days_since_last_order > 180 is_churned,
        days_since_last_order days_since_last_purchase, total_orders frequency_orders, lifetime_value_eur::double monetary_value,
-       avg_order_value_eur avg_order_value, round(std_order_value::decimal(28,8), 4)::double std_order_value, preferred_channel,
+       avg_order_value_eur avg_order_value, std_order_value, preferred_channel,
        distinct_channels_used, favorite_category preferred_category, days_since_signup, loyalty_tier_encoded, has_returned_items,
        return_rate, active_flag, gender, country, acquisition_channel, customer_tenure_days,
        null::double predicted_churn_probability_placeholder

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions.conditions import band_from, code_of, first_match, flag, kept
-from ..functions.money import quotient, ratio, rounded
+from ..functions.money import quotient, ratio, rounded, sample_deviation
 from ..operators.pairs import top_partners
 from ..operators.ranking import most_frequent
-from ..operators.sequences import with_previous
+from ..operators.sequences import continued, distinct_sizes, sequence_ends, with_previous
+from ..sources.sinks import write_table
 from .marketing import mean_gap_days
 
 # Fixed values.
@@ -28,7 +29,7 @@ def _kept(facts: DataFrame) -> DataFrame:
 def customer_features(customers: DataFrame, orders: DataFrame, as_of: dt.date) -> DataFrame:
     """Recency, frequency, value, spread of order values, preferred channel and profile codes."""
     own = _kept(orders)
-    spread = own.groupBy("customer_id").agg(F.stddev_samp(F.col("net_revenue_eur").cast("double")).alias("_std"))
+    spread = own.groupBy("customer_id").agg(sample_deviation(F.col("net_revenue_eur")).alias("_std"))
     per_channel = own.groupBy("customer_id", "channel").agg(F.count(F.lit(1)).alias("n"))
     preferred = most_frequent(per_channel, "customer_id", "channel", "n", "preferred_channel")
     channels = per_channel.groupBy("customer_id").agg(F.count("channel").alias("_channels"))
@@ -62,18 +63,48 @@ def customer_features(customers: DataFrame, orders: DataFrame, as_of: dt.date) -
     )
 
 
+SEQUENCE = {
+    "key": "customer_id",
+    "day": "order_date",
+    "tie": "order_id",
+    "number": "order_number",
+    "previous": {"_day": "order_date", "_net": "net_revenue_eur"},
+    "distinct": {"_channels": "channel"},
+}
+
+
+def _in_sequence(orders: DataFrame) -> DataFrame:
+    return _kept(orders).select("customer_id", "order_id", "order_date", "net_revenue_eur", "channel")
+
+
 def order_sequence_features(orders: DataFrame, slices: int | None = None) -> DataFrame:
     """Order number, gap, value trend and channel consistency along each customer's kept orders."""
-    sequence = with_previous(
-        _kept(orders).select("customer_id", "order_id", "order_date", "net_revenue_eur", "channel"),
-        key="customer_id",
-        day="order_date",
-        tie="order_id",
-        number="order_number",
-        previous={"_day": "order_date", "_net": "net_revenue_eur"},
-        distinct={"_channels": "channel"},
-        slices=slices,
-    )
+    return _sequence_features(with_previous(_in_sequence(orders), slices=slices, **SEQUENCE))
+
+
+def start_sequences(orders: DataFrame, root: str) -> None:
+    """Number the kept orders of a first batch, and store them with the ends of their sequences under ``root``."""
+    rows = with_previous(_in_sequence(orders), **{k: v for k, v in SEQUENCE.items() if k != "distinct"})
+    write_table(sequence_ends(write_table(rows, f"{root}/rows/batch=0"), **SEQUENCE), f"{root}/ends/0")
+
+
+def append_sequences(orders: DataFrame, root: str, batch: int) -> None:
+    """Number the kept orders of a later batch (1, 2, ...) on from the stored ends; earlier rows are not read."""
+    spark = orders.sparkSession
+    ends = spark.read.parquet(f"{root}/ends/{batch - 1}")
+    rows, new_ends = continued(ends, write_table(_in_sequence(orders), f"{root}/arrived/{batch}"), **SEQUENCE)
+    write_table(rows, f"{root}/rows/batch={batch}")
+    write_table(new_ends, f"{root}/ends/{batch}")
+
+
+def stored_sequence_features(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    """``order_sequence_features`` of all batches up to ``batch``, from the stored rows and ends."""
+    rows = spark.read.parquet(f"{root}/rows").where(F.col("batch") <= batch).drop("batch")
+    sizes = distinct_sizes(spark.read.parquet(f"{root}/ends/{batch}"), "customer_id", SEQUENCE["distinct"])
+    return _sequence_features(rows.join(sizes, "customer_id", "left"))
+
+
+def _sequence_features(sequence: DataFrame) -> DataFrame:
     net, before = F.col("net_revenue_eur"), F.col("_net")
     # Orders without a customer form a sequence but have no customer to count channels for.
     channels = F.when(F.col("customer_id").isNotNull(), F.col("_channels"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions.conditions import kept
-from ..functions.money import growth, mean, money, percent, quotient, zero
+from ..functions.money import growth, mean, mean_units, money, percent, quotient, zero
 from ..operators.trailing import running_sum
 
 
@@ -131,11 +131,15 @@ def monthly_revenue_summary(orders: DataFrame) -> DataFrame:
     )
 
 
+UNIT_PLACES = 8  # decimals of a product's mean price, of which a category shows the mean
+
+
 def product_margin_analysis(products: DataFrame, lines: DataFrame) -> DataFrame:
     """Realised margin per product, plus one subtotal row per category.
 
     Items shrink to (product, order) and then to one row per product; cost is units times unit cost, so
-    no item meets the product table. Category averages are unweighted averages of the product rows.
+    no item meets the product table. Detail and subtotals are grouping sets over these rows, so the items are
+    read once. Category averages are unweighted averages of the product rows.
     """
     per_order = (
         _kept(lines)
@@ -147,68 +151,67 @@ def product_margin_analysis(products: DataFrame, lines: DataFrame) -> DataFrame:
             F.count("unit_price_eur").alias("priced"),
         )
     )
+    prices, priced = F.sum("prices"), F.sum("priced")
     sold = per_order.groupBy("product_id").agg(
         F.count("order_id").alias("total_orders"),
         F.sum("units").alias("units_sold"),
         money(F.sum("revenue")).alias("total_revenue_eur"),
-        quotient(F.sum("prices"), F.sum("priced")).alias("avg_selling_price_eur"),
+        quotient(prices, priced).alias("_price"),
+        mean_units(prices, priced, UNIT_PLACES).alias("_price_units"),
     )
-    cost = money(F.col("units_sold") * F.col("cost_price"))
-    revenue, total_cost = F.col("total_revenue_eur"), F.col("total_cost_eur")
-    margin = F.col("gross_margin_eur")
-    detail = (
-        products.select(
-            "product_id",
-            "product_name",
-            "category",
-            "subcategory",
-            "collection",
-            F.col("current_price").cast("double").alias("current_price"),
-            "cost_price",
-            F.col("margin_pct").alias("catalog_margin_pct"),
-        )
+    unit = 10**UNIT_PLACES
+    product = (
+        products.select("product_id", "product_name", "category", "subcategory", "collection", "current_price", "cost_price", "margin_pct")
         .join(sold, "product_id", "left")
         .withColumn("total_orders", F.coalesce("total_orders", F.lit(0)))
-        .withColumn("total_cost_eur", F.coalesce(cost, zero()))
+        .withColumn("total_cost_eur", F.coalesce(money(F.col("units_sold") * F.col("cost_price")), zero()))
         .withColumn("units_sold", F.coalesce("units_sold", F.lit(0)))
         .withColumn("total_revenue_eur", F.coalesce("total_revenue_eur", zero()))
-        .withColumn("gross_margin_eur", money(revenue - total_cost))
-        .withColumn(
-            "realized_margin_pct",
-            F.when(revenue > 0, percent(margin, revenue)).otherwise(F.col("catalog_margin_pct").cast("double")),
-        )
-        .withColumn("avg_selling_price_eur", F.coalesce("avg_selling_price_eur", "current_price"))
-        .withColumn("aggregation_level", F.lit("product"))
+        .withColumn("gross_margin_eur", money(F.col("total_revenue_eur") - F.col("total_cost_eur")))
+        .withColumn("_price", F.coalesce("_price", F.col("current_price").cast("double")))
+        .withColumn("_price_units", F.coalesce("_price_units", (F.col("current_price") * unit).cast("bigint")))
     )
+    keys = ["product_id", "product_name", "subcategory", "collection"]
+    levels = product.groupingSets([[*keys, "category"], ["category"]], *keys, "category")
+    is_product = F.grouping("product_id") == 0
 
     def plain_mean(name):
         return mean(F.col(name).cast("decimal(28,8)")).alias(name)
 
-    text = F.lit(None).cast("string")
-    per_category = (
-        detail.groupBy("category")
-        .agg(
-            plain_mean("current_price"),
-            plain_mean("cost_price"),
-            plain_mean("catalog_margin_pct"),
-            F.sum("total_orders").alias("total_orders"),
-            F.sum("units_sold").alias("units_sold"),
-            money(F.sum("total_revenue_eur")).alias("total_revenue_eur"),
-            money(F.sum("total_cost_eur")).alias("total_cost_eur"),
-            money(F.sum("gross_margin_eur")).alias("gross_margin_eur"),
-            percent(F.sum("gross_margin_eur"), F.sum("total_revenue_eur")).alias("realized_margin_pct"),
-            plain_mean("avg_selling_price_eur"),
-        )
-        .withColumns({c: text for c in ("product_id", "product_name", "subcategory", "collection")})
-        .withColumn("aggregation_level", F.lit("category"))
+    summed = levels.agg(
+        F.when(is_product, "product").otherwise("category").alias("aggregation_level"),
+        plain_mean("current_price"),
+        plain_mean("cost_price"),
+        mean(F.col("margin_pct").cast("decimal(28,8)")).alias("catalog_margin_pct"),
+        F.sum("total_orders").alias("total_orders"),
+        F.sum("units_sold").alias("units_sold"),
+        money(F.sum("total_revenue_eur")).alias("total_revenue_eur"),
+        money(F.sum("total_cost_eur")).alias("total_cost_eur"),
+        money(F.sum("gross_margin_eur")).alias("gross_margin_eur"),
+        # A product has one row, whose own price it shows.
+        F.max("_price").alias("_price"),
+        (mean(F.col("_price_units").cast("decimal(28,0)")) / unit).alias("_mean_price"),
+    )
+    detail, revenue = F.col("aggregation_level") == "product", F.col("total_revenue_eur")
+    realised = percent(F.col("gross_margin_eur"), revenue)
+    return summed.select(
+        "product_id",
+        "product_name",
+        "category",
+        "subcategory",
+        "collection",
+        "current_price",
+        "cost_price",
+        "catalog_margin_pct",
+        "total_orders",
+        "units_sold",
+        "total_revenue_eur",
+        "total_cost_eur",
+        "gross_margin_eur",
+        F.when(detail & ~F.coalesce(revenue > 0, F.lit(False)), F.col("catalog_margin_pct")).otherwise(realised).alias("realized_margin_pct"),
+        F.when(detail, F.col("_price")).otherwise(F.col("_mean_price")).alias("avg_selling_price_eur"),
+        "aggregation_level",
     )
-    order = [
-        "product_id", "product_name", "category", "subcategory", "collection", "current_price", "cost_price",
-        "catalog_margin_pct", "total_orders", "units_sold", "total_revenue_eur", "total_cost_eur",
-        "gross_margin_eur", "realized_margin_pct", "avg_selling_price_eur", "aggregation_level",
-    ]
-    doubles = {c: F.col(c).cast("double") for c in ("cost_price", "catalog_margin_pct")}
-    return detail.withColumns(doubles).select(order).unionByName(per_category.select(order))
 
 
 def daily_flash_report(orders: DataFrame, as_of: dt.date, days_back: int = 30) -> DataFrame:

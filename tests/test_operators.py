@@ -82,6 +82,29 @@ def test_with_previous_keeps_null_values_of_the_row_before(spark):
         assert rows(got, "id", "n", "p") == [("1", 1, None), ("2", 2, None), ("3", 3, 5)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_sequences_go_on_from_stored_ends(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    data = [(rng.choice(["a", "b", "c", None, f"k{i % 50}"]), i // 9 if i < 300 else None, f"t{i:04d}", rng.choice([None, i]), rng.choice("xyz")) for i in range(330)]
+    frame = spark.createDataFrame(data, "k string, day int, id string, v int, c string")
+    args = dict(key="k", day="day", tie="id", number="n", previous={"p": "v", "pd": "day"}, distinct={"u": "c"})
+    parts = [frame.where("day < 12"), frame.where("day >= 12 and day < 25"), frame.where("day >= 25 or day is null")]
+    rows_of = [sequences.with_previous(parts[0], **{a: x for a, x in args.items() if a != "distinct"})]
+    ends = sequences.sequence_ends(rows_of[0], **args)
+    for i, part in enumerate(parts[1:]):
+        new, ends = sequences.continued(ends, part, **args)
+        rows_of.append(new)
+        ends.write.parquet(str(tmp_path / f"ends{i}"))
+        ends = spark.read.parquet(str(tmp_path / f"ends{i}"))
+    numbered = rows_of[0].union(rows_of[1]).union(rows_of[2])
+    sizes = sequences.distinct_sizes(ends.withColumnRenamed("k", "key"), "key", args["distinct"])
+    got = numbered.join(sizes, F.col("k").eqNullSafe(F.col("key")), "left").drop("key")
+    want = sequences.with_previous(frame, **args)
+    assert rows(got, *want.columns) == rows(want)
+    with pytest.raises(ValueError):
+        sequences.continued(ends, parts[1], **args)
+
+
 def brute_partners(lines):
     groups = defaultdict(list)
     for g, i in lines:
