@@ -347,6 +347,14 @@ def i04_one_pass_core(m):
     return quality.check_all({"dim_customers": m.dim_customers, "fct_orders": m.fct_orders}, "core")
 
 
+@extra
+def i04_rules_while_writing(m):
+    """All rules of the core layer, counted by the writes that publish its marts."""
+    log = quality.RuleLog()
+    publish_core(m.raw, fresh_path(m.raw.spark, "checked-marts"), AS_OF, log=log)
+    return log.report(m.raw.spark)
+
+
 def _layer(name: str):
     """All rules of a layer over its raw tables or inline marts."""
 

@@ -10,7 +10,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,6 +126,51 @@ def check(df: DataFrame, rules: list[Rule], domains: Mapping[str, list] = DOMAIN
     return reduce(DataFrame.unionByName, results)
 
 
+class RuleLog:
+    """Failures of rules that are counted while tables are written."""
+
+    def __init__(self):
+        self.lines: list[tuple[str, str, str, str, int]] = []
+
+    def write(self, df: DataFrame, rules: list[Rule], path: str, cluster: tuple = (), domains: Mapping[str, list] = DOMAINS) -> DataFrame:
+        """Store ``df`` and count the failures of ``rules`` in the same pass; returns the stored table.
+
+        A unique column marks the second row of each value, for which the rows of a value have to meet in a task:
+        where the plan joins or groups by that column last, its shuffle serves. The counts are metrics of the write,
+        taken after the last shuffle, so that the sampling for a range partitioning does not count twice.
+        """
+        marks = {r: f"_again{i}" for i, r in enumerate(rules) if r.kind == "unique"}
+        marked = df
+        for r, mark in marks.items():
+            same = Window.partitionBy(r.column).orderBy(r.column)
+            marked = marked.withColumn(mark, (F.row_number().over(same) == 2) & F.col(r.column).isNotNull())
+        tests = {
+            "unique": lambda r: F.col(marks[r]),
+            "not_null": lambda r: F.col(r.column).isNull(),
+            "accepted_values": lambda r: ~F.col(r.column).isin(*domains[r.column]),
+        }
+        placed = marked.repartitionByRange(*cluster).sortWithinPartitions(*cluster) if cluster else marked
+        seen = Observation()
+        if rules:
+            placed = placed.observe(seen, *[F.count_if(tests[r.kind](r)).alias(f"f{i}") for i, r in enumerate(rules)])
+        placed.drop(*marks.values()).write.mode("overwrite").parquet(path)
+        if rules:
+            found = seen.get
+            self.lines += [(r.layer, r.table, r.column, r.kind, found[f"f{i}"]) for i, r in enumerate(rules)]
+        return df.sparkSession.read.parquet(path)
+
+    def add(self, checked: DataFrame) -> None:
+        """Lines of ``check`` for rules that a write does not cover."""
+        self.lines += [tuple(r) for r in checked.collect()]
+
+    def failures(self, kind: str) -> dict[str, int]:
+        return {f"{t}.{c}": n for _, t, c, k, n in self.lines if k == kind and n}
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """(layer, table_name, column_name, rule, failures), a line for each rule."""
+        return spark.createDataFrame(self.lines, "layer string, table_name string, column_name string, rule string, failures bigint")
+
+
 def _line(r: Rule, failures: Column) -> Column:
     return F.struct(
         F.lit(r.layer).alias("layer"),

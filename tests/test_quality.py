@@ -34,6 +34,18 @@ def test_check_counts_failures(spark):
     assert got == {"unique": 1, "not_null": 2, "accepted_values": 2}  # NULL passes accepted values
 
 
+def test_rules_are_counted_by_the_write(spark, tmp_path):
+    data = [(f"k{i // 2 if i < 40 else i}", i % 9 and "M" or "odd", i) for i in range(300)] + [(None, "F", 1), (None, None, 2)]
+    frame = spark.createDataFrame(data, "customer_id string, gender string, n int").repartition(5)
+    rules = [Q.Rule("t", "c", "customer_id", "unique"), Q.Rule("t", "c", "customer_id", "not_null"), Q.Rule("t", "c", "gender", "accepted_values")]
+    log = Q.RuleLog()
+    for i, cluster in enumerate([(), ("n",)]):
+        stored = log.write(frame, rules, str(tmp_path / str(i)), cluster)
+        assert rows(stored) == rows(frame)
+    want = rows(Q.check(frame, rules))
+    assert rows(log.report(spark)) == sorted(want * 2) and log.failures("unique") == {"c.customer_id": 20}
+
+
 def test_row_rules_share_one_pass(spark):
     frame = spark.createDataFrame([("a", "b", "c")], "order_id string, customer_id string, order_status string")
     plan = Q.check(frame, Q.rules_of("fct_orders", kinds=["not_null", "accepted_values"])[0:2])._jdf.queryExecution().toString()
