@@ -14,7 +14,8 @@ from . import quality
 from .metrics import metric
 from .operators.distinct import distinct_counts, distinct_state, key_numbers, merged_states
 from .operators.merge import upsert
-from .operators.ranking import random_rows, tiles
+from .operators.ranking import random_rows
+from .operators.selection import Order, tiles
 from .operators.skew import spread_join
 from .oracle.extras import EXTRA_FINALS
 from .oracle.metrics import METRIC_FINALS
@@ -244,11 +245,12 @@ def e05_sequence_continued(m):
 
 
 @extra
-def e08_ntile_by_slices(m):
-    """Price quartiles of the parts from range-partitioned slices."""
-    order = [F.col("unit_price").desc(), F.col("product_id").asc()]
+def e08_ntile_by_borders(m):
+    """Price quartiles and sevenths of the parts; the borders are searched until ten rows are left around each."""
+    spark, order = m.raw.spark, Order(("-unit_price", "product_id"))
     parts = m.stg_products.select("product_id", "unit_price")
-    return tiles(tiles(parts, order, 4, "quartile", local_rows=0), order, 7, "seventh", local_rows=0)
+    quartiles = tiles(parts, fresh_path(spark, "tiles"), order, 4, "quartile", few=10)
+    return tiles(quartiles, fresh_path(spark, "tiles"), order, 7, "seventh", few=10)
 
 
 @extra

@@ -1,4 +1,4 @@
-"""Top-1 per key, global positions and tiles."""
+"""Top-1 per key, global positions and samples."""
 
 from __future__ import annotations
 
@@ -61,20 +61,6 @@ def global_positions(df: DataFrame, order: list[Column], name: str, local_rows:
     )
 
 
-def tiles(df: DataFrame, order: list[Column], buckets: int, name: str, local_rows: int | None = None) -> DataFrame:
-    """``ntile(buckets)`` over the whole table in the total order ``order``."""
-    placed = global_positions(df, order, "_pos", local_rows)
-    total = df.agg(F.count(F.lit(1))).scalar()
-    # The first ``total % buckets`` tiles hold one row more than the others.
-    small = F.floor(total / buckets)
-    wide_rows = (total % buckets) * (small + 1)
-    zero_based = F.col("_pos") - 1
-    tile = F.when(zero_based < wide_rows, F.floor(zero_based / (small + 1))).otherwise(
-        (total % buckets) + F.floor((zero_based - wide_rows) / F.greatest(small, F.lit(1)))
-    )
-    return placed.withColumn(name, (tile + 1).cast("int")).drop("_pos")
-
-
 def random_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` rows in random order: every task keeps its best ``n``, only those are merged."""
     return df.orderBy(F.rand(seed)).limit(n)

@@ -168,7 +168,7 @@ from s_orders left join s_customers using (customer_id)""",
     "c05_co_purchase_wide_baskets": FINALS["m35_product_affinity_features"],
     "e04_sequence_of_heavy_customers": FINALS["m34_order_sequence_features"],
     "e05_sequence_continued": FINALS["m34_order_sequence_features"],
-    "e08_ntile_by_slices": """
+    "e08_ntile_by_borders": """
 select product_id, unit_price::double unit_price, ntile(4) over o quartile, ntile(7) over o seventh
 from s_products window o as (order by unit_price desc, product_id)""",
     "f03_random_sample": """

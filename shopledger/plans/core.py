@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions.conditions import code_of, first_match, flag
 from ..functions.money import rounded, zero
-from ..operators.ranking import tiles
+from ..operators.selection import Order, tiles
+from ..session import fresh_path
 from ..schemas import contract
 from .intermediate import payment_rollup, primary_shipments
 
@@ -61,8 +62,8 @@ def dim_products(products: DataFrame, performance: DataFrame, local_rows: int |
         .withColumn("return_rate", F.coalesce("return_rate", F.lit(0.0)))
         .withColumn("avg_days_to_return", rounded(F.col("avg_days_to_return"), 2))
     )
-    order = [F.col("total_revenue").desc(), F.col("product_id").asc_nulls_last()]
-    ranked = tiles(joined, order, len(TIERS), "_quartile", local_rows)
+    path = fresh_path(joined.sparkSession, "ranked-products")
+    ranked = tiles(joined, path, Order(("-total_revenue", "product_id")), len(TIERS), "_quartile", local_rows)
     return to_contract(
         ranked.withColumn("performance_tier", code_of(F.col("_quartile"), TIERS, "unranked")), "dim_products"
     )

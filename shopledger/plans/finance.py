@@ -68,8 +68,8 @@ def fct_refunds(payments: DataFrame, orders: DataFrame) -> DataFrame:
         refunds.join(owners, "order_id", "left")
         .withColumn("paid_month", D.month_start(F.col("payment_date")))
         .withColumn("ordered_month", D.month_start(F.col("order_date")))
-        .join(F.broadcast(per_month), "paid_month", "left")
-        .join(F.broadcast(revenue), "ordered_month", "left")
+        .join(per_month, "paid_month", "left")
+        .join(revenue, "ordered_month", "left")
         .select(
             "payment_id",
             "order_id",

@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import d, rows
-from shopledger.operators import labels, merge, pairs, ranking, sequences, skew, trailing
+from shopledger.operators import labels, merge, pairs, ranking, selection, sequences, skew, trailing
 from shopledger.sources import sinks
 
 
@@ -203,13 +203,31 @@ def test_earliest_puts_null_last(spark):
     assert rows(got, "k", "id", "x") == [("a", "s2", "r"), ("b", "s9", None)]
 
 
-@pytest.mark.parametrize("n", [1, 3, 4, 10, 103])
-def test_tiles_by_slices_equal_ntile(spark, n):
-    frame = spark.range(n).select(F.format_string("p%03d", "id").alias("p"), (F.col("id") % 3).alias("v"))
-    order = [F.col("v").desc(), F.col("p").asc()]
-    sliced = ranking.tiles(frame, order, 4, "q", local_rows=0)
-    plain = frame.withColumn("q", F.ntile(4).over(Window.orderBy(*order)))
-    assert rows(sliced, "p", "q") == rows(plain, "p", "q")
+@pytest.mark.parametrize("few", [3, 10**6])
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 10, 103])
+def test_tiles_by_borders_equal_ntile(spark, tmp_path, n, few):
+    frame = spark.range(n).select(F.format_string("p%03d", "id").alias("p"), F.when(F.col("id") % 5 != 1, F.col("id") % 3).alias("v"))
+    for order in (("-v", "p"), ("v", "-p")):
+        plain = frame.withColumn("q", F.ntile(4).over(Window.orderBy(*selection.Order(order).sort())))
+        got = selection.tiles(frame, str(tmp_path / order[0]), selection.Order(order), 4, "q", few=few)
+        assert rows(got, "p", "q") == rows(plain, "p", "q")
+
+
+def test_borders_of_a_large_table_take_a_few_passes(spark, tmp_path, monkeypatch):
+    """Most rows share one value; no task numbers more than a few of them."""
+    monkeypatch.setattr(selection, "SAMPLE", 200)
+    frame = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.xxhash64("id") % 900).alias("v"), F.xxhash64("id", F.lit(1)).alias("p"))
+    order, table = selection.Order(("-v", "p")), str(tmp_path / "t")
+    got = selection.tiles(frame, table, order, 10, "q", few=50)
+    assert rows(got, "p", "q") == rows(frame.withColumn("q", F.ntile(10).over(Window.orderBy(*order.sort()))), "p", "q")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_equal_rows_end_the_search(spark, tmp_path):
+    spark.createDataFrame([(1,)] * 30, "v int").write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    assert selection.rows_at_ranks(stored, selection.Order(("v",)), [7, 20], 30, 5) == {7: (1,), 20: (1,)}
 
 
 def test_global_positions_split_a_run_of_ties(spark):
