@@ -16,8 +16,6 @@ from shopledger.session import fresh_path
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
-# A text this long that is near two languages, with less than half of the evidence for either, is of none.
-AMBIGUOUS_CHARS, AMBIGUOUS_SCORE = 200, 0.5
 
 
 def _with_text(docs: DataFrame, text) -> DataFrame:
@@ -30,31 +28,38 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; without letters, or long and of no one language, they go."""
+    """Documents in a language, learned from all that name one; texts without letters (null, empty too) go, whatever their length.
+
+    Repeated rows stay or go together; other columns stay as they are; an empty table stays empty.
+    """
     found = language.predicted(language.fit(docs.select("text", "lang")), F.col("text"))
-    rows = docs.withColumn("__language", found)
-    mixed = F.col("__language.ambiguous") & (F.col("__language.score") < AMBIGUOUS_SCORE) & (F.char_length("text") >= AMBIGUOUS_CHARS)
-    return rows.where((F.col("__language.lang_pred") != language.UNKNOWN) & ~mixed).select(*docs.columns)
+    return docs.withColumn("__language", found).where(F.col("__language.lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose SimHash fingerprints (three words) differ in two bits at most."""
+    """One document of each group whose SimHash fingerprints (three words) differ in two bits at most.
+
+    That of the smallest key stays, null keys last; texts without words are one group. Columns stay as they are.
+    """
     return simhash.keep_first(docs, size=3, max_bits=2)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 13 words or more that a document of a smaller id has too are cut out."""
+    """Passages of 13 words or more that a document of a smaller id has too are cut out; every document stays.
+
+    A null text stays null; null keys are the largest, and rows of one key are not compared.
+    """
     cleaned = substrings.cleaned(docs)
     return _with_text(cleaned, F.col("text"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
+    """Personal data is replaced by its kind in brackets; every document stays, a null text stays null."""
     return _with_text(docs, personal.redacted(personal.fit(docs), F.col("text")))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens with their places in sequences."""
+    """Pieces of the documents' tokens with their places in sequences; a null or empty text is its separator alone."""
     vocabulary = bpe.Vocabulary(spark, public_tokenizers.path(TOKENIZER))
     return packing.pack_documents(docs, vocabulary, CAPACITY)
 

@@ -12,13 +12,13 @@ over all labelled texts that adds up counts by language and slot.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ SIZES = (2, 3)  # bytes of an n-gram
 SMOOTHING = 0.5
 AMBIGUOUS = 0.1  # share of the nearest loss by which the second one must be larger
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 # Bytes that are no letter become spaces; bytes of multi-byte letters stay.
 _PLAIN = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -161,8 +161,10 @@ def held_out(key: Column, parts: int, part: int) -> Column:
 def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``ambiguous``, one row each; columns of these names are replaced.
 
-    Empty texts, and texts without letters, are ``und``. Repeated rows get equal results. A model of no
-    language says ``und`` throughout. One pass without a shuffle.
+    Null and empty texts, and texts without letters (Unicode category L), are ``und``. Of languages that are equally
+    near, the first by name is taken and the row is ambiguous. Repeated rows get equal results. A model of no
+    language says ``und`` throughout. An empty table stays empty. One pass without a shuffle; very long texts take time
+    in proportion to their length.
     """
     rows = docs.withColumn("__language", predicted(model, F.col(text)))
     return rows.withColumns({c: F.col(f"__language.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop("__language")

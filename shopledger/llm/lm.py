@@ -9,7 +9,9 @@ deleted. All counts come from all training documents.
 Counting and lookup share one exchange. Documents lie in chunks; a chunk sends each group of the code space
 its sorted distinct n-gram codes with their counts (zero for a document that is only scored), the group adds
 up over the chunks and returns the totals in the same order. A frequent n-gram reaches a group once a chunk,
-so it is no hot key, and no count table is ever broadcast. N-grams go by 64-bit codes. The held-out eighth
+so it is no hot key, and no count table is ever broadcast. Single tokens go by 64-bit codes, longer n-grams by
+``SPARE_BITS`` more bits than the number of tokens has: one shares its code with another with a probability of about
+2^-20 (their counts are then added up), whatever the size of the corpus. The held-out eighth
 has chunks of its own, which get totals without it as well; what these tell of each token is rounded to a cell
 (bucket, log estimates), and EM runs over the number of tokens in each cell, a table that does not grow with
 the corpus. Everything is one plan, so the documents are shuffled once for all passes.
@@ -31,7 +33,8 @@ from pyspark.sql import types as T
 from .slices import group_bounds, packed_codes, packed_counts, parts_for, text_size, unpacked_codes, unpacked_counts
 from .text import appended, as_bytes, give_back, named, word_hashes, words
 
-ORDER = 2
+ORDER = 3
+SPARE_BITS = 20  # bits of a code beyond those that number the corpus' tokens
 FOLDS = 8
 GROUP_CODES = 2_000_000
 CELL = 0.2  # width of a cell in the logarithm of an estimate
@@ -43,8 +46,9 @@ _END, _BEGIN = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" begin"
 class Grams:
     """N-gram codes of the tokens of some texts: their words, A-Z lower-cased, and one end each."""
 
-    def __init__(self, texts: list[bytes], order: int):
+    def __init__(self, texts: list[bytes], order: int, bits: int = 64):
         parts, sizes = [], []
+        self._drop = np.uint64(64 - bits)
         for text in texts:
             hashes = word_hashes(words(text.lower()))
             sizes.append(len(hashes) + 1)
@@ -58,7 +62,7 @@ class Grams:
             run = np.zeros(len(place), np.uint64)
             for n in range(size - 1, -1, -1):
                 run = appended(run, hashes[place - n])
-            self.codes.append(named(run, size))
+            self.codes.append(named(run, size) >> (self._drop if size > 1 else np.uint64(0)))
         self.first = np.cumsum(self.sizes) - self.sizes
 
     def distinct(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -141,13 +145,15 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     chunks = parts_for(docs, size)
     groups = max(parts_for(docs, size, 1 << 62), -(-size * order // (6 * GROUP_CODES)))
     folds, tests = max(1, chunks // FOLDS), max(1, chunks // 7)
+    bits = min(64, max(1, size).bit_length() + SPARE_BITS)  # there are fewer tokens than bytes
     names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     rows = docs.drop(*names, "__chunk")
     mark = F.xxhash64(F.col(key))
     fold = F.pmod(mark, F.lit(FOLDS)) == 0
 
     def one_of(first: int, n: int) -> Column:
-        return F.lit(first) + F.pmod(F.xxhash64(F.lit(1), mark), F.lit(n))
+        # The text takes part, so that rows of one key, or of none, are dealt over all chunks.
+        return F.lit(first) + F.pmod(F.xxhash64(F.lit(1), mark, F.col(text)), F.lit(n))
 
     # Chunks: the main training part, then the held-out folds, then rows that are only scored.
     learned = F.coalesce(train, F.lit(False))
@@ -158,9 +164,9 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     def ask(number: tuple, table: pa.Table) -> pa.Table:
         own = number[0].as_py()
         out: dict[str, list] = {"group": [], "kind": [], "codes": [], "counts": []}
-        for kind, (codes, counts) in enumerate(Grams(as_bytes(table.column(text).combine_chunks()), order).distinct()):
+        for kind, (codes, counts) in enumerate(Grams(as_bytes(table.column(text).combine_chunks()), order, bits).distinct()):
             counts = counts if own < chunks + folds else np.zeros_like(counts)
-            cuts = group_bounds(codes, groups)
+            cuts = group_bounds(codes, groups, bits if kind else 64)
             for g in range(groups):
                 if cuts[g] < cuts[g + 1]:
                     part = slice(cuts[g], cuts[g + 1])
@@ -221,7 +227,7 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
         if not left.num_rows:
             sums = [sum(x or 0 for x in right.column(c).to_pylist()) for c in ("tokens", "main", "seen")]
             return pa.table({"cell": ["tokens", "main", "seen"], "n": pa.array(sums, pa.int64())})
-        grams = Grams(as_bytes(left.column(text).combine_chunks()), order)
+        grams = Grams(as_bytes(left.column(text).combine_chunks()), order, bits)
         counts, contexts = grams.found(tables(grams, right))
         logs = [counts[0], *estimates(counts, contexts, 1)[1:]]
         columns = [bucket_of(contexts[-1] if contexts else np.zeros(len(counts[0])))]
@@ -248,7 +254,7 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
             return pa.table([pa.array([], f.type) for f in left.schema] + [pa.array([], t) for t in arrow], names=[*left.column_names, *names])
         model = json.loads(next(c for k, c in zip(right.column("kind").to_pylist(), right.column("counts").to_pylist(), strict=True) if k == -1))
         n, seen = model["tokens"], model["seen"]
-        grams = Grams(as_bytes(left.column(text).combine_chunks()), order)
+        grams = Grams(as_bytes(left.column(text).combine_chunks()), order, bits)
         counts, contexts = grams.found(tables(grams, right))
         weights = _weight_table(model["weights"], order)[bucket_of(contexts[-1] if contexts else np.zeros(len(counts[0])))]
         p = weights[:, 0] / (seen + 1)

@@ -7,21 +7,25 @@ could be personal data is a candidate segment for each type; features of the who
 separators, check digit, octets, what stands around it) score it, and dynamic programming over the ends of
 segments finds the best split of the island into segments and other tokens, boundaries and types at once.
 
-Weights maximise the conditional likelihood of the splits of a bounded sample: islands of at most ``FIT_DOCS``
-documents (chosen by hash of the key) with their base spans, the same with the notation varied by rule (no
+Weights maximise the conditional likelihood of the splits of a bounded sample: of the islands of all documents,
+``FIT_ISLANDS`` for each kind of base span and as many without any, of ``FIT_CHARS`` code points at most, chosen by a
+hash of the island; with their base spans, the same with the notation varied by rule (no
 plus sign, other separators, spelled-out at and dot), and look-alikes that are none (dates, times, amounts).
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .text import by_slices
 
@@ -29,8 +33,8 @@ KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 24
 MOST_CHARS = 96
 MOST_DIGITS = 19  # of a number
-FIT_DOCS = 4000
-FIT_ISLANDS = 1500
+FIT_ISLANDS = 300  # islands to learn from for each kind of base span in them, and as many without any
+FIT_CHARS = 400  # code points of an island that is learned from; longer ones are scored, not learned from
 EPOCHS, STEP, DECAY = 12, 0.5, 1e-4
 
 Span = tuple[str, int, int]
@@ -321,18 +325,38 @@ def learn(sample: list[str]) -> SpanModel:
     return model
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> SpanModel:
-    """Model from the islands of at most ``FIT_DOCS`` documents; without islands it adds nothing."""
+def sampled_islands(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(kind, h, island): of all islands of all documents, for each kind (and for none) those of the lowest hashes.
+
+    An island counts for every kind that it has a base span of, so rare kinds are learned wherever they occur. A
+    task keeps FIT_ISLANDS of each kind, so nothing grows with the documents.
+    """
 
-    @F.arrow_udf("array<string>")
-    def cut(column: pa.Array) -> pa.Array:
-        return pa.array([[t[max(0, a - 12) : b][-200:] for a, b in islands(t)][:64] if t else [] for t in column.to_pylist()], pa.list_(pa.string()))
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[str, int]] = {k: {} for k in (*KINDS, "none")}
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                for a, b in islands(t):
+                    if b - a <= FIT_CHARS:
+                        island = t[max(0, a - 12) : b]
+                        for kind in {k for k, _, _ in base_spans(island)} or {"none"}:
+                            held[kind][island] = xxhash.xxh64_intdigest(island.encode("utf-8", "replace")) >> 1
+            for kind, own in held.items():
+                if len(own) > FIT_ISLANDS:
+                    held[kind] = dict(heapq.nsmallest(FIT_ISLANDS, own.items(), key=lambda x: (x[1], x[0])))
+        rows = [(kind, h, island) for kind, own in held.items() for island, h in own.items()]
+        columns = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["kind", "h", "island"])
+
+    rows = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("__text")).mapInArrow(lowest, "kind string, h bigint, island string")
+    ranked = rows.distinct().withColumn("__r", F.row_number().over(Window.partitionBy("kind").orderBy("h", "island")))
+    return ranked.where(F.col("__r") <= FIT_ISLANDS).drop("__r")
 
-    chosen = docs.select(F.col(key).alias("_key")).where("_key is not null").distinct().orderBy(F.xxhash64("_key"), "_key").limit(FIT_DOCS)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_t")).where("_t rlike '[0-9@]'").join(F.broadcast(chosen), "_key")
-    found = rows.select(F.explode_outer(cut("_t")).alias("island")).where("island is not null").distinct()
-    taken = found.orderBy(F.xxhash64("island"), "island").limit(FIT_ISLANDS).collect()
-    return learn([r["island"] for r in taken])
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> SpanModel:
+    """Model from a sample of the islands of all documents (``sampled_islands``); without islands it adds nothing."""
+    taken = {r["island"]: r["h"] for r in sampled_islands(docs, key, text).collect()}  # five times FIT_ISLANDS at most
+    return learn(sorted(taken, key=lambda x: (taken[x], x)))
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -386,6 +410,7 @@ def redacted(model: SpanModel, text: Column) -> Column:
 def with_personal_data(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
     """``docs`` with ``personal``, the spans of each text; one row each, in one pass without a shuffle.
 
-    A column of this name is replaced. Very long texts take time in proportion to their length.
+    Null and empty texts have no spans; repeated rows get equal ones; an empty table stays empty. A column of this
+    name is replaced. Very long texts take time in proportion to their length.
     """
     return docs.withColumn("personal", personal_spans(model, F.col(text)))

@@ -184,12 +184,20 @@ def feature_column(text: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> QualityModel:
-    """Model of the labelled texts; ``rows`` bounds the labels taken (fixed hash order), hence broadcast and driver."""
-    known = labels.select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_y")).dropna()
+    """Model of the labelled texts; at most ``rows`` of them are learned from, which bounds broadcast and driver.
+
+    Labels, then labelled texts, are taken in a fixed hash order. Equal labelled texts of one key count once; a key
+    with different texts or labels counts with each of them.
+    """
+    known = labels.select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_y")).dropna().distinct()
     taken = known.orderBy(F.xxhash64("_key"), "_key", "_y").limit(rows)
-    # One document a key: of repeated keys all rows count.
-    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_t")).join(F.broadcast(taken), "_key")
-    data = found.select("_key", "_y", feature_column(F.col("_t")).alias("x")).collect()
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_t"), F.xxhash64(F.col(text)).alias("_h"))
+    met = texts.join(F.broadcast(taken), "_key")
+    # A key may have very many rows: what is learned from is chosen by key and digest, which are combined before they are shuffled.
+    names = ["_key", "_y", "_h"]
+    chosen = met.select(*names).distinct().orderBy(F.xxhash64("_key", "_h"), *names).limit(rows)
+    found = met.join(F.broadcast(chosen), names).select(*names, feature_column(F.col("_t")).alias("x")).dropDuplicates(names)
+    data = found.select("_key", "_y", "x").collect()
     data.sort(key=lambda r: (r["_key"], r["_y"], r["x"]))  # the model must not depend on the order of tasks
     return learn(np.array([r["x"] for r in data]).reshape(-1, len(FEATURES)), np.array([r["_y"] for r in data]))
 
@@ -210,7 +218,8 @@ def quality_score(model: QualityModel, text: Column) -> Column:
 def with_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` (1 from the threshold on), one row each, in one pass without a shuffle.
 
-    Columns of these names are replaced; repeated rows get equal scores; an empty table stays empty.
+    Null and empty texts are scored as texts of no words. Columns of these names are replaced; repeated rows get equal
+    scores; an empty table stays empty.
     """
     rows = docs.withColumn("score", quality_score(model, F.col(text)))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

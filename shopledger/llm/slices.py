@@ -83,8 +83,8 @@ def unpacked_counts(value: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def group_bounds(codes: np.ndarray, groups: int) -> np.ndarray:
-    """Where each of ``groups`` equal ranges of the code space begins in sorted codes; one more for the end."""
-    step = (1 << 64) // groups
+def group_bounds(codes: np.ndarray, groups: int, bits: int = 64) -> np.ndarray:
+    """Where each of ``groups`` equal ranges of the space of codes of ``bits`` bits begins in sorted codes; one more for the end."""
+    step = (1 << bits) // groups
     firsts = np.array([i * step for i in range(groups)], np.uint64)
     return np.append(np.searchsorted(codes, firsts), len(codes))

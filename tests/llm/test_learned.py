@@ -108,6 +108,20 @@ def test_personal_without_anything_to_learn_from(docs):
     assert model.weights == {} and personal.with_personal_data(docs([]), model).count() == 0
 
 
+def test_rare_kinds_are_learned_wherever_they_are(docs, monkeypatch):
+    """The one mail address is the 71st island of one of 3,000 documents full of numbers."""
+    monkeypatch.setattr(personal, "FIT_ISLANDS", 20)
+    rows = [(i, f"part {i} and 20{i % 90 + 10}-01-02 or {i}.5") for i in range(3000)]
+    rows.append((5000, ", then ".join(f"{n},{n} units" for n in range(70)) + " then jo.doe@mail.example.org"))
+    taken = personal.sampled_islands(docs(rows)).collect()
+    assert [r["island"].endswith("jo.doe@mail.example.org") for r in taken if r["kind"] == "email"] == [True]
+    assert sum(r["kind"] == "none" for r in taken) == 20
+    every = {r["island"]: r["h"] for r in personal.sampled_islands(docs(rows[:300])).collect() if r["kind"] == "none"}
+    monkeypatch.setattr(personal, "FIT_ISLANDS", 10**6)
+    full = sorted((r["h"], r["island"]) for r in personal.sampled_islands(docs(rows[:300])).collect() if r["kind"] == "none")
+    assert sorted((h, i) for i, h in every.items()) == full[:20]
+
+
 def test_personal_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()}
     for r in op7_personal_data(spark, MEDIUM).collect():
@@ -147,6 +161,51 @@ def test_language_odd_rows(docs, odd):
     assert language.with_language(docs([]), model).count() == 0
 
 
+def test_languages_against_a_plain_computation(docs):
+    """Slot counts, odds, margins and losses written out."""
+    texts = {"en": "The cat and the dogs were here, with us. Thé café", "de": "Der Hund und die Kätzchen sind jetzt hier", "fr": "Le chat est là où le chien dort"}
+    model = language.fit(docs([(i, f"{t} {i}", x) for i, (x, t) in enumerate([*texts.items()] * 4)]))
+
+    def slots(text):
+        kept = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower())
+        raw, found = (" " + " ".join(kept.split()) + " ").encode(), {}
+        for size in (2, 3):
+            for i in range(len(raw) - size + 1):
+                code = size
+                for byte in raw[i : i + size]:
+                    code = (code * 257 + byte) % 2**32
+                slot = (code * 2654435761 % 2**32) >> 19
+                found[slot] = found.get(slot, 0) + 1
+        return found
+
+    names = sorted(texts)
+    counts = {x: {} for x in names}
+    for i, (x, t) in enumerate([*texts.items()] * 4):
+        for k, n in slots(f"{t} {i}").items():
+            counts[x][k] = counts[x].get(k, 0) + n
+    share = {x: [(counts[x].get(k, 0) + 0.5) / (sum(counts[x].values()) + 0.5 * 8192) for k in range(8192)] for x in names}
+    code = language.codewords(3)
+    for text in ("the dog sat", "und der Hund", "où est le café", "jetzt cat"):
+        own, losses = slots(text), [0.0] * 3
+        for b in range(code.shape[1]):
+            plus, minus = ([x for x, row in zip(names, code, strict=True) if row[b] == s] for s in (1, -1))
+            odds = [np.log(sum(share[x][k] for x in plus) / len(plus)) - np.log(sum(share[x][k] for x in minus) / len(minus)) for k in range(8192)]
+            typical = [code[i][b] * sum(p * o for p, o in zip(share[x], odds, strict=True)) for i, x in enumerate(names)]
+            scale = sum(abs(v) for v in typical) / 3
+            weight = max(0.05, min(typical) / scale)
+            margin = sum(n * odds[k] for k, n in own.items()) / sum(own.values()) / scale
+            for i in range(3):
+                losses[i] += weight * np.exp(-code[i][b] * margin)
+        assert np.allclose(model.losses(text), losses)
+        assert model.predict(text)[0] == names[int(np.argmin(losses))]
+
+
+def test_number_signs_are_no_letters(docs):
+    model = language.fit(docs([(1, "the cat", "en"), (2, "der Hund", "de")]))
+    assert {model.predict(t)[0] for t in ("½", "²³", "①", "Ⅳ", "٣", "_")} == {"und"}
+    assert {model.predict(t)[0] for t in ("ª", "ʰ", "中")} & {"und"} == set()
+
+
 def test_mixed_text_is_flagged(docs):
     learned = [(i, t, x) for i in range(10) for t, x in (("the cat and the dog were here with us", "en"), ("der Hund und die Katze sind jetzt hier", "de"))]
     model = language.fit(docs(learned))
@@ -172,6 +231,16 @@ def test_quality_odd_rows(spark, docs, odd):
     assert quality.with_quality(docs([]), none).count() == 0
 
 
+def test_a_repeated_key_does_not_widen_the_sample(spark, docs, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(quality, "learn", lambda x, y: sizes.append(len(y)))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    quality.fit(docs([(1, f"text {i % 90}") for i in range(200)] + [(2, "x")]), labels, rows=1)
+    quality.fit(docs([(1, "same text")] * 50 + [(2, "x")]), labels)
+    quality.fit(docs([(1, f"text {i}") for i in range(200)] + [(2, "x")]), labels, rows=20)
+    assert sizes == [1, 2, 20]
+
+
 def test_tables_learn_an_interaction():
     rng = np.random.default_rng(4)
     x = rng.uniform(-1, 1, (3000, len(quality.FEATURES)))

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from shopledger.llm import lm
@@ -85,6 +86,67 @@ def test_em_finds_the_order_that_explains():
     assert lm.learn({}, 0, 0, 2) == {}
 
 
+def plain_scores(rows, train, fold, order):
+    """The model's log10 probability of each text, from counts of word tuples."""
+
+    def grams(text):
+        words = [b" begin"] * (order - 1) + tokens(text)
+        return [[tuple(words[i - n + 1 : i + 1]) for n in range(1, order + 1)] for i in range(order - 1, len(words))]
+
+    every, main = Counter(), Counter()
+    for k, t in rows:
+        for own in grams(t) if k in train else []:
+            every.update(own)
+            if k not in fold:
+                main.update(own)
+
+    def told(count, own, total):
+        """Context count of the longest order and the estimates."""
+        # Before the first word stands nothing, as often as there are texts: each has one end.
+        before = [total] + [count[g[:-1]] if g[-2] != b" begin" else count[(b" ",)] for g in own[1:]]
+        return before[-1] if order > 1 else 0, [count[g] / max(1.0, b) for g, b in zip(own, before, strict=True)]
+
+    total, main_total = (sum(n for g, n in c.items() if len(g) == 1) for c in (every, main))
+    distinct, main_distinct = (sum(len(g) == 1 for g in c) for c in (every, main))
+    cells = Counter()
+    for k, t in rows:
+        if k in train and k in fold:
+            for own in grams(t):
+                context, p = told(main, own, main_total)
+                logs = [main[own[0]], *p[1:]]
+                cell = [int(math.ceil(math.log2(context + 1)))] + ["z" if x <= 0 else int(round(math.log(x) / lm.CELL)) for x in logs]
+                cells[",".join(map(str, cell))] += 1
+    weights = lm._weight_table(lm.learn(dict(cells), main_total, main_distinct, order), order)
+    out = {}
+    for k, t in rows:
+        score = 0.0
+        for own in grams(t):
+            context, p = told(every, own, total)
+            w = weights[int(math.ceil(math.log2(context + 1)))]
+            score += math.log10(w[0] / (distinct + 1) + sum(a * b for a, b in zip(w[1:], p, strict=True)))
+        out[k] = score
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_against_a_plain_computation(spark, docs, order):
+    rng = random.Random(order)
+    rows = [(i, words_of(rng, rng.randint(0, 25))) for i in range(120)] + [(500, None), (501, "x1 " * 40)]
+    train = {k for k, _ in rows if k % 5}
+    marks = spark.createDataFrame([(k,) for k, _ in rows], "k bigint").select("k", (F.pmod(F.xxhash64("k"), F.lit(lm.FOLDS)) == 0).alias("fold"))
+    fold = {r["k"] for r in marks.collect() if r["fold"]}
+    out = {r["doc_id"]: r["score"] for r in lm.scored(docs(rows), F.col("doc_id") % 5 != 0, order=order).collect()}
+    want = plain_scores(rows, train, fold, order)
+    assert all(abs(out[k] - want[k]) < 1e-6 * max(1, abs(want[k])) for k in want)
+
+
+def test_rows_without_a_key_are_dealt_over_chunks(docs, monkeypatch):
+    monkeypatch.setattr(lm, "parts_for", lambda df, size, part=0: 5)
+    rows = [(None, words_of(random.Random(i), 20)) for i in range(60)] + [(i, words_of(random.Random(i), 9)) for i in range(30)]
+    out = lm.scored(docs(rows), F.col("doc_id").isNotNull()).collect()
+    assert found(out) == base(rows, {k for k, _ in rows if k is not None})
+
+
 def test_query(spark, small):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     train = {k for k, _ in texts if zlib.crc32(str(k).encode()) % 7 != 2}
