@@ -11,7 +11,7 @@ its sorted distinct n-gram codes with their counts (zero for a document that is
 up over the chunks and returns the totals in the same order. A frequent n-gram reaches a group once a chunk,
 so it is no hot key, and no count table is ever broadcast. Single tokens go by 64-bit codes, longer n-grams by
 ``SPARE_BITS`` more bits than the number of tokens has: one shares its code with another with a probability of about
-2^-20 (their counts are then added up), whatever the size of the corpus. The held-out eighth
+2^-16 (their counts are then added up), whatever the size of the corpus. The held-out eighth
 has chunks of its own, which get totals without it as well; what these tell of each token is rounded to a cell
 (bucket, log estimates), and EM runs over the number of tokens in each cell, a table that does not grow with
 the corpus. Everything is one plan, so the documents are shuffled once for all passes.
@@ -34,7 +34,7 @@ from .slices import group_bounds, packed_codes, packed_counts, parts_for, text_s
 from .text import appended, as_bytes, give_back, named, word_hashes, words
 
 ORDER = 3
-SPARE_BITS = 20  # bits of a code beyond those that number the corpus' tokens
+SPARE_BITS = 16  # bits of a code beyond those that number the corpus' bytes
 FOLDS = 8
 GROUP_CODES = 2_000_000
 CELL = 0.2  # width of a cell in the logarithm of an estimate

@@ -53,18 +53,45 @@ def slice_of(key: Column, cuts: list) -> Column:
 
 
 def packed_codes(codes: np.ndarray) -> bytes:
-    """Sorted 64-bit codes as differences, each in as many bytes as the largest one needs."""
-    steps = np.diff(codes, prepend=np.uint64(0)).astype("<u8")
-    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Sorted 64-bit codes in about log2 of their mean distance plus 1.5 bits each (a Rice code of the differences).
+
+    The first code is written out; of each difference the low ``k`` bits go as whole bytes and single bits, place by place, and
+    the rest in unary.
+    """
+    n = len(codes)
+    head = np.array([n, int(codes[0]) if n else 0], "<u8").tobytes()
+    if n < 2:
+        return head
+    steps = np.diff(codes).astype("<u8")
+    k = max(1, (int(codes[-1]) - int(codes[0])) // (n - 1)).bit_length() - 1
+    high = (steps >> np.uint64(k)).astype(np.int64)
+    ends = np.cumsum(high + 1) - 1
+    unary = np.zeros(int(ends[-1]) + 1, bool)
+    unary[ends] = True
+    octets = steps.view(np.uint8).reshape(-1, 8)
+    whole = np.ascontiguousarray(octets[:, : k // 8].T).tobytes()
+    bits = [np.packbits((steps >> np.uint64(b)) & np.uint64(1) != 0).tobytes() for b in range(k - k % 8, k)]
+    return b"".join([head, bytes([k]), whole, *bits, np.packbits(unary).tobytes()])
 
 
 def unpacked_codes(value: bytes) -> np.ndarray:
-    width = value[0]
-    raw = np.frombuffer(value, np.uint8, offset=1).reshape(-1, width)
-    steps = np.zeros((len(raw), 8), np.uint8)
-    steps[:, :width] = raw
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+    n, first = (int(x) for x in np.frombuffer(value, "<u8", 2))
+    out = np.zeros(n, np.uint64)
+    if n:
+        out[0] = first
+    if n < 2:
+        return out
+    k, at, m = value[16], 17, n - 1
+    octets = np.zeros((m, 8), np.uint8)
+    octets[:, : k // 8] = np.frombuffer(value, np.uint8, m * (k // 8), at).reshape(k // 8, m).T
+    steps, at, width = octets.view("<u8").ravel(), at + m * (k // 8), -(-m // 8)
+    for b in range(k - k % 8, k):
+        steps |= np.unpackbits(np.frombuffer(value, np.uint8, width, at), count=m).astype(np.uint64) << np.uint64(b)
+        at += width
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(value, np.uint8, offset=at)))
+    steps |= (np.diff(ends, prepend=-1) - 1).astype(np.uint64) << np.uint64(k)
+    out[1:] = steps
+    return np.cumsum(out, dtype=np.uint64)
 
 
 def packed_counts(counts: np.ndarray) -> bytes:

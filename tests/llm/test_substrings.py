@@ -77,8 +77,12 @@ def test_empty_table(docs):
 
 def test_code_lists_survive_packing():
     rng = np.random.default_rng(1)
-    for codes in (np.zeros(1, np.uint64), np.unique(rng.integers(0, 1 << 63, 1000, np.uint64) * np.uint64(2)), np.array([2**64 - 1], np.uint64)):
+    for codes in (np.zeros(1, np.uint64), np.unique(rng.integers(0, 1 << 63, 1000, np.uint64) * np.uint64(2)), np.array([2**64 - 1], np.uint64), np.zeros(0, np.uint64), np.array([3, 4, 2**64 - 1], np.uint64), np.arange(99, dtype=np.uint64)):
         assert (slices.unpacked_codes(slices.packed_codes(codes)) == codes).all()
+    for bits in (9, 33, 50, 64):
+        codes = np.unique(rng.integers(0, (1 << bits) - 1, 5000, np.uint64, endpoint=True))
+        assert (slices.unpacked_codes(slices.packed_codes(codes)) == codes).all()
+        assert len(slices.packed_codes(codes)) * 8 <= len(codes) * (bits - np.log2(len(codes)) + 2) + 200
     counts = np.array([0, 1, 255, 256, 10**9])
     assert (slices.unpacked_counts(slices.packed_counts(counts)) == counts).all()
     assert slices.group_bounds(np.array([0, 2**63, 2**64 - 1], np.uint64), 2).tolist() == [0, 1, 3]
