@@ -3,19 +3,20 @@
 Vectors of one label and of cosine ``LIMIT`` or more are linked. Equal vectors are compared once, as one
 representative with a number of copies.
 
-* Clusters: centroids of a bounded sample split each label into shards. A vector is at home with its nearest
-  centroid; it can only have links into clusters whose border with the home cluster is within the radius of a link.
-  Of these it is a visitor of the nearest few.
+* Shards: a label is split again and again, each large shard by centroids of a sample of its own, until a shard has
+  ``SHARD_ROWS`` members at most. A vector is at home with its nearest centroid, and a visitor of the nearest others whose
+  border with that one is within the radius of a link, ``OVERLAP`` in all. Centroids that are themselves
+  within the radius of a link become one, so that a family of near copies is not cut however large it is; a
+  large shard that has a single centroid left is dense.
 * Build: on each shard, homes and visitors together, a flat graph grows by batches: a greedy beam search from
   the medoid finds candidates for each new vector, robust pruning keeps near ones in different directions
   (a candidate goes if a kept one is nearer to it, by a factor, than the vector itself), and back links are added.
 * Union: the adjacency lists that a vector got in different shards become one.
 * Search: each member of a shard searches from the medoid; once vectors within the limit turn up, the search
   expands over all of them and their neighbours until no new one is found. Every candidate is verified in double precision.
-  A pair counts for both sides where the one of the smaller home cluster is at home, and only there.
-* Rest: if the other side is no visitor of that cluster but its border is within the radius, the pair is compared exactly,
-  in blocks of ``BLOCK_ROWS`` vectors by as many. In many dimensions nearly all borders are, so the blocks are
-  then half of all pairs of a label: work that grows with the square of its vectors.
+  A pair counts for both sides, in the first of the shards that both are members of.
+* Dense shards: nearly all of their vectors are linked with each other, so a search would visit all of them. They are
+  compared in blocks of ``BLOCK_ROWS`` vectors by as many: work in proportion to the links that are counted.
 * Audit: links of a uniform sample of vectors are compared with brute force over all rows; below ``RECALL``, in all, for each
   vector, or for small families or hot ones alone, the search is repeated with wider overlap and beam. Labels
   that the last try has not shown to reach it are compared exactly, in blocks.
@@ -27,21 +28,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import fresh_path
 from .components import components
 
 LIMIT = 0.93
-SHARD_ROWS = 600
-FIT_ROWS = 20_000  # vectors that centroids are fitted on, in all
-OVERLAP, DEGREE, BEAM, ALPHA = 3, 24, 32, 1.2
+SHARD_ROWS = 2000  # members of a shard, visitors included
+FAN, FIT_ROWS = 32, 64  # children of a shard that is split, at most; vectors of the sample for each child
+LEVELS = 12  # of splits: FAN^LEVELS shards
+OVERLAP, DEGREE, BEAM, ALPHA = 2, 24, 32, 1.2
 RING = 0.05  # cosine below the limit down to which a search expands
 BATCH = 512
 BLOCK_ROWS = 4096  # vectors on a side of an exact comparison
 AUDIT_ROWS, RECALL, TRIES = 2048, 0.9, 3
 SMALL = 16  # links of a vector of a small family, below
+KEY = ["label", "wide", "shard"]
 
 
 def unit_bytes(embedding: Column) -> Column:
@@ -71,37 +76,39 @@ def matrix(values: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(values), "<f8").reshape(len(values), -1)
 
 
-def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """k directions from unit vectors, by rounds of assignment and mean from a fixed start."""
+def centroids(x: np.ndarray, k: int, limit: float = LIMIT, rounds: int = 8) -> np.ndarray:
+    """Up to k directions from unit vectors, by rounds of assignment and mean from a fixed start.
+
+    Of directions with a cosine of ``limit`` or more one stays, so what is linked has one centroid.
+    """
     rng = np.random.default_rng(7)
-    c = x[rng.choice(len(x), k, replace=False)]
+    c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
         own = (x @ c.T).argmax(1)
-        c = np.array([x[own == j].sum(0) if (own == j).any() else x[rng.integers(len(x))] for j in range(k)])
+        c = np.array([x[own == j].sum(0) if (own == j).any() else x[rng.integers(len(x))] for j in range(len(c))])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
+    sizes = np.bincount((x @ c.T).argmax(1), minlength=len(c))
+    kept: list[int] = []
+    for j in np.argsort(-sizes, kind="stable").tolist():
+        if not kept or (c[kept] @ c[j]).max() < limit:
+            kept.append(j)
+    return c[sorted(kept)]
 
 
-def shards_of(x: np.ndarray, c: np.ndarray, overlap: int, limit: float) -> tuple[list[list[int]], list[list[int]]]:
-    """For each vector the clusters whose border with its home is within the distance of a link.
+def children(x: np.ndarray, c: np.ndarray, overlap: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector its nearest centroids (-1 for none) and cosines: the home, then those it visits.
 
-    First the home and those among the ``overlap`` nearest clusters; then the rest of them, so far as their number is
-    below the home's.
+    Of the ``overlap`` nearest others those whose border with the home is within the distance of a link.
     """
     radius = np.sqrt(max(0.0, 2 - 2 * limit)) + 1e-9
-    joined, rest = [], []
-    for part in range(0, len(x), 1024):
-        sims = x[part : part + 1024] @ c.T
-        home = sims.argmax(1)
-        for i, h in enumerate(home):
-            apart = np.maximum(np.linalg.norm(c - c[h], axis=1), 1e-12)
-            # Distance to the plane between the two centroids, both of length 1.
-            within = (sims[i, h] - sims[i]) / apart <= radius
-            near = [s for s in np.argsort(-sims[i], kind="stable")[:overlap].tolist() if s != h and within[s]]
-            within[near] = False
-            joined.append([int(h), *near])
-            rest.append(np.nonzero(within[:h])[0].tolist())
-    return joined, rest
+    sims = x @ c.T
+    near = np.argsort(-sims, axis=1, kind="stable")[:, : overlap + 1]
+    best = np.take_along_axis(sims, near, 1)
+    # Distance to the plane between two centroids, both of length 1.
+    apart = np.maximum(np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))), 1e-12)
+    within = (best[:, :1] - best) / apart[near[:, :1], near] <= radius
+    within[:, 0] = True
+    return np.where(within, near, -1), best
 
 
 def beam_search(x: np.ndarray, links: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,23 +143,32 @@ def beam_search(x: np.ndarray, links: np.ndarray, entry: int, queries: np.ndarra
         ids[rows], sims[rows], done[rows] = (np.take_along_axis(a, top, 1) for a in (all_ids, all_sims, all_done))
 
 
-def robust_prune(x: np.ndarray, node: int, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Up to ``degree`` candidates, nearest first, without those that a kept one is nearer to by ``alpha``."""
-    candidates = np.unique(candidates)
-    candidates = candidates[(candidates >= 0) & (candidates != node)]
-    if len(candidates) <= 1:
-        return candidates
-    v = x[candidates]
-    far = np.sqrt(np.maximum(0, 2 - 2 * (v @ x[node])))
-    between = alpha * np.sqrt(np.maximum(0, 2 - 2 * (v @ v.T)))
-    kept, left = [], np.ones(len(candidates), bool)
-    for i in np.argsort(far, kind="stable"):
-        if left[i]:
-            kept.append(i)
-            if len(kept) == degree:
-                break
-            left &= between[i] > far
-    return candidates[kept]
+def prune_all(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """For each node up to ``degree`` candidates (rows of ids, -1 for none), nearest first.
+
+    A candidate goes if a kept one is nearer to it by ``alpha`` than the node is.
+    """
+    ids = np.sort(candidates, axis=1)
+    ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
+    ids[ids == nodes[:, None]] = -1
+    v = x[np.maximum(ids, 0)]
+    far = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ijk,ik->ij", v, x[nodes])))
+    far[ids < 0] = np.inf
+    order = np.argsort(far, axis=1, kind="stable")[:, : 3 * degree]
+    ids, far = np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
+    v = np.take_along_axis(v, order[:, :, None], 1)
+    between = alpha * np.sqrt(np.maximum(0, 2 - 2 * (v @ v.transpose(0, 2, 1))))
+    left, rows = ids >= 0, np.arange(len(nodes))
+    out = np.full((len(nodes), degree), -1, np.int32)
+    for n in range(degree):
+        first = left.argmax(1)
+        has = left[rows, first]
+        if not has.any():
+            break
+        out[has, n] = ids[has, first[has]]
+        left &= between[rows, first] > far
+        left[rows, first] = False
+    return out
 
 
 def medoid(x: np.ndarray) -> int:
@@ -172,18 +188,27 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float =
 
     def insert(batch: np.ndarray, alpha: float) -> None:
         found, _ = beam_search(x, links, entry, batch, beam)
-        back: dict[int, list[int]] = {}
-        for node, near in zip(batch, found, strict=True):
-            kept = robust_prune(x, node, np.concatenate([near, links[node]]), degree, alpha)
-            links[node] = -1
-            links[node, : len(kept)] = kept
-            for k in kept:
-                back.setdefault(int(k), []).append(int(node))
-        for node, new in back.items():
-            own = np.unique(np.concatenate([links[node][links[node] >= 0], np.array(new, np.int32)]))
-            own = own if len(own) <= width else robust_prune(x, node, own, degree, alpha)
-            links[node] = -1
-            links[node, : len(own)] = own
+        kept = prune_all(x, batch, np.concatenate([found, links[batch]], 1), degree, alpha)
+        links[batch] = -1
+        links[batch, :degree] = kept
+        # Back links: to each kept one from the new ones that keep it, after what it has.
+        row, place = np.nonzero(kept >= 0)
+        to, back = kept[row, place], batch[row]
+        by = np.argsort(to, kind="stable")
+        to, back = to[by], back[by]
+        ends, starts, many = np.unique(to, return_index=True, return_counts=True)
+        lists = np.full((len(ends), many.max(initial=0)), -1, np.int32)
+        lists[np.repeat(np.arange(len(ends)), many), np.arange(len(to)) - np.repeat(starts, many)] = back
+        own = np.sort(np.concatenate([links[ends], lists], 1), axis=1)
+        own[:, 1:][own[:, 1:] == own[:, :-1]] = -1
+        full = (own >= 0).sum(1) > width
+        fits = -np.sort(-own[~full], axis=1)[:, :width]
+        links[ends[~full]] = -1
+        links[ends[~full], : fits.shape[1]] = fits
+        for at in range(0, int(full.sum()), BATCH):
+            part = np.flatnonzero(full)[at : at + BATCH]
+            links[ends[part]] = -1
+            links[ends[part], :degree] = prune_all(x, ends[part], own[part], degree, alpha)
 
     at = 1
     while at < n:  # vectors of one batch do not see each other yet
@@ -263,53 +288,88 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _fit(reps: DataFrame) -> dict:
-    """Centroids by (label, length of the vectors), for labels that need more than one shard."""
-    sizes = reps.groupBy("label", F.octet_length("unit").alias("wide")).agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > SHARD_ROWS).collect()  # one row for SHARD_ROWS vectors at most
-    total = sum(r["n"] for r in large)
-    if not total:
-        return {}
-    share = min(1.0, FIT_ROWS / total)
-    chance = F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(share * (1 << 20))
-    sample: dict = {}
-    for r in reps.where(chance).select("label", "unit").orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(2 * FIT_ROWS).collect():
-        sample.setdefault((r["label"], len(r["unit"])), []).append(bytes(r["unit"]))
-    out = {}
-    for r in large:
-        rows = sample.get((r["label"], r["wide"]), [])
-        k = min(-(-r["n"] // SHARD_ROWS), len(rows) // 10)
-        if k > 1:
-            out[r["label"], r["wide"]] = centroids(matrix(sorted(rows)), k)
-    return out
+def _single(reps: DataFrame) -> DataFrame:
+    """Every vector at home in the one shard of its label."""
+    columns = ["label", F.octet_length("unit").alias("wide"), F.lit(0).cast("bigint").alias("shard"), "rep", "copies", "unit"]
+    return reps.select(*columns, F.lit(True).alias("home"), F.lit(1.0).alias("near"), F.lit(False).alias("dense"))
+
+
+def _split(members: DataFrame, level: int, overlap: int, limit: float) -> DataFrame | None:
+    """``members`` with each large shard split into children, or marked as dense; None if there is no large one."""
+    sizes = members.where("not dense").groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = _stored(sizes.where(F.col("_n") > SHARD_ROWS), "sizes")
+    if sizes.isEmpty():
+        return None
+    # A uniform sample of each large shard, of the same size for all.
+    share = F.lit((FIT_ROWS * FAN) << 20) / F.col("_n")
+    drawn = members.join(sizes, KEY).where(F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(1 << 20)) < share)
 
+    def fit(table: pa.Table) -> pa.Table:
+        k = min(FAN, 2 * -(-table.column("_n")[0].as_py() // SHARD_ROWS))
+        c = centroids(matrix(sorted(table.column("unit").to_pylist())), k, limit)
+        own = table.select(KEY).slice(0, 1)
+        return own.append_column("centres", pa.array([[x.tobytes() for x in c]], pa.list_(pa.binary())))
 
-def _placed(reps: DataFrame, model: dict, overlap: int, limit: float) -> DataFrame:
-    """``reps`` with ``wide``, ``home``, ``shards`` (home first) and ``blocks``, the groups of clusters to compare with exactly."""
-    group = max(1, BLOCK_ROWS // SHARD_ROWS)
+    kind = members.schema["label"].dataType.simpleString()
+    centres = drawn.select(*KEY, "unit", "_n").groupBy(*KEY).applyInArrow(fit, f"label {kind}, wide int, shard bigint, centres array<binary>")
+    centres = _stored(centres, "centres")
 
-    @F.arrow_udf("struct<shards:array<int>,blocks:array<int>>")
-    def places(labels: pa.Array, units: pa.Array) -> pa.Array:
-        keys = list(zip(labels.to_pylist(), units.to_pylist(), strict=True))
-        joined: list[list[int]] = [[0]] * len(keys)
-        blocks: list[list[int]] = [[]] * len(keys)
+    @F.arrow_udf("array<struct<child:int,near:double>>")
+    def places(units: pa.Array, lists: pa.Array) -> pa.Array:
         groups: dict = {}
-        for i, (label, unit) in enumerate(keys):
-            groups.setdefault((label, len(unit)), []).append(i)
-        for key, rows in groups.items():
-            if key in model:
-                for i, own, rest in zip(rows, *shards_of(matrix([keys[i][1] for i in rows]), model[key], overlap, limit), strict=True):
-                    joined[i], blocks[i] = own, sorted({s // group for s in rest})
-        kind = pa.list_(pa.int32())
-        return pa.StructArray.from_arrays([pa.array(joined, kind), pa.array(blocks, kind)], ["shards", "blocks"])
+        for i, (unit, own) in enumerate(zip(units.to_pylist(), lists.to_pylist(), strict=True)):
+            groups.setdefault(tuple(own), []).append((i, unit))
+        out: list = [None] * len(units)
+        for own, rows in groups.items():
+            for at in range(0, len(rows), 2048):
+                part = rows[at : at + 2048]
+                child, near = children(matrix([u for _, u in part]), matrix(own), overlap, limit)
+                for (i, _), cs, ns in zip(part, child.tolist(), near.tolist(), strict=True):
+                    out[i] = [{"child": c, "near": n} for c, n in zip(cs, ns, strict=True) if c >= 0]
+        return pa.array(out, pa.list_(pa.struct([("child", pa.int32()), ("near", pa.float64())])))
+
+    # Few shards are large, and their centroids are small next to their vectors; the planner knows the size of the stored table.
+    met = members.join(centres, KEY, "left")
+    stay = met.where(F.col("centres").isNull() | (F.size("centres") < 2))
+    stay = stay.withColumn("dense", F.col("dense") | F.col("centres").isNotNull()).select(*members.columns)
+    split = met.where(F.size("centres") > 1).select(*members.columns, F.posexplode(places("unit", "centres")).alias("_p", "_c"))
+    split = split.select(
+        "label", "wide", (F.col("shard") * FAN + F.col("_c.child") + 1).alias("shard"), "rep", "copies", "unit",
+        (F.col("home") & (F.col("_p") == 0)).alias("home"), F.col("_c.near").alias("near"), F.lit(False).alias("dense"),
+    )
+    # Of the shards that a vector could visit the nearest ones stay.
+    order = Window.partitionBy("rep").orderBy(F.col("home").desc(), F.col("near").desc(), "shard")
+    every = stay.unionByName(split).withColumn("_r", F.row_number().over(order))
+    return _stored(every.where(F.col("_r") <= overlap + 1).drop("_r"), "members")
+
+
+def _sharded(reps: DataFrame, overlap: int, limit: float) -> DataFrame:
+    """Rows (label, wide, shard, rep, copies, unit, dense, shards): members of each shard, with all shards of the vector."""
+    members = _stored(_single(reps), "members")
+    for level in range(LEVELS):
+        after = _split(members, level, overlap, limit)
+        if after is None:
+            break
+        members = after
+    all_of = Window.partitionBy("rep")
+    columns = [*KEY, "rep", "copies", "unit", "dense", F.sort_array(F.collect_list("shard").over(all_of)).alias("shards")]
+    return _stored(members.select(*columns), "members")
+
 
-    rows = reps.select("label", F.octet_length("unit").alias("wide"), "rep", "copies", "unit", places("label", "unit").alias("_at"))
-    return rows.select("label", "wide", "rep", "copies", "unit", F.col("_at.shards")[0].alias("home"), "_at.shards", "_at.blocks")
+def _table(lists: list[list[int]]) -> np.ndarray:
+    out = np.full((len(lists), max(map(len, lists), default=1)), -1, np.int64)
+    for i, own in enumerate(lists):
+        out[i, : len(own)] = own
+    return out
 
 
-def _members(placed: DataFrame) -> DataFrame:
-    """Rows (label, wide, shard, rep, copies, unit, home): those at home and visitors of each shard, with their home."""
-    return placed.select("label", "wide", F.explode("shards").alias("shard"), "rep", "copies", "unit", "home")
+def _first_shared(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The least number in both rows of two tables of shards (padded with -1), rows being paired as they broadcast."""
+    best = np.full(np.broadcast_shapes(one.shape[:-1], other.shape[:-1]), np.iinfo(np.int64).max)
+    for a in np.moveaxis(one, -1, 0):
+        for b in np.moveaxis(other, -1, 0):
+            best = np.where((a == b) & (a >= 0) & (a < best), a, best)
+    return best
 
 
 def compared(x: np.ndarray, y: np.ndarray, limit: float, allowed) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -332,38 +392,6 @@ def compared(x: np.ndarray, y: np.ndarray, limit: float, allowed) -> tuple[np.nd
     return np.concatenate(links), parts
 
 
-def _exact(left: DataFrame, right: DataFrame, limit: float, all_pairs: bool = False) -> DataFrame:
-    """(rep, links, root) from an exact comparison of the rows (label, wide, block, part, rep, copies, unit, home, shards) of both sides.
-
-    Rows of one label, width, block, part and row meet. A pair counts if the left side's home is below the right one's
-    and the right one does not visit it; with ``all_pairs``, any pair of a row and a later part.
-    """
-
-    def compare(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({n: pa.array([], pa.int64()) for n in ("rep", "links", "root")})
-        x, y = (matrix(t.column("unit").to_pylist()) for t in (a, b))
-        own, other = (t.column("home").to_numpy() for t in (a, b))
-        visits = b.column("shards").to_pylist()
-        table = np.full((len(visits), max(map(len, visits))), -1)
-        for i, shards in enumerate(visits):
-            table[i, : len(shards)] = shards
-
-        def allowed(part: slice) -> np.ndarray:
-            if all_pairs and key[3].as_py() != key[4].as_py():
-                return np.ones((part.stop - part.start, len(y)), bool)
-            ok = own[part, None] < other[None, :]
-            for shards in table.T:
-                ok &= own[part, None] != shards[None, :]
-            return ok
-
-        links, parts = compared(x, y, limit, allowed)
-        return _counts(a, b, links, parts)
-
-    rows = left.groupBy("label", "wide", "block", "part", "row").cogroup(right.groupBy("label", "wide", "block", "part", "row"))
-    return rows.applyInArrow(compare, "rep bigint, links bigint, root bigint")
-
-
 def _counts(a: pa.Table, b: pa.Table, links: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
     """Number of rows linked and the smallest row reached, for the linked rows of two tables that were compared."""
     copies, others = a.column("copies").to_numpy(), b.column("copies").to_numpy()
@@ -377,24 +405,39 @@ def _counts(a: pa.Table, b: pa.Table, links: np.ndarray, parts: list[tuple[np.nd
     return pa.table({"rep": pa.array(reps[hit], pa.int64()), "links": pa.array(count[hit], pa.int64()), "root": pa.array(reps[root[hit]], pa.int64())})
 
 
-def _rest(placed: DataFrame, limit: float) -> DataFrame:
-    """(rep, links, root) of the pairs that no shard counts: homes of a group of clusters against those that may have links into it."""
-    keys = ["label", "wide", "block"]
-    homes = placed.withColumn("block", F.floor(F.col("home") / max(1, BLOCK_ROWS // SHARD_ROWS)).cast("int"))
-    guests = placed.withColumn("block", F.explode("blocks"))
+def _exact(members: DataFrame, limit: float) -> DataFrame:
+    """(rep, links, root) from an exact comparison of all members of each shard, in blocks.
 
-    def parts(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+    A pair counts in the first shard of both. Members are dealt into parts; each pair of parts is one block, so a member
+    is sent as often as its shard has parts.
+    """
+    sizes = _stored(members.groupBy(*KEY).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts")), "blocks")
+    own = members.join(sizes, KEY).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(4)), F.col("parts")).cast("int"))
+    columns = [*KEY, "part", "row", "rep", "copies", "unit", "shards"]
 
-    sizes = _stored(parts(homes, "rows").join(parts(guests, "parts"), keys), "blocks")
-    mark, columns = F.xxhash64("rep", F.lit(3)), [*keys, "part", "row", "rep", "copies", "unit", "home", "shards"]
+    def dealt(side: str, other: str, upper: bool) -> DataFrame:
+        """Each member is on the left of the parts from its own on, and on the right of those up to its own."""
+        span = F.sequence(F.col("own"), F.col("parts") - 1) if upper else F.sequence(F.lit(0), F.col("own"))
+        return own.withColumn(side, F.col("own")).withColumn(other, F.explode(span)).select(*columns).toDF(*columns)
 
-    def dealt(rows: DataFrame, own: str, n: str, other: str, m: str) -> DataFrame:
-        """Each row is in one of the parts of its own side and meets all parts of the other."""
-        every = F.explode(F.sequence(F.lit(0), F.col(m) - 1))
-        return rows.join(sizes, keys).withColumn(own, F.pmod(mark, F.col(n)).cast("int")).withColumn(other, every).select(*columns).toDF(*columns)
+    def compare(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({n: pa.array([], pa.int64()) for n in ("rep", "links", "root")})
+        x, y = (matrix(t.column("unit").to_pylist()) for t in (a, b))
+        first, second = (t.column("rep").to_numpy() for t in (a, b))
+        mine, theirs = (_table(t.column("shards").to_pylist()) for t in (a, b))
+        same = key[3].as_py() == key[4].as_py()
 
-    return _exact(dealt(homes, "row", "rows", "part", "parts"), dealt(guests, "part", "parts", "row", "rows"), limit)
+        def allowed(part: slice) -> np.ndarray:
+            ok = _first_shared(mine[part, None], theirs[None]) == key[2].as_py()
+            return ok & (first[part, None] < second[None]) if same else ok
+
+        links, parts = compared(x, y, limit, allowed)
+        return _counts(a, b, links, parts)
+
+    left, right = dealt("row", "part", True), dealt("part", "row", False)
+    by = [*KEY, "part", "row"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "rep bigint, links bigint, root bigint")
 
 
 def _adjacency(members: DataFrame, degree: int, beam: int) -> DataFrame:
@@ -404,11 +447,11 @@ def _adjacency(members: DataFrame, degree: int, beam: int) -> DataFrame:
         table = table.sort_by([("rep", "ascending")])
         reps = table.column("rep").to_numpy()
         links = build(matrix(table.column("unit").to_pylist()).astype(np.float32), degree, beam)
-        near = [reps[row[row >= 0]] for row in links]
-        return pa.table({"rep": pa.array(reps, pa.int64()), "near": pa.array(near, pa.list_(pa.int64()))})
+        ends = pa.array(np.concatenate([[0], np.cumsum((links >= 0).sum(1))]), pa.int32())
+        return pa.table({"rep": pa.array(reps, pa.int64()), "near": pa.ListArray.from_arrays(ends, pa.array(reps[links[links >= 0]], pa.int64()))})
 
-    lists = members.select("label", "wide", "shard", "rep", "unit").groupBy("label", "wide", "shard").applyInArrow(grow, "rep bigint, near array<bigint>")
-    # A vector is in OVERLAP shards at most, so its united list is short.
+    lists = members.select(*KEY, "rep", "unit").groupBy(*KEY).applyInArrow(grow, "rep bigint, near array<bigint>")
+    # A vector is in OVERLAP + 1 shards at most, so its united list is short.
     return lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
@@ -418,26 +461,26 @@ def _found(members: DataFrame, adjacency: DataFrame, limit: float, beam: int) ->
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by([("rep", "ascending")])
         reps, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
-        home, shard = table.column("home").to_numpy(), table.column("shard").to_numpy()
-        near = [x or [] for x in table.column("near").to_pylist()]
-        links = np.full((len(reps), max(1, *map(len, near), 1)), -1, np.int32)
-        for i, own in enumerate(near):
-            place = np.searchsorted(reps, own)
-            place = np.minimum(place, len(reps) - 1)
-            place = place[reps[place] == own] if len(own) else np.zeros(0, np.int64)
-            links[i, : len(place)] = place
-        x = matrix(table.column("unit").to_pylist())
-        pairs = range_pairs(x, links, limit, beam)
+        shard, shards = table.column("shard")[0].as_py(), _table(table.column("shards").to_pylist())
+        lists = table.column("near").combine_chunks()
+        many = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        near, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(reps)), many)
+        place = np.minimum(np.searchsorted(reps, near), len(reps) - 1)
+        here = reps[place] == near  # neighbours in other shards are no rows of this table
+        row, place = row[here], place[here]
+        many = np.bincount(row, minlength=len(reps))
+        links = np.full((len(reps), max(1, many.max(initial=1))), -1, np.int32)
+        links[row, np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)] = place
+        pairs = range_pairs(matrix(table.column("unit").to_pylist()), links, limit, beam)
+        own = np.concatenate([_first_shared(shards[p[:, 0]], shards[p[:, 1]]) == shard for p in np.array_split(pairs, 1 + len(pairs) // 200_000)])
         count = np.zeros(len(reps), np.int64)
-        # A pair counts, for both sides, in the smaller of their homes only.
-        own = np.minimum(home[pairs[:, 0]], home[pairs[:, 1]]) == shard[0]
         for a, b in ((0, 1), (1, 0)):
             np.add.at(count, pairs[own, a], copies[pairs[own, b]])
         root = reps[roots(len(reps), pairs[own])]
         return pa.table({"rep": pa.array(reps, pa.int64()), "links": pa.array(count, pa.int64()), "root": pa.array(root, pa.int64())})
 
-    rows = members.join(adjacency, "rep", "left").select("label", "wide", "shard", "rep", "copies", "unit", "home", "near")
-    return rows.groupBy("label", "wide", "shard").applyInArrow(search, "rep bigint, links bigint, root bigint")
+    rows = members.join(adjacency, "rep", "left").select(*KEY, "rep", "copies", "unit", "shards", "near")
+    return rows.groupBy(*KEY).applyInArrow(search, "rep bigint, links bigint, root bigint")
 
 
 def sampled(reps: DataFrame, counted: DataFrame, limit: float, rows: int = AUDIT_ROWS) -> list[tuple]:
@@ -485,24 +528,6 @@ def audit(reps: DataFrame, counted: DataFrame, limit: float, rows: int = AUDIT_R
     return recall(sampled(reps, counted, limit, rows))
 
 
-def _searched_exactly(reps: DataFrame, limit: float) -> DataFrame:
-    """(rep, links, root) from all pairs of a label, in blocks."""
-    keys = ["label", "wide"]
-    rows = reps.withColumn("wide", F.octet_length("unit"))
-    sizes = _stored(rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts")), "blocks")
-    columns = [*keys, "block", "part", "row", "rep", "copies", "unit", "home", "shards"]
-    own = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(4)), F.col("parts")).cast("int")).withColumn("block", F.lit(0))
-
-    def dealt(side: str, other: str, upper: bool) -> DataFrame:
-        """Each row is on the left of the parts from its own on, and on the right of those up to its own."""
-        span = F.sequence(F.col("own"), F.col("parts") - 1) if upper else F.sequence(F.lit(0), F.col("own"))
-        # The place within a label stands for the home, so a pair of one block counts once, and nobody visits.
-        out = own.withColumn(side, F.col("own")).withColumn(other, F.explode(span))
-        return out.withColumn("home", F.col("rep")).withColumn("shards", F.array(F.lit(-1).cast("bigint"))).select(*columns).toDF(*columns)
-
-    return _exact(dealt("row", "part", True), dealt("part", "row", False), limit, all_pairs=True)
-
-
 def _with_exact(reps: DataFrame, found: DataFrame, sample: list[tuple], limit: float) -> DataFrame:
     """``found`` with the labels whose own sample does not show the required recall searched exactly instead."""
     groups: dict = {}
@@ -513,7 +538,8 @@ def _with_exact(reps: DataFrame, found: DataFrame, sample: list[tuple], limit: f
     good = reps.sparkSession.createDataFrame(shown, rows.select("label", "wide").schema)
     left = _stored(rows.join(good, ["label", "wide"], "left_anti").select(*reps.columns), "vectors")
     none = left.select("rep", F.lit(0).cast("bigint").alias("links"), F.col("rep").alias("root"))
-    return found.join(left.select("rep"), "rep", "left_anti").unionAll(none).unionAll(_searched_exactly(left, limit))
+    whole = _single(left).withColumn("shards", F.array("shard"))
+    return found.join(left.select("rep"), "rep", "left_anti").unionAll(none).unionAll(_exact(whole, limit))
 
 
 def linked(vectors: DataFrame, limit: float = LIMIT, key: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -522,19 +548,20 @@ def linked(vectors: DataFrame, limit: float = LIMIT, key: str = "vec_id", embedd
     Vectors link if labels are equal and not null and the cosine is ``limit`` or more; vectors that are null,
     empty, zero, of another length, or hold null or non-finite numbers link with nothing, nor do rows without a key.
     ``n_links`` counts the other rows linked directly, copies included; ``component_id`` is the smallest key
-    reachable; ``kept`` marks the rows that are their own component's. Rows of one key are rows of their own.
+    reachable; ``kept`` marks the rows that are their own component's. Rows of one key are rows of their own. Keys are of
+    any type with an order; other columns do not matter; an empty table gives an empty one.
     """
     rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), unit_bytes(F.col(embedding)).alias("unit"))
     rows = _stored(rows, "vectors")
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("unit").isNotNull()
-    reps = _stored(rows.where(usable).groupBy("label", "unit").agg(F.min("id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
+    same = rows.where(usable).groupBy("label", "unit").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    reps = _stored(same.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     overlap, beam = OVERLAP, BEAM
-    model = _fit(reps)
     for left in range(TRIES - 1, -1, -1):
-        placed = _stored(_placed(reps, model, overlap, limit), "placed")
-        members = _members(placed)
-        found = _found(members, _adjacency(members, DEGREE, beam), limit, beam)
-        found = _stored(found.unionAll(_rest(placed, limit)), "found")
+        members = _sharded(reps, overlap, limit)
+        sparse = members.where("not dense")
+        found = _found(sparse, _adjacency(sparse, DEGREE, beam), limit, beam)
+        found = _stored(found.unionAll(_exact(members.where("dense"), limit)), "found")
         counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
         sample = sampled(reps, counted, limit)
         if recall(sample) >= RECALL:
@@ -545,9 +572,13 @@ def linked(vectors: DataFrame, limit: float = LIMIT, key: str = "vec_id", embedd
             break
         overlap, beam = 2 * overlap, 2 * beam
     joined = components(found.where("rep <> root").select("rep", "root").distinct(), "rep", "root")
-    joined = joined.select(F.col("node").alias("rep"), F.col("root").alias("first"))
-    named = reps.join(counted, "rep").join(joined, "rep", "left")
-    named = named.select(F.col("label").alias("_label"), F.col("unit").alias("_unit"), F.col("links") + F.col("copies") - 1, F.coalesce("first", "rep")).toDF("_label", "_unit", "_links", "_first")
+    joined = joined.select(F.col("node").alias("rep"), "root")
+    named = _stored(reps.join(counted, "rep", "left").join(joined, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "named")
+    # The smallest key of a component: combined before the shuffle, so a large component is no hot group.
+    first = named.groupBy("root").agg(F.min("low").alias("_first"))
+    named = named.join(first, "root").select(
+        F.col("label").alias("_label"), F.col("unit").alias("_unit"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"), "_first"
+    )
     out = rows.join(named, usable & (F.col("label") == F.col("_label")) & (F.col("unit") == F.col("_unit")), "left")
     first = F.coalesce("_first", "id")
     return out.select(F.col("id").alias(key), F.coalesce("_links", F.lit(0)).alias("n_links"), first.alias("component_id"), F.col("id").eqNullSafe(first).alias("kept"))

@@ -67,25 +67,48 @@ def test_many_shards(spark, monkeypatch):
     assert all(a[1] <= b[1] for a, b in zip(got, want, strict=True))  # none below the limit
 
 
-def test_a_family_of_many_shards_keeps_all_its_links(spark, monkeypatch):
-    monkeypatch.setattr(graph, "SHARD_ROWS", 20)
-    monkeypatch.setattr(graph, "BLOCK_ROWS", 60)
+def test_a_family_larger_than_a_shard_stays_whole(spark, monkeypatch):
+    """Its vectors have one centroid, so they are one dense shard, which is compared in blocks."""
+    monkeypatch.setattr(graph, "SHARD_ROWS", 60)
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 70)
     monkeypatch.setattr(graph, "TRIES", 1)
     rng = np.random.default_rng(5)
     rows = [(i, (np.eye(16)[0] + 0.2 * rng.normal(size=16) / 4).tolist(), 1) for i in range(500)]
+    rows += [(1000 + i, rng.normal(size=16).tolist(), 1) for i in range(200)]
     got, want = found(graph.linked(frame(spark, rows))), brute(rows)
     assert sum(g[1] for g in got) >= 0.99 * sum(w[1] for w in want)
     assert all(g[1] <= w[1] and g[2] == w[2] for g, w in zip(got, want, strict=True))
 
 
-def test_a_pair_meets_in_a_shard_or_in_the_rest_and_once():
+def test_labels_of_several_shards(spark):
+    """As many vectors as it takes to split a label and a shard of it, with the sizes of production."""
+    rng = np.random.default_rng(12)
+    rows = clustered(rng, 400, 6, dims=32, noise=0.25) + clustered(rng, 2, 150, dims=32, noise=0.25)
+    rows = [(i, v, 0) for i, (_, v, _) in enumerate(rows)] + [(10_000 + i, rng.normal(size=32).tolist(), 0) for i in range(5000)]
+    table = frame(spark, rows)
+    reps = table.select(table.label, graph.unit_bytes(table.embedding).alias("unit"), table.vec_id.alias("rep")).selectExpr("*", "1L AS copies", "rep AS low")
+    shards = graph._sharded(reps, graph.OVERLAP, 0.93).groupBy("shard").count().collect()
+    assert len(shards) >= 5 and max(r["count"] for r in shards) <= graph.SHARD_ROWS
+    got, want = found(graph.linked(table)), brute(rows)
+    assert sum(g[1] for g in got) >= 0.97 * sum(w[1] for w in want)
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+
+
+def test_a_pair_counts_in_its_first_shared_shard():
+    one, other = graph._table([[4, 7], [2], [9, 11, 12]]), graph._table([[7, 8], [2, 3], [1]])
+    most = np.iinfo(np.int64).max
+    assert graph._first_shared(one, other).tolist() == [7, 2, most]
+    assert graph._first_shared(one[:, None], other[None]).tolist() == [[7, most, most], [most, 2, most], [most, most, most]]
+
+
+def test_centroids_do_not_cut_what_is_linked():
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(400, 6))
+    x = np.concatenate([np.eye(24)[0] + 0.02 * rng.normal(size=(900, 24)), rng.normal(size=(300, 24))])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    joined, rest = graph.shards_of(x, graph.centroids(x, 20), 3, 0.93)
-    for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.93, 1)), strict=True):
-        low, high = sorted((i, j), key=lambda n: joined[n][0])
-        assert (joined[low][0] in joined[high]) + (joined[low][0] in rest[high]) == 1
+    c = graph.centroids(x, 12)
+    assert 2 <= len(c) < 12 and np.triu(c @ c.T, 1).max() < 0.93
+    child, near = graph.children(x, c, 2, 0.93)
+    assert len(np.unique(child[:900, 0])) == 1 and (child[:, 0] >= 0).all() and (np.diff(near, axis=1) <= 0).all()
 
 
 def test_odd_vectors(spark):
@@ -97,6 +120,11 @@ def test_odd_vectors(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in df.collect())
 
 
+def test_text_keys(spark):
+    rows = spark.createDataFrame([("b", [1.0, 0.0], "x"), ("a", [1.0, 0.01], "x"), ("c", [0.0, 1.0], "x"), (None, [1.0, 0.0], "x")], "vec_id string, embedding array<double>, label string")
+    assert sorted((tuple(r) for r in graph.linked(rows).collect()), key=str) == sorted([("b", 1, "a", False), ("a", 1, "a", True), ("c", 0, "c", True), (None, 0, None, True)], key=str)
+
+
 def test_extra_columns_and_empty_table(spark):
     rows = frame(spark, [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1)])
     clash = rows.selectExpr("*", "1 AS rep", "2 AS unit", "3 AS id", "4 AS n_links")
@@ -117,7 +145,21 @@ def test_search_finds_what_brute_force_finds(n):
 def test_pruning_keeps_directions():
     x = np.array([[1, 0], [0.99, 0.14], [0.98, 0.2], [0.6, -0.8]])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    assert graph.robust_prune(x, 0, np.array([1, 2, 3]), 2, 1.2).tolist() == [1, 3]
+    assert graph.prune_all(x, np.array([0]), np.array([[1, 2, 3, -1, 2, 0]]), 2, 1.2).tolist() == [[1, 3]]
+
+
+def test_pruning_of_many_equals_one_by_one():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lists = rng.integers(-1, 60, (30, 20))
+    for node, own in enumerate(lists):
+        left = sorted({int(i) for i in own if i >= 0 and i != node}, key=lambda i: -(x[i] @ x[node]))
+        kept = []
+        for i in left:
+            if len(kept) < 6 and all(1.2 * np.linalg.norm(x[i] - x[k]) > np.linalg.norm(x[i] - x[node]) for k in kept):
+                kept.append(i)
+        assert [i for i in graph.prune_all(x, np.arange(30), lists, 6, 1.2)[node].tolist() if i >= 0] == kept
 
 
 def test_audit_sees_missing_links(spark):
