@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 8 << 20  # text of one slice
 
@@ -27,29 +29,70 @@ def parts_for(df: DataFrame, size: int, part_bytes: int = SLICE_BYTES) -> int:
     return max(1, least, min(math.ceil(size / part_bytes), math.isqrt(size // 256)))
 
 
-def cut_points(docs: DataFrame, key: str, n: int) -> list:
-    """Up to n - 1 keys that cut the rows into n slices of about equal size (one number for each slice)."""
-    if n < 2:
-        return []
-    shares = [i / n for i in range(1, n)]
-    found = docs.agg(F.percentile_approx(key, shares, max(10_000, 10 * n))).first()[0]
-    return sorted(set(found or []))
-
-
-def slice_of(key: Column, cuts: list) -> Column:
-    """Number of cuts that are not above the key, found in two steps; a null key is in the last slice."""
-    if not cuts:
-        return F.lit(0)
-    width = math.isqrt(len(cuts)) + 1
-    blocks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-
-    # Constant arrays in one literal each, however many numbers there are.
-    firsts = F.from_json(F.lit(str([b[0] for b in blocks])), "array<bigint>")
-    nested = F.from_json(F.lit(str(blocks)), "array<array<bigint>>")
-    block = F.size(F.filter(firsts, lambda c: c <= key))
-    inside = F.size(F.filter(F.element_at(nested, F.greatest(block, F.lit(1))), lambda c: c <= key))
-    found = F.when(block == 0, 0).otherwise((block - 1) * width + inside)
-    return F.coalesce(F.when(key.isNull(), len(cuts)).otherwise(found), F.lit(len(cuts)))
+class KeySlices:
+    """Slices of neighbouring keys, with about equal bytes of text each.
+
+    ``order`` has a number for each slice; a slice of a higher one has higher keys only. A key whose rows alone are
+    more than a slice has slices of its own, of one number, over which its rows are dealt by a hash of their text; so have
+    rows without a key, which come last.
+    """
+
+    def __init__(self, cuts: list[int], hot: list[int], null_parts: int):
+        """Distinct rising cuts, for each the number of parts of its own key (0: not on its own), and parts of null keys."""
+        self.cuts = cuts
+        self.rest, self.own, self.parts, order = [0], [], hot, [0]
+        for parts in hot:
+            self.own.append(len(order))
+            order += [order[-1] + 1] * parts
+            self.rest.append(len(order))
+            order.append(order[-1] + 1)
+        self.null, self.null_parts = len(order), max(1, null_parts)
+        order += [order[-1] + 1] * self.null_parts
+        self.order, self.n = np.array(order), len(order)
+
+    def slice(self, key: Column, text: Column) -> Column:
+        mark = F.xxhash64(text)
+        nulls = F.lit(self.null) + F.pmod(mark, F.lit(self.null_parts))
+        if not self.cuts:
+            return F.when(key.isNull(), nulls).otherwise(0).cast("int")
+
+        def constant(values: list, kind: str = "array<bigint>") -> Column:
+            return F.from_json(F.lit(str(values)), kind)  # one literal, however many numbers there are
+
+        width = math.isqrt(len(self.cuts)) + 1
+        blocks = [self.cuts[i : i + width] for i in range(0, len(self.cuts), width)]
+        block = F.size(F.filter(constant([b[0] for b in blocks]), lambda c: c <= key))
+        inside = F.size(F.filter(F.element_at(constant(blocks, "array<array<bigint>>"), F.greatest(block, F.lit(1))), lambda c: c <= key))
+        below = F.when(block == 0, 0).otherwise((block - 1) * width + inside).cast("int")  # cuts that are not above the key
+        rest = F.element_at(constant(self.rest), below + 1)
+        if any(self.parts):
+            at = F.greatest(below, F.lit(1))
+            parts = F.element_at(constant(self.parts), at)
+            alone = (below > 0) & (parts > 0) & (F.element_at(constant(self.cuts), at) == key)
+            rest = F.when(alone, F.element_at(constant(self.own), at) + F.pmod(mark, F.greatest(parts, F.lit(1)))).otherwise(rest)
+        return F.when(key.isNull(), nulls).otherwise(rest).cast("int")
+
+
+def key_slices(docs: DataFrame, key: str, text: str, n: int) -> KeySlices:
+    """About ``n`` slices of ``docs``; keys must be whole numbers. Two passes over keys and lengths; the cuts reach the driver."""
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be a whole number; number other keys first")
+    sizes = docs.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.octet_length(text), F.lit(0)).alias("b"), F.xxhash64(text).alias("h"))
+    total, none = sizes.agg(F.sum("b"), F.sum(F.when(F.col("k").isNull(), F.col("b")))).first()
+    if not total or n < 2:
+        return KeySlices([], [], 1)
+    null_parts = round(n * (none or 0) / total)
+    shares = max(1, n - null_parts)
+    # A row counts once for each 1/64 of a slice in it, what is left by chance of its hash: quantiles by bytes.
+    unit = max(1, total // (64 * n))
+    chance = F.pmod(F.xxhash64("h", "k"), F.lit(1 << 20)) / float(1 << 20)
+    times = F.floor(F.col("b") / unit + chance).cast("int")
+    weighted = sizes.where(F.col("k").isNotNull() & (times > 0)).select("k", F.explode(F.sequence(F.lit(1), times)))
+    wanted = [i / shares for i in range(1, shares)]
+    found = weighted.agg(F.percentile_approx("k", wanted, max(10_000, 10 * n))).first()[0] if wanted else []
+    repeats = Counter(found or [])
+    cuts = sorted(repeats)
+    return KeySlices(cuts, [repeats[c] if repeats[c] > 1 else 0 for c in cuts], null_parts)
 
 
 def packed_codes(codes: np.ndarray) -> bytes:

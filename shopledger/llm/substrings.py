@@ -2,97 +2,153 @@
 
 Every word position begins a suffix of its document. A passage repeats if two suffixes share their first
 ``WINDOW`` words, that is, if a node of the suffix tree at that depth has suffixes of several documents below
-it. The tree is never built as a whole:
-
-* Suffixes are split into groups by a variable-length prefix: as many words as make up ``PREFIX_BYTES`` bytes,
-  ``WINDOW`` words at most. Prefixes are dealt over groups by hash ranges, each group small enough for memory.
-* Inside a group a suffix is a path: the node of its prefix, then its node at depth ``WINDOW``. A node goes by a
-  64-bit code, whose leading bits are the prefix node's and whose other bits name the deep node, so sorted
-  codes list a subtree in depth-first order, and equal neighbours are the suffixes below one deep node. Spelled
-  out, thirteen words a suffix would be thirteen times the corpus.
-* Documents lie in slices by key. A slice sends each group its sorted distinct codes once, however often they
-  occur in it; the group finds for each deep node the first slice that has it, and returns to every later
-  slice a bit for each code. Within its own slice a document compares with smaller keys directly.
-
-The documents' own shuffle serves both passes over the text. What a task holds is bounded by the size of a
-slice and of a group; a passage that very many documents share reaches a group once a slice.
-
-Two different windows share a code with a probability of 2^-64 for each pair (2^-63 or so where prefixes are
-frequent): at 10^8 windows the expected number of such pairs is under 0.01.
+it. The tree is never built as a whole, and most suffixes never become a part of it:
+
+* Suffixes are read only as far as they are needed. A first exchange tells which runs of ``WINDOW`` words occur in more than one
+  slice of the documents at all: a slice sends each group of a hash space the short codes of its distinct runs, and
+  gets back a bit for each. A few codes are shared by different runs; these drop out in the tree.
+* Each suffix that is left goes to a tree by its path, the codes of its first 2, 4 and ``WINDOW`` words one after the other.
+  Trees are ranges of the order of paths, that is of the depth-first order of the whole tree, with bounds
+  drawn from a sample, so that a tree fits into memory: most hold many prefixes of two words, and where a prefix is
+  frequent, bounds fall behind longer prefixes, down to single nodes.
+* In a tree, the sorted paths list the suffixes depth first. Neighbours with an equal path are below one internal
+  node at the depth of ``WINDOW`` words; its suffixes repeat those of a smaller key if the first slice that has the node holds smaller
+  keys only. Consecutive suffixes of a document that do so make up a maximal repeat.
+* Within its own slice a document compares with smaller keys directly, word by word.
+
+A path has 148 bits, of which all but 44 are the node's own, so two different runs share one with a probability of 2^-104
+for each pair. Documents lie in slices by key, with about equal bytes. A slice sends a node once, however often it
+occurs there, so a passage that very many documents share reaches a group or a tree once a slice. The
+documents' own shuffle serves all three passes over the text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .slices import cut_points, group_bounds, packed_codes, parts_for, slice_of, text_size, unpacked_codes
-from .text import appended, as_bytes, give_back, mixed, named, word_hashes, words
+from .slices import group_bounds, key_slices, packed_codes, packed_counts, parts_for, text_size, unpacked_codes, unpacked_counts
+from .text import FACTOR, as_bytes, give_back, in_slices, mixed, words
 
 WINDOW = 13
-PREFIX_BYTES = 16
-PREFIX_BITS = 20  # leading bits of a code that name the prefix
-GROUP_CODES = 2_000_000
+PREFIXES = ((2, 24), (4, 20))  # words of a prefix, and bits of its code that lead a path
+SPARE_BITS = 8  # bits of a short code beyond those that number the corpus' bytes
+GROUP_CODES = 4_000_000  # short codes that a task of the first exchange holds, on average
+TREE_SUFFIXES = 1_000_000  # suffixes of a tree, if half of all are left
+SAMPLE_PATHS = 200_000  # paths that the bounds of trees are drawn from
+_BACK = pow(FACTOR, -1, 1 << 64)
+
+
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    """Sorted distinct codes (by sorting: far faster here than by a hash table)."""
+    codes = np.sort(codes)
+    return codes[np.concatenate([[True], codes[1:] != codes[:-1]])] if len(codes) else codes
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 class Suffixes:
-    """The words of a slice's documents and the codes of all their windows."""
+    """The words of a slice's documents, and a code of the run of ``window`` words at each place that has one."""
 
     def __init__(self, texts: list[bytes], window: int):
-        hashes, sizes = [], []
-        self.counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            tokens = words(text)
-            self.counts[i] = len(tokens)
-            hashes.append(word_hashes(tokens))
-            sizes.append(np.fromiter(map(len, tokens), np.int32, len(tokens)))
+        self.window = window
+        split = [words(t) for t in texts]
+        self.counts = np.fromiter(map(len, split), np.int64, len(split))
         self.ends = np.cumsum(self.counts)
         self.total = int(self.ends[-1]) if len(texts) else 0
+        named = pa.array([w for own in split for w in own], pa.binary()).dictionary_encode()
+        self.word, known = named.indices.to_numpy().astype(np.int32), named.dictionary.to_pylist()
+        self._hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
         runs = np.maximum(0, self.counts - window + 1)
         self.window_doc = np.repeat(np.arange(len(texts), dtype=np.int32), runs)
         # Window i of a document begins i words after the document.
         place = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
         self.starts = (np.repeat(self.ends - self.counts, runs) + place).astype(np.int32)
-        if not len(self.starts):
-            self.codes = np.zeros(0, np.uint64)
-            return
-        words_of, size_of = np.concatenate(hashes), np.concatenate(sizes)
-        del place, hashes, sizes
-        run, length = np.zeros(len(self.starts), np.uint64), np.zeros(len(self.starts), np.int32)
-        prefix, open_prefix = np.zeros_like(run), np.ones(len(run), bool)
-        for n in range(window):
-            run = appended(run, words_of[self.starts + n])
-            length += size_of[self.starts + n]
-            closed = open_prefix & ((length >= PREFIX_BYTES) | (n == window - 1))
-            prefix[closed] = named(run[closed], n + 1)
-            open_prefix &= ~closed
-        keep = np.uint64(64 - PREFIX_BITS)
-        deep = mixed(named(run, window) ^ prefix) >> np.uint64(PREFIX_BITS)
-        self.codes = (prefix >> keep << keep) | deep
-
-
-def _in_key_order(table: pa.Table, key: str) -> pa.Table:
-    return table.sort_by([(key, "ascending")])  # nulls last
-
-
-def _repeated_words(own: Suffixes, keys: list, distinct: np.ndarray, inverse: np.ndarray, elsewhere: np.ndarray, window: int) -> np.ndarray:
-    """Which words lie in a window that begins in a document of a smaller key, here or in an earlier slice."""
-    # Documents of one key (or of null keys) are none before the other.
-    rank = np.cumsum([0, *(a is not None and a != b for a, b in zip(keys[1:], keys, strict=False))]) if keys else np.zeros(0, np.int64)
-    if keys and None in keys:
-        first = keys.index(None)
-        rank = np.concatenate([rank[:first], np.full(len(keys) - first, rank[first - 1] + 1 if first else 0)])
-    window_rank = rank[own.window_doc]
-    first_rank = np.full(len(distinct), len(keys), np.int64)
-    np.minimum.at(first_rank, inverse, window_rank)
-    again = elsewhere[inverse] | (window_rank > first_rank[inverse])
-    marks = np.zeros(own.total + 1, np.int64)
-    np.add.at(marks, own.starts[again], 1)
-    np.add.at(marks, own.starts[again] + window, -1)
-    return np.cumsum(marks[:-1]) > 0
+        # Sums of hash * FACTOR^-place: a run's code is a difference of two, moved back to its place.
+        hashes = self._hashes[self.word] if self.total else np.zeros(0, np.uint64)
+        self._sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * _powers(_BACK, self.total)[: self.total], dtype=np.uint64)])
+        self._forth = _powers(FACTOR, self.total)
+        self.codes = self.run_codes(self.starts, window)
+
+    def run_codes(self, starts: np.ndarray, size: int) -> np.ndarray:
+        """64-bit codes of the runs of ``size`` words at ``starts``."""
+        return mixed((self._sums[starts + size] - self._sums[starts]) * self._forth[starts] + np.uint64(size))
+
+    def same_runs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the runs at places ``a`` and ``b`` have the same words."""
+        same = np.ones(len(a), bool)
+        for n in range(self.window):
+            same &= self.word[a + n] == self.word[b + n]
+        return same
+
+    def nodes(self) -> tuple[np.ndarray, np.ndarray]:
+        """First window of each distinct run, in the order of codes, and the number of its run for each window."""
+        _, first, node = np.unique(self.codes, return_index=True, return_inverse=True)
+        again = np.flatnonzero(first[node] != np.arange(len(node)))
+        wrong = again[~self.same_runs(self.starts[again], self.starts[first[node[again]]])]
+        for w in wrong.tolist():  # different runs of one code: the second is a node of its own
+            alike = [n for n in np.flatnonzero(self.codes[first] == self.codes[w]).tolist() if self.same_runs(self.starts[[w]], self.starts[[first[n]]])[0]]
+            if not alike:
+                first, alike = np.append(first, w), [len(first)]
+            node[w] = alike[0]
+        return first, node
+
+    def paths(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Path of the run at each window, as two numbers: prefix codes and the run's code, and a second code of the run."""
+        starts = self.starts[windows]
+        head, left = np.zeros(len(starts), np.uint64), 64
+        for size, bits in PREFIXES:
+            left -= bits
+            head |= self.run_codes(starts, min(size, self.window)) >> np.uint64(64 - bits) << np.uint64(left)
+        # The second code is made of other hashes of the words, so it tells runs apart that the first does not.
+        other, run = mixed(self._hashes ^ np.uint64(FACTOR)), np.zeros(len(starts), np.uint64)
+        for n in range(self.window):
+            run = run * np.uint64(_BACK) + other[self.word[starts + n]]
+        return head | self.codes[windows] >> np.uint64(64 - left), mixed(run)
+
+
+def _in_key_order(table: pa.Table, key: str, text: str) -> pa.Table:
+    """Nulls last; rows of one key by text, so that every pass over a slice sees the same order."""
+    return table.sort_by([(key, "ascending"), (text, "ascending")])
+
+
+def _ranks(keys: pa.ChunkedArray) -> np.ndarray:
+    """Number of each row's key in key order; documents of one key, or of none, are not before each other."""
+    values = keys.to_pylist()
+    return np.cumsum([0, *(a != b for a, b in zip(values[1:], values, strict=False))]) if values else np.zeros(0, np.int64)
+
+
+def _path_bounds(docs: DataFrame, text: str, size: int, trees: int, window: int) -> np.ndarray:
+    """``trees`` - 1 first halves of paths that cut the suffixes into parts of about equal number, from a sample.
+
+    The bounds steer where suffixes meet, never which of them are equal.
+    """
+    if trees < 2:
+        return np.zeros(0, np.uint64)
+    share = min(1.0, 2 * SAMPLE_PATHS / max(1, size / 6))  # of the suffixes: a sixteenth of those of the documents drawn
+    of_docs = min(1.0, 16 * share)
+    threshold = np.uint64(min((1 << 64) - 1, int(share / of_docs * 2**64)))
+
+    def draw(batches):
+        for batch in batches:
+            for part in in_slices(batch.column(0)):
+                own = Suffixes(as_bytes(part), window)
+                # By a hash of the place, so that a passage counts as often as it occurs.
+                picked = np.flatnonzero(mixed(own.codes ^ np.arange(len(own.codes), dtype=np.uint64)) <= threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(own.paths(picked)[0].view(np.int64))], ["path"])
+
+    drawn = docs.where(F.pmod(F.xxhash64(text, F.lit(5)), F.lit(1 << 20)) <= int(of_docs * (1 << 20))).select(F.col(text).alias("t"))
+    rows = drawn.mapInArrow(draw, "path bigint").orderBy(F.xxhash64("path")).limit(SAMPLE_PATHS).collect()
+    paths = np.sort(np.array([r["path"] for r in rows], np.int64).view(np.uint64))
+    return paths[np.arange(1, trees) * len(paths) // trees] if len(paths) else np.zeros(trees - 1, np.uint64)
 
 
 ADDED = ("n_words", "n_removed", "kept")
@@ -102,40 +158,50 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """``docs`` with ``n_words``, ``n_removed`` and ``kept`` (the words left, joined by one space), or as ``added`` names them.
 
     A word goes if a run of ``window`` words that covers it also begins in a document of a smaller key; runs
-    are judged on the input. Null texts have no words. Null keys count as larger than all others; rows of one
-    key are not compared with each other. Columns of the new names are replaced. Texts are never cut.
+    are judged on the input. Null texts have no words. Keys are whole numbers (``TypeError`` else); null keys count as larger
+    than all others; rows of one key are not compared with each other. Columns of the new names are replaced. Texts are
+    never cut; an empty table stays empty.
     """
     _, size = text_size(docs, text)
-    slices = parts_for(docs, size)
-    groups = max(parts_for(docs, size, 1 << 62), -(-size // (6 * GROUP_CODES)))
+    slices = key_slices(docs, key, text, parts_for(docs, size))
+    order = slices.order
+    most = max(1, size // 6)  # suffixes, about
+    groups = max(parts_for(docs, size, 1 << 62), -(-most // GROUP_CODES))
+    trees = max(parts_for(docs, size, 1 << 62), -(-most // (2 * TREE_SUFFIXES)))
+    bits = min(64, max(1, size).bit_length() + SPARE_BITS)
+    drop = np.uint64(64 - bits)
+    bounds = _path_bounds(docs, text, size, trees, window)
     rows = docs.drop(*added, "__slice")
-    dealt = rows.withColumn("__slice", slice_of(F.col(key), cut_points(docs, key, slices)).cast("int")).repartition("__slice")
+    dealt = rows.withColumn("__slice", slices.slice(F.col(key), F.col(text))).repartition("__slice")
+
+    def suffixes(table: pa.Table) -> Suffixes:
+        return Suffixes(as_bytes(_in_key_order(table.select([key, text]), key, text).column(text).combine_chunks()), window)
 
     def ask(number: tuple, table: pa.Table) -> pa.Table:
-        codes = np.unique(Suffixes(as_bytes(table.column(text).combine_chunks()), window).codes)
-        cuts = group_bounds(codes, groups)
+        """The short codes of a slice's runs, by group."""
+        codes = _distinct(suffixes(table).codes >> drop)
+        cuts = group_bounds(codes, groups, bits)
         there = [g for g in range(groups) if cuts[g] < cuts[g + 1]]
         lists = [packed_codes(codes[cuts[g] : cuts[g + 1]]) for g in there]
-        del codes
         give_back()
         return pa.table(
             {"group": pa.array(there, pa.int32()), "slice": pa.array([number[0].as_py()] * len(there), pa.int32()), "codes": pa.array(lists, pa.binary())}
         )
 
     def answer(number: tuple, table: pa.Table) -> pa.Table:
-        """For each slice's codes a bit: whether an earlier slice has the deep node too."""
+        """For each slice's codes a bit: whether a slice of another order has the code too."""
         table = table.sort_by([("slice", "ascending")])
         lists = [unpacked_codes(x) for x in table.column("codes").to_pylist()]
-        codes = np.concatenate(lists)
-        order = np.argsort(codes, kind="stable")  # depth first; below a node, slice by slice
-        in_order = codes[order]
-        later = np.zeros(len(codes), bool)
-        later[order[1:]] = in_order[1:] == in_order[:-1]
-        parts = np.split(later, np.cumsum([len(x) for x in lists])[:-1])
-        del codes, order, in_order
-        give_back()
-        seen = [np.packbits(p).tobytes() if p.any() else None for p in parts]
+        codes, own = np.concatenate(lists), np.repeat(order[table.column("slice").to_numpy()], [len(x) for x in lists])
+        by = np.argsort(codes, kind="stable")  # slice by slice below a code
+        codes, own = codes[by], own[by]
+        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        many = np.diff(np.append(first, len(codes)))
+        several = np.empty(len(by), bool)
+        several[by] = np.repeat(own[first] != own[first + many - 1], many)
+        seen = [np.packbits(x).tobytes() if x.any() else None for x in np.split(several, np.cumsum([len(x) for x in lists])[:-1])]
         kept = [i for i, s in enumerate(seen) if s is not None]
+        give_back()
         return pa.table(
             {
                 "slice": table.column("slice").take(pa.array(kept, pa.int64())).cast(pa.int32()),
@@ -144,21 +210,59 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             }
         )
 
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The paths of a slice's suffixes that may be below a node of several slices, by tree, with their windows."""
+        out: dict[str, list] = {"tree": [], "slice": [], "heads": [], "tails": [], "windows": []}
+        if left.num_rows and right.num_rows:
+            own = suffixes(left)
+            codes = _distinct(own.codes >> drop)
+            cuts, several = group_bounds(codes, groups, bits), np.zeros(len(codes), bool)
+            for g, seen in zip(right.column("group").to_pylist(), right.column("seen").to_pylist(), strict=True):
+                a, b = cuts[g], cuts[g + 1]
+                several[a:b] = np.unpackbits(np.frombuffer(seen, np.uint8), count=b - a)
+            first, _ = own.nodes()
+            windows = first[several[np.searchsorted(codes, own.codes[first] >> drop)]]
+            head, tail = own.paths(windows)
+            by = np.argsort(head, kind="stable")
+            head, tail, windows = head[by], tail[by], windows[by]
+            ends = [0, *np.searchsorted(head, bounds).tolist(), len(head)]
+            for tree, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+                if a < b:
+                    values = (tree, left.column("__slice")[0].as_py(), packed_codes(head[a:b]), tail[a:b].tobytes(), packed_counts(windows[a:b]))
+                    for name, value in zip(out, values, strict=True):
+                        out[name].append(value)
+        give_back()
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    def grow(number: tuple, table: pa.Table) -> pa.Table:
+        """A tree: for each slice the windows below a node that a slice of a lower order has too."""
+        heads = [unpacked_codes(x) for x in table.column("heads").to_pylist()]
+        head, tail = np.concatenate(heads), np.frombuffer(b"".join(table.column("tails").to_pylist()), "<u8")
+        own = np.repeat(order[table.column("slice").to_numpy()], [len(x) for x in heads])
+        by = np.lexsort((own, tail, head))  # depth first; below a node the lowest order first
+        head, tail, own = head[by], tail[by], own[by]
+        first = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])]))
+        repeat = np.empty(len(by), bool)
+        repeat[by] = own > np.repeat(own[first], np.diff(np.append(first, len(own))))
+        found = []
+        for marks, windows in zip(np.split(repeat, np.cumsum([len(x) for x in heads])[:-1]), table.column("windows").to_pylist(), strict=True):
+            found.append(packed_codes(np.sort(unpacked_counts(windows)[marks])) if marks.any() else None)
+        kept = [i for i, x in enumerate(found) if x is not None]
+        give_back()
+        return pa.table({"slice": table.column("slice").take(pa.array(kept, pa.int64())).cast(pa.int32()), "windows": pa.array([found[i] for i in kept], pa.binary())})
+
     kinds = (T.LongType(), T.LongType(), T.StringType())
     kept_schema = T.StructType([*rows.schema.fields, *map(T.StructField, added, kinds)])
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = _in_key_order(left, key)
-        texts = as_bytes(left.column(text).combine_chunks())
+        left = _in_key_order(left, key, text)
+        texts, rank = as_bytes(left.column(text).combine_chunks()), _ranks(left.column(key))
         own = Suffixes(texts, window)
-        distinct, inverse = np.unique(own.codes, return_inverse=True)
-        cuts, elsewhere = group_bounds(distinct, groups), np.zeros(len(distinct), bool)
-        for g, seen in zip(right.column("group").to_pylist(), right.column("seen").to_pylist(), strict=True):
-            a, b = cuts[g], cuts[g + 1]
-            elsewhere[a:b] = np.unpackbits(np.frombuffer(seen, np.uint8), count=b - a)
-        gone = _repeated_words(own, left.column(key).to_pylist(), distinct, inverse, elsewhere, window)
+        first, node = own.nodes()
+        gone = _repeated_words(own, rank, first, node, [unpacked_codes(x) for x in right.column("windows").to_pylist()])
         counts = own.counts
-        del own, distinct, inverse, elsewhere
+        del own, first, node
         kept, removed, at = [], [], 0
         for t, n in zip(texts, counts, strict=True):
             out = gone[at : at + n]
@@ -173,9 +277,27 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             table = table.append_column(name, array)
         return table
 
-    asked = dealt.groupBy("__slice").applyInArrow(ask, "group int, slice int, codes binary")
+    by_slice = dealt.groupBy("__slice")
+    asked = by_slice.applyInArrow(ask, "group int, slice int, codes binary")
     answers = asked.groupBy("group").applyInArrow(answer, "slice int, group int, seen binary")
-    return dealt.groupBy("__slice").cogroup(answers.groupBy("slice")).applyInArrow(remove, kept_schema)
+    sent = by_slice.cogroup(answers.groupBy("slice")).applyInArrow(send, "tree int, slice int, heads binary, tails binary, windows binary")
+    grown = sent.groupBy("tree").applyInArrow(grow, "slice int, windows binary")
+    return by_slice.cogroup(grown.groupBy("slice")).applyInArrow(remove, kept_schema)
+
+
+def _repeated_words(own: Suffixes, rank: np.ndarray, first: np.ndarray, node: np.ndarray, elsewhere: list[np.ndarray]) -> np.ndarray:
+    """Which words lie in a run that begins in a document of a smaller key, here or (first windows of ``elsewhere``) in another slice."""
+    window_rank = rank[own.window_doc]
+    first_rank = np.full(len(first), len(rank), np.int64)
+    np.minimum.at(first_rank, node, window_rank)
+    known = np.zeros(len(own.codes), bool)
+    for windows in elsewhere:
+        known[windows.astype(np.int64)] = True
+    again = known[first][node] | (window_rank > first_rank[node])
+    marks = np.zeros(own.total + 1, np.int64)
+    np.add.at(marks, own.starts[again], 1)
+    np.add.at(marks, own.starts[again] + own.window, -1)
+    return np.cumsum(marks[:-1]) > 0
 
 
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:

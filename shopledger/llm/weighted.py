@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .slices import cut_points, parts_for, slice_of, text_size
+from .slices import key_slices, parts_for, text_size
 
 SAMPLES = 32
 SLICE_BYTES = 4 << 20  # text whose terms one task counts at a time
@@ -47,21 +47,24 @@ def _log_a(sample: int, term: Column, log_weight: Column) -> Column:
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (_slice, _pos, _real, ``key``, ``text``, _next) in descending order of the key, null keys first.
 
-    ``_next`` is the text of the next document, after the last one that of the first; equal keys go by text.
+    ``_next`` is the text of the next document, after the last one that of the first; equal keys go by slice, then text.
     Rows that are not ``_real`` close a slice with the text that follows it.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
     _, size = text_size(rows, "_text")
     parts = parts_for(rows, size, SLICE_BYTES)
-    placed = rows.withColumn("_slice", slice_of(F.col("_key"), cut_points(rows, "_key", parts)).cast("int"))
+    slices = key_slices(rows, "_key", "_text", parts)
+    placed = rows.withColumn("_slice", slices.slice(F.col("_key"), F.col("_text")))
     # One row for each slice reaches the driver: its first key in the order (null if it has null keys).
     first = placed.groupBy("_slice").agg(F.max("_key").alias("top"), F.max(F.col("_key").isNull()).alias("null")).collect()
     order = sorted((r["_slice"], None if r["null"] else r["top"]) for r in first)
-    after = [(s, order[i - 1][1]) for i, (s, _) in enumerate(order)]
+    after = [(s, *order[i - 1]) for i, (s, _) in enumerate(order)]
     kind = docs.schema[key].dataType.simpleString()
-    closing = spark.createDataFrame(after, f"_slice int, _head {kind}")
-    heads = rows.join(F.broadcast(closing), F.col("_key").eqNullSafe(F.col("_head"))).groupBy("_slice").agg(F.min("_text").alias("_text"))
+    closing = spark.createDataFrame(after, f"_before int, _in int, _head {kind}")
+    # As many rows as slices, whose number is bounded by the root of the size: some kilobytes.
+    met = placed.join(F.broadcast(closing), (F.col("_slice") == F.col("_in")) & F.col("_key").eqNullSafe(F.col("_head")))
+    heads = met.groupBy(F.col("_before").alias("_slice")).agg(F.min("_text").alias("_text"))
     real = placed.select("_slice", F.lit(True).alias("_real"), "_key", "_text")
     closed = real.unionByName(heads.select("_slice", F.lit(False).alias("_real"), F.lit(None).cast(kind).alias("_key"), "_text"))
     down = Window.partitionBy("_slice").orderBy(F.col("_real").desc(), F.col("_key").desc_nulls_first(), "_text")
@@ -116,8 +119,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     next document by descending key (or all it has). Returns ``key``, ``n_chars``, ``edited`` (the text, or what
     ``edited_as`` makes of it before rows are joined, such as a digest), ``fingerprint``,
     ``edited_fingerprint``, ``near_edited``, ``near_next`` (likeness of the signatures of text and edited
-    text, of text and next text). Equal texts have equal fingerprints. A null text counts as empty; null keys
-    are first in the order; rows of one key follow each other; a single document is its own next one; an empty table
+    text, of text and next text). Equal texts have equal fingerprints. A null text counts as empty; keys are whole
+    numbers (``TypeError`` else); null keys are first in the order; rows of one key follow each other, in slices of their
+    own where they are more than one holds; a single document is its own next one; an empty table
     gives an empty one. Other columns are not carried.
     """
     rows = neighbours(docs, key, text)

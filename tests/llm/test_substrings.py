@@ -1,7 +1,9 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from shopledger.llm import slices, substrings
 from shopledger.llm.queries import op4_substring_dedup
@@ -46,6 +48,66 @@ def test_many_slices_and_groups(docs, monkeypatch):
     assert found(substrings.without_repeats(docs(rows))) == brute(rows)
 
 
+@pytest.mark.parametrize("trees", [1, 40])
+def test_colliding_short_codes_and_many_trees(docs, monkeypatch, trees):
+    """Short codes of few bits: most runs look repeated at first, and the trees tell."""
+    monkeypatch.setattr(substrings, "parts_for", lambda df, size, part=0: 6)
+    monkeypatch.setattr(substrings, "SPARE_BITS", -8)
+    monkeypatch.setattr(substrings, "TREE_SUFFIXES", 3 if trees > 1 else 10**6)
+    rows = passages(random.Random(7), 120)
+    assert found(substrings.without_repeats(docs(rows))) == brute(rows)
+
+
+def test_runs_of_one_code_are_told_apart():
+    texts = [b" ".join(b"a%d" % (i % 40) for i in range(100)), b"x " * 30, b"x " * 5 + b"y " * 30]
+    own = substrings.Suffixes(texts, 13)
+    plain = [tuple(b" ".join(texts).split()[s : s + 13]) for s in own.starts.tolist()]
+    own.codes[:] = own.codes & np.uint64(3)  # nearly all collide
+    first, node = own.nodes()
+    kinds = {}
+    for run, n in zip(plain, node.tolist(), strict=True):
+        assert kinds.setdefault(n, run) == run and plain[first[n]] == run
+    assert len(kinds) == len(set(plain)) == len(first)
+
+
+def test_a_third_of_the_rows_under_one_key_and_under_none(docs, monkeypatch):
+    monkeypatch.setattr(substrings, "parts_for", lambda df, size, part=0: 9)
+    rng = random.Random(8)
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, t) for i, (_, t) in enumerate(passages(rng, 240))]
+    table = docs(rows)
+    cut = slices.key_slices(table, "doc_id", "text", 9)
+    sizes = [r["count"] for r in table.withColumn("s", cut.slice(table.doc_id, table.text)).groupBy("s").count().collect()]
+    assert max(sizes) < 60 and len(sizes) >= 6
+    assert found(substrings.without_repeats(table)) == brute(rows)
+
+
+def test_slices_hold_about_equal_bytes(docs):
+    rows = [(i, "word " * (2000 if i < 20 else 20)) for i in range(400)]
+    table = docs(rows)
+    cut = slices.key_slices(table, "doc_id", "text", 10)
+    placed = table.withColumn("s", cut.slice(table.doc_id, table.text)).selectExpr("s", "doc_id", "length(text) n").collect()
+    sizes = Counter()
+    for r in placed:
+        sizes[r["s"]] += r["n"]
+    assert len(sizes) >= 8 and max(sizes.values()) <= 3 * sum(sizes.values()) / 10
+    order = sorted((r["doc_id"], cut.order[r["s"]]) for r in placed)
+    assert [o for _, o in order] == sorted(o for _, o in order)
+
+
+def test_keys_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        substrings.without_repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_a_line_that_a_third_of_the_documents_share(docs, monkeypatch):
+    """Its runs reach a group and a tree once a slice, however many documents have them."""
+    monkeypatch.setattr(substrings, "parts_for", lambda df, size, part=0: 8)
+    line, rng = " ".join(f"shared{i}" for i in range(40)), random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30)) + (f" {line}" if i % 3 == 0 else "")) for i in range(600)]
+    out = found(substrings.without_repeats(docs(rows)))
+    assert out == brute(rows) and sum(r[2] for r in out) == 40 * 199
+
+
 def test_short_windows(docs):
     rows = passages(random.Random(6), 40)
     assert found(substrings.without_repeats(docs(rows), window=3)) == brute(rows, 3)

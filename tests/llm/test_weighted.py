@@ -50,6 +50,26 @@ def test_neighbours_across_many_slices(docs, monkeypatch):
     check(weighted.fingerprints(docs(rows)).collect(), rows)
 
 
+def test_a_third_of_the_rows_under_one_key_and_under_none(docs, monkeypatch):
+    """Such rows are dealt over slices; every row still has exactly one next row, in the order of keys."""
+    monkeypatch.setattr(weighted, "parts_for", lambda df, size, part=0: 9)
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i} " * 5) for i in range(150)]
+    table = docs(rows)
+    placed = [r for r in weighted.neighbours(table).collect() if r["_real"]]
+    follows = {r["_text"]: r["_next"] for r in placed}
+    key = {t: k for k, t in rows}
+    at, seen = placed[0]["_text"], []
+    while at not in seen:
+        seen.append(at)
+        at = follows[at]
+    assert len(seen) == len(rows) and len({r["_slice"] for r in placed}) >= 6
+    keys = [key[t] for t in seen]
+    start = next(i for i in range(len(keys)) if keys[i] is None and keys[i - 1] is not None)
+    keys = keys[start:] + keys[:start]
+    assert keys == sorted(keys, key=lambda k: (k is not None, -(k or 0)))
+    assert len(weighted.fingerprints(table).collect()) == len(rows)
+
+
 def test_share_of_equal_samples_is_the_similarity(spark, small):
     texts = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     want = {k: (a, b) for k, _, _, a, b in expected(texts)}
@@ -74,5 +94,12 @@ def test_native_plan(odd):
 
 def test_slices_by_two_steps(spark):
     cuts = list(range(10, 500, 7))
-    rows = spark.range(520).select("id", slices.slice_of(F.col("id"), cuts).alias("s")).collect()
-    assert all(r["s"] == sum(c <= r["id"] for c in cuts) for r in rows)
+    plain = slices.KeySlices(cuts, [0] * len(cuts), 1)
+    keys = spark.range(521).select(F.when(F.col("id") < 520, F.col("id")).alias("id"), F.col("id").cast("string").alias("t"))
+    rows = keys.select("id", plain.slice(F.col("id"), F.col("t")).alias("s")).collect()
+    assert all(r["s"] == (len(cuts) + 1 if r["id"] is None else sum(c <= r["id"] for c in cuts)) for r in rows)
+    hot = slices.KeySlices([10, 20], [0, 3], 2)
+    assert hot.order.tolist() == [0, 1, 2, 2, 2, 3, 4, 4]
+    got = {(r["id"], r["s"]) for r in keys.select("id", hot.slice(F.col("id"), F.col("t")).alias("s")).collect()}
+    assert all(s in {None: (6, 7), 20: (2, 3, 4)}.get(i, ((0 if i < 10 else 1 if i < 20 else 5) if i is not None else 0,)) for i, s in got)
+    assert slices.KeySlices([], [], 1).n == 2
