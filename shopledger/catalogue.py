@@ -27,6 +27,7 @@ from .plans.publish import BUCKETED, consumer_marts, order_status_report, publis
 from .plans.staging import STAGING, stg_order_items, stg_orders, stg_payments
 from .schemas import RAW_DDL
 from .session import fresh_path, tune
+from .sources.footers import newest_load, write_with_load_number
 from .sources.layout import write_along_curve
 from .sources.monthly import upsert_months, write_months
 from .sources.raw import load_csv, write_csv
@@ -377,6 +378,17 @@ def i05_source_freshness(m):
     return quality.freshness(_raw(m), dt.datetime(2001, 8, 2, 12))
 
 
+@extra
+def i05_freshness_from_footers(m):
+    """Freshness of the ten raw tables, stored and then looked at through the footers of their files alone."""
+    spark, loads = m.raw.spark, {}
+    for table, df in _raw(m).items():
+        path = fresh_path(spark, f"{table}-loads")
+        write_with_load_number(df, path)
+        loads[table] = spark.createDataFrame([(newest_load(spark, path),)], "_loaded_at timestamp_ntz")
+    return quality.freshness(loads, dt.datetime(2001, 8, 2, 12))
+
+
 @extra
 def i06_contract_report(m):
     """All six contracts, and one of a mart that lacks a column, has one too many and one of another type."""

@@ -220,6 +220,7 @@ EXTRA_FINALS |= {
     + by_grains("s_orders", "customer_id", "order_date", "'all' channel", "customers", _GRAINS),
 }
 EXTRA_FINALS |= {f"i04_rules_{layer}": rule_query(layer) for layer in UNIQUE if layer != "staging"}
+EXTRA_FINALS["i05_freshness_from_footers"] = EXTRA_FINALS["i05_source_freshness"]
 EXTRA_FINALS["i04_rules_while_writing"] = EXTRA_FINALS["i04_rules_core"]
 # Every raw table through CSV files and the declared schema.
 EXTRA_FINALS |= {f"a01_csv_{key.split('_stg_')[1]}": FINALS[key] for key in FINALS if "_stg_" in key}
