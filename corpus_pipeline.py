@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopledger.llm import bpe, language, packing, personal, simhash, substrings
-from shopledger.llm.text import importable
+from shopledger.llm.text import importable, unused
 from shopledger.session import fresh_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,7 +33,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Repeated rows stay or go together; other columns stay as they are; an empty table stays empty.
     """
     found = language.predicted(language.fit(docs.select("text", "lang")), F.col("text"))
-    return docs.withColumn("__language", found).where(F.col("__language.lang_pred") != language.UNKNOWN).select(*docs.columns)
+    (name,) = unused(docs, "__language")
+    return docs.withColumn(name, found).where(F.col(f"{name}.lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import FACTOR, by_slices, give_back
+from .text import FACTOR, by_slices, give_back, unused
 
 STEP_BYTES = 8 << 20  # text that is split and looked up at a time
 STEP_PIECES = 20_000  # distinct pieces that are encoded at a time
@@ -454,7 +454,7 @@ def with_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids
 
     One pass without a shuffle; the work grows with the text, memory with the largest text of a batch.
     A null text counts as empty and has no ids; repeated rows give equal results; other columns stay,
-    columns named like the new ones are replaced.
+    columns named like the new ones are replaced; an empty table stays empty.
     """
 
     @F.arrow_udf("struct<ids:array<int>,texts:string>")
@@ -466,5 +466,6 @@ def with_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids
         give_back()
         return pa.StructArray.from_arrays(arrays, names=["ids", "texts"])
 
-    rows = docs.withColumn("__tokens", both(F.col(text)))
-    return rows.withColumns({ids: F.col("__tokens.ids"), back: F.col("__tokens.texts")}).drop("__tokens")
+    (name,) = unused(docs, "__tokens")
+    rows = docs.withColumn(name, both(F.col(text)))
+    return rows.withColumns({ids: F.col(f"{name}.ids"), back: F.col(f"{name}.texts")}).drop(name)

@@ -35,7 +35,8 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataF
 
     ``links`` holds one row for each undirected link, in any direction, repeats and loops allowed. The number
     of rounds grows with the logarithm of the longest path; each round is stored, so nothing is recomputed.
-    Minima are combined before each shuffle, so a node with very many links is no hot group.
+    Minima are combined before each shuffle. They are joined back to the links by node, and the links of one node meet
+    there in one partition, which the adaptive planner splits where it is far larger than others.
     """
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = _stored(edges, "links")

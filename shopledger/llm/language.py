@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import by_slices
+from .text import by_slices, unused
 
 SLOTS = 1 << 13
 SIZES = (2, 3)  # bytes of an n-gram
@@ -166,5 +166,6 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") ->
     language says ``und`` throughout. An empty table stays empty. One pass without a shuffle; very long texts take time
     in proportion to their length.
     """
-    rows = docs.withColumn("__language", predicted(model, F.col(text)))
-    return rows.withColumns({c: F.col(f"__language.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop("__language")
+    (name,) = unused(docs, "__language")
+    rows = docs.withColumn(name, predicted(model, F.col(text)))
+    return rows.withColumns({c: F.col(f"{name}.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop(name)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .slices import group_bounds, packed_codes, packed_counts, parts_for, text_size, unpacked_codes, unpacked_counts
-from .text import appended, as_bytes, give_back, named, word_hashes, words
+from .text import appended, as_bytes, give_back, named, unused, word_hashes, words
 
 ORDER = 3
 SPARE_BITS = 16  # bits of a code beyond those that number the corpus' bytes
@@ -147,7 +147,8 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     folds, tests = max(1, chunks // FOLDS), max(1, chunks // 7)
     bits = min(64, max(1, size).bit_length() + SPARE_BITS)  # there are fewer tokens than bytes
     names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    rows = docs.drop(*names, "__chunk")
+    rows = docs.drop(*names)
+    (chunk_name,) = unused(rows, "__chunk")
     mark = F.xxhash64(F.col(key))
     fold = F.pmod(mark, F.lit(FOLDS)) == 0
 
@@ -158,8 +159,8 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     # Chunks: the main training part, then the held-out folds, then rows that are only scored.
     learned = F.coalesce(train, F.lit(False))
     chunk = F.when(~learned, one_of(chunks + folds, tests)).when(fold, one_of(chunks, folds)).otherwise(one_of(0, chunks))
-    marked = rows.withColumn("__chunk", chunk.cast("int"))
-    dealt = marked.repartition("__chunk")
+    marked = rows.withColumn(chunk_name, chunk.cast("int"))
+    dealt = marked.repartition(chunk_name)
 
     def ask(number: tuple, table: pa.Table) -> pa.Table:
         own = number[0].as_py()
@@ -249,7 +250,7 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     out_schema = T.StructType([*rows.schema.fields, *(T.StructField(n, t) for n, t in zip(names, kinds, strict=True))])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.drop_columns(["__chunk"])
+        left = left.drop_columns([chunk_name])
         if not left.num_rows:
             return pa.table([pa.array([], f.type) for f in left.schema] + [pa.array([], t) for t in arrow], names=[*left.column_names, *names])
         model = json.loads(next(c for k, c in zip(right.column("kind").to_pylist(), right.column("counts").to_pylist(), strict=True) if k == -1))
@@ -270,10 +271,10 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
         return left
 
     arrow = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    asked = dealt.groupBy("__chunk").applyInArrow(ask, "group int, chunk int, kind int, codes binary, counts binary")
+    asked = dealt.groupBy(chunk_name).applyInArrow(ask, "group int, chunk int, kind int, codes binary, counts binary")
     fit = asked.groupBy("group").applyInArrow(lambda number, table: answer(number, table, True), schema)
-    held = marked.where((F.col("__chunk") >= chunks) & (F.col("__chunk") < chunks + folds)).select(F.col(text), F.col("__chunk"))
-    cells = held.groupBy("__chunk").cogroup(fit.groupBy("chunk")).applyInArrow(tell, "cell string, n bigint")
+    held = marked.where((F.col(chunk_name) >= chunks) & (F.col(chunk_name) < chunks + folds)).select(F.col(text), F.col(chunk_name))
+    cells = held.groupBy(chunk_name).cogroup(fit.groupBy("chunk")).applyInArrow(tell, "cell string, n bigint")
     summed = cells.groupBy("cell").agg(F.sum("n").alias("n"))
     one = summed.agg(F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("c")).select(fitted("c.cell", "c.n").alias("counts"))
     # The fitted model, a few kilobytes, goes to every chunk.
@@ -281,4 +282,4 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     model = one.select(everyone, F.lit(0).alias("group"), F.lit(-1).alias("kind"), "counts")
     answers = asked.groupBy("group").applyInArrow(lambda number, table: answer(number, table, False), schema)
     right = answers.where("chunk >= 0").select("chunk", "group", "kind", "counts").unionByName(model)
-    return dealt.groupBy("__chunk").cogroup(right.groupBy("chunk")).applyInArrow(score, out_schema)
+    return dealt.groupBy(chunk_name).cogroup(right.groupBy("chunk")).applyInArrow(score, out_schema)

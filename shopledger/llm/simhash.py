@@ -26,10 +26,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import fresh_path
 from .components import components
-from .text import as_bytes, by_slices, words
+from .text import as_bytes, by_slices, unused, words
 
 SEED = 42
 PIVOTS = 16
@@ -148,8 +149,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 2, key: str
 
     ``component_id`` is the smallest key reachable over links, the own one included; keys that are null count
     as larger than all others, and a group of null keys only has a null id. Rows of equal text always share a
-    component; texts without words (empty or null too) have fingerprint 0. Repeated keys are kept row by row.
-    Texts pass once; the fingerprints (a number each) are stored under the shared folder.
+    component; texts without words (empty or null too) have fingerprint 0. Repeated keys are kept row by row. Keys are of any
+    type with an order; other columns do not matter; an empty table gives an empty one. Texts pass once; the fingerprints (a number each) are stored under the shared folder.
     """
     rows, grouped = _grouped(docs, size, max_bits, key, text)
     # The smallest key of a component: combined before the shuffle, so a large component is no hot group.
@@ -158,20 +159,32 @@ def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 2, key: str
     return rows.join(named, "f").select(F.col("id").alias(key), F.col("f").alias("fingerprint"), "component_id")
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and _has_map(kind.elementType))
+
+
+def _hashable(field: T.StructField) -> Column:
+    """A column that hashes take: maps, which they refuse, as text."""
+    return F.to_json(F.struct(field.name)) if _has_map(field.dataType) else F.col(field.name)
+
+
 def keep_first(docs: DataFrame, size: int = 3, max_bits: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest key, null keys last (of repeated keys, that of the smallest digest).
 
-    Rows are told apart by a digest of 128 bits of all their columns, so keys may be null or repeated.
+    Rows are told apart by a digest of 128 bits of all their columns, of any type, so keys may be null or repeated.
     """
-    values = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
-    marks = F.xxhash64(*values).alias("__first"), F.xxhash64(F.lit(1), *values).alias("__second")
+    values = [x for f in docs.schema.fields for x in (F.col(f.name).isNull(), _hashable(f))]
+    one, two, many, whole = unused(docs, "__first", "__second", "__n", "__row")
+    marks = F.xxhash64(*values).alias(one), F.xxhash64(F.lit(1), *values).alias(two)
     rows, grouped = _grouped(docs, size, max_bits, key, text, *marks)
     # Minima are combined before each shuffle, so neither a fingerprint nor a component of very many rows is a hot group.
-    low = rows.groupBy("f").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__first", "__second")).alias("row"))
-    kept = grouped.join(low, "f").groupBy("root").agg(F.min("row").alias("row")).select("row.__first", "row.__second")
-    again = rows.groupBy("__first", "__second").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    kept = kept.join(again, ["__first", "__second"], "left")
-    found = docs.select("*", *marks).join(kept, ["__first", "__second"])
+    low = rows.groupBy("f").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", one, two)).alias("row"))
+    kept = grouped.join(low, "f").groupBy("root").agg(F.min("row").alias("row")).select(f"row.{one}", f"row.{two}")
+    again = rows.groupBy(one, two).agg(F.count(F.lit(1)).alias(many)).where(F.col(many) > 1)
+    kept = kept.join(again, [one, two], "left")
+    found = docs.select("*", *marks).join(kept, [one, two])
     # Equal rows: any of them, chosen before the shuffle too.
-    one = found.where("__n > 1").groupBy("__first", "__second").agg(F.first(F.struct(*docs.columns)).alias("__row"))
-    return found.where("__n IS NULL").select(*docs.columns).unionAll(one.select("__row.*"))
+    equal = found.where(F.col(many) > 1).groupBy(one, two).agg(F.first(F.struct(*docs.columns)).alias(whole))
+    return found.where(F.col(many).isNull()).select(*docs.columns).unionAll(equal.select(f"{whole}.*"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .slices import group_bounds, key_slices, packed_codes, packed_counts, parts_for, text_size, unpacked_codes, unpacked_counts
-from .text import FACTOR, as_bytes, give_back, in_slices, mixed, words
+from .text import FACTOR, as_bytes, give_back, in_slices, mixed, unused, words
 
 WINDOW = 13
 PREFIXES = ((2, 24), (4, 20))  # words of a prefix, and bits of its code that lead a path
@@ -171,8 +171,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     bits = min(64, max(1, size).bit_length() + SPARE_BITS)
     drop = np.uint64(64 - bits)
     bounds = _path_bounds(docs, text, size, trees, window)
-    rows = docs.drop(*added, "__slice")
-    dealt = rows.withColumn("__slice", slices.slice(F.col(key), F.col(text))).repartition("__slice")
+    rows = docs.drop(*added)
+    (own_slice,) = unused(rows, "__slice")
+    dealt = rows.withColumn(own_slice, slices.slice(F.col(key), F.col(text))).repartition(own_slice)
 
     def suffixes(table: pa.Table) -> Suffixes:
         return Suffixes(as_bytes(_in_key_order(table.select([key, text]), key, text).column(text).combine_chunks()), window)
@@ -228,7 +229,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             ends = [0, *np.searchsorted(head, bounds).tolist(), len(head)]
             for tree, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
                 if a < b:
-                    values = (tree, left.column("__slice")[0].as_py(), packed_codes(head[a:b]), tail[a:b].tobytes(), packed_counts(windows[a:b]))
+                    values = (tree, left.column(own_slice)[0].as_py(), packed_codes(head[a:b]), tail[a:b].tobytes(), packed_counts(windows[a:b]))
                     for name, value in zip(out, values, strict=True):
                         out[name].append(value)
         give_back()
@@ -270,14 +271,14 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             removed.append(int(out.sum()))
             kept.append(b" ".join([w for w, g in zip(tokens, out, strict=True) if not g] if removed[-1] else tokens))
             at += n
-        table = left.drop_columns(["__slice"])
+        table = left.drop_columns([own_slice])
         give_back()
         new = (pa.array(counts), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()))
         for name, array in zip(added, new, strict=True):
             table = table.append_column(name, array)
         return table
 
-    by_slice = dealt.groupBy("__slice")
+    by_slice = dealt.groupBy(own_slice)
     asked = by_slice.applyInArrow(ask, "group int, slice int, codes binary")
     answers = asked.groupBy("group").applyInArrow(answer, "slice int, group int, seen binary")
     sent = by_slice.cogroup(answers.groupBy("slice")).applyInArrow(send, "tree int, slice int, heads binary, tails binary, windows binary")
@@ -302,6 +303,7 @@ def _repeated_words(own: Suffixes, rank: np.ndarray, first: np.ndarray, node: np
 
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``; a text that loses nothing stays as it is."""
-    rows = without_repeats(docs, key, text, window, ("__words", "__removed", "__kept"))
-    changed = F.when(F.col("__removed") > 0, F.col("__kept")).otherwise(F.col(text))
+    n_words, n_removed, kept = unused(docs, *ADDED)
+    rows = without_repeats(docs, key, text, window, (n_words, n_removed, kept))
+    changed = F.when(F.col(n_removed) > 0, F.col(kept)).otherwise(F.col(text))
     return rows.withColumn(text, changed).select(*docs.columns)

@@ -10,7 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Odd factor of the rolling hash over word hashes.
 FACTOR = 0x9E3779B97F4A7C17
@@ -31,6 +31,17 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``df`` has: for columns of an operator's own."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; a null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -16,7 +16,7 @@ def stage(name):
 
 def test_stages_are_named_in_order():
     assert [n for n, _ in pipeline.STAGES] == ["language", "near_copies", "passages", "personal_data", "packing"]
-    assert {"pipeline", *(f"op{i}" for i in range(1, 11))} <= {k.split("_")[0] for k in entry.queries()}
+    assert {"pipeline", *(f"op{i}" for i in range(1, 14))} <= {k.split("_")[0] for k in entry.queries()}
 
 
 def test_every_stage_on_the_rows_of_the_one_before(spark, small):
@@ -71,6 +71,30 @@ def test_empty_documents_pass_all_stages(spark, docs, small):
         assert rows.count() == 0
 
 
+def test_odd_rows_pass_all_stages(spark, docs, odd, small):
+    """Very long, null and empty texts, a row without an id, a repeated one, and columns of other types."""
+    learned = docs([(100, "the cat and the dog are here", "en"), (101, "der Hund und die Katze sind hier", "de")])
+    rows = odd.unionAll(learned).selectExpr("*", "map('k', doc_id) __language", "array(struct(text)) personal", "0 __slice")
+    columns = rows.columns
+    for name, step in pipeline.STAGES:
+        before, rows = rows, step(spark, rows, small)
+        if name != "packing":
+            assert rows.columns == columns
+            lengths = {r["doc_id"]: len(r["text"] or "") for r in rows.collect()}
+            assert 0 < len(lengths) <= before.count()
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sizes = {}
+    for r in rows.collect():
+        sizes[r["doc_id"]] = sizes.get(r["doc_id"], 0) + r["length"]
+    assert sizes == {r["doc_id"]: len(library.encode(r["text"], add_special_tokens=False).ids) + 1 for r in before.collect()}
+
+
+def test_ambiguous_texts_stay_whatever_their_length(spark, docs, small):
+    mixed = "the cat and der Hund "
+    rows = docs([(1, "the cat and the dog are here", "en"), (2, "der Hund und die Katze sind hier", "de"), (3, mixed, None), (4, mixed * 50, None)])
+    assert stage("language")(spark, rows, small).count() == 4
+
+
 def test_run(spark, small):
     rows = pipeline.run(spark, small).collect()
     assert rows and check_places(rows, 2048) > 0

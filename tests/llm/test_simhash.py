@@ -99,6 +99,20 @@ def test_rows_without_a_key_or_of_one_key_stay_by_component(docs):
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("None", hen), ("None", owl), ("1", fox), ("3", sea), ("1", "something else entirely here")])
 
 
+def test_columns_of_any_type_and_text_keys(spark):
+    rows = [("b", "one two three", {"x": 1}, [{"y": "z"}], (1, None)), ("a", "one two three", None, [], None), ("b", "four", {"x": 2, "y": 1}, None, (None, "t")), (None, None, {}, [{}], None)]
+    table = spark.createDataFrame(rows, "doc_id string, text string, m map<string,int>, l array<map<string,string>>, s struct<p:int,q:string>")
+    kept = simhash.keep_first(table)
+    assert kept.schema == table.schema
+    assert sorted((r["doc_id"], r["text"], r["m"]) for r in kept.collect() if r["text"]) == [("a", "one two three", None), ("b", "four", {"x": 2, "y": 1})]
+    groups = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(table).collect()}
+    assert groups == {("a", "a"), ("b", "a"), ("b", "b"), (None, None)}
+
+
+def test_empty_table(docs):
+    assert simhash.near_duplicates(docs([])).count() == 0 and simhash.keep_first(docs([])).count() == 0
+
+
 def test_components_of_a_path_a_star_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (500, 501), (501, 500)]
     found = components.components(spark.createDataFrame(edges, "a int, b int"), "a", "b").collect()
