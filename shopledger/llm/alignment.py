@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from ..session import fresh_path
 from .slices import packed_counts, unpacked_counts
 from .text import give_back, in_slices
-from .tokenizers import Tokenizer, flat
+from .tokenizers import Tokenizer
 
 CHUNK_BYTES = 3 << 20  # text whose pairs are asked for together
 NAMES = ("n_a", "n_b", "n_groups", "groups", "n_links", "n_best", "count_sum")
@@ -132,13 +132,16 @@ class Names:
 
 
 def _encoded(one, other, texts: list[str]):
-    """Ids of both sides; texts whose joined bytes are not a space and the text on both sides get none."""
-    a, b = one.encode([" " + t for t in texts]), other.encode(texts)
+    """Ids of both sides, and how many each text has; texts whose joined bytes are not a space and the text on both sides get none."""
+    sides, sizes = ([], []), np.zeros((2, len(texts)), np.int64)
     for i, t in enumerate(texts):
-        want = b" " + t.encode() if t else None
-        if want is None or b"".join(map(one.spelled.__getitem__, a[i])) != want or b"".join(map(other.spelled.__getitem__, b[i])) != want:
-            a[i], b[i] = [], []
-    return *flat(a), *flat(b)
+        ids = (one.encode([" " + t])[0], other.encode([t])[0]) if t else ()
+        want = b" " + t.encode()
+        if all(b"".join(map(m.spelled.__getitem__, x)) == want for m, x in zip((one, other), ids, strict=False)):
+            for n, own in enumerate(ids):
+                sides[n].append(np.array(own, np.int32))
+                sizes[n, i] = len(own)
+    return [x for own, n in zip(sides, sizes, strict=True) for x in (np.concatenate(own) if own else np.zeros(0, np.int32), n)]
 
 
 def _stored(docs: DataFrame, a: Tokenizer, b: Tokenizer, key: str, text: str, groups_as) -> DataFrame:
