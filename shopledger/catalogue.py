@@ -286,19 +286,19 @@ def _by_grains(state: DataFrame, by: list[str], name: str, grains=("day", "month
 
 
 @extra
-def j01_customers_by_grain(m):
+def d03_j01_customers_by_grain(m):
     by = ["country", "loyalty_tier"]
     return _by_grains(_sets(m, m.dim_customers, "customer_id", "signup_date", by), by, "total_customers")
 
 
 @extra
-def j03_products_by_grain(m):
+def d03_j03_products_by_grain(m):
     by = ["category", "performance_tier"]
     return _by_grains(_sets(m, m.dim_products, "product_id", "launched_at", by), by, "total_products")
 
 
 @extra
-def j07_orders_by_grain(m):
+def d03_j07_orders_by_grain(m):
     by = ["shipping_country"]
     return _by_grains(_sets(m, m.order_amounts, "order_id", "order_date", by), by, "total_orders")
 

@@ -212,9 +212,9 @@ def by_grains(source: str, key: str, day: str, by: str, name: str, grains=("day"
 
 _GRAINS = ("week", "month", "quarter", "year")
 EXTRA_FINALS |= {
-    "j01_customers_by_grain": by_grains("d_customers", "customer_id", "signup_date", "country, loyalty_tier", "total_customers"),
-    "j03_products_by_grain": by_grains("d_products", "product_id", "launched_at", "category, performance_tier", "total_products"),
-    "j07_orders_by_grain": by_grains("s_orders", "order_id", "order_date", "shipping_country", "total_orders"),
+    "d03_j01_customers_by_grain": by_grains("d_customers", "customer_id", "signup_date", "country, loyalty_tier", "total_customers"),
+    "d03_j03_products_by_grain": by_grains("d_products", "product_id", "launched_at", "category, performance_tier", "total_products"),
+    "d03_j07_orders_by_grain": by_grains("s_orders", "order_id", "order_date", "shipping_country", "total_orders"),
     "d03_active_customers": by_grains("s_orders", "customer_id", "order_date", "channel", "customers", _GRAINS)
     + "\nunion all by name\n"
     + by_grains("s_orders", "customer_id", "order_date", "'all' channel", "customers", _GRAINS),
