@@ -18,7 +18,8 @@ representative with a number of copies.
 * Dense shards: nearly all of their vectors are linked with each other, so a search would visit all of them. They are
   compared in blocks of ``BLOCK_ROWS`` vectors by as many: work in proportion to the links that are counted.
 * Audit: links of a uniform sample of vectors are compared with brute force over all rows; below ``RECALL``, in all, for each
-  vector, or for small families or hot ones alone, the search is repeated with wider overlap and beam. Labels
+  vector, or for small families or hot ones alone, the search is repeated with twice the overlap and beam, so the audit
+  chooses them. Labels
   that the last try has not shown to reach it are compared exactly, in blocks.
 
 Shards return for each vector its number of links and one root, not its pairs, so rows grow with the vectors only.
@@ -40,7 +41,7 @@ LIMIT = 0.93
 SHARD_ROWS = 2000  # members of a shard, visitors included
 FAN, FIT_ROWS = 32, 64  # children of a shard that is split, at most; vectors of the sample for each child
 LEVELS = 12  # of splits: FAN^LEVELS shards
-OVERLAP, DEGREE, BEAM, ALPHA = 2, 24, 32, 1.2
+OVERLAP, DEGREE, BEAM, ALPHA = 1, 24, 32, 1.2
 RING = 0.05  # cosine below the limit down to which a search expands
 BATCH = 512
 BLOCK_ROWS = 4096  # vectors on a side of an exact comparison
