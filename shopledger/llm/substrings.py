@@ -26,13 +26,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .slices import group_bounds, key_slices, packed_codes, packed_counts, parts_for, text_size, unpacked_codes, unpacked_counts
-from .text import FACTOR, as_bytes, give_back, in_slices, mixed, unused, words
+from .text import FACTOR, give_back, in_slices, mixed, unused
 
 WINDOW = 13
 PREFIXES = ((2, 24), (4, 20))  # words of a prefix, and bits of its code that lead a path
@@ -40,6 +41,7 @@ SPARE_BITS = 8  # bits of a short code beyond those that number the corpus' byte
 GROUP_CODES = 4_000_000  # short codes that a task of the first exchange holds, on average
 TREE_SUFFIXES = 1_000_000  # suffixes of a tree, if half of all are left
 SAMPLE_PATHS = 200_000  # paths that the bounds of trees are drawn from
+SLICE_BYTES = 5 << 20  # text of a slice
 _BACK = pow(FACTOR, -1, 1 << 64)
 
 
@@ -55,20 +57,28 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts in a row, and how many each text has; only ASCII white space parts words."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+    flat, parent = lists.flatten(), pc.list_parent_indices(lists)
+    full = pc.greater(pc.binary_length(flat), 0)  # white space at the ends leaves empty words
+    return flat.filter(full), np.bincount(parent.filter(full).to_numpy(), minlength=len(column)).astype(np.int64)
+
+
 class Suffixes:
     """The words of a slice's documents, and a code of the run of ``window`` words at each place that has one."""
 
-    def __init__(self, texts: list[bytes], window: int):
+    def __init__(self, column: pa.Array, window: int):
         self.window = window
-        split = [words(t) for t in texts]
-        self.counts = np.fromiter(map(len, split), np.int64, len(split))
+        flat, self.counts = tokens(column)
         self.ends = np.cumsum(self.counts)
-        self.total = int(self.ends[-1]) if len(texts) else 0
-        named = pa.array([w for own in split for w in own], pa.binary()).dictionary_encode()
-        self.word, known = named.indices.to_numpy().astype(np.int32), named.dictionary.to_pylist()
-        self._hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+        self.total = len(flat)
+        named = flat.dictionary_encode()
+        self.word = named.indices.to_numpy()
+        known = map(xxhash.xxh64_intdigest, named.dictionary.cast(pa.binary()).to_pylist())
+        self._hashes = np.fromiter(known, np.uint64, len(named.dictionary))
         runs = np.maximum(0, self.counts - window + 1)
-        self.window_doc = np.repeat(np.arange(len(texts), dtype=np.int32), runs)
+        self.window_doc = np.repeat(np.arange(len(column), dtype=np.int32), runs)
         # Window i of a document begins i words after the document.
         place = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
         self.starts = (np.repeat(self.ends - self.counts, runs) + place).astype(np.int32)
@@ -140,7 +150,7 @@ def _path_bounds(docs: DataFrame, text: str, size: int, trees: int, window: int)
     def draw(batches):
         for batch in batches:
             for part in in_slices(batch.column(0)):
-                own = Suffixes(as_bytes(part), window)
+                own = Suffixes(part, window)
                 # By a hash of the place, so that a passage counts as often as it occurs.
                 picked = np.flatnonzero(mixed(own.codes ^ np.arange(len(own.codes), dtype=np.uint64)) <= threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(own.paths(picked)[0].view(np.int64))], ["path"])
@@ -163,7 +173,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     never cut; an empty table stays empty.
     """
     _, size = text_size(docs, text)
-    slices = key_slices(docs, key, text, parts_for(docs, size))
+    slices = key_slices(docs, key, text, parts_for(docs, size, SLICE_BYTES))
     order = slices.order
     most = max(1, size // 6)  # suffixes, about
     groups = max(parts_for(docs, size, 1 << 62), -(-most // GROUP_CODES))
@@ -176,7 +186,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     dealt = rows.withColumn(own_slice, slices.slice(F.col(key), F.col(text))).repartition(own_slice)
 
     def suffixes(table: pa.Table) -> Suffixes:
-        return Suffixes(as_bytes(_in_key_order(table.select([key, text]), key, text).column(text).combine_chunks()), window)
+        return Suffixes(_in_key_order(table.select([key, text]), key, text).column(text).combine_chunks(), window)
 
     def ask(number: tuple, table: pa.Table) -> pa.Table:
         """The short codes of a slice's runs, by group."""
@@ -258,24 +268,19 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         left = _in_key_order(left, key, text)
-        texts, rank = as_bytes(left.column(text).combine_chunks()), _ranks(left.column(key))
-        own = Suffixes(texts, window)
-        first, node = own.nodes()
-        gone = _repeated_words(own, rank, first, node, [unpacked_codes(x) for x in right.column("windows").to_pylist()])
-        counts = own.counts
-        del own, first, node
-        kept, removed, at = [], [], 0
-        for t, n in zip(texts, counts, strict=True):
-            out = gone[at : at + n]
-            tokens = words(t)
-            removed.append(int(out.sum()))
-            kept.append(b" ".join([w for w, g in zip(tokens, out, strict=True) if not g] if removed[-1] else tokens))
-            at += n
+        column = left.column(text).combine_chunks()
+        own = Suffixes(column, window)
+        gone = _repeated_words(own, _ranks(left.column(key)), *own.nodes(), [unpacked_codes(x) for x in right.column("windows").to_pylist()])
+        del own
+        flat, counts = tokens(column)
+        removed = np.bincount(np.repeat(np.arange(len(counts)), counts), gone, len(counts)).astype(np.int64)
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts - removed)]), pa.int32())
+        kept = pc.binary_join(pa.ListArray.from_arrays(ends, flat.filter(pa.array(~gone))), " ")
         table = left.drop_columns([own_slice])
-        give_back()
-        new = (pa.array(counts), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()))
-        for name, array in zip(added, new, strict=True):
+        for name, array in zip(added, (pa.array(counts), pa.array(removed), kept.cast(pa.string())), strict=True):
             table = table.append_column(name, array)
+        del flat, gone, kept
+        give_back()
         return table
 
     by_slice = dealt.groupBy(own_slice)

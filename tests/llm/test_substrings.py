@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shopledger.llm import slices, substrings
@@ -60,7 +61,7 @@ def test_colliding_short_codes_and_many_trees(docs, monkeypatch, trees):
 
 def test_runs_of_one_code_are_told_apart():
     texts = [b" ".join(b"a%d" % (i % 40) for i in range(100)), b"x " * 30, b"x " * 5 + b"y " * 30]
-    own = substrings.Suffixes(texts, 13)
+    own = substrings.Suffixes(pa.array([t.decode() for t in texts]), 13)
     plain = [tuple(b" ".join(texts).split()[s : s + 13]) for s in own.starts.tolist()]
     own.codes[:] = own.codes & np.uint64(3)  # nearly all collide
     first, node = own.nodes()
@@ -108,6 +109,12 @@ def test_a_line_that_a_third_of_the_documents_share(docs, monkeypatch):
     assert out == brute(rows) and sum(r[2] for r in out) == 40 * 199
 
 
+def test_words_are_parted_by_six_characters():
+    texts = ["  a \t\x0b b\r\n", None, "", "x\x1cy\x85z\u2003w \x0cq"]
+    flat, counts = substrings.tokens(pa.array(texts))
+    assert flat.to_pylist() == [w.decode() for t in texts for w in (t or "").encode().split()] and counts.tolist() == [2, 0, 0, 2]
+
+
 def test_short_windows(docs):
     rows = passages(random.Random(6), 40)
     assert found(substrings.without_repeats(docs(rows), window=3)) == brute(rows, 3)
