@@ -126,8 +126,7 @@ def cohort_analysis(customers: DataFrame, orders: DataFrame) -> DataFrame:
             F.sum("revenue").cast("decimal(18,2)").alias("cohort_revenue"),
         )
     )
-    # One row per signup month: bounded by the calendar.
-    return metrics.join(F.broadcast(sizes), "joined").select(
+    return metrics.join(sizes, "joined").select(
         D.year_month(F.col("joined")).alias("signup_cohort_month"),
         D.year_month(F.col("ordered")).alias("order_cohort_month"),
         "cohort_base_size",
