@@ -96,7 +96,7 @@ class Aligned:
         single = (self.a_cut - self.a_from == 1) & (self.b_cut - self.b_from == 1)
         text, a, b = [self.group_text[single]], [self.a_from[single]], [self.b_from[single]]
         if not single.all():
-            # Where one side has one token, it is linked to all of the other; else the ends of both sides part the links.
+            # In other groups the ends of both sides, put together, part the links.
             wide = ~single
             spans = [np.repeat(wide, n) for n in (self.a_cut - self.a_from, self.b_cut - self.b_from)]
             ends = np.union1d(self.a_ends[spans[0]], self.b_ends[spans[1]])
