@@ -27,7 +27,7 @@ from .plans.publish import BUCKETED, consumer_marts, order_status_report, publis
 from .plans.staging import STAGING, stg_order_items, stg_orders, stg_payments
 from .schemas import RAW_DDL
 from .session import fresh_path, tune
-from .sources.footers import newest_load, write_with_load_number
+from .sources.footers import newest, newest_load, write_with_load_number
 from .sources.layout import write_along_curve
 from .sources.monthly import upsert_months, write_months
 from .sources.raw import load_csv, write_csv
@@ -214,6 +214,16 @@ def a13_next_keys(m):
     return with_next_keys(was, stored, "order_id", ["was"], "ORD_%06d", 10600, local_rows=0)
 
 
+@extra
+def a13_next_keys_from_footers(m):
+    """New keys that go on from the last number of a stored table, which its file footers tell."""
+    spark = m.raw.spark
+    path, number = fresh_path(spark, "numbered-orders"), F.col("order_id").cast("bigint")
+    m.stg_orders.select(F.concat(F.lit("ORD_"), "order_id").alias("order_id"), number.alias("_number")).write.parquet(path)
+    was = m.stg_orders.select(F.col("order_id").alias("was"), "customer_id")
+    return with_next_keys(was, spark.read.parquet(path), "order_id", ["was"], "ORD_%06d", last=newest(spark, path, "_number") or 10600)
+
+
 # ------------------------------------------------------------------ joins, windows, ranks under skew
 @extra
 def c02_spread_left_join(m):

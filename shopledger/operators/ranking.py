@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import limit, pin
+from ..session import fresh_path, limit
 
 
 def most_frequent(counts: DataFrame, key: str, value: str, n: str, name: str) -> DataFrame:
@@ -45,9 +45,10 @@ def global_positions(df: DataFrame, order: list[Column], name: str, local_rows:
     if df.count() <= limit(df, "localRows", local_rows):
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     index_bits = 33  # monotonically_increasing_id is (partition << 33) + index in partition
-    slices = pin(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    )
+    path = fresh_path(df.sparkSession, "positions")
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    slices = df.sparkSession.read.parquet(path)
     slice_no, index = F.shiftright("_id", index_bits), F.col("_id").bitwiseAND((1 << index_bits) - 1)
     sizes = slices.groupBy(slice_no.alias("_slice")).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -162,6 +162,9 @@ from b_orders left join b_paid p using (order_id) left join b_shipped using (ord
 select order_id was, customer_id,
        'ORD_' || (90000000000000000000::hugeint + (select max(o_orderkey) from orders) + row_number() over (order by order_id))::varchar order_id
 from s_orders""",
+    "a13_next_keys_from_footers": """
+with n as (select *, (select max(o_orderkey) from orders) + row_number() over (order by order_id) k from s_orders)
+select order_id was, customer_id, 'ORD_' || if(k < 1000000, lpad(k::varchar, 6, '0'), k::varchar) order_id from n""",
     "c02_spread_left_join": """
 select order_id, customer_id, order_status, email, loyalty_tier
 from s_orders left join s_customers using (customer_id)""",

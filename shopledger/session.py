@@ -61,10 +61,3 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared root that nothing has written to yet."""
     return f"{shared_root(spark)}/shopledger/{name}-{uuid.uuid4().hex}"
 
-
-def pin(df):
-    """Write ``df`` to reliable checkpoint storage and return the stored rows."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-    return df.checkpoint()

@@ -42,8 +42,13 @@ def newest_number(spark: SparkSession, path: str, column: str = LOAD_NUMBER) ->
     return spark.read.parquet(path).agg(F.max(column).alias("newest"))
 
 
-def newest_load(spark: SparkSession, path: str) -> dt.datetime | None:
-    """The latest load time of a stored table from its footers; None without rows."""
+def newest(spark: SparkSession, path: str, column: str) -> int | dt.date | None:
+    """The largest value of a whole-number or date column of a stored table, from its footers; None without one."""
     with footer_reads(spark):
-        micros = newest_number(spark, path).first()["newest"]
+        return newest_number(spark, path, column).first()["newest"]
+
+
+def newest_load(spark: SparkSession, path: str) -> dt.datetime | None:
+    """The latest load time of a stored table, from its footers; None without rows."""
+    micros = newest(spark, path, LOAD_NUMBER)
     return None if micros is None else dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=micros)

@@ -63,12 +63,14 @@ def with_next_keys(
     template: str,
     default: int = 0,
     local_rows: int | None = None,
+    last: int | None = None,
 ) -> DataFrame:
-    """``batch`` with a new column ``key`` that continues the numbering of ``table[key]``.
+    """``batch`` with a new column ``key`` that continues the numbering of ``table[key]``, or goes on from ``last``.
 
     ``template`` is a printf pattern such as ``ORD_%d`` or ``ITEM_%06d``. Numbers follow ``order_by``,
-    which must be unique in the batch.
+    which must be unique in the batch. A table that stores the numbers of its keys has the last one in its file
+    footers (``footers.newest``).
     """
-    last = highest_number(table, key, default).scalar()
+    last = F.lit(last).cast("decimal(38,0)") if last is not None else highest_number(table, key, default).scalar()
     placed = global_positions(batch, [F.col(c).asc_nulls_last() for c in order_by], "_n", local_rows)
     return placed.withColumn(key, numbered(template, F.col("_n").cast("decimal(38,0)") + last)).drop("_n")
