@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .text import FACTOR, by_slices, give_back, unused
 
-STEP_BYTES = 8 << 20  # text that is split and looked up at a time
+STEP_BYTES = 4 << 20  # text that is split and looked up at a time
 STEP_PIECES = 20_000  # distinct pieces that are encoded at a time
 LONG = 48  # longer pieces are encoded one by one
 IDS = 1_000_000  # ids that one step of decoding takes

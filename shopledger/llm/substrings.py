@@ -41,7 +41,7 @@ SPARE_BITS = 8  # bits of a short code beyond those that number the corpus' byte
 GROUP_CODES = 4_000_000  # short codes that a task of the first exchange holds, on average
 TREE_SUFFIXES = 1_000_000  # suffixes of a tree, if half of all are left
 SAMPLE_PATHS = 200_000  # paths that the bounds of trees are drawn from
-SLICE_BYTES = 5 << 20  # text of a slice
+SLICE_BYTES = 4 << 20  # text of a slice
 _BACK = pow(FACTOR, -1, 1 << 64)
 
 
