@@ -23,7 +23,7 @@ from .oracle.models import FINALS as MODEL_FINALS
 from .oracle import statement
 from .plans import core, data_science
 from .plans.models import RetailModels, StagedTables, in_report_order
-from .plans.publish import BUCKETED, consumer_marts, order_status_report, publish_by_order, publish_core
+from .plans.publish import BUCKETED, consumer_marts, order_status_report, publish_by_order, publish_core, refresh_orders
 from .plans.staging import STAGING, stg_order_items, stg_orders, stg_payments
 from .schemas import RAW_DDL
 from .session import fresh_path, tune
@@ -131,6 +131,26 @@ def a06_merge_one_month(m):
     return upsert_months(m.raw.spark, path, stored, "order_id", "order_date")
 
 
+class LoadedBefore:
+    """Raw tables as they were before a load time."""
+
+    def __init__(self, raw: RetailTables, until: str):
+        self.spark, self._raw, self._until = raw.spark, raw, F.lit(until).cast("timestamp_ntz")
+
+    def __getattr__(self, name: str) -> DataFrame:
+        table = getattr(self._raw, name)
+        return table.where(F.col("_loaded_at") < self._until) if name.startswith("raw_") and name != "raw_products" else table
+
+
+@extra
+def a06_refresh_orders(m):
+    """The order fact of what was loaded before a day, stored by month, and brought up to date with the rest."""
+    spark, day = m.raw.spark, "2000-10-01"
+    path = fresh_path(spark, "refreshed-orders")
+    write_months(RetailModels(StagedTables(LoadedBefore(m.raw, day)), AS_OF).fct_orders, path, "order_date")
+    return refresh_orders(m.raw, path, dt.datetime.fromisoformat(day))
+
+
 def _merged(m, older: DataFrame, newer: DataFrame) -> DataFrame:
     """Both sides stored, then merged from the stored tables."""
     target = write_table(older, fresh_path(m.raw.spark, "merge-target"))

@@ -145,6 +145,7 @@ with b as (select *, order_id::bigint n, strftime(order_date, '%Y%m') = '199803'
 select order_id, customer_id, if(fresh and n % 7 = 0, order_date + 40, order_date)::date order_date,
        if(fresh, order_status, 'processing') order_status, if(n % 3 = 0, null, net::double) net_revenue_eur, if(fresh, channel, null) channel
 from b where fresh or n % 3 <> 0""",
+    "a06_refresh_orders": FINALS["m19_fct_orders"],
     "a07_merge_new_columns": """
 select order_id, net::double net_revenue_eur, if(order_id::bigint % 3 = 0, null, order_date) order_date,
        if(order_id::bigint % 3 = 1, null, channel) channel, if(order_id::bigint % 3 = 1, null, item_count) item_count

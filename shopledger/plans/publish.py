@@ -7,12 +7,16 @@ files, with column pruning, instead of recomputing joins.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.merge import upsert
 from ..quality import RuleLog, check, enforce_contract, rules_of, tag_personal
+from ..session import fresh_path
 from ..sources.layout import write_bucketed
+from ..sources.monthly import read_months, upsert_months
 from ..sources.sinks import write_clustered, write_table
 from . import core, data_science, finance, intermediate, marketing
 from .staging import STAGING
@@ -75,6 +79,33 @@ def publish_core(
     return out
 
 
+ORDER_FACTS = ("raw_orders", "raw_order_items", "raw_payments", "raw_shipments", "raw_returns")
+
+
+def refresh_orders(raw, path: str, since: dt.datetime) -> DataFrame:
+    """Bring ``fct_orders``, stored by month at ``path``, up to date with all rows loaded at ``since`` or later.
+
+    Orders that a new row belongs to are computed again, and with them all orders of their customers, since a late order
+    can change which one is the first. Rows that differ from the stored ones are merged; months without
+    such rows keep their files.
+    """
+    spark, at = raw.spark, F.lit(since.isoformat(" ")).cast("timestamp_ntz")
+    stg = {name: STAGING[name](getattr(raw, name)) for name in (*ORDER_FACTS, "raw_products")}
+    fresh = reduce(DataFrame.unionByName, [stg[n].where(F.col("loaded_at") >= at).select("order_id") for n in ORDER_FACTS]).distinct()
+    fresh = write_table(fresh, fresh_path(spark, "fresh-orders"))
+    touched = stg["raw_orders"].join(fresh, "order_id", "left_semi")
+    customers = touched.select("customer_id").distinct()
+    without = touched.where(F.col("customer_id").isNull())
+    orders = write_table(stg["raw_orders"].join(customers, "customer_id", "left_semi").unionByName(without), fresh_path(spark, "orders"))
+    ids = orders.select("order_id")
+    items, payments, shipments, returns = (stg[n].join(ids, "order_id", "left_semi") for n in ORDER_FACTS[1:])
+    enriched = intermediate.int_orders_enriched(orders, items, stg["raw_products"], returns)
+    fact = enforce_contract(core.fct_orders(enriched, payments, shipments), "fct_orders")
+    stored = read_months(spark, path).join(ids, "order_id", "left_semi").select(*fact.columns)
+    batch = write_table(fact.subtract(stored), fresh_path(spark, "changed-orders"))
+    return upsert_months(spark, path, batch, "order_id", "order_date")
+
+
 BUCKETED = ("orders", "order_items", "payments", "shipments")
 
 

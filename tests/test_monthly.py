@@ -6,9 +6,13 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import SMALL, rows
+from shopledger.catalogue import LoadedBefore, models
 from shopledger.operators.merge import upsert
+from shopledger.plans.models import RetailModels, StagedTables
+from shopledger.plans.publish import refresh_orders
 from shopledger.sources.monthly import read_months, touched_months, upsert_months, write_months
+from shopledger.sources.tables import AS_OF
 
 FACT = "id bigint, day date, state string, value int"
 
@@ -87,3 +91,38 @@ def test_keys_are_looked_up_in_one_column(spark, fact):
     assert "ReadSchema: struct<id:bigint>" in plan
     pruned = read_months(spark, path, ["2024-01"]).where(F.col("value") > 3)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in pruned
+
+
+class OnePaymentLater:
+    """The raw tables with a payment of one order changed by a later load."""
+
+    def __init__(self, raw):
+        self.spark, self._raw = raw.spark, raw
+
+    def __getattr__(self, name):
+        table, own = getattr(self._raw, name), F.col("order_id") == "7"
+        if name != "raw_payments":
+            return table
+        late = F.lit("2002-01-01").cast("timestamp_ntz")
+        status = F.when(own, "refunded").otherwise(F.col("payment_status"))
+        return table.withColumn("payment_status", status).withColumn("_loaded_at", F.when(own, late).otherwise(F.col("_loaded_at")))
+
+
+def test_a_refresh_leaves_months_without_changes_alone(spark, tmp_path):
+    m, path = models(spark, SMALL), str(tmp_path / "orders")
+    write_months(m.fct_orders, path, "order_date")
+    before, changed = files(path), OnePaymentLater(m.raw)
+    out = refresh_orders(changed, path, dt.datetime(2002, 1, 1))
+    want = RetailModels(StagedTables(changed), AS_OF).fct_orders
+    assert rows(out.select(want.columns)) == rows(want) != rows(m.fct_orders)
+    after, month = files(path), m.fct_orders.where("order_id = '7'").first().order_date.strftime("%Y-%m")
+    assert changed_months(before, after) == {month}
+    refresh_orders(changed, path, dt.datetime(2002, 1, 1))  # nothing differs any more
+    assert files(path) == after
+
+
+def test_a_refresh_after_rows_of_many_months(spark, tmp_path):
+    raw, path = models(spark, SMALL).raw, str(tmp_path / "orders")
+    write_months(RetailModels(StagedTables(LoadedBefore(raw, "2000-06-20")), AS_OF).fct_orders, path, "order_date")
+    want = models(spark, SMALL).fct_orders
+    assert rows(refresh_orders(raw, path, dt.datetime(2000, 6, 20)).select(want.columns)) == rows(want)
