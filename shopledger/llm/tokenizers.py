@@ -9,6 +9,7 @@ import base64
 import functools
 import json
 
+import numpy as np
 from pyspark.sql import SparkSession
 
 from .bpe import _byte_letters
@@ -76,3 +77,13 @@ class Tokenizer:
     def __getstate__(self):
         return self.__dict__
 
+
+def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row, and how many each text has."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    out = np.empty(int(sizes.sum()), np.int32)
+    at = 0
+    for own in ids:
+        out[at : at + len(own)] = own
+        at += len(own)
+    return out, sizes
