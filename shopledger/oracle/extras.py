@@ -22,7 +22,8 @@ STAGED = {
 # Every other mart is the statement of its model.
 MODEL_SQL = {key.split("_", 1)[1]: sql for key, sql in FINALS.items()}
 
-# The rules as these statements know them, layer by layer: columns that must be unique, filled, or in a list of values.
+# The rules as these statements know them, layer by layer: columns that must be unique, filled, or in a
+# list of values.
 UNIQUE = {
     "seed": "raw_customers.customer_id raw_products.product_id raw_orders.order_id raw_order_items.order_item_id raw_payments.payment_id "
     "raw_shipments.shipment_id raw_returns.return_id raw_campaigns.campaign_id raw_campaign_attributions.attribution_id raw_web_events.event_id",
@@ -53,6 +54,7 @@ FILLED = {
     "prep": UNIQUE["prep"] + " recommendation_input.customer_id recommendation_input.product_id",
 }
 UNIQUE["source"], FILLED["source"] = UNIQUE["seed"], FILLED["seed"] + " raw_products.unit_price"
+# Accepted values.
 _GENDERS = "('M', 'F', 'Other')"
 _TIERS = "('Bronze', 'Silver', 'Gold', 'Platinum')"
 _ACQUIRED = "('website', 'mobile_app', 'in_store', 'wholesale', 'referral')"
