@@ -16,8 +16,9 @@ it. The tree is never built as a whole, and most suffixes never become a part of
   keys only. Consecutive suffixes of a document that do so make up a maximal repeat.
 * Within its own slice a document compares with smaller keys directly, word by word.
 
-A path has 148 bits, of which all but 44 are the node's own, so two different runs share one with a probability of 2^-104
-for each pair. Documents lie in slices by key, with about equal bytes. A slice sends a node once, however often it
+A path has 128 bits: 44 of the prefixes, 20 of the run's code and 64 of a second code of other hashes of its words. So two
+different runs share one with a probability of 2^-84 for each pair if their first four words are the same, and of 2^-128 if the
+first two are not. Documents lie in slices by key, with about equal bytes. A slice sends a node once, however often it
 occurs there, so a passage that very many documents share reaches a group or a tree once a slice. The
 documents' own shuffle serves all three passes over the text.
 """
