@@ -164,6 +164,23 @@ def test_thousands_of_different_wide_groups(spark, monkeypatch):
         spark.conf.unset("spark.shopledger.tileItems")
 
 
+def test_tiles_follow_the_pairs_that_meet_where_most_items_never_do(spark, monkeypatch):
+    """Many items in small wide groups: the tiles are few and their cells many, most of them empty."""
+    blocks = pairs._blocks
+    assert blocks(1_000_000, 2_000_000, 20_000_000, 1024, 4_000_000) <= 5  # by items: 977 blocks, 477,753 tiles
+    assert blocks(10_000_000, 20_000_000, 200_000_000, 1024, 4_000_000) <= 14
+    assert blocks(5_000, 50_000_000, 10**12, 1024, 4_000_000) == 25 and blocks(3000, 3000, 9_000_000, 1024, 4_000_000) == 3
+    monkeypatch.setattr(pairs, "DENSE", 10)
+    monkeypatch.setattr(pairs, "PAIRS", 50)
+    rng = random.Random(4)
+    lines = [(f"g{g:03d}", f"i{rng.randrange(600):03d}") for g in range(150) for _ in range(rng.choice([2, 3, 9, 12]))]
+    spark.conf.set("spark.shopledger.tileItems", "20")
+    try:
+        assert spark_partners(spark, lines, wide=5, min_rows=10) == brute_partners(lines)
+    finally:
+        spark.conf.unset("spark.shopledger.tileItems")
+
+
 def test_top_partners_of_one_huge_group_emits_no_pairs(spark):
     """One group holds most rows. Its 3000 items would give 4.5 million pairs."""
     lines = [("huge", f"i{n:04d}") for n in range(3000)] + [("a", "i0007"), ("a", "i0009"), ("b", "i0007"), ("b", "i0009")]
