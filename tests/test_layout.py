@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL, rows
 from shopledger.catalogue import EXTRAS, models
+from shopledger.plans import publish
 from shopledger.sources import layout
 from shopledger.sources.sinks import write_clustered
 
@@ -71,3 +72,18 @@ def test_the_report_over_buckets_has_no_exchange(spark):
     report = EXTRAS["a11_orders_in_buckets"](models(spark, SMALL))
     plan = report._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("SortMergeJoin") == 3
+
+
+def test_buckets_follow_the_rows(spark, tmp_path):
+    m = models(spark, SMALL)
+    staged = {f"raw_{n}": getattr(m, f"stg_{n}") for n in publish.BUCKETED}
+    lines = m.stg_order_items.count()
+    spark.conf.set("spark.shopledger.bucketRows", str(lines // 20))
+    try:
+        facts = publish.publish_by_order(staged, str(tmp_path / "many"))
+    finally:
+        spark.conf.unset("spark.shopledger.bucketRows")
+    assert all(len(df.inputFiles()) >= 20 for df in facts.values())
+    few = publish.publish_by_order(staged, str(tmp_path / "few"))
+    assert all(len(df.inputFiles()) == 8 for df in few.values())
+    assert rows(publish.order_status_report(facts)) == rows(publish.order_status_report(few))
