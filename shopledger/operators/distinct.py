@@ -7,6 +7,7 @@ stored ones, so no report reads the facts again, and a later batch is merged int
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -18,18 +19,27 @@ from ..session import fresh_path
 INDEX_BITS = 33  # monotonically_increasing_id is (partition << 33) + index in partition
 
 
-def key_numbers(keys: DataFrame, key: str, known: DataFrame | None = None) -> DataFrame:
+def key_numbers(keys: DataFrame, key: str, known: DataFrame | None = None, near: Sequence[str] = ()) -> DataFrame:
     """(key, number) for every key: those of ``known``, and for others the numbers after its last one; stored.
 
-    Numbers have no gaps and follow no order. NULL has none.
+    Numbers have no gaps; NULL has none. New numbers follow the columns ``near``, of which a key has its smallest
+    values, and else no order. Where these are the dimensions and the day of a state, a set's keys lie in a few
+    bitmaps, and a state has about as many of them as sets; in no order, it has up to one for each key.
     """
     spark = keys.sparkSession
-    new = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    held, place = keys.where(F.col(key).isNotNull()), [f"_near{i}" for i in range(len(near))]
+    if near:
+        smallest = F.min(F.struct(*[F.col(c).alias(p) for c, p in zip(near, place, strict=True)])).alias("_near")
+        new = held.groupBy(key).agg(smallest).select(key, "_near.*")
+    else:
+        new = held.select(key).distinct()
     start = 0
     if known is not None:
         new = new.join(known.select(key), key, "left_anti")
         start = known.agg(F.coalesce(F.max("number") + 1, F.lit(0))).first()[0]
     path = fresh_path(spark, "keys")
+    if near:
+        new = new.repartitionByRange(*place, key).sortWithinPartitions(*place, key).select(key)
     new.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)  # stored, so that the ids stay
     stored = spark.read.parquet(path)
     part, index = F.shiftright("_id", INDEX_BITS), F.col("_id").bitwiseAND((1 << INDEX_BITS) - 1)
@@ -47,9 +57,10 @@ def distinct_state(rows: DataFrame, numbers: DataFrame, key: str, day: str, by:
     """Sets of keys by day and dimensions: (*by, day, bucket, bits). A row without a key adds an empty set."""
     number = F.col("number")
     found = rows.select(key, F.col(day).alias("day"), *by).join(numbers, key, "left")
-    return found.groupBy(*by, "day", F.bitmap_bucket_number(number).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits")
-    )
+    placed = found.select(*by, "day", F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("_bit"))
+    # Numbers travel, not bitmaps: combined before the shuffle, each task would hold a bitmap for nearly each of its rows.
+    together = placed.repartition(*by, "day", "bucket")
+    return together.groupBy(*by, "day", "bucket").agg(F.bitmap_construct_agg("_bit").alias("bits"))
 
 
 def merged_states(*states: DataFrame) -> DataFrame:

@@ -54,3 +54,27 @@ def test_empty(spark):
     assert numbers.count() == 0
     assert distinct_counts(distinct_state(none, numbers, "who", "day", ["place"]), ["place"], "day", "n").count() == 0
     assert key_numbers(spark.createDataFrame(visits(10, 1), DDL), "who", numbers).agg(F.min("number")).first()[0] == 0
+
+
+def test_the_state_of_unique_keys_has_a_few_bitmaps_for_each_set(spark):
+    """Each day and shop has keys from all over; their numbers lie together all the same."""
+    n, days, shops = 120_000, 10, 3
+    frame = spark.range(n).selectExpr(
+        "cast(id as string) as who", f"date_add(date '2024-01-01', cast(xxhash64(id) % {days} as int)) as day", f"xxhash64(id, 1) % {shops} as shop"
+    )
+    sets = frame.select("day", "shop").distinct().count()
+    state = distinct_state(frame, key_numbers(frame, "who", near=["shop", "day"]), "who", "day", ["shop"])
+    assert state.count() <= sets + -(-n // 32768)
+    assert distinct_state(frame, key_numbers(frame, "who"), "who", "day", ["shop"]).count() > 2 * sets
+    got = {(r["shop"], r["period"]): r["n"] for r in distinct_counts(state, ["shop"], "day", "n").collect()}
+    assert got == {(r[0], r[1]): r[2] for r in frame.groupBy("shop", "day").count().collect()}
+
+
+def test_near_numbers_go_on_from_known_ones_and_skip_null_keys(spark):
+    first = spark.createDataFrame(visits(200, 3), DDL)
+    both = first.unionByName(spark.createDataFrame(visits(200, 4), DDL))
+    known = key_numbers(first, "who", near=["day"])
+    again = key_numbers(both, "who", known, near=["day"])
+    numbers = sorted(r["number"] for r in again.collect())
+    assert numbers == list(range(both.where("who is not null").select("who").distinct().count()))
+    assert known.exceptAll(again).isEmpty()
