@@ -2,16 +2,19 @@
 
 import datetime as dt
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL, rows
-from shopledger.catalogue import LoadedBefore, models
+from shopledger.catalogue import EXTRAS, LoadedBefore, models
 from shopledger.operators.merge import upsert
+from shopledger.plans import data_science, publish
 from shopledger.plans.models import RetailModels, StagedTables
 from shopledger.plans.publish import refresh_orders
 from shopledger.sources.monthly import read_months, touched_months, upsert_months, write_months
+from shopledger.sources.sinks import write_table
 from shopledger.sources.tables import AS_OF
 
 FACT = "id bigint, day date, state string, value int"
@@ -126,3 +129,32 @@ def test_a_refresh_after_rows_of_many_months(spark, tmp_path):
     write_months(RetailModels(StagedTables(LoadedBefore(raw, "2000-06-20")), AS_OF).fct_orders, path, "order_date")
     want = models(spark, SMALL).fct_orders
     assert rows(refresh_orders(raw, path, dt.datetime(2000, 6, 20)).select(want.columns)) == rows(want)
+
+
+def test_a_refresh_moves_the_new_rows_and_the_stored_ones_by_order_alone(spark, tmp_path, monkeypatch):
+    """The changed rows are found without a second shuffle of whole rows by all their columns."""
+    raw, path = models(spark, SMALL).raw, str(tmp_path / "orders")
+    write_months(RetailModels(StagedTables(LoadedBefore(raw, "2000-06-20")), AS_OF).fct_orders, path, "order_date")
+    plans = []
+
+    def noted(df, place):
+        if "changed-orders" in place:
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write_table(df, place)
+
+    monkeypatch.setattr(publish, "write_table", noted)
+    refresh_orders(raw, path, dt.datetime(2000, 6, 20))
+    (plan,) = plans
+    (anti,) = [line for line in plan.splitlines() if "LeftAnti" in line]
+    assert re.search(r"\border_id#\d+ = _was_order_id#\d+", anti)
+
+
+def test_a_batch_of_a_sequence_reads_stored_orders(spark, monkeypatch):
+    """The orders are put together once, not for each batch."""
+    plans = []
+    start, append = data_science.start_sequences, data_science.append_sequences
+    monkeypatch.setattr(data_science, "start_sequences", lambda df, root: (plans.append(df), start(df, root)))
+    monkeypatch.setattr(data_science, "append_sequences", lambda df, root, n: (plans.append(df), append(df, root, n)))
+    EXTRAS["e05_sequence_continued"](models(spark, SMALL))
+    assert len(plans) == 3
+    assert not any("Aggregate" in df._jdf.queryExecution().optimizedPlan().toString() for df in plans)
