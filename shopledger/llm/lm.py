@@ -25,6 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ class Grams:
     def distinct(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Sorted codes and counts of the single tokens, then of all longer n-grams together."""
         longer = np.concatenate(self.codes[1:]) if len(self.codes) > 1 else np.zeros(0, np.uint64)
-        return [np.unique(self.codes[0], return_counts=True), np.unique(longer, return_counts=True)]
+        return [_tallied(self.codes[0].copy()), _tallied(longer)]
 
     def found(self, tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Counts of the n-gram of each order at each token, and of its context, from (codes, counts) tables."""
@@ -85,6 +86,16 @@ class Grams:
         return counts, contexts
 
 
+def _tallied(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and their counts; sorts the given array itself, where np.unique makes copies."""
+    codes.sort()
+    first = np.empty(len(codes), bool)
+    first[:1] = True
+    np.not_equal(codes[1:], codes[:-1], out=first[1:])
+    starts = np.flatnonzero(first)
+    return codes[starts], np.diff(starts, append=len(codes))
+
+
 def estimates(counts: list[np.ndarray], contexts: list[np.ndarray], total: float) -> list[np.ndarray]:
     """Maximum-likelihood estimates of each order."""
     out = [counts[0] / max(1.0, total)]
@@ -180,12 +191,12 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
 
     def totals(table: pa.Table, kind: int):
         """Rows of a kind with their totals, with and without the held-out folds, and the numbers of a group."""
-        part = table.filter(pa.array([k == kind for k in table.column("kind").to_pylist()]))
+        part = table.filter(pc.equal(table.column("kind"), kind))
         chunk = part.column("chunk").to_numpy()
-        lists = [unpacked_codes(x) for x in part.column("codes").to_pylist()]
+        lists = [unpacked_codes(x.as_py()) for x in part.column("codes")]
         if not lists:
             return chunk, [], [], [], np.zeros(0), np.zeros(0)
-        counts = np.concatenate([unpacked_counts(x) for x in part.column("counts").to_pylist()]).astype(np.float64)
+        counts = np.concatenate([unpacked_counts(x.as_py()) for x in part.column("counts")]).astype(np.float64)
         sizes = [len(x) for x in lists]
         held = np.repeat((chunk >= chunks) & (chunk < chunks + folds), sizes)
         distinct, inverse = np.unique(np.concatenate(lists), return_inverse=True)
@@ -211,15 +222,17 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
         chunk, kind, counts, tokens, main, seen = zip(*out, strict=True)
         arrays = [pa.array(chunk, pa.int32()), pa.array([number[0].as_py()] * len(out), pa.int32()), pa.array(kind, pa.int32()), pa.array(counts, pa.binary())]
         arrays += [pa.array(x, pa.int64()) for x in (tokens, main, seen)]
+        del out
+        give_back()
         return pa.table(arrays, names=["chunk", "group", "kind", "counts", "tokens", "main", "seen"])
 
     def tables(grams: Grams, right: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
         """The chunk's own codes with the returned counts."""
         out = []
         for kind, (codes, _) in enumerate(grams.distinct()):
-            part = right.filter(pa.array([k == kind and c is not None for k, c in zip(right.column("kind").to_pylist(), right.column("counts").to_pylist(), strict=True)]))
+            part = right.filter(pc.and_(pc.equal(right.column("kind"), kind), pc.is_valid(right.column("counts"))))
             part = part.sort_by([("group", "ascending")])
-            lists = [unpacked_counts(x) for x in part.column("counts").to_pylist()]
+            lists = [unpacked_counts(x.as_py()) for x in part.column("counts")]
             out.append((codes, np.concatenate(lists) if lists else np.zeros(len(codes))))
         return out
 
@@ -235,6 +248,8 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
         columns += [np.where(x > 0, np.round(np.log(np.maximum(x, 1e-300)) / CELL), 10_000).astype(np.int64) for x in logs]
         kinds, many = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
         cells = [",".join("z" if x == 10_000 else str(x) for x in row) for row in kinds.tolist()]
+        del grams, counts, contexts, logs, columns
+        give_back()
         return pa.table({"cell": pa.array(cells, pa.string()), "n": pa.array(many, pa.int64())})
 
     @F.arrow_udf("binary")
@@ -253,14 +268,15 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
         left = left.drop_columns([chunk_name])
         if not left.num_rows:
             return pa.table([pa.array([], f.type) for f in left.schema] + [pa.array([], t) for t in arrow], names=[*left.column_names, *names])
-        model = json.loads(next(c for k, c in zip(right.column("kind").to_pylist(), right.column("counts").to_pylist(), strict=True) if k == -1))
+        model = json.loads(right.filter(pc.equal(right.column("kind"), -1)).column("counts")[0].as_py())
         n, seen = model["tokens"], model["seen"]
         grams = Grams(as_bytes(left.column(text).combine_chunks()), order, bits)
         counts, contexts = grams.found(tables(grams, right))
-        weights = _weight_table(model["weights"], order)[bucket_of(contexts[-1] if contexts else np.zeros(len(counts[0])))]
-        p = weights[:, 0] / (seen + 1)
+        weights = _weight_table(model["weights"], order)
+        bucket = bucket_of(contexts[-1] if contexts else np.zeros(len(counts[0])))
+        p = weights[bucket, 0] / (seen + 1)
         for k, estimate in enumerate(estimates(counts, contexts, n)):
-            p += weights[:, k + 1] * estimate
+            p += weights[bucket, k + 1] * estimate
         size = len(grams.sizes)
         base = np.bincount(grams.doc, np.log10((counts[0] + 1) / (n + seen + 1)), size)
         total = np.bincount(grams.doc, np.log10(p), size)
@@ -268,6 +284,8 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
         arrays = [pa.array(x, t) for x, t in zip((grams.sizes, known, np.full(size, n), base, total), arrow, strict=True)]
         for name, array in zip(names, arrays, strict=True):
             left = left.append_column(name, array)
+        del grams, counts, contexts, bucket, p
+        give_back()
         return left
 
     arrow = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]

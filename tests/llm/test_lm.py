@@ -154,3 +154,17 @@ def test_query(spark, small):
     assert found(rows) == base(texts, train) and all(r["held_out"] == (r["doc_id"] not in train) for r in rows)
     held = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)  # unseen text is better explained
+
+
+def test_codes_are_tallied_in_their_own_array():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 2, 5000):
+        codes = rng.integers(0, 900, size).astype(np.uint64)
+        want = np.unique(codes, return_counts=True)
+        got = lm._tallied(codes)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+        assert np.array_equal(codes, np.sort(codes))  # sorted where it lies, not in a copy
+    grams = lm.Grams([b"a b a", b"b a b a"], 3)
+    before = [c.copy() for c in grams.codes]
+    grams.distinct()
+    assert all(np.array_equal(a, b) for a, b in zip(grams.codes, before, strict=True))
