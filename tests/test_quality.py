@@ -34,6 +34,20 @@ def test_check_counts_failures(spark):
     assert got == {"unique": 1, "not_null": 2, "accepted_values": 2}  # NULL passes accepted values
 
 
+def test_the_rules_of_a_table_share_one_pass(spark):
+    """The first unique rule does not compute its table a second time; a table without rows has no failures."""
+    frame = spark.createDataFrame([("1", "M", "a"), ("1", "X", "b"), (None, "X", "b"), (None, "x", "b")], "customer_id string, gender string, email string")
+    rules = [Q.Rule("t", "c", "customer_id", "unique"), Q.Rule("t", "c", "customer_id", "not_null"), Q.Rule("t", "c", "gender", "accepted_values")]
+    checked = Q.check(frame, rules)
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert rows(checked, "rule", "failures") == [("accepted_values", 3), ("not_null", 2), ("unique", 1)]
+    assert rows(Q.check(frame.where("false"), rules), "failures") == [(0,)] * 3
+    both = Q.check(frame, [*rules, Q.Rule("t", "c", "email", "unique")])
+    assert rows(both, "column_name", "rule", "failures") == [
+        ("customer_id", "not_null", 2), ("customer_id", "unique", 1), ("email", "unique", 1), ("gender", "accepted_values", 3),
+    ]
+
+
 def test_rules_are_counted_by_the_write(spark, tmp_path):
     data = [(f"k{i // 2 if i < 40 else i}", i % 9 and "M" or "odd", i) for i in range(300)] + [(None, "F", 1), (None, None, 2)]
     frame = spark.createDataFrame(data, "customer_id string, gender string, n int").repartition(5)
