@@ -24,8 +24,9 @@ def month_of(day: Column) -> Column:
 
 def _write(df: DataFrame, path: str, day: str, overwrite: bool) -> None:
     # One task for each month and a share of its rows: a month with very many rows is written by several tasks,
-    # which the planner sees to, and a small one makes one file.
-    rows = df.withColumn(MONTH, month_of(F.col(day))).hint("rebalance", F.col(MONTH))
+    # which the planner sees to, and a small one makes one file. Rows that replace others come from files by month.
+    rows = df.withColumn(MONTH, month_of(F.col(day)))
+    rows = rows if overwrite else rows.hint("rebalance", F.col(MONTH))
     writer = rows.sortWithinPartitions(MONTH, day).write.partitionBy(MONTH)
     if overwrite:
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
