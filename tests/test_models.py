@@ -148,6 +148,36 @@ def test_product_performance(shop):
     assert "P3" not in got and "PX" in got
 
 
+def test_product_sales_shuffle_items_once(spark, shop):
+    """Rows of a repeated order count each, as in a join with the orders."""
+    kept = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in kept:
+        spark.conf.set(name, "-1")
+    try:
+        orders = shop.stg_orders.unionByName(shop.stg_orders.where("order_id = '2'"))
+        sales = intermediate.product_sales(shop.stg_order_items, orders)
+        plan = sales._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(order_id") == 2 and plan.count("Exchange ") == 3
+        twice, once = by(sales, "product_id"), by(intermediate.product_sales(shop.stg_order_items, shop.stg_orders), "product_id")
+    finally:
+        for name in kept:
+            spark.conf.unset(name)
+    items = shop.stg_order_items.where("order_id = '2'").groupBy("product_id").agg(F.sum("line_revenue").alias("r"), F.sum("quantity").alias("q"))
+    more = {r.product_id: r for r in items.collect()}
+    assert more and set(more) <= set(once)
+    for p, r in once.items():
+        extra = more.get(p)
+        assert twice[p].total_orders == r.total_orders + (extra is not None)
+        assert twice[p].total_revenue == r.total_revenue + (extra.r if extra else 0)
+        assert twice[p].total_units_sold == r.total_units_sold + (extra.q if extra else 0)
+
+
+def test_tiers_need_no_returns(shop):
+    columns = ["product_id", "product_name", "category", "current_price", "performance_tier"]
+    assert rows(shop.tiered_products, *columns) == rows(shop.dim_products, *columns)
+    assert "return_rate" not in shop.tiered_products.columns
+
+
 def test_dim_customers(shop):
     got = by(shop.dim_customers, "customer_id")
     assert [got[c].customer_status for c in "ABCE"] == ["active", "churned", "prospect", "at_risk"]

@@ -195,6 +195,13 @@ def test_top_partners_property(spark, lines, wide):
     assert spark_partners(spark, lines, wide=wide, min_rows=3) == brute_partners(lines)
 
 
+def test_top_partners_without_wide_groups_counts_no_group_again(spark):
+    lines = [("g", "b"), ("g", "a"), ("g", "b"), ("h", "a"), ("h", "b"), ("k", "c"), ("k", "c")]
+    assert spark_partners(spark, lines) == brute_partners(lines)
+    plan = pairs.top_partners(spark.createDataFrame(lines, "g string, i string"), "g", "i")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_most_frequent_breaks_ties_by_value(spark):
     frame = spark.createDataFrame([("a", "y", 2), ("a", "x", 2), ("a", None, 2), ("b", "z", 1), ("b", "w", 3)], "k string, v string, n int")
     assert rows(ranking.most_frequent(frame, "k", "v", "n", "top")) == [("a", "x"), ("b", "w")]
