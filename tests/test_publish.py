@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL, rows
 from shopledger.catalogue import comparable, models
+from shopledger.plans import core
 from shopledger.plans.publish import RepeatedKeys, consumer_marts, publish_core
 from shopledger.schemas import CONTRACT_DDL, contract
 from shopledger.sources.tables import AS_OF
@@ -33,6 +34,12 @@ def test_stored_equals_inline(stored, inline, mart):
     assert rows(stored[mart]) == rows(getattr(inline, mart))
 
 
+def test_order_block_out_of_the_order_fact(stored, inline):
+    block = core.enriched_orders(stored["fct_orders"])
+    assert [(f.name, f.dataType) for f in block.schema] == [(f.name, f.dataType) for f in inline.int_orders_enriched.schema]
+    assert rows(block) == rows(stored["int_orders_enriched"]) == rows(inline.int_orders_enriched)
+
+
 def test_consumers_over_stored_marts_equal_inline(stored, inline):
     for name, df in consumer_marts(stored, AS_OF).items():
         assert rows(comparable(df)) == rows(comparable(getattr(inline, name))), name
