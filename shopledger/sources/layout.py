@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import freed_shuffles
 from .sinks import write_table
 
 RANGES_BITS = 8  # each column is cut into 2^8 ranges
@@ -71,5 +72,6 @@ def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFram
     name = f"bucketed_{uuid.uuid4().hex}"
     spark = df.sparkSession
     dealt = df.repartition(buckets, key)
-    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    with freed_shuffles(spark):
+        dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
     return spark.table(name)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.merge import require_unique, upsert
-from ..session import fresh_path
+from ..session import fresh_path, freed_shuffles
 
 MONTH = "month"
 NO_MONTH = "none"
@@ -30,7 +30,8 @@ def _write(df: DataFrame, path: str, day: str, overwrite: bool) -> None:
     writer = rows.sortWithinPartitions(MONTH, day).write.partitionBy(MONTH)
     if overwrite:
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        writer.parquet(path)
 
 
 def read_months(spark: SparkSession, path: str, months: list[str] | None = None) -> DataFrame:
