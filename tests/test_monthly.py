@@ -13,6 +13,7 @@ from shopledger.operators.merge import upsert
 from shopledger.plans import data_science, publish
 from shopledger.plans.models import RetailModels, StagedTables
 from shopledger.plans.publish import refresh_orders
+from shopledger.session import settings
 from shopledger.sources.monthly import read_months, touched_months, upsert_months, write_months
 from shopledger.sources.sinks import write_table
 from shopledger.sources.tables import AS_OF
@@ -149,6 +150,28 @@ def test_a_refresh_moves_the_new_rows_and_the_stored_ones_by_order_alone(spark,
     assert re.search(r"\border_id#\d+ = _was_order_id#\d+", anti)
 
 
+@pytest.mark.parametrize("share", [0, 10**9])
+def test_a_refresh_of_few_and_of_many_orders(spark, tmp_path, monkeypatch, share):
+    """The rows of touched orders are taken first, or all rows shrink to their order; whole rows lie by order once."""
+    monkeypatch.setattr(publish, "FEW_TOUCHED", share)
+    raw, path = models(spark, SMALL).raw, str(tmp_path / "orders")
+    write_months(RetailModels(StagedTables(LoadedBefore(raw, "2000-06-20")), AS_OF).fct_orders, path, "order_date")
+    plans = []
+
+    def noted(df, place):
+        if "changed-orders" in place:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write_table(df, place)
+
+    monkeypatch.setattr(publish, "write_table", noted)
+    want = models(spark, SMALL).fct_orders
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        assert rows(refresh_orders(raw, path, dt.datetime(2000, 6, 20)).select(want.columns)) == rows(want)
+    (plan,) = plans
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert not any("_was_" in line or "is_refunded" in line for line in exchanges)
+
+
 def test_a_batch_of_a_sequence_reads_stored_orders(spark, monkeypatch):
     """The orders are put together once, not for each batch."""
     plans = []
